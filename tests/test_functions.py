@@ -128,7 +128,7 @@ def test_language_required(spark):
         ("We are hiring a developer. English required. Deutschkenntnisse von Vorteil.", ""): "English (German plus)",
         ("We are looking for someone to join us and build things with the team.", "Entwickler (m/w/d)"): "English (German plus)",
         ("We are looking for someone to join us and build things with the team.", "Sales, German speaker"): "German",
-        ("working language\nof german origin", ""): "unknown",
+        ("working language\nof german origin", ""): "English",
     })
 
 
@@ -166,6 +166,7 @@ def test_strip_html(spark):
         "x &amp;amp; y &lt;b&gt; &#8364; &#x20AC; &eacute;&nbsp;&quot;&apos;": "x &amp; y <b> € € é\xa0\"'",
         "&#38;lt; &#38;amp; &unknown; &#0;": "&lt; &amp; &unknown; &#0;",
         "a\n\n\n\nb": "a\n\nb",
+        "R&ampD &copy2024 &#65B &#150; &#36;5 &notit; AT&T": "R&D ©2024 AB – $5 ¬it; AT&T",
     })
 
 

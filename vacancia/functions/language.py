@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as V
-from .text import UNICODE_LINES, collapse_spaces, contains_any, lowered
+from .text import UNICODE_LINES, collapse_spaces, contains_any, let, lowered
 
 UNKNOWN = "unknown"
 
@@ -20,38 +20,49 @@ def matches_any(text: Column, patterns: list[str], literals: list[str] | None =
     return contains_any(text, literals) & found if literals else found
 
 
-def listing_language(text: Column) -> Column:
-    """Language of the running text by its function words, or by its script.
-
-    A share-of-stop-words scorer: the language with the most of its function words wins, ties
-    go to the first in the table. Text under 30 characters or without any such word is
-    "unknown".
-    """
-    clean = collapse_spaces(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", " "))
+def _by_function_words(clean: Column) -> Column:
     tables = {code: sorted(set(listed.split())) for code, listed in V.STOP_WORDS.items()}
     known = sorted({word for table in tables.values() for word in table})
+
+    def winner(hits: Column) -> Column:
+        def count(table: list[str]) -> Column:
+            return F.size(F.filter(hits, lambda t: t.isin(table)))
+
+        return F.array_max(
+            F.array(
+                *[
+                    F.struct(count(table).alias("n"), F.lit(-place).alias("place"), F.lit(V.LANGUAGE_NAMES[code]).alias("name"))
+                    for place, (code, table) in enumerate(tables.items())
+                ]
+            )
+        )
+
     tokens = F.split(F.lower(clean), r"[^\p{L}]+")
     hits = F.filter(tokens, lambda t: t.isin(known))
+    return let(let(hits, winner), lambda best: F.when(best["n"] > 0, best["name"]).otherwise(UNKNOWN))
 
-    def count(table: list[str]) -> Column:
-        return F.size(F.filter(hits, lambda t: t.isin(table)))
 
-    scored = F.array(
-        *[
-            F.struct(
-                count(table).alias("n"),
-                F.lit(-place).alias("place"),
-                F.lit(V.LANGUAGE_NAMES[code]).alias("name"),
-            )
-            for place, (code, table) in enumerate(tables.items())
-        ]
-    )
-    best = F.array_max(scored)
-    by_words = F.when(best["n"] > 0, best["name"]).otherwise(UNKNOWN)
-    out = F.when(F.length(clean) < V.MIN_LANGUAGE_TEXT, F.lit(UNKNOWN))
+def _by_script_or_words(clean: Column) -> Column:
+    any_script = "".join(pattern.strip("[]") for _, pattern in V.SCRIPT_LANGUAGES)
+    script = F.when(F.lit(False), F.lit(""))
     for code, pattern in V.SCRIPT_LANGUAGES:
-        out = out.when(clean.rlike(pattern), F.lit(V.LANGUAGE_NAMES[code]))
-    return out.otherwise(by_words)
+        script = script.when(clean.rlike(pattern), F.lit(V.LANGUAGE_NAMES[code]))
+    return (
+        F.when(F.length(clean) < V.MIN_LANGUAGE_TEXT, F.lit(UNKNOWN))
+        .when(clean.rlike(f"[{any_script}]"), script)
+        .otherwise(_by_function_words(clean))
+    )
+
+
+def listing_language(text: Column) -> Column:
+    """Language of the running text by its function words, or by its script.
+
+    The language with the most of its function words wins, ties go to the first in the
+    table. Text under 30 characters or without any such word is "unknown".
+    """
+    plain = F.coalesce(text, F.lit(""))
+    untagged = F.when(F.contains(plain, F.lit("<")), F.regexp_replace(plain, r"<[^>]+>", " ")).otherwise(plain)
+    return let(collapse_spaces(untagged), _by_script_or_words)
 
 
 def language_from_title(title: Column) -> Column:

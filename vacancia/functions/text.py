@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
-from typing import Iterable
+from html.entities import html5, name2codepoint
+from typing import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -13,6 +13,14 @@ UNICODE = "(?U)"
 UNICODE_LINES = "(?Ud)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it.
+
+    Shared subexpressions under a CASE are not shared by Spark; a lambda variable is.
+    """
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
     return F.regexp_replace(c, UNICODE + r"^\s+|\s+$", "")
@@ -87,42 +95,54 @@ def _valid_code_point(number: Column) -> Column:
     return number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
 
 
-def unescape_entities(c: Column) -> Column:
-    """Decode named (HTML 4 and ``&apos;``) and numeric entities, each only once.
+def _windows_characters() -> dict[int, str]:
+    """What numbers 128 to 159 stand for in practice: the bytes of the Windows code page."""
+    return {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 
-    Text without an ampersand, the usual case, is passed on untouched. Ampersands come last,
-    so that what they produce is not decoded again.
-    """
+
+def _decode_all(c: Column) -> Column:
     named = {**name2codepoint, "apos": 39}
     del named["amp"]
     table = F.create_map(*[F.lit(x) for name, code in named.items() for x in (name, chr(code))])
+    # names that browsers know without a semicolon as well
+    open_names = sorted((n for n in html5 if not n.endswith(";") and n.lower() != "amp"), key=len, reverse=True)
+    open_table = F.create_map(*[F.lit(x) for n in open_names for x in (n, html5[n])])
+    windows = F.create_map(*[F.lit(x) for n, ch in _windows_characters().items() for x in (n, ch)])
 
-    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
-    step1 = F.aggregate(
-        names,
-        c,
-        lambda text, name: F.replace(
-            text,
-            F.concat(F.lit("&"), name, F.lit(";")),
-            F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name, F.lit(";"))),
-        ),
-    )
-    tokens = F.array_distinct(
-        F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1))
-    )
+    def decode_named(text: Column, name: Column) -> Column:
+        entity = F.concat(F.lit("&"), name, F.lit(";"))
+        return F.replace(text, entity, F.coalesce(F.try_element_at(table, name), entity))
+
+    def decode_open(text: Column, name: Column) -> Column:
+        return F.replace(text, F.concat(F.lit("&"), name), F.try_element_at(open_table, name))
 
     def decode_number(text: Column, token: Column) -> Column:
-        number = F.when(
-            F.lower(F.left(token, F.lit(1))) == "x", F.conv(F.substring(token, 2, 6), 16, 10)
-        ).otherwise(token).try_cast("bigint")
+        is_hex = F.lower(F.left(token, F.lit(1))) == "x"
+        number = F.when(is_hex, F.conv(F.substring(token, 2, 6), 16, 10)).otherwise(token).try_cast("bigint")
         usable = _valid_code_point(number) & (number != 38)
+        rest = F.when(is_hex, "(?:;|(?![0-9a-fA-F;]))").otherwise("(?:;|(?![0-9;]))")
+        special = F.when(number.isin(36, 92), "\\").otherwise("")
+        character = F.coalesce(F.try_element_at(windows, number.cast("int")), _code_point(number))
         return F.when(
-            usable, F.replace(text, F.concat(F.lit("&#"), token, F.lit(";")), _code_point(number))
+            usable, F.regexp_replace(text, F.concat(F.lit("&#"), token, rest), F.concat(special, character))
         ).otherwise(text)
 
-    step2 = F.aggregate(tokens, step1, decode_number)
-    step3 = F.regexp_replace(step2, r"&(?:amp|#38|#[xX]26);", "&")
-    return F.when(F.contains(c, F.lit("&")), step3).otherwise(c)
+    def found(text: Column, pattern: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+    step = F.aggregate(found(c, r"&([A-Za-z][A-Za-z0-9]*);"), c, decode_named)
+    step = let(step, lambda t: F.aggregate(found(t, f"&({'|'.join(open_names)})"), t, decode_open))
+    step = F.aggregate(found(c, r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})"), step, decode_number)
+    return F.regexp_replace(step, r"&(?:amp;?|AMP;?|#38;?|#[xX]26;?)", "&")
+
+
+def unescape_entities(c: Column) -> Column:
+    """Decode named (HTML 4 and ``&apos;``) and numeric entities, each only once.
+
+    Text without an ampersand, the usual case, is passed on untouched. Ampersands come last,
+    so that what they produce is not decoded again.
+    """
+    return let(c, lambda t: F.when(F.contains(t, F.lit("&")), _decode_all(t)).otherwise(t))
 
 
 def strip_html(c: Column) -> Column:
