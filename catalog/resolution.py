@@ -1 +1,71 @@
-"""."""
+"""Duplicates: keys, leaders and merged rows. Clustering and merging depend on row order in a
+way SQL does not express; tests check them against a plain sequential version."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vacancia.operators import resolve as RS
+from vacancia.operators.normalize import normalize_postings
+from vacancia.plans.search import SearchOptions, add_crawled, matching_crawled, search
+from vacancia.session import TableSpool
+
+from .base import AS_OF, TERMS, jobs, on_jobs, query
+from .summaries import KEYS_SQL
+
+
+def _pairs(key: str) -> str:
+    return on_jobs(
+        f"SELECT seq, first_seq FROM (SELECT seq, min(seq) OVER (PARTITION BY {key}) AS first_seq FROM keyed WHERE {key} IS NOT NULL) WHERE first_seq < seq",
+        KEYS_SQL,
+    )
+
+
+@query("join_url_dup", _pairs("norm_url"))
+def join_url_dup(spark, sf):
+    return RS.first_row_per_key(RS.with_keys(jobs(spark, sf)), "norm_url")
+
+
+@query("join_title_company_dup", _pairs("dup_key"))
+def join_title_company_dup(spark, sf):
+    return RS.first_row_per_key(RS.with_keys(jobs(spark, sf)), "dup_key")
+
+
+@query("join_fuzzy_dup")
+def join_fuzzy_dup(spark, sf):
+    return RS.similar_keys(jobs(spark, sf))
+
+
+@query("resolve_exact")
+def resolve_exact(spark, sf):
+    return RS.resolve_exact(normalize_postings(jobs(spark, sf)))
+
+
+@query("resolve_duplicates")
+def resolve_duplicates(spark, sf):
+    return RS.resolve(normalize_postings(jobs(spark, sf)))
+
+
+@query("agg_dedup_merge")
+def agg_dedup_merge(spark, sf):
+    """Rows of a URL merged into one, whatever else they share."""
+    df = normalize_postings(jobs(spark, sf))
+    keyed = RS.with_keys(df).select("seq", "norm_url")
+    firsts = keyed.filter("norm_url IS NOT NULL").groupBy("norm_url").agg(F.min("seq").alias("leader"))
+    leaders = keyed.join(firsts, "norm_url", "left").select("seq", F.coalesce("leader", "seq").alias("leader"))
+    return RS.merge_groups(df, leaders, TableSpool(spark, "merge"))
+
+
+@query("set_union_crawl")
+def set_union_crawl(spark, sf):
+    merged = RS.resolve_exact(normalize_postings(jobs(spark, sf)))
+    crawled = matching_crawled(jobs(spark, sf), TERMS, ["berlin", "hamburg"])
+    return add_crawled(merged, crawled, after=1 << 40)
+
+
+OPTIONS = SearchOptions(as_of=AS_OF, hours_old=24 * 150, language="English", locations=["Germany", "India"])
+
+
+@query("pipeline_search")
+def pipeline_search(spark, sf):
+    return search(jobs(spark, sf), OPTIONS)

@@ -57,8 +57,11 @@ class TableSpool:
         self._root = f"{working_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
         self._count = 0
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self._root}/{self._count:04d}-{name}"
+    def path(self, name: str) -> str:
         self._count += 1
+        return f"{self._root}/{self._count:04d}-{name}"
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
