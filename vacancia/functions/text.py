@@ -100,14 +100,20 @@ def _windows_characters() -> dict[int, str]:
     return {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 
 
+def _text_map(entries: dict[str, str]) -> Column:
+    """A constant map of text, in a few nodes of the plan however many entries it has."""
+    gap = "\u0001"
+    return F.map_from_arrays(F.split(F.lit(gap.join(entries)), gap), F.split(F.lit(gap.join(entries.values())), gap))
+
+
 def _decode_all(c: Column) -> Column:
-    named = {**name2codepoint, "apos": 39}
+    named = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
     del named["amp"]
-    table = F.create_map(*[F.lit(x) for name, code in named.items() for x in (name, chr(code))])
+    table = _text_map(named)
     # names that browsers know without a semicolon as well
     open_names = sorted((n for n in html5 if not n.endswith(";") and n.lower() != "amp"), key=len, reverse=True)
-    open_table = F.create_map(*[F.lit(x) for n in open_names for x in (n, html5[n])])
-    windows = F.create_map(*[F.lit(x) for n, ch in _windows_characters().items() for x in (n, ch)])
+    open_table = _text_map({name: html5[name] for name in open_names})
+    windows = _text_map({str(n): ch for n, ch in _windows_characters().items()})
 
     def decode_named(text: Column, name: Column) -> Column:
         entity = F.concat(F.lit("&"), name, F.lit(";"))
@@ -122,7 +128,7 @@ def _decode_all(c: Column) -> Column:
         usable = _valid_code_point(number) & (number != 38)
         rest = F.when(is_hex, "(?:;|(?![0-9a-fA-F;]))").otherwise("(?:;|(?![0-9;]))")
         special = F.when(number.isin(36, 92), "\\").otherwise("")
-        character = F.coalesce(F.try_element_at(windows, number.cast("int")), _code_point(number))
+        character = F.coalesce(F.try_element_at(windows, number.cast("string")), _code_point(number))
         return F.when(
             usable, F.regexp_replace(text, F.concat(F.lit("&#"), token, rest), F.concat(special, character))
         ).otherwise(text)

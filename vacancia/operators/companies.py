@@ -116,6 +116,11 @@ def route_urls(urls: DataFrame) -> DataFrame:
     return by_company.unionByName(single).unionByName(generic)
 
 
+def _place(step: int) -> Column:
+    """Order of a candidate: kind, position, and the URL where positions are shared."""
+    return F.struct(F.lit(step).alias("step"), F.col("ordinal").cast("bigint").alias("ordinal"), F.col("url").alias("url")).alias("_order")
+
+
 def discover_careers(sitemaps: DataFrame, probes: DataFrame) -> DataFrame:
     """Careers page and platform per domain out of landed sitemap and page contents.
 
@@ -127,14 +132,13 @@ def discover_careers(sitemaps: DataFrame, probes: DataFrame) -> DataFrame:
     site_ats, site_slug = page_platform(F.col("url"))
     from_sitemaps = sitemaps.filter(
         (F.col("ordinal") < V.SITEMAPS_PER_DOMAIN) & F.col("url").isNotNull()
-    ).select("domain", F.struct(F.lit(0).alias("step"), F.col("ordinal").cast("bigint").alias("ordinal")).alias("_order"),
-             F.col("url").alias("career_url"), site_ats.alias("ats"), site_slug.alias("slug"))
+    ).select("domain", _place(0), F.col("url").alias("career_url"), site_ats.alias("ats"), site_slug.alias("slug"))
 
     url_ats, url_slug = page_platform(F.col("url"))
     html_ats, html_slug = page_platform(F.col("html"))
     looked_at = probes.select(
         "domain",
-        F.struct(F.lit(1).alias("step"), F.col("ordinal").cast("bigint").alias("ordinal")).alias("_order"),
+        _place(1),
         F.col("url").alias("career_url"),
         F.coalesce(url_ats, html_ats).alias("ats"),
         F.when(url_ats.isNotNull(), url_slug).otherwise(html_slug).alias("slug"),

@@ -17,8 +17,9 @@ CHROME = r"(?i)<!--[\s\S]*?-->|<(nav|header|footer|script|style|noscript)\b[\s\S
 
 
 def _gated(html: Column, literal: str, value: Column) -> Column:
-    """Search only pages that contain the literal at all."""
-    return F.when(F.contains(F.lower(html), F.lit(literal)), value)
+    """Search only pages that contain the literal at all. Values of attributes are matched in
+    the case they are written in."""
+    return F.when(F.contains(html, F.lit(literal)), value)
 
 
 def text_of(fragment: Column, separator: str = "") -> Column:
@@ -31,51 +32,47 @@ def text_of(fragment: Column, separator: str = "") -> Column:
 def element(html: Column, tag: str) -> Column:
     """Inside of the first element with this tag, null if there is none."""
     pattern = rf"(?i)<{tag}\b[^>]*>([\s\S]*?)</{tag}\s*>"
-    return _gated(html, f"<{tag}", F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1)))
+    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
 
 
-def _by_attribute(html: Column, literal: str, attribute: str) -> Column:
-    pattern = rf"(?i)<([a-z][a-z0-9]*)\b[^>]*?\s{attribute}[^>]*>([\s\S]*?)</\1\s*>"
-    return _gated(html, literal, F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 2)))
+def _has_class(name: str) -> str:
+    """The class must be one of the space-separated names."""
+    return rf"""(?i:class)\s*=\s*["'](?:[^"']*\s)?{re.escape(name)}(?:\s[^"']*)?["']"""
 
 
-def by_class(html: Column, name: str) -> Column:
-    """Inside of the first element that has this class."""
-    # the class must be one of the space-separated names
-    return _by_attribute(html, name, rf"""class\s*=\s*["'](?:[^"']*\s)?{re.escape(name)}(?:\s[^"']*)?["']""")
+def _has_value(attribute: str, name: str) -> str:
+    return rf"""(?i:{attribute})\s*=\s*["']{re.escape(name)}["']"""
 
 
-def by_id(html: Column, name: str) -> Column:
-    return _by_attribute(html, name, rf"""id\s*=\s*["']{re.escape(name)}["']""")
+def _condition(selector: str) -> tuple[str, str]:
+    """(literal that must occur, attribute pattern) of .class, #id or [itemprop='...']."""
+    if selector.startswith("."):
+        return selector[1:], _has_class(selector[1:])
+    if selector.startswith("#"):
+        return selector[1:], _has_value("id", selector[1:])
+    name = selector.split("'")[1]
+    return name, _has_value("itemprop", name)
 
 
-def by_itemprop(html: Column, name: str) -> Column:
-    return _by_attribute(html, name.lower(), rf"""itemprop\s*=\s*["']{re.escape(name)}["']""")
+def _is_tag(selector: str) -> bool:
+    return selector.isalnum()
 
 
 def select(html: Column, selector: str) -> Column:
     """Inside of the first element for a simple selector: tag, .class, #id or [itemprop]."""
-    if selector.startswith("."):
-        return by_class(html, selector[1:])
-    if selector.startswith("#"):
-        return by_id(html, selector[1:])
-    if selector.startswith("["):
-        return by_itemprop(html, selector.split("'")[1])
-    return element(html, selector)
+    if _is_tag(selector):
+        return element(html, selector)
+    literal, condition = _condition(selector)
+    pattern = rf"<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*?\s{condition}[^>]*>([\s\S]*?)</\1\s*>"
+    return _gated(html, literal, F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 2)))
 
 
 def opening_tag(html: Column, selector: str) -> Column:
-    """Opening tag of the first element for an itemprop, class or tag selector."""
-    if selector.startswith("["):
-        name = selector.split("'")[1]
-        pattern = rf"""(?i)<[a-z][^>]*\sitemprop\s*=\s*["']{re.escape(name)}["'][^>]*>"""
-    elif selector.startswith("."):
-        name = selector[1:]
-        pattern = rf"""(?i)<[a-z][^>]*\sclass\s*=\s*["'](?:[^"']*\s)?{re.escape(name)}(?:\s[^"']*)?["'][^>]*>"""
-    else:
-        name = f"<{selector}"
-        pattern = rf"(?i)<{selector}\b[^>]*>"
-    return _gated(html, name.lower(), blank_to_null(F.regexp_extract(html, pattern, 0)))
+    """Opening tag of the first element for a selector."""
+    if _is_tag(selector):
+        return blank_to_null(F.regexp_extract(html, rf"(?i)<{selector}\b[^>]*>", 0))
+    literal, condition = _condition(selector)
+    return _gated(html, literal, blank_to_null(F.regexp_extract(html, rf"<[a-zA-Z][^>]*\s{condition}[^>]*>", 0)))
 
 
 def attribute(tag: Column, name: str) -> Column:

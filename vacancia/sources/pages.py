@@ -8,7 +8,7 @@ from .. import fixed_values as V
 from ..functions import platforms as PF
 from ..functions.normalise import job_type_by_words, remote_from_text
 from ..functions.salary import parse_salary_lpa
-from ..functions.text import blank_to_null, first_filled, lowered, strip
+from ..functions.text import blank_to_null, first_filled, let, lowered, strip
 from . import html as H
 from .common import DISCOVERY, explode_items, join_filled, platform_values, to_postings
 from .json_feeds import SCHEDULE_TYPES
@@ -29,22 +29,31 @@ def _first_of(html: Column, selectors: list[str]) -> Column:
 
 def _description(html: Column) -> Column:
     """Text of the first container with more than 100 characters, else of the body."""
-    texts = [H.text_of(H.select(html, s), "\n") for s in DESCRIPTION_SELECTORS]
-    long_enough = [F.when(F.length(t) > V.MIN_PAGE_DESCRIPTION, t) for t in texts]
-    last_found = F.coalesce(*reversed(texts))
-    just_enough = F.when(F.length(last_found) == V.MIN_PAGE_DESCRIPTION, last_found)
+    containers = F.filter(F.array(*[H.select(html, s) for s in DESCRIPTION_SELECTORS]), lambda c: c.isNotNull())
     body = H.text_of(F.regexp_replace(H.element(html, "body"), H.CHROME, ""), "\n")
-    return blank_to_null(F.substring(F.coalesce(*long_enough, just_enough, body, last_found), 1, V.PAGE_DESCRIPTION))
+
+    def choose(texts: Column) -> Column:
+        long_enough = F.get(F.filter(texts, lambda t: F.length(t) > V.MIN_PAGE_DESCRIPTION), F.lit(0))
+        last = F.try_element_at(texts, F.lit(-1))
+        just_enough = F.when(F.length(last) == V.MIN_PAGE_DESCRIPTION, last)
+        return F.coalesce(long_enough, just_enough, body, last)
+
+    chosen = let(F.transform(containers, lambda c: H.text_of(c, "\n")), choose)
+    return blank_to_null(F.substring(chosen, 1, V.PAGE_DESCRIPTION))
 
 
 def _date(html: Column) -> Column:
     """Day of the first date element: its datetime, its content or its text."""
-    found = []
-    for selector in DATE_SELECTORS:
-        tag = H.opening_tag(html, selector)
-        text = first_filled(H.attribute(tag, "datetime"), H.attribute(tag, "content"), H.text_of(H.select(html, selector)))
-        found.append(F.when(F.length(text) >= 10, F.left(text, F.lit(10))))
-    return F.coalesce(*found)
+    def of_element(found: Column) -> Column:
+        tag = found["tag"]
+        written = first_filled(H.attribute(tag, "datetime"), H.attribute(tag, "content"), H.text_of(found["inside"]))
+        return let(written, lambda t: F.when(F.length(t) >= 10, F.left(t, F.lit(10))))
+
+    elements = F.array(
+        *[F.struct(H.opening_tag(html, s).alias("tag"), H.select(html, s).alias("inside")) for s in DATE_SELECTORS]
+    )
+    days = F.transform(F.filter(elements, lambda e: e["tag"].isNotNull()), of_element)
+    return F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0))
 
 
 def job_posting_json_ld(html: Column) -> Column:
@@ -126,7 +135,7 @@ def map_generic_page(pages: DataFrame) -> DataFrame:
 def map_personio_page(pages: DataFrame) -> DataFrame:
     """A single posting page of a Personio site."""
     html = F.col("html")
-    heading = F.coalesce(H.element(html, "h1"), H.by_class(html, "position-title"), H.element(html, "title"))
+    heading = F.coalesce(H.element(html, "h1"), H.select(html, ".position-title"), H.element(html, "title"))
     return to_postings(
         pages,
         {
@@ -212,7 +221,7 @@ def _cards(html: Column, classes: list[str], data_attribute: str, fallback: str)
 
 def _link(card: Column, classes: list[str], headings: list[str], marker: str) -> Column:
     """Struct(tag, whole) of the anchor that holds the title of a card."""
-    inside = [H.by_class(card, c) for c in classes] + [H.element(card, h) for h in headings]
+    inside = [H.select(card, f".{c}") for c in classes] + [H.element(card, h) for h in headings]
     anchor = r"(?i)<a\b[^>]*>[\s\S]*?</a\s*>"
     candidates = [blank_to_null(F.regexp_extract(part, anchor, 0)) for part in inside]
     candidates.append(blank_to_null(F.regexp_extract(card, rf"(?i)<a\b[^>]*\s{marker}\b[^>]*>[\s\S]*?</a\s*>", 0)))
