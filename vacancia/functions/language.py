@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as V
-from .text import UNICODE_LINES, collapse_spaces, contains_any, let, lowered
+from .text import UNICODE_LINES, collapse_spaces, let, lowered
 
 UNKNOWN = "unknown"
 
 
+def _alternation(patterns: list[str]) -> str:
+    return UNICODE_LINES + "|".join(f"(?:{p})" for p in patterns)
+
+
 def matches_any(text: Column, patterns: list[str], literals: list[str] | None = None) -> Column:
     """Some pattern is found in the text.
 
-    The patterns form one alternation. ``literals`` of which every pattern holds one let
-    texts without them skip the search.
+    The patterns form one alternation. With ``literals``, of which every pattern holds one,
+    each literal has the alternation of its patterns, and a text without the literal is not
+    searched for them.
     """
-    found = text.rlike(UNICODE_LINES + "|".join(f"(?:{p})" for p in patterns))
-    return contains_any(text, literals) & found if literals else found
+    if not literals:
+        return text.rlike(_alternation(patterns))
+    groups: dict[str, list[str]] = {literal: [] for literal in literals}
+    for pattern in patterns:
+        groups[next(literal for literal in literals if literal in pattern)].append(pattern)
+    hit = F.lit(False)
+    for literal, group in groups.items():
+        if group:
+            hit = hit | (F.contains(text, F.lit(literal)) & text.rlike(_alternation(group)))
+    return hit
 
 
 def _by_function_words(clean: Column) -> Column:
@@ -69,37 +82,31 @@ def language_from_title(title: Column) -> Column:
     return F.when(matches_any(lowered(title), V.GERMAN_TITLE), "German").otherwise(UNKNOWN)
 
 
-def language_required(description: Column, title: Column, text_language: Column) -> Column:
-    """Language the posting asks for; the first rule that applies decides.
-
-    ``text_language`` is what ``listing_language`` says of the description; give it as a
-    stored column so that it is not worked out twice.
-    """
-    text, lower_title = lowered(description), lowered(title)
-
+def _required_by_rules(text: Column, title: Column, text_language: Column) -> Column:
+    """The rules, over text and title in lower case."""
     def says(rule: str, patterns: list[str]) -> Column:
         return matches_any(text, patterns, V.RULE_LITERALS[rule])
 
-    no_german = says("no_german", V.NO_GERMAN_NEEDED)
-    optional = says("german_optional", V.GERMAN_OPTIONAL)
-    required = ~no_german & says("german_required", V.GERMAN_REQUIRED)
-    working = says("english_working", V.ENGLISH_WORKING)
-    title_rule = language_from_title(title)
+    title_rule = F.when(matches_any(title, V.GERMAN_TITLE), "German").otherwise(UNKNOWN)
     plus = F.lit("English (German plus)")
-
+    german = F.struct(
+        says("german_optional", V.GERMAN_OPTIONAL).alias("optional"),
+        (~says("no_german", V.NO_GERMAN_NEEDED) & says("german_required", V.GERMAN_REQUIRED)).alias("required"),
+        says("english_working", V.ENGLISH_WORKING).alias("english_working"),
+    )
     english_text = (
-        F.when(matches_any(lower_title, V.GERMAN_REQUIRED, V.RULE_LITERALS["german_required"]), "German")
-        .when(matches_any(lower_title, V.GERMAN_TITLE), plus)
+        F.when(matches_any(title, V.GERMAN_REQUIRED, V.RULE_LITERALS["german_required"]), "German")
+        .when(matches_any(title, V.GERMAN_TITLE), plus)
         .otherwise("English")
     )
-    return (
-        F.when(F.length(text) == 0, title_rule)
-        .when((text_language == "German") & working, plus)
-        .when(text_language == "German", "German")
-        .when(working & ~required, "English")
-        .when(required & ~optional, "German")
-        .when(required | optional, plus)
-        .when(says("french_required", V.FRENCH_REQUIRED), "French")
+    by_text = let(
+        german,
+        lambda g: F.when(g["english_working"] & ~g["required"], "English")
+        .when(g["required"] & ~g["optional"], "German")
+        .when(g["required"] | g["optional"], plus),
+    )
+    by_other_language = (
+        F.when(says("french_required", V.FRENCH_REQUIRED), "French")
         .when(says("dutch_required", V.DUTCH_REQUIRED), "Dutch")
         .when(says("hindi_required", V.HINDI_REQUIRED), "Hindi")
         .when(says("english_required", V.ENGLISH_REQUIRED), "English")
@@ -107,3 +114,21 @@ def language_required(description: Column, title: Column, text_language: Column)
         .when(text_language.isin("French", "Spanish", "Dutch", "Hindi"), text_language)
         .otherwise(title_rule)
     )
+    working = says("english_working", V.ENGLISH_WORKING)
+    return (
+        F.when(F.length(text) == 0, title_rule)
+        .when(text_language == "German", F.when(working, plus).otherwise("German"))
+        .otherwise(F.coalesce(by_text, by_other_language))
+    )
+
+
+def language_required(description: Column, title: Column, text_language: Column) -> Column:
+    """Language the posting asks for; the first rule that applies decides.
+
+    ``text_language`` is what ``listing_language`` says of the description; give it as a
+    stored column so that it is not worked out twice.
+    """
+    return let(
+        F.struct(lowered(description).alias("text"), lowered(title).alias("title")),
+        lambda p: _required_by_rules(p["text"], p["title"], text_language),
+    )

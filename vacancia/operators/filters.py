@@ -22,8 +22,8 @@ def date_condition(hours_old: int | None, as_of: dt.datetime) -> Column:
     if not hours_old or hours_old >= V.HOURS_IN_YEAR:
         return F.lit(True)
     cutoff = (as_of - dt.timedelta(hours=hours_old)).strftime("%Y-%m-%d")
-    posted = F.coalesce(F.col("date_posted"), F.lit(""))
-    return (posted == "") | (posted >= cutoff)
+    # one reference to the column: a filter over a computed date repeats the computation
+    return F.coalesce(F.nullif(F.col("date_posted"), F.lit("")), F.lit(cutoff)) >= cutoff
 
 
 def by_date(df: DataFrame, hours_old: int | None, as_of: dt.datetime) -> DataFrame:

@@ -32,10 +32,12 @@ from ..functions import keys as K
 from ..functions.similarity import sort_tokens, within
 from ..functions.text import blank_to_null
 from ..session import TableSpool
+from .lookup import join_unique
 from .summaries import source_parts
 
-FIRST_FRONT = 16
+FIRST_FRONT = 64
 LARGEST_FRONT = 512  # Spark keeps the first rows per map task up to 1000 of them
+TOKEN_SPLITS = 8  # tasks that share the rows of one token
 
 
 def with_keys(df: DataFrame) -> DataFrame:
@@ -54,13 +56,11 @@ def with_keys(df: DataFrame) -> DataFrame:
 def first_row_per_key(df: DataFrame, key: str) -> DataFrame:
     """(seq, first_seq) of every later row that shares a key with an earlier one.
 
-    Each row is paired with the first holder of its key only; the first holders come from a
-    map-side combined aggregation and are unique per key, so a hot key splits freely.
+    Each row is paired with the first holder of its key only, never with all of them.
     """
     firsts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("first_seq"))
     return (
-        df.select("seq", key)
-        .join(firsts, key)
+        join_unique(df.select("seq", key), firsts, key, "inner")
         .filter(F.col("first_seq") < F.col("seq"))
         .select("seq", "first_seq")
     )
@@ -168,6 +168,17 @@ def _duplicates(pairs: DataFrame, fuzzy: bool, *keep: str) -> DataFrame:
     return exact.unionByName(candidates.filter(like_company & like_title).select(*keep))
 
 
+def _meetings(few: DataFrame, many: DataFrame) -> DataFrame:
+    """Pairs by token, where ``few`` has a bounded number of rows per token.
+
+    Rows of ``many`` under one token are spread over several tasks, each of which gets a copy
+    of the few.
+    """
+    spread = F.pmod(F.xxhash64("b_node" if "b_node" in many.columns else "a_node"), F.lit(TOKEN_SPLITS))
+    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SPLITS - 1)).cast("array<bigint>")))
+    return copies.join(many.withColumn("_part", spread), ["token", "_part"]).drop("_part")
+
+
 def _round(live: DataFrame, front: int, fuzzy: bool) -> DataFrame:
     """Nodes that are leaders for sure, given that all their earlier duplicates are decided."""
     rank = F.row_number().over(Window.partitionBy("token").orderBy("node"))
@@ -206,17 +217,15 @@ def find_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFrame:
     found: list[DataFrame] = []
     front = FIRST_FRONT if fuzzy else 1
     while not live.isEmpty():
-        decided = spool.cut(_round(live, front, fuzzy), "leaders")
-        new = spool.cut(live.join(decided, "node", "left_semi").select(*live.columns), "leader-tokens")
+        decided = _round(live, front, fuzzy)
+        new = spool.cut(live.join(decided, "node", "left_semi").select(*live.columns), "leaders")
         found.append(new)
-        met = (
-            _side(live, "b").join(_side(new, "a"), "token").filter(F.col("a_node") < F.col("b_node"))
-        )
+        met = _meetings(_side(new, "a"), _side(live, "b")).filter(F.col("a_node") < F.col("b_node"))
         joined = _duplicates(met, fuzzy, "b_node").select(F.col("b_node").alias("node"))
-        gone = joined.unionByName(decided).distinct()
+        gone = joined.unionByName(new.select("node")).distinct()
         live = spool.cut(live.join(gone, "node", "left_anti").select(*live.columns), "undecided")
         if fuzzy:
-            front = min(front * 4, LARGEST_FRONT)
+            front = min(front * 8, LARGEST_FRONT)
     if not found:
         return live
     return reduce(DataFrame.unionByName, found)
@@ -234,23 +243,23 @@ def assign_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFram
     )
     # A leader counts for a row only if it came earlier (or is the row itself).
     earlier = lambda c: F.when(F.col(c) <= F.col("seq"), F.col(c))
-    rows = (
-        keyed.select("seq", "norm_url", "dup_key")
-        .join(by_url, "norm_url", "left")
-        .join(by_key, "dup_key", "left")
-        .withColumn("leader", F.coalesce(earlier("url_leader"), earlier("key_leader")))
-        .withColumn("keyless", F.col("norm_url").isNull() & F.col("dup_key").isNull())
-        .select("seq", "dup_key", F.when(F.col("keyless"), F.col("seq")).otherwise(F.col("leader")).alias("leader"))
+    names = ["seq", "dup_key", "norm_title", "norm_company"]
+    rows = join_unique(keyed.select(*names, "norm_url"), by_url, "norm_url")
+    rows = spool.cut(rows.select(*names, F.col("norm_url").isNull().alias("no_url"), earlier("url_leader").alias("leader")), "by-url")
+    rows = join_unique(rows, by_key, "dup_key")
+    keyless = F.col("no_url") & F.col("dup_key").isNull()
+    rows = rows.select(
+        *names, F.when(keyless, F.col("seq")).otherwise(F.coalesce("leader", earlier("key_leader"))).alias("leader")
     )
     if not fuzzy:
         return rows.select("seq", "leader")
     rows = spool.cut(rows, "exact-leaders")
-    open_keys = rows.filter(F.col("leader").isNull()).select("dup_key").distinct()
     searching = (
-        keyed.join(open_keys, "dup_key", "left_semi")
-        .groupBy("dup_key", "norm_title", "norm_company")
-        .agg(F.min("seq").alias("node"))
+        rows.filter(F.col("leader").isNull())
+        .select("dup_key", "norm_title", "norm_company")
+        .distinct()
         .withColumn("norm_url", F.lit(None).cast("string"))
+        .withColumn("node", F.lit(None).cast("bigint"))
         .withColumn("sorted_title", sort_tokens(F.col("norm_title")))
         .withColumn("token", F.explode(_tokens(True)))
     )
@@ -260,7 +269,7 @@ def assign_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFram
         .groupBy(F.col("b_dup_key").alias("dup_key"))
         .agg(F.min("a_node").alias("similar_leader"))
     )
-    return rows.join(similar, "dup_key", "left").select(
+    return join_unique(rows.select("seq", "dup_key", "leader"), similar, "dup_key").select(
         "seq", F.coalesce("leader", "similar_leader").alias("leader")
     )
 
@@ -336,7 +345,7 @@ def _places(traits: DataFrame, times: DataFrame) -> DataFrame:
         .when(wins, -F.col("seq") - 1)
         .otherwise(F.col("seq") + 1)
     )
-    return traits.join(times, "leader").select(
+    return join_unique(traits, times, "leader", "inner").select(
         "seq", "leader", "longest", "text_length", place.cast("bigint").alias("place"),
         *[c for c in traits.columns if c.startswith("p_")],
     )
@@ -354,7 +363,7 @@ def merge_groups(df: DataFrame, leaders: DataFrame, spool: TableSpool) -> DataFr
     fields = [c for c in df.columns if c != "seq"]
     plain = [c for c in fields if c not in ("description", "source")]
     sizes = leaders.groupBy("leader").agg(F.count("*").alias("n_merged")).filter("n_merged > 1")
-    members = spool.cut(leaders.join(sizes, "leader"), "members")
+    members = join_unique(leaders, sizes, "leader", "inner")
     single = df.join(members, "seq", "left_anti").select("seq", *fields, F.lit(1).cast("bigint").alias("n_merged"))
 
     texts = {name for name, kind in df.dtypes if kind == "string"}
@@ -376,7 +385,7 @@ def merge_groups(df: DataFrame, leaders: DataFrame, spool: TableSpool) -> DataFr
     gives = F.lit(False)
     for c in [*plain, "description"]:
         gives = gives | F.coalesce(F.col(f"g_{c}") == F.col("place"), F.lit(False))
-    giving = placed.select("seq", "leader", "place").join(givers, "leader").filter(gives).drop("leader")
+    giving = join_unique(placed.select("seq", "leader", "place"), givers, "leader", "inner").filter(gives).drop("leader")
     given = grouped.join(giving, "seq").groupBy("leader").agg(
         *[
             F.first(F.when(F.col(f"g_{c}") == F.col("place"), F.col(c)), ignorenulls=True).alias(c)
@@ -402,13 +411,14 @@ def _united_sources(grouped: DataFrame) -> DataFrame:
     )
 
 
-def resolve(df: DataFrame, fuzzy: bool = True) -> DataFrame:
+def resolve(df: DataFrame, fuzzy: bool = True, stored: bool = False) -> DataFrame:
     """Merge duplicate postings; ``n_merged`` says how many rows a row stands for.
 
-    ``fuzzy`` also merges postings of similar companies with similar titles.
+    ``fuzzy`` also merges postings of similar companies with similar titles. The rows are read
+    several times; unless they are ``stored`` already they are written to a table first.
     """
     spool = TableSpool(df.sparkSession, "resolve")
-    source = spool.cut(df, "input")
+    source = df if stored else spool.cut(df, "input")
     keyed = spool.cut(
         with_keys(source).select("seq", "norm_url", "norm_title", "norm_company", "dup_key"), "keyed"
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.text import blank_to_null
+from .lookup import join_unique
 
 
 def valid_events(events: DataFrame) -> DataFrame:
@@ -41,13 +42,12 @@ def fold(events: DataFrame) -> DataFrame:
     events = valid_events(events)
     deleted = events.filter(F.col("kind") == "delete").groupBy("job_url").agg(F.max("seq").alias("_deleted"))
     alive = (
-        events.filter(F.col("kind") != "delete")
-        .join(deleted, "job_url", "left")
+        join_unique(events.filter(F.col("kind") != "delete"), deleted, "job_url")
         .filter(F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted")))
         .drop("_deleted")
     )
     started = alive.filter(F.col("kind") == "save").groupBy("job_url").agg(F.min("seq").alias("_started"))
-    effective = alive.join(started, "job_url").filter(F.col("seq") >= F.col("_started"))
+    effective = join_unique(alive, started, "job_url", "inner").filter(F.col("seq") >= F.col("_started"))
 
     is_save, is_notes = F.col("kind") == "save", F.col("kind") == "notes"
     first = F.col("seq") == F.col("_started")
@@ -77,11 +77,8 @@ def fold(events: DataFrame) -> DataFrame:
 
 def with_application(postings: DataFrame, applications: DataFrame) -> DataFrame:
     """Postings with the status of their application, null if there is none."""
-    return postings.join(
-        applications.select("job_url", F.col("status").alias("application_status"), "date_applied"),
-        "job_url",
-        "left",
-    )
+    applied = applications.select("job_url", F.col("status").alias("application_status"), "date_applied")
+    return join_unique(postings, applied, "job_url")
 
 
 def bookmarked(postings: DataFrame, bookmarks: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators.ordering import newest_first
 from ..operators.resolve import resolve
 from ..operators.search import all_words
 from ..schema import conform_schema
+from ..session import TableSpool
 
 
 @dataclass(frozen=True)
@@ -41,27 +42,34 @@ def detect_languages(df: DataFrame) -> DataFrame:
     ).withColumn("language", F.col("language_required"))
 
 
-def select_postings(feeds: DataFrame, options: SearchOptions) -> DataFrame:
-    """Normalise, then filter by date, languages and location.
+def classify_postings(feeds: DataFrame, options: SearchOptions) -> DataFrame:
+    """Normalised postings within the look-back, with their languages.
 
-    The date filter comes before the languages, which cost most; languages are filtered
-    before duplicates are merged, since merging first would give other results.
+    The date filter comes first, the languages cost most.
     """
-    df = normalize_postings(feeds)
-    df = FL.by_date(df, options.hours_old, options.as_of)
-    df = detect_languages(df)
-    df = FL.by_required_language(df, options.language)
-    df = FL.by_listing_language(df, options.listing_language)
-    return FL.by_location_scope(df, options.locations)
+    return detect_languages(FL.by_date(normalize_postings(feeds), options.hours_old, options.as_of))
 
 
-def merge_postings(df: DataFrame, fuzzy: bool = True) -> DataFrame:
-    return resolve(df, fuzzy)
+def select_postings(classified: DataFrame, options: SearchOptions) -> DataFrame:
+    """Classified postings that suit the languages and places of the search.
+
+    Languages are filtered before duplicates are merged, since merging first would give other
+    results.
+    """
+    df = FL.by_required_language(classified, options.language)
+    df = FL.by_listing_language(df, options.listing_language)
+    return FL.by_location_scope(df, options.locations)
 
 
 def search(feeds: DataFrame, options: SearchOptions) -> DataFrame:
-    """One row per distinct posting, newest first."""
-    return newest_first(merge_postings(select_postings(feeds, options), options.fuzzy))
+    """One row per distinct posting, newest first.
+
+    The classified postings are written to a table once. Filters on the languages would
+    otherwise be pushed below their detection and repeat it; over the table they are pushed
+    into the scan instead.
+    """
+    classified = TableSpool(feeds.sparkSession, "search").cut(classify_postings(feeds, options), "classified")
+    return newest_first(resolve(select_postings(classified, options), options.fuzzy, stored=True))
 
 
 def matching_crawled(crawled: DataFrame, terms: list[str], places: list[str]) -> DataFrame:
