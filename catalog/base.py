@@ -12,6 +12,8 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vacancia.session import spread_scan
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,7 +36,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_scan(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 # --- derived postings ---------------------------------------------------------------------------

@@ -43,19 +43,16 @@ YEARS_OF_EXPERIENCE = r"\b(\d+)\+?\s+years?\s+(of\s+)?experience"
 YEARS_LEVELS = [(1, "entry"), (3, "junior"), (6, "mid"), (10, "senior")]
 EXPERIENCE_WINDOW = 2000  # leading characters of a description that count for the level
 
-# --- fixed values: dates, tried in order ---------------------------------------------
-DATE_FORMATS = [
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d'T'H:m:s'Z'",
-    "yyyy-M-d H:m:s",
-    "d/M/yyyy",
-    "M/d/yyyy",
-    "d.M.yyyy",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "d MMMM yyyy",
-    "d MMM yyyy",
-]
+# --- fixed values: dates, tried in order; the shape of a text tells which formats can fit --
+DATE_SHAPES = {
+    r"^\d{4}-\d{1,2}-\d{1,2}T.*Z$": ["yyyy-M-d'T'H:m:s'Z'"],
+    r"^\d{4}-\d{1,2}-\d{1,2}T": ["yyyy-M-d'T'H:m:s"],
+    r"^\d{4}-\d{1,2}-\d{1,2} ": ["yyyy-M-d H:m:s"],
+    r"^\d{1,2}/\d{1,2}/\d{4}$": ["d/M/yyyy", "M/d/yyyy"],
+    r"^\d{1,2}\.\d{1,2}\.\d{4}$": ["d.M.yyyy"],
+    r"^[A-Za-z]+ \d{1,2}, \d{4}$": ["MMMM d, yyyy", "MMM d, yyyy"],
+    r"^\d{1,2} [A-Za-z]+ \d{4}$": ["d MMMM yyyy", "d MMM yyyy"],
+}
 HOURS_IN_YEAR = 8760
 MAX_RELEASE_AGE_DAYS = 90
 

@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as V
-from .text import UNICODE, collapse_spaces, strip
+from .text import UNICODE, collapse_spaces, let, strip
 
 
-def normalize_url(c: Column) -> Column:
-    """Lower-case scheme and host, no trailing slash, no parameters, query or fragment.
-
-    The path keeps its case. What does not start with "http" is only lower-cased.
-    """
-    url = strip(F.coalesce(c, F.lit("")))
+def _normalize_stripped_url(url: Column) -> Column:
     shape = r"^([^:/?#]+)://([^/?#]*)([^?#]*)"
     path = F.regexp_replace(F.regexp_extract(url, shape, 3), r";[^/]*$", "")
     hierarchical = F.concat(
@@ -30,6 +25,14 @@ def normalize_url(c: Column) -> Column:
     )
 
 
+def normalize_url(c: Column) -> Column:
+    """Lower-case scheme and host, no trailing slash, no parameters, query or fragment.
+
+    The path keeps its case. What does not start with "http" is only lower-cased.
+    """
+    return let(strip(F.coalesce(c, F.lit(""))), _normalize_stripped_url)
+
+
 def url_host(c: Column) -> Column:
     """Lower-case host of an http(s) URL without a leading ``www.``, else null."""
     host = F.lower(F.regexp_extract(c, r"^https?://([^/?#]*)", 1))
@@ -44,10 +47,17 @@ def normalize_title(c: Column) -> Column:
     title = F.lower(strip(F.coalesce(c, F.lit(""))))
     title = F.regexp_replace(title, UNICODE + "|".join(V.GENDER_MARKERS), "")
     title = F.regexp_replace(title, UNICODE + V.TRAILING_GENDER_MARKER, "")
+    return collapse_spaces(let(title, _spell_out))
+
+
+def _spell_out(title: Column) -> Column:
+    """Replace abbreviations one after the other; most titles have none and skip that."""
+    spelled = title
     for short, (full, ends_word) in V.TITLE_ABBREVIATIONS.items():
         pattern = rf"\b{short}\.?(?=\s|$)" if ends_word else rf"\b{short}\b"
-        title = F.regexp_replace(title, UNICODE + pattern, full)
-    return collapse_spaces(title)
+        spelled = F.regexp_replace(spelled, UNICODE + pattern, full)
+    any_short = rf"\b(?:{'|'.join(V.TITLE_ABBREVIATIONS)})\b"
+    return F.when(title.rlike(UNICODE + any_short), spelled).otherwise(title)
 
 
 def normalize_company(c: Column) -> Column:

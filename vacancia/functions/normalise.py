@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as V
-from .text import UNICODE, blank_to_null, lowered, strip
+from .text import UNICODE, blank_to_null, let, lowered, strip
 
 EPOCH_DAY = "1970-01-01"
 
@@ -16,34 +16,40 @@ def epoch_seconds_to_day(seconds: Column) -> Column:
     return F.date_format(F.date_add(F.lit(EPOCH_DAY).cast("date"), days), "yyyy-MM-dd")
 
 
+def _parse_stripped(text: Column) -> Column:
+    parsed = F.when(F.lit(False), F.lit(None).cast("date"))
+    for shape, formats in V.DATE_SHAPES.items():
+        parsed = parsed.when(text.rlike(shape), F.coalesce(*[F.try_to_date(text, f) for f in formats]))
+    written = F.when(text.rlike(r"^\d{4}") & (F.length(text) >= 10), F.left(text, F.lit(10))).otherwise(text)
+    return (
+        F.when(F.length(text) == 0, F.lit(None))
+        .when(text.rlike(r"^[0-9]{10,}$"), epoch_seconds_to_day(F.left(text, F.lit(10)).try_cast("bigint")))
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.left(text, F.lit(10)))
+        .otherwise(F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), written))
+    )
+
+
 def parse_date(c: Column) -> Column:
     """ISO day of a date in any of the accepted notations; other text passes unchanged.
 
     Day-first notation is tried before month-first. Digits of an epoch are read as seconds,
     only the first ten count.
     """
-    text = strip(c)
-    parsed = F.coalesce(*[F.try_to_date(text, fmt) for fmt in V.DATE_FORMATS])
-    return (
-        F.when(F.length(text) == 0, F.lit(None))
-        .when(text.rlike(r"^[0-9]{10,}$"), epoch_seconds_to_day(F.left(text, F.lit(10)).try_cast("bigint")))
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.left(text, F.lit(10)))
-        # every accepted notation starts with a digit or a month name and ends in a digit or Z
-        .when(text.rlike(r"^[0-9A-Za-z].*[0-9Z]$") & parsed.isNotNull(), F.date_format(parsed, "yyyy-MM-dd"))
-        .when(text.rlike(r"^\d{4}") & (F.length(text) >= 10), F.left(text, F.lit(10)))
-        .otherwise(text)
-    )
+    return let(strip(c), _parse_stripped)
 
 
-def job_type(c: Column) -> Column:
-    """Canonical contract type: exact name, synonym, contained synonym, else as written."""
-    text = F.lower(strip(c))
-    exact = F.when(text.isin(V.JOB_TYPES), text)
+def _type_of_lowered(text: Column) -> Column:
+    out = F.when(text.isin(V.JOB_TYPES), text)
     for written, canonical in V.JOB_TYPE_SYNONYMS.items():
-        exact = exact.when(text == written, F.lit(canonical))
+        out = out.when(text == written, F.lit(canonical))
     for written, canonical in V.JOB_TYPE_SYNONYMS.items():
-        exact = exact.when(F.contains(text, F.lit(written)), F.lit(canonical))
-    return exact.otherwise(text)
+        out = out.when(F.contains(text, F.lit(written)), F.lit(canonical))
+    return out.otherwise(text)
+
+
+def job_type(c: Column) -> Column:
+    """Canonical contract type: exact name, synonym, contained synonym, else as written."""
+    return let(F.lower(strip(c)), _type_of_lowered)
 
 
 def job_type_by_words(c: Column, rules: list[tuple[str, str]], keep_unknown: bool = False) -> Column:
@@ -75,20 +81,26 @@ def remote_from_text(location: Column, title: Column) -> Column:
     return F.when(said, F.lit(True))
 
 
-def experience_level(title: Column, description: Column) -> Column:
-    """Seniority from the title, else from years of experience asked for early in the text."""
-    lower_title = lowered(title)
+def _level_of_title(lower_title: Column) -> Column:
     level = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, pattern in V.TITLE_LEVELS.items():
         level = level.when(lower_title.rlike(UNICODE + pattern), F.lit(name))
+    return level
 
-    opening = F.lower(F.substring(F.coalesce(description, F.lit("")), 1, V.EXPERIENCE_WINDOW))
-    digits = blank_to_null(F.regexp_extract(opening, UNICODE + V.YEARS_OF_EXPERIENCE, 1))
+
+def _level_of_years(digits: Column) -> Column:
     years = digits.try_cast("double")
-    by_years = F.when(digits.isNull(), F.lit(None).cast("string"))
+    level = F.when(F.coalesce(F.length(digits), F.lit(0)) == 0, F.lit(None).cast("string"))
     for bound, name in V.YEARS_LEVELS:
-        by_years = by_years.when(years <= bound, F.lit(name))
-    return F.coalesce(level, by_years.otherwise(F.lit("lead")))
+        level = level.when(years <= bound, F.lit(name))
+    return level.otherwise(F.lit("lead"))
+
+
+def experience_level(title: Column, description: Column) -> Column:
+    """Seniority from the title, else from years of experience asked for early in the text."""
+    opening = F.lower(F.substring(F.coalesce(description, F.lit("")), 1, V.EXPERIENCE_WINDOW))
+    digits = F.regexp_extract(opening, UNICODE + V.YEARS_OF_EXPERIENCE, 1)
+    return F.coalesce(let(lowered(title), _level_of_title), let(digits, _level_of_years))
 
 
 def score_band(score: Column) -> Column:

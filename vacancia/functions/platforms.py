@@ -8,7 +8,17 @@ from typing import Iterable
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as V
-from .text import UNICODE, blank_to_null, contains_any, lowered, slug_to_name, strip, title_case
+from .text import (
+    UNICODE,
+    blank_to_null,
+    contains_any,
+    let,
+    long_contains_any,
+    lowered,
+    slug_to_name,
+    strip,
+    title_case,
+)
 
 
 def _first_match(c: Column, rules: Iterable[tuple[str, str]], fold_case: bool = False) -> tuple[Column, Column]:
@@ -41,7 +51,7 @@ def page_platform(text: Column) -> tuple[Column, Column]:
     The whole text is searched. Pages that name no platform domain, the bulk of them, are
     recognised by plain substring search.
     """
-    named = contains_any(lowered(text), V.CRAWLER_LITERALS)
+    named = long_contains_any(lowered(text), V.CRAWLER_LITERALS)
     name, slug = _first_match(text, V.CRAWLER_PATTERNS, fold_case=True)
     return F.when(named, name), F.when(named, slug)
 
@@ -110,8 +120,10 @@ def personio_company_from_host(url: Column) -> Column:
 
 def is_job_url(url: Column) -> Column:
     """The URL names no excluded site and looks like a posting."""
-    text = lowered(url)
-    return ~contains_any(text, V.BLOCKED_URL_PARTS) & contains_any(text, V.JOB_URL_PARTS)
+    return let(
+        lowered(url),
+        lambda text: ~contains_any(text, V.BLOCKED_URL_PARTS) & contains_any(text, V.JOB_URL_PARTS),
+    )
 
 
 def clean_url(url: Column) -> Column:

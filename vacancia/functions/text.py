@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.entities import html5, name2codepoint
 from typing import Callable, Iterable
 
@@ -74,11 +75,20 @@ def string_array(values: Iterable[str]) -> Column:
 
 
 def contains_any(c: Column, literals: Iterable[str]) -> Column:
-    """True if some literal is a substring. A chain of ORs, so it short-circuits."""
-    hit = F.lit(False)
-    for literal in literals:
-        hit = hit | F.contains(c, F.lit(literal))
-    return hit
+    """Some literal is a substring of a short text: one search for all of them."""
+    literals = list(literals)
+    return c.rlike("|".join(re.escape(v) for v in literals)) if literals else F.lit(False)
+
+
+def long_contains_any(c: Column, literals: Iterable[str]) -> Column:
+    """Some literal is a substring of a long text: plain searches beat a pattern there."""
+    def search(text: Column) -> Column:
+        hit = F.lit(False)
+        for literal in literals:
+            hit = hit | F.contains(text, F.lit(literal))
+        return hit
+
+    return let(c, search)
 
 
 def slug_to_name(slug: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions.keys import url_host
 from ..functions.language import UNKNOWN
 from ..functions.platforms import is_job_url
 from ..functions.salary import salary_missing
-from ..functions.text import blank_to_null, contains_any, lowered, strip
+from ..functions.text import blank_to_null, contains_any, let, lowered, strip
 
 
 def date_condition(hours_old: int | None, as_of: dt.datetime) -> Column:
@@ -164,11 +164,11 @@ def needs_ai_language(df: DataFrame) -> DataFrame:
 
 
 def career_signal_count(html: Column) -> Column:
-    text = F.lower(html)
-    count = F.lit(0)
-    for signal in V.CAREER_SIGNALS:
-        count = count + F.contains(text, F.lit(signal)).cast("int")
-    return count
+    """How many of the phrases of careers pages a page has."""
+    def count(text: Column) -> Column:
+        return sum((F.contains(text, F.lit(signal)).cast("int") for signal in V.CAREER_SIGNALS), F.lit(0))
+
+    return let(F.lower(html), count)
 
 
 def career_pages(df: DataFrame, html: str = "html") -> DataFrame:

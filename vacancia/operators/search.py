@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import contains_any, lowered
+from ..functions.text import contains_any, let, long_contains_any, lowered
 from .filters import by_location_text
 
 
@@ -21,7 +21,7 @@ def any_word(df: DataFrame, term: str | None) -> DataFrame:
         return df
     words = term.lower().split()
     return df.filter(
-        contains_any(lowered(F.col("title")), words) | contains_any(lowered(F.col("description")), words)
+        contains_any(lowered(F.col("title")), words) | long_contains_any(lowered(F.col("description")), words)
     )
 
 
@@ -29,12 +29,15 @@ def all_words(df: DataFrame, terms: list[str] | None) -> DataFrame:
     """All words of some term are in the title, or all are in the description."""
     if not terms:
         return df
-    title, description = lowered(F.col("title")), lowered(F.col("description"))
-    hit = F.lit(False)
-    for term in terms:
-        words = term.lower().split()
-        hit = hit | _all_words(title, words) | _all_words(description, words)
-    return df.filter(hit)
+    each = [term.lower().split() for term in terms]
+
+    def some_term(text: Column) -> Column:
+        hit = F.lit(False)
+        for words in each:
+            hit = hit | _all_words(text, words)
+        return hit
+
+    return df.filter(let(lowered(F.col("title")), some_term) | let(lowered(F.col("description")), some_term))
 
 
 def tagged(df: DataFrame, terms: list[str] | None, extra: Column) -> DataFrame:
@@ -50,11 +53,20 @@ def tagged(df: DataFrame, terms: list[str] | None, extra: Column) -> DataFrame:
     blob = F.lower(
         F.concat_ws(" ", F.coalesce(F.col("title"), blank), F.coalesce(F.col("description"), blank), F.coalesce(extra, blank))
     )
-    hit = F.lit(False)
-    for term in wanted:
-        words = term.split()
-        hit = hit | F.contains(title, F.lit(term)) | _all_words(title, words) | _all_words(blob, words)
-    return df.filter(hit)
+
+    def in_title(text: Column) -> Column:
+        hit = F.lit(False)
+        for term in wanted:
+            hit = hit | F.contains(text, F.lit(term)) | _all_words(text, term.split())
+        return hit
+
+    def in_all(text: Column) -> Column:
+        hit = F.lit(False)
+        for term in wanted:
+            hit = hit | _all_words(text, term.split())
+        return hit
+
+    return df.filter(let(title, in_title) | let(blob, in_all))
 
 
 def blob_any_word(df: DataFrame, term: str | None) -> DataFrame:
@@ -64,7 +76,7 @@ def blob_any_word(df: DataFrame, term: str | None) -> DataFrame:
         return df
     blank = F.lit("")
     blob = F.lower(F.concat_ws(" ", F.coalesce(F.col("title"), blank), F.coalesce(F.col("description"), blank)))
-    return df.filter(contains_any(blob, words))
+    return df.filter(long_contains_any(blob, words))
 
 
 def filter_jobs(

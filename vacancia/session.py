@@ -27,6 +27,16 @@ def build_session(app_name: str = "vacancia", master: str | None = None, **extra
     return builder.getOrCreate()
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A plain scan, spread over all cores if its files give fewer splits than there are.
+
+    Small inputs in one file would otherwise be worked on by one task, and the expressions here
+    cost far more than reading. Large inputs have more splits than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def working_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, as ``spark.checkpoint.dir`` names it.
 
