@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BooleanType, IntegerType
 
 from .text import words
 
@@ -52,15 +52,33 @@ def token_sort_similarity(a: Column, b: Column) -> Column:
     return similarity(sort_tokens(a), sort_tokens(b))
 
 
-def within(a: Column, b: Column, per_cent: int) -> tuple[Column, Column]:
-    """(cheap necessary test, exact test given an indel distance column builder).
+def near(a: Column, b: Column, per_cent: int) -> Column:
+    """A test inside the JVM that every similar pair passes.
 
     ``100 * (1 - d / (la + lb)) >= p`` is ``100 * d <= (100 - p) * (la + lb)``. Plain edit
     distance never exceeds the insert/delete distance and the difference of lengths never
-    exceeds either, so both serve as tests inside the JVM before Python sees a pair.
+    exceeds either.
     """
     total = F.length(a) + F.length(b)
     allowed = F.floor(total * (100 - per_cent) / 100).cast("int")
-    apart = F.abs(F.length(a) - F.length(b))
-    near = (apart <= allowed) & (F.levenshtein(a, b) <= allowed)
-    return near, F.lit(100) * indel_distance(a, b) <= F.lit(100 - per_cent) * total
+    return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= allowed) & (F.levenshtein(a, b) <= allowed))
+
+
+def _similar(a: str, b: str, per_cent: int) -> bool:
+    if a == b:
+        return True
+    total = len(a) + len(b)
+    return 100 * (total - 2 * _common_length(a, b)) <= (100 - per_cent) * total
+
+
+def both_similar(a: Column, b: Column, per_cent: int, c: Column, d: Column, other_per_cent: int) -> Column:
+    """``a`` is similar to ``b`` and ``c`` to ``d``; all four must have text."""
+
+    @pandas_udf(BooleanType())
+    def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(
+            [_similar(w, x, per_cent) and _similar(y, z, other_per_cent) for w, x, y, z in zip(a, b, c, d)],
+            dtype=bool,
+        )
+
+    return test(a, b, c, d)

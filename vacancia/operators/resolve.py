@@ -7,8 +7,8 @@ and C together: this is the first maximal independent set in ``seq`` order, not
 connected components.
 
 How it runs. Everything two duplicates can share is a *token*: the URL, the key and, for
-similar keys, a few letter pairs of the company chosen so that no similar pair can miss each
-other. In each round
+similar keys, pieces of the company name chosen so that no similar pair can miss each other.
+In each round
 
 * the first rows of each token (at most ``front`` of them, kept per map task before the
   shuffle) are compared with one another; a row that is among the first of *all* its tokens
@@ -17,7 +17,7 @@ other. In each round
   leave.
 
 A token never pairs all its rows: per round each row meets at most ``front`` others per token,
-so a token that holds a third of the table costs time linear in its rows. Rounds end when no
+so a round costs time linear in the rows, also for a token that holds a third of the table. Rounds end when no
 row is undecided; there is no cap on rounds, candidates or group sizes.
 """
 
@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
 from ..functions import keys as K
-from ..functions.similarity import sort_tokens, within
+from ..functions.similarity import both_similar, near, sort_tokens
 from ..functions.text import blank_to_null
 from ..session import TableSpool
 from .lookup import join_unique
 from .summaries import source_parts
 
-FIRST_FRONT = 64
+FIRST_FRONT = 256
 LARGEST_FRONT = 512  # Spark keeps the first rows per map task up to 1000 of them
 TOKEN_SPLITS = 8  # tasks that share the rows of one token
 
@@ -69,38 +69,56 @@ def first_row_per_key(df: DataFrame, key: str) -> DataFrame:
 # --- tokens ---------------------------------------------------------------------------------
 
 
-def _pairs_lacking(length: Column, per_cent: int) -> Column:
-    """How many letter pairs of a text of this length a similar text may lack, at most.
+# Two names of at most 19 characters together are similar only if they are equal or one is the
+# other with one character more; longer pairs have at least 9 characters each.
+_SHORT_NAME, _LONG_NAME, _SHORTEST_UNEQUAL = 10, 9, 6
 
-    A text of length l turns into a similar one of length m by x deletions and y insertions
-    with ``x + y <= q (l + m)`` and ``x - y = l - m``. A deletion destroys at most two letter
-    pairs and an insertion one, so 2x + y are lost at most. That is largest with deletions
-    alone, ``m = l (1 - q) / (1 + q)``, and then is ``4 q l / (1 + q)``.
-    """
-    q = 100 - per_cent
-    return F.floor(length * F.lit(4 * q) / F.lit(100 + q)).cast("int")
+
+def _name_and_deletions(company: Column) -> Column:
+    """The name itself, and the name without one of its characters."""
+    shorter = F.transform(
+        F.sequence(F.lit(1), F.length(company)),
+        lambda i: F.concat(F.left(company, i - 1), F.substring(company, i + 1, F.length(company))),
+    )
+    unequal = F.length(company).between(_SHORTEST_UNEQUAL, _SHORT_NAME)
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(company), F.when(unequal, F.array_distinct(shorter)).otherwise(none))
 
 
-def company_tokens(company: Column) -> Column:
-    """Hashed letter pairs of a company name of which any similar name shares at least one.
+def _rarest_triples(company: Column) -> Column:
+    """Letter triples of which any similar name shares at least one.
 
-    Prefix filtering: if two names lack at most k of each other's pairs, then the k + 1 pairs
-    that come first in any fixed order have one in common. The order here is that of the hash.
-    Repeated pairs are told apart by their number.
+    A name of length l turns into a similar one of length m by x deletions and y insertions
+    with ``x + y <= q (l + m)`` and ``x - y = l - m``. A deletion destroys at most three triples
+    and an insertion two, so 3x + 2y are lost at most; that is largest with deletions alone and
+    then is ``6 q l / (1 + q)``. If two names lack at most k of each other's triples, the k + 1
+    that come first in any fixed order have one in common. The order here is that of a hash;
+    repeated triples are told apart by their number.
     """
+    q = 100 - V.COMPANY_SIMILARITY
     padded = F.concat(F.lit("\u0002"), company, F.lit("\u0003"))
-    starts = F.sequence(F.lit(1), F.length(company) + 1)
-    pairs = F.transform(starts, lambda i: F.substring(padded, i, F.lit(2)))
+    triples = F.transform(F.sequence(F.lit(1), F.length(company)), lambda i: F.substring(padded, i, F.lit(3)))
     numbered = F.transform(
-        pairs,
-        lambda pair, i: F.xxhash64(
-            pair, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda other: other == pair))
+        triples,
+        lambda triple, i: F.xxhash64(
+            triple, F.size(F.filter(F.slice(triples, F.lit(1), i + 1), lambda other: other == triple))
         ),
     )
-    keep = _pairs_lacking(F.length(company), V.COMPANY_SIMILARITY) + 1
+    keep = F.floor(F.length(company) * F.lit(6 * q) / F.lit(100 + q)).cast("int") + 1
     return F.slice(F.array_sort(numbered), F.lit(1), keep)
 
 
+def company_tokens(company: Column) -> Column:
+    """Numbers of which two similar names share at least one, and unlike names rarely do."""
+    none = F.array().cast("array<bigint>")
+    short = F.transform(_name_and_deletions(company), lambda text: F.xxhash64(F.lit("name"), text))
+    long = F.transform(_rarest_triples(company), lambda triple: F.xxhash64(F.lit("triple"), triple))
+    return F.concat(
+        F.when(F.length(company) <= _SHORT_NAME, short).otherwise(none),
+        F.when(F.length(company) >= _LONG_NAME, long).otherwise(none),
+    )
+
+
 # Titles that are similar differ in length by at most this ratio; a little is added for the
 # rounding of logarithms.
 _LENGTH_RATIO = (200 - V.TITLE_SIMILARITY) / V.TITLE_SIMILARITY + 0.001
@@ -139,7 +157,7 @@ def _tokens(fuzzy: bool) -> Column:
 
 # --- leaders --------------------------------------------------------------------------------
 
-_SIDE = ["node", "norm_url", "dup_key", "norm_company", "sorted_title"]
+_SIDE = ["node", "norm_url", "dup_key", "norm_company", "sorted_title", "tokens"]
 
 
 def _side(df: DataFrame, prefix: str) -> DataFrame:
@@ -147,25 +165,31 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def _duplicates(pairs: DataFrame, fuzzy: bool, *keep: str) -> DataFrame:
-    """Of candidate pairs a/b, those that are duplicates; ``keep`` are the columns to return."""
+    """Of pairs a/b that meet under a token, those that are duplicates; ``keep`` is returned.
+
+    A pair that shares several tokens counts under the smallest of them only.
+    """
     same = F.coalesce(F.col("a_norm_url") == F.col("b_norm_url"), F.lit(False)) | F.coalesce(
         F.col("a_dup_key") == F.col("b_dup_key"), F.lit(False)
     )
-    exact = pairs.filter(same).select(*keep)
     if not fuzzy:
-        return exact
-    near_company, like_company = within(
-        F.col("a_norm_company"), F.col("b_norm_company"), V.COMPANY_SIMILARITY
-    )
-    near_title, like_title = within(F.col("a_sorted_title"), F.col("b_sorted_title"), V.TITLE_SIMILARITY)
-    # Pairs meet under several tokens; the cheap tests run first, then each pair is kept once
-    # before Python measures it.
-    candidates = (
-        pairs.filter(~same & near_company & near_title)
-        .select(*keep, "a_norm_company", "b_norm_company", "a_sorted_title", "b_sorted_title")
-        .distinct()
+        return pairs.filter(same).select(*keep)
+    company, title = ("a_norm_company", "b_norm_company"), ("a_sorted_title", "b_sorted_title")
+    first_meeting = F.col("token") == F.array_min(F.array_intersect("a_tokens", "b_tokens"))
+    close = (
+        near(F.col(company[0]), F.col(company[1]), V.COMPANY_SIMILARITY)
+        & near(F.col(title[0]), F.col(title[1]), V.TITLE_SIMILARITY)
+        & first_meeting
     )
-    return exact.unionByName(candidates.filter(like_company & like_title).select(*keep))
+    # only what passes the tests inside the JVM is measured in Python
+    possible = pairs.select(*keep, *company, *title, same.alias("_same"), close.alias("_close")).filter(
+        F.col("_same") | F.coalesce(F.col("_close"), F.lit(False))
+    )
+    measured = both_similar(
+        *[F.coalesce(F.col(c), F.lit("")) for c in company], V.COMPANY_SIMILARITY,
+        *[F.coalesce(F.col(c), F.lit("")) for c in title], V.TITLE_SIMILARITY,
+    )
+    return possible.withColumn("_alike", measured).filter(F.col("_same") | F.col("_alike")).select(*keep)
 
 
 def _meetings(few: DataFrame, many: DataFrame) -> DataFrame:
@@ -185,7 +209,7 @@ def _round(live: DataFrame, front: int, fuzzy: bool) -> DataFrame:
     head = live.withColumn("_rn", rank).filter(F.col("_rn") <= front).drop("_rn")
     complete = (
         head.groupBy("node")
-        .agg(F.count("*").alias("_seen"), F.max("n_tokens").alias("_all"))
+        .agg(F.count("*").alias("_seen"), F.max(F.size("tokens")).alias("_all"))
         .filter(F.col("_seen") == F.col("_all"))
         .select("node")
     )
@@ -208,12 +232,9 @@ def find_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFrame:
         .agg(F.min("seq").alias("node"))
         .filter(F.col("norm_url").isNotNull() | F.col("dup_key").isNotNull())
         .withColumn("sorted_title", sort_tokens(F.col("norm_title")))
-        .withColumn("_tokens", _tokens(fuzzy))
-        .withColumn("n_tokens", F.size("_tokens"))
-    )
-    live = spool.cut(
-        nodes.select(F.explode("_tokens").alias("token"), "n_tokens", *_SIDE), "undecided"
+        .withColumn("tokens", _tokens(fuzzy))
     )
+    live = spool.cut(nodes.select(F.explode("tokens").alias("token"), *_SIDE), "undecided")
     found: list[DataFrame] = []
     front = FIRST_FRONT if fuzzy else 1
     while not live.isEmpty():
@@ -261,7 +282,8 @@ def assign_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFram
         .withColumn("norm_url", F.lit(None).cast("string"))
         .withColumn("node", F.lit(None).cast("bigint"))
         .withColumn("sorted_title", sort_tokens(F.col("norm_title")))
-        .withColumn("token", F.explode(_tokens(True)))
+        .withColumn("tokens", _tokens(True))
+        .withColumn("token", F.explode("tokens"))
     )
     met = _side(searching, "b").join(_side(leader_tokens, "a"), "token")
     similar = (
