@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
 from ..functions.text import blank_to_null
-
-ROWS_PER_BIN = 1_000_000
+from ..session import TableSpool
 
 
 def date_key() -> Column:
@@ -32,28 +31,33 @@ def best_score_first_nulls_last(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("ai_score").desc_nulls_last(), F.col("seq").asc())
 
 
-def global_index(df: DataFrame, major: Column | None = None, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+def global_index(df: DataFrame, major: Column | None = None) -> DataFrame:
     """Add ``row_index``: 0-based position by ``major`` descending (if given), then ``seq``.
 
-    Positions over a whole table without one task seeing the whole table: rows are binned by
-    ``major`` and a range of ``seq`` values, bins are counted, and only the bin counts are
-    added up in order. ``seq`` is unique, so a bin holds at most ``rows_per_bin`` rows however
-    the data are spread.
+    Positions over a whole table without one task seeing the whole table: rows are split into
+    ranges of the order and numbered within each, and only the sizes of the ranges, one number
+    per partition, are added up. Ranges are balanced whatever the values of ``major``, since
+    ``seq`` is part of the order. The numbered rows are written once, because range bounds are
+    sampled and must not be drawn twice.
     """
-    keyed = df.withColumn("_major", major if major is not None else F.lit(0)).withColumn(
-        "_bin", F.floor(F.col("seq") / rows_per_bin)
-    )
-    bins = keyed.groupBy("_major", "_bin").agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.col("_major").desc(), F.col("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bins.select(
-        "_major", "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    order = [F.col("seq").asc()]
+    if major is not None:
+        df = df.withColumn("_major", major)
+        order.insert(0, F.col("_major").desc())
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number is the partition in the upper bits and the position within it in the lower 33
+    numbered = TableSpool(df.sparkSession, "index").cut(
+        ranged.withColumn("_number", F.monotonically_increasing_id()), "numbered"
     )
-    within = Window.partitionBy("_major", "_bin").orderBy("seq")
+    part = F.shiftright("_number", 33).alias("_part")
+    sizes = numbered.groupBy(part).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
-        keyed.withColumn("_rn", F.row_number().over(within))
-        .join(offsets, ["_major", "_bin"])
-        .withColumn("row_index", F.col("_offset") + F.col("_rn") - 1)
-        .drop("_major", "_bin", "_offset", "_rn")
+        numbered.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn("row_index", F.col("_offset") + F.col("_number").bitwiseAND((1 << 33) - 1))
+        .drop("_part", "_number", "_offset", "_major")
     )
 
 

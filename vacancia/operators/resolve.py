@@ -193,12 +193,12 @@ def _duplicates(pairs: DataFrame, fuzzy: bool, *keep: str) -> DataFrame:
 
 
 def _meetings(few: DataFrame, many: DataFrame) -> DataFrame:
-    """Pairs by token, where ``few`` has a bounded number of rows per token.
+    """Pairs by token of the a-side ``few`` and the b-side ``many``.
 
     Rows of ``many`` under one token are spread over several tasks, each of which gets a copy
     of the few.
     """
-    spread = F.pmod(F.xxhash64("b_node" if "b_node" in many.columns else "a_node"), F.lit(TOKEN_SPLITS))
+    spread = F.pmod(F.xxhash64("b_node", "b_dup_key"), F.lit(TOKEN_SPLITS))
     copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SPLITS - 1)).cast("array<bigint>")))
     return copies.join(many.withColumn("_part", spread), ["token", "_part"]).drop("_part")
 
@@ -285,7 +285,7 @@ def assign_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFram
         .withColumn("tokens", _tokens(True))
         .withColumn("token", F.explode("tokens"))
     )
-    met = _side(searching, "b").join(_side(leader_tokens, "a"), "token")
+    met = _meetings(_side(leader_tokens, "a"), _side(searching, "b"))
     similar = (
         _duplicates(met, True, "a_node", "b_dup_key")
         .groupBy(F.col("b_dup_key").alias("dup_key"))
@@ -331,12 +331,12 @@ def _first_times(traits: DataFrame) -> DataFrame:
     )
     # A group is of one platform by name until a second source turns up.
     per_source = traits.filter(F.col("source").isNotNull()).groupBy("leader", "source").agg(F.min("seq").alias("t"))
-    ordered = F.array_sort(F.collect_list(F.struct("t", "source")))
-    sources = per_source.groupBy("leader").agg(ordered.alias("_sources")).select(
-        "leader",
-        F.col("_sources")[0]["t"].alias("t_source"),
-        F.col("_sources")[0]["source"].isin(V.ATS_SOURCES).alias("first_is_ats"),
-        F.get(F.col("_sources"), F.lit(1))["t"].alias("t_mixed"),
+    rank = F.row_number().over(Window.partitionBy("leader").orderBy("t", "source"))
+    first_two = per_source.withColumn("_rn", rank).filter(F.col("_rn") <= 2)
+    sources = first_two.groupBy("leader").agg(
+        F.max(F.when(F.col("_rn") == 1, F.col("t"))).alias("t_source"),
+        F.max(F.when(F.col("_rn") == 1, F.col("source").isin(V.ATS_SOURCES))).alias("first_is_ats"),
+        F.max(F.when(F.col("_rn") == 2, F.col("t"))).alias("t_mixed"),
     )
     return times.join(sources, "leader", "left")
 
