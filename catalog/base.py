@@ -36,7 +36,9 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread_scan(spark.read.parquet(f"{folder}/{name}.parquet"))
+    scan = spark.read.parquet(f"{folder}/{name}.parquet")
+    # only texts and pages cost more to work on than to read
+    return spread_scan(scan) if name in ("documents", "pages") else scan
 
 
 # --- derived postings ---------------------------------------------------------------------------

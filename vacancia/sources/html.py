@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import blank_to_null, strip, unescape_entities
+from ..functions.text import blank_to_null, let, strip, unescape_entities
 
 HIDDEN = r"(?i)<!--[\s\S]*?-->|<(script|style|noscript)\b[\s\S]*?</\1\s*>"
 CHROME = r"(?i)<!--[\s\S]*?-->|<(nav|header|footer|script|style|noscript)\b[\s\S]*?</\1\s*>"
@@ -31,8 +31,24 @@ def text_of(fragment: Column, separator: str = "") -> Column:
 
 def element(html: Column, tag: str) -> Column:
     """Inside of the first element with this tag, null if there is none."""
-    pattern = rf"(?i)<{tag}\b[^>]*>([\s\S]*?)</{tag}\s*>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    close = f"</{tag}>"
+
+    def up_to_close(rest: Column) -> Column:
+        # plain search for the usual way to write the closing tag, a pattern for the others
+        unusual = rf"(?i)^([\s\S]*?)</{tag}\s*>"
+        return F.when(F.contains(rest, F.lit(close)), F.substring_index(rest, close, 1)).when(
+            rest.rlike(unusual), F.regexp_extract(rest, unusual, 1)
+        )
+
+    def after_open(page: Column) -> Column:
+        opening = F.regexp_extract(page, rf"(?i)<{tag}\b[^>]*>", 0)
+        rest = let(
+            opening,
+            lambda o: F.when(F.length(o) > 0, F.substring(page, F.instr(page, o) + F.length(o), F.length(page))),
+        )
+        return let(rest, up_to_close)
+
+    return let(html, after_open)
 
 
 def _has_class(name: str) -> str:

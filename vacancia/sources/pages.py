@@ -100,32 +100,35 @@ def map_job_posting_json_ld(pages: DataFrame) -> DataFrame:
 def map_generic_page(pages: DataFrame) -> DataFrame:
     """Any page as a posting; a JSON-LD posting in it overrides day and place."""
     html = F.col("html")
-    rows = pages.withColumn("_ld", job_posting_json_ld(html))
-    ld = lambda path: blank_to_null(F.try_variant_get(F.col("_ld"), path, "string"))
-    title = first_filled(
-        F.coalesce(
-            blank_to_null(H.meta_property(html, "og:title")),
-            H.text_of(H.element(html, "h1")),
-            H.text_of(H.element(html, "title")),
-        ),
-        ld("$.title"),
+    # what is used more than once comes first, as columns of its own
+    rows = pages.withColumns(
+        {
+            "_ld": job_posting_json_ld(html),
+            "_place": H.text_of(_first_of(html, LOCATION_SELECTORS)),
+            "_og_title": H.meta_property(html, "og:title"),
+            "_og_site": H.meta_property(html, "og:site_name"),
+            "_heading": F.coalesce(H.text_of(H.element(html, "h1")), H.text_of(H.element(html, "title"))),
+            "_host": PF.company_from_host(F.col("url")),
+        }
     )
-    company = first_filled(
-        H.meta_property(html, "og:site_name"),
-        PF.company_from_host(F.col("url")),
-        ld("$.hiringOrganization.name"),
+    ld = lambda path: blank_to_null(F.try_variant_get(F.col("_ld"), path, "string"))
+    shown = F.coalesce(blank_to_null(F.col("_og_title")), F.col("_heading"))
+    rows = rows.withColumns(
+        {
+            "_title": F.coalesce(blank_to_null(shown), ld("$.title")),
+            "_company": first_filled(F.col("_og_site"), F.col("_host"), ld("$.hiringOrganization.name")),
+        }
     )
-    shown_location = H.text_of(_first_of(html, LOCATION_SELECTORS))
     return to_postings(
         rows,
         {
             "source": F.lit(DISCOVERY),
-            "title": title,
-            "company": company,
-            "location": F.coalesce(ld("$.jobLocation.address.addressLocality"), shown_location),
+            "title": F.col("_title"),
+            "company": F.col("_company"),
+            "location": F.coalesce(ld("$.jobLocation.address.addressLocality"), F.col("_place")),
             "country": ld("$.jobLocation.address.addressCountry"),
             "date_posted": F.coalesce(F.left(ld("$.datePosted"), F.lit(10)), _date(html)),
-            "is_remote": remote_from_text(shown_location, title),
+            "is_remote": remote_from_text(F.col("_place"), F.col("_title")),
             "job_url": F.col("url"),
             "description": _description(html),
         },
