@@ -444,7 +444,7 @@ _PAGE_TITLE = f"CASE WHEN page_id % 3 = 0 THEN 'OG & ' || page_id ELSE {s_text_o
          "location": f"CASE WHEN page_id % 4 = 0 THEN 'Bonn' WHEN {_SIX} THEN 'Remote, Bonn' END", "country": "CASE WHEN page_id % 4 = 0 THEN 'DE' END",
          "date_posted": f"CASE WHEN page_id % 4 = 0 THEN '2024-08-09' WHEN page_id % 4 = 2 THEN '2024-10-11' WHEN {_SIX} THEN '2024-12-13' END",
          "is_remote": f"CASE WHEN {_SIX} OR contains(lower(title), 'remote') THEN TRUE END", "job_url": "url",
-         "description": "left(CASE WHEN page_id % 7 = 0 THEN array_to_string(list_transform(range(30), lambda n: 'some words'), chr(10)) WHEN length(article) > 100 THEN article ELSE body END, 5000)"}
+         "description": "left(CASE WHEN page_id % 7 = 0 THEN array_to_string(list_transform(range(30), lambda n: 'some words'), chr(10)) WHEN length(article) >= 100 THEN article ELSE body END, 5000)"}
     ).replace("seq", "page_id AS seq", 1)
     + f" FROM (SELECT page_id, url, {_PAGE_TITLE} AS title, {_ARTICLE} AS article, regexp_replace({_BODY}, '\\z', {_EXTRA}) AS body FROM pages)",
 )

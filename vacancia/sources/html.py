@@ -29,16 +29,21 @@ def text_of(fragment: Column, separator: str = "") -> Column:
     return F.array_join(F.filter(texts, lambda t: F.length(t) > 0), separator)
 
 
-def element(html: Column, tag: str) -> Column:
-    """Inside of the first element with this tag, null if there is none."""
+def element(html: Column, tag: str, may_stay_open: bool = False) -> Column:
+    """Inside of the first element with this tag, null if there is none.
+
+    An element that is never closed counts only if it may stay open, and then goes on to the
+    end, as the body of a page that was cut off.
+    """
     close = f"</{tag}>"
 
     def up_to_close(rest: Column) -> Column:
         # plain search for the usual way to write the closing tag, a pattern for the others
         unusual = rf"(?i)^([\s\S]*?)</{tag}\s*>"
-        return F.when(F.contains(rest, F.lit(close)), F.substring_index(rest, close, 1)).when(
+        inside = F.when(F.contains(rest, F.lit(close)), F.substring_index(rest, close, 1)).when(
             rest.rlike(unusual), F.regexp_extract(rest, unusual, 1)
         )
+        return inside.otherwise(rest) if may_stay_open else inside
 
     def after_open(page: Column) -> Column:
         opening = F.regexp_extract(page, rf"(?i)<{tag}\b[^>]*>", 0)

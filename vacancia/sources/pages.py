@@ -30,7 +30,7 @@ def _first_of(html: Column, selectors: list[str]) -> Column:
 def _description(html: Column) -> Column:
     """Text of the first container with more than 100 characters, else of the body."""
     containers = F.filter(F.array(*[H.select(html, s) for s in DESCRIPTION_SELECTORS]), lambda c: c.isNotNull())
-    body = H.text_of(F.regexp_replace(H.element(html, "body"), H.CHROME, ""), "\n")
+    body = H.text_of(F.regexp_replace(H.element(html, "body", may_stay_open=True), H.CHROME, ""), "\n")
 
     def choose(texts: Column) -> Column:
         long_enough = F.get(F.filter(texts, lambda t: F.length(t) > V.MIN_PAGE_DESCRIPTION), F.lit(0))
