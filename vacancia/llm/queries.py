@@ -10,6 +10,8 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .pieces import piece_digests
+from .secret_scan import secret_digests
+from .spot_signatures import fingerprints_with_neighbours
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +61,42 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
 @query("op10_exact_dedup", EXACT_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(documents(spark, folder))
+
+
+def _secret_sql() -> str:
+    """The spans of each kind from the lengths of matches and of what lies between them."""
+    words = "|".join(
+        "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+        for word in ("password", "passwd", "secret", "token", "api_?key")
+    )
+    assign = f"""({words})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    rules = (("assign", assign, 2, 6), ("access", "(AKIA[A-Z0-9]+)", 0, 20), ("hex", "([0-9a-f]+)", 0, 24))
+    spans = [
+        f"""SELECT n, {rank} AS rank, '{kind}' AS kind,
+          unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+            'start': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0),
+            'size': length(m[i]), 'value': length(v[i])}}), recursive := true)
+        FROM (SELECT n, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS v,
+                     string_split_regex(text, '{pattern}') AS g FROM d)"""
+        for rank, (kind, pattern, group, _) in enumerate(rules)
+    ]
+    least = " OR ".join(f"rank = {rank} AND value >= {rule[3]}" for rank, rule in enumerate(rules))
+    counts = ", ".join(f"count(rank) FILTER (rank = {rank}) AS n_{rule[0]}" for rank, rule in enumerate(rules))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS n FROM documents),
+s AS ({" UNION ALL ".join(spans)}),
+k AS (SELECT *, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM s WHERE {least}),
+j AS (SELECT d.doc_id, d.n, {counts}, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+      FROM d LEFT JOIN k USING (n) GROUP BY d.doc_id, d.n)
+SELECT doc_id, n_assign, n_access, n_hex, sha256(spans) AS base_sha256, spans FROM j
+"""
+
+
+@query("op3_secret_scans", _secret_sql())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_digests(documents(spark, folder))
+
+
+@query("op8_spot_signatures")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints_with_neighbours(documents(spark, folder))
