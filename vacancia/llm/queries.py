@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
 from .packing import pack
 from .pieces import piece_digests
 from .secret_scan import secret_digests
+from .shingle_join import shingle_components
 from .spot_signatures import fingerprints_with_neighbours
 from .token_counts import token_counts
 
@@ -100,3 +102,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_spot_signatures")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints_with_neighbours(documents(spark, folder))
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(documents(spark, folder))
+
+
+@query("op9_shingle_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_components(documents(spark, folder))

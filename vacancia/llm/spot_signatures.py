@@ -144,7 +144,7 @@ def _successors(rows: DataFrame, spool: TableSpool) -> DataFrame:
 
 def fingerprints_with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of a stored table: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next, length_class.
+    edited_fingerprint, near_edited, near_next, next_doc_id, length_class.
 
     The edited text has the last half of a text replaced by as much of the next document's start, by
     ascending id (null ids first, repeated ids in the table's order); after the last comes the first.
@@ -155,15 +155,17 @@ def fingerprints_with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_c
     order = _successors(rows, spool)
     asked = order.select(F.col("next_row").alias("row"), F.col("row").alias("for_row"), F.floor(F.col("n") / 2).alias("half"))
     # what a document gives to the one before it: its start and its signatures
-    given = rows.select("row", "text").join(asked, "row")
+    given = rows.join(asked, "row")  # reads the same columns as below, so both use one shuffle of the texts
     given = given.select(
         F.col("for_row").alias("row"),
+        F.col("doc_id").alias("next_doc_id"),
         F.col("half").cast("int").alias("half"),
         F.substring("text", F.lit(1), F.col("half").cast("int")).alias("start"),
         signatures(F.col("text")).alias("next_held"),
     )
     texts = rows.join(given, "row").select(
         "doc_id",
+        "next_doc_id",
         F.length("text").cast("long").alias("n_chars"),
         "next_held",
         "text",
@@ -172,6 +174,7 @@ def fingerprints_with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_c
     sets = texts.select(
         "doc_id",
         "n_chars",
+        "next_doc_id",
         "next_held",
         F.sha2("edited", 256).alias("edited_sha256"),
         signatures(F.col("text")).alias("held"),
@@ -186,5 +189,6 @@ def fingerprints_with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_c
         fingerprint(edited).alias("edited_fingerprint"),
         likeness(held, edited).alias("near_edited"),
         likeness(held, F.col("next_held")).alias("near_next"),
+        "next_doc_id",
         F.floor(F.log(F.greatest(F.size(held), F.lit(1))) / -math.log(SIMILARITY)).alias("length_class"),
     )
