@@ -14,7 +14,9 @@ from .pieces import piece_digests
 from .secret_scan import secret_digests
 from .shingle_join import shingle_components
 from .spot_signatures import fingerprints_with_neighbours
+from .suffix_dedup import repeated_passages
 from .token_counts import token_counts
+from .toxicity import learn, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +114,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_shingle_join")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(documents(spark, folder))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(documents(spark, folder))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return score_toxicity(docs, learn(docs, spark.read.parquet(f"{folder}/labels.parquet")))
