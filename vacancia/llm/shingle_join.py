@@ -9,6 +9,9 @@ members beyond it and, by the triangle inequality, the boundary: members nearer
 more than the threshold than the nearest of those. They are joined anew: exactly, in one task, if
 they are few, else around further pivots, until no region holds two components that may still link.
 
+Distances are measured in two steps: how often hashes of a set fall into each of a few classes bounds
+its intersection with any other from above, and only pairs that may link by that are measured exactly.
+
 Regions of hot shingles do not arise, since order goes by how frequent a shingle is in all documents,
 as a sketch of fixed size tells. Documents with equal sets are one member.
 """
@@ -30,11 +33,34 @@ from .words import shingles
 #: Counters of the frequency sketch, and the slices in which it is added up.
 COUNTERS = 1 << 19
 SLICES = 16
+#: Classes of the sketch that bounds intersections, and bits of the filter of rows whose sets are asked for.
+CLASSES = 256
+FILTER_BITS = 1 << 23
 #: Members of a region that one task compares with one another, and pivots of a larger one at a time.
 LOCAL = 256
 PIVOTS = 4
 
 
+def _summed(parts: DataFrame, join, kind, size: int) -> np.ndarray:
+    """One array of a fixed size from slices of it (slice, part), put together with ``join``."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(frame["part"].iloc[0], kind)
+        for part in frame["part"].iloc[1:]:
+            total = join(total, np.frombuffer(part, kind))
+        return pd.DataFrame({"slice": frame["slice"][:1], "part": [total.tobytes()]})
+
+    whole = np.zeros((SLICES, size // SLICES), kind)
+    for row in parts.groupBy("slice").applyInPandas(add, "slice int, part binary").collect():
+        whole[row["slice"]] = np.frombuffer(row["part"], kind)
+    return whole.reshape(-1)
+
+
+def _sliced(whole: np.ndarray) -> pa.RecordBatch:
+    parts = [part.tobytes() for part in whole.reshape(SLICES, -1)]
+    return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
+
+
 def _frequencies(rows: DataFrame, size: int) -> np.ndarray:
     """How many sets have a shingle in each counter; the array has one size whatever the input."""
 
@@ -42,33 +68,21 @@ def _frequencies(rows: DataFrame, size: int) -> np.ndarray:
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                places = (shingles(text, size) % np.uint64(COUNTERS)).astype(np.int64)
-                np.add.at(counts, places, 1)
-        parts = counts.reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"]
-        )
+                # shingles that meet in one counter count once a text
+                counts[(shingles(text, size) % np.uint64(COUNTERS)).astype(np.int64)] += 1
+        yield _sliced(counts)
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in frame["counts"])
-        total = np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32)
-        return pd.DataFrame({"slice": frame["slice"][:1], "counts": [total.tobytes()]})
-
-    shape = "slice int, counts binary"
-    added = rows.select("text").mapInArrow(count, shape).groupBy("slice").applyInPandas(add, shape)
-    whole = np.zeros((SLICES, COUNTERS // SLICES), np.uint32)
-    for row in added.collect():
-        whole[row["slice"]] = np.frombuffer(row["counts"], np.uint32)
-    return whole.reshape(-1)
+    counted = rows.select("text").mapInArrow(count, "slice int, part binary")
+    return _summed(counted, np.add, np.uint32, COUNTERS)
 
 
 def _sets(rows: DataFrame, frequency, size: int, percent: int) -> DataFrame:
-    """(doc_id, row, n, one, two, front): each set's size, digest and first shingles."""
+    """(doc_id, row, n, one, two, front, sketch): each set's size, digest, first shingles and classes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.log2(frequency.value.astype(np.float64) + 1).astype(np.int64)
         for batch in batches:
-            sizes, ones, twos, fronts = [], [], [], []
+            sizes, ones, twos, fronts, sketches = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 held = shingles(text, size)
                 n = len(held)
@@ -79,78 +93,122 @@ def _sets(rows: DataFrame, frequency, size: int, percent: int) -> DataFrame:
                 ones.append(int(held.sum(dtype=np.uint64).astype(np.int64)))
                 twos.append(int(np.bitwise_xor.reduce(held * held * np.uint64(0x9E3779B97F4A7C15) + held).astype(np.int64)) if n else 0)
                 fronts.append(held[order[:first]].astype(np.int64))
+                sketches.append(np.bincount((held >> np.uint64(40)) % np.uint64(CLASSES), minlength=CLASSES).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64())]
-                + [pa.array(twos, pa.int64()), pa.array(fronts, pa.list_(pa.int64()))],
-                ["doc_id", "row", "n", "one", "two", "front"],
+                + [pa.array(twos, pa.int64()), pa.array(fronts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "row", "n", "one", "two", "front", "sketch"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "row", "text").mapInArrow(
-        build, f"doc_id {kind}, row long, n long, one long, two long, front array<long>"
+        build, f"doc_id {kind}, row long, n long, one long, two long, front array<long>, sketch binary"
     )
 
 
-def _held(rows: DataFrame, size: int) -> DataFrame:
-    """(row, held): the whole sets of some rows, as packed sorted hashes."""
+def _held(rows: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """(row, held): whole sets, as packed sorted hashes, of the rows asked for and maybe a few more.
+
+    Texts are not shuffled: a bit map of a fixed size says which rows may be asked for.
+    """
+    slot = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    per_slice = FILTER_BITS // SLICES
+    slots = asked.select(F.floor(slot / per_slice).cast("int").alias("slice"), (slot % per_slice).alias("bit")).distinct()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            marks[batch.column(0).to_numpy().astype(np.int64) * per_slice + batch.column(1).to_numpy()] = True
+        if marks.any():
+            yield _sliced(np.packbits(marks))
+
+    bits = _summed(slots.mapInArrow(mark, "slice int, part binary"), np.bitwise_or, np.uint8, FILTER_BITS // 8)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
-            held = [shingles(text, size).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["row", "held"])
+            found = batch.filter(pa.array(marks[batch.column(2).to_numpy()]))
+            held = [shingles(text, size).tobytes() for text in found.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([found.column(0), pa.array(held, pa.binary())], ["row", "held"])
+
+    return rows.select("row", "text", slot.alias("slot")).mapInArrow(build, "row long, held binary")
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Sizes of intersection and union of two sets of sorted hashes."""
+    n = len(np.intersect1d(a, b, assume_unique=True))
+    return n, len(a) + len(b) - n
+
 
-    return rows.select("row", "text").mapInArrow(build, "row long, held binary")
+def _at_most_shared(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """The same from two sketches: at most the one, at least the other."""
+    n = int(np.minimum(a, b).sum())
+    return n, int(a.sum()) + int(b.sum()) - n
 
 
-def _measured(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def _measured(pairs: DataFrame, held: DataFrame, kind, sizes) -> DataFrame:
     """(region, x, pivot, both, either): sizes of intersection and union of members and pivots."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both, either = [], []
-            for a, b in zip(batch.column(3), batch.column(4)):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                n = len(np.intersect1d(a, b, assume_unique=True))
-                both.append(n)
-                either.append(len(a) + len(b) - n)
+            packed = zip(batch.column(3), batch.column(4))
+            found = [sizes(np.frombuffer(a.as_buffer(), kind), np.frombuffer(b.as_buffer(), kind)) for a, b in packed]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(both, pa.int64()), pa.array(either, pa.int64())],
+                [batch.column(i) for i in range(3)] + [pa.array([f[i] for f in found], pa.int64()) for i in range(2)],
                 ["region", "x", "pivot", "both", "either"],
             )
 
-    found = pairs.join(held.withColumnsRenamed({"row": "x", "held": "hx"}), "x")
-    found = found.join(held.withColumnsRenamed({"row": "pivot", "held": "hp"}), "pivot")
+    found = pairs.select("region", "x", "pivot").join(held.toDF("x", "hx"), "x")
+    found = found.join(held.toDF("pivot", "hp"), "pivot")
     shape = "region long, x long, pivot long, both long, either long"
     return found.select("region", "x", "pivot", "hx", "hp").mapInArrow(measure, shape)
 
 
-def _solve(percent: int):
-    """All links of a small region's members that are in different components."""
+class _Distances:
+    """Distances of pairs of rows: exact where they may link, else a lower bound above the threshold."""
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+    def __init__(self, rows: DataFrame, sketches: DataFrame, size: int, percent: int, spool: TableSpool):
+        self._rows, self._sketches, self._size, self._spool = rows, sketches, size, spool
+        self._near = f"100 * both >= {percent} * either"
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(region, x, pivot, d, linked) for (region, x, pivot)."""
+        bounds = self._spool.cut(_measured(pairs, self._sketches, np.uint32, _at_most_shared), "bounds")
+        may = bounds.where(self._near)
+        asked = may.select(F.col("x").alias("row")).unionByName(may.select(F.col("pivot").alias("row")))
+        held = self._spool.cut(_held(self._rows, asked, self._size), "held")
+        exact = self._spool.cut(_measured(may, held, np.uint64, _shared), "exact")
+        distance = (1 - F.col("both") / F.col("either")).alias("d")
+        near = F.expr(self._near)
+        far = bounds.where(~near).select("region", "x", "pivot", distance, F.lit(False).alias("linked"))
+        return exact.select("region", "x", "pivot", distance, near.alias("linked")).unionByName(far)
+
+
+def _meet(percent: int):
+    """Pairs of a small region's members that are in different components and may link by their sketches."""
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
         rows, labels = frame["x"].to_numpy(), frame["label"].to_numpy()
-        sets = [np.frombuffer(h, np.uint64) for h in frame["held"]]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        values, places = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        shared = np.bincount(places, minlength=len(values)) > 1
-        column = np.cumsum(shared) - 1
-        keep = shared[places]
-        grid = np.zeros((len(sets), int(shared.sum())), np.float32)
-        grid[owner[keep], column[places[keep]]] = 1
-        both = np.rint(grid @ grid.T).astype(np.int64)
-        either = sizes[:, None] + sizes[None, :] - both
-        a, b = np.nonzero((100 * both >= percent * either) & (labels[:, None] != labels[None, :]))
-        return pd.DataFrame({"a": rows[a[a < b]], "b": rows[b[a < b]]})
-
-    return solve
+        grid = np.array([np.frombuffer(s, np.uint32) for s in frame["sketch"]], np.int64)
+        sizes = grid.sum(1)
+        found = []
+        for i in range(len(rows) - 1):
+            both = np.minimum(grid[i], grid[i + 1 :]).sum(1)
+            either = sizes[i] + sizes[i + 1 :] - both
+            at = np.flatnonzero((100 * both >= percent * either) & (labels[i + 1 :] != labels[i])) + i + 1
+            found.append(np.stack([np.full(len(at), rows[i]), rows[at]], 1))
+        pairs = np.sort(np.concatenate(found), 1) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"region": 0, "x": pairs[:, 0], "pivot": pairs[:, 1]})
+
+    return meet
 
 
 def _labelled(members: DataFrame, links: DataFrame, spool: TableSpool) -> DataFrame:
     """Members of regions in which several components are left, with their component as label."""
     reached = components(links, spool)
     labels = F.coalesce("component", "x").alias("label")
-    marked = members.drop("label").join(reached.withColumnRenamed("node", "x"), "x", "left").drop("label")
+    marked = members.join(reached.withColumnRenamed("node", "x"), "x", "left")
     marked = marked.select("region", "x", "d", labels)
     mixed = marked.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
     mixed = mixed.where("low <> high").select("region", "members")
@@ -189,38 +247,36 @@ def shingle_components(
     # of equal sets one member goes on, the first row
     classes = spool.cut(classes, "classes")
     fronts = sets.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    tokens = spool.cut(fronts.select(F.col("row").alias("x"), F.explode("front").alias("token")), "tokens")
+    fronts = spool.cut(fronts.select("row", "front"), "fronts")
+    tokens = fronts.select(F.col("row").alias("x"), F.explode("front").alias("token"))
     elected = tokens.groupBy("token").agg(F.min("x").alias("pivot"), F.count("*").alias("members"))
     elected = elected.where("members > 1").select("token", "pivot")
     pairs = spool.cut(tokens.join(elected, "token").where("x <> pivot").select("x", "pivot").distinct(), "pairs")
-    pairs = pairs.withColumn("region", F.col("pivot"))
-
-    asked = pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("pivot").alias("row"))).distinct()
-    held = spool.cut(_held(rows.select("row", "text").join(asked, "row", "left_semi"), size), "held")
-    measured = spool.cut(_measured(pairs, held), "measured")
-    near = F.expr(f"100 * both >= {percent} * either")
-    links = spool.cut(measured.where(near).select(F.col("x").alias("a"), F.col("pivot").alias("b")), "links")
+    sketches = sets.select("row", "sketch")
+    distances = _Distances(rows, sketches, size, percent, spool)
+    linked = F.col("linked")
+    ends = (F.col("x").alias("a"), F.col("pivot").alias("b"))
 
-    distance = (1 - F.col("both") / F.col("either")).alias("d")
+    measured = distances.of(pairs.withColumn("region", F.col("pivot")))
+    links = spool.cut(measured.where(linked).select(*ends), "links")
     reach = 1 - percent / 100 + 1e-9
-    members = measured.select("region", "x", distance)
-    beyond = members.where(F.col("d") > reach).groupBy("region").agg(F.min("d").alias("nearest"))
-    members = members.join(beyond, "region").where(F.col("d") >= F.col("nearest") - reach).drop("nearest")
-    members = _labelled(members, links, spool)
+    beyond = measured.where(~linked).groupBy("region").agg(F.min("d").alias("nearest"))
+    members = measured.join(beyond, "region").where(~linked | (F.col("d") >= F.col("nearest") - reach))
+    members = _labelled(members.select("region", "x", "d"), links, spool)
     while True:
         few, many = members.where(F.col("members") <= LOCAL), members.where(F.col("members") > LOCAL)
-        local = few.join(held.withColumnRenamed("row", "x"), "x").groupBy("region").applyInPandas(_solve(percent), "a long, b long")
-        links = spool.cut(links.unionByName(local), "links")
+        local = few.select("region", "x", "label").join(sketches.withColumnRenamed("row", "x"), "x")
+        met = local.groupBy("region").applyInPandas(_meet(percent), "region long, x long, pivot long").distinct()
+        found = distances.of(met).where(linked).select(*ends)
+        links = spool.cut(links.unionByName(found), "links")
         pivots = _central(many, spool)
         if not pivots.limit(1).count():
             break
-        measured = many.select("region", "x").join(pivots, "region")
-        measured = spool.cut(_measured(measured.where("x <> pivot"), held), "measured")
-        links = spool.cut(
-            links.unionByName(measured.where(near).select(F.col("x").alias("a"), F.col("pivot").alias("b"))), "links"
-        )
+        asked = many.select("region", "x").join(pivots, "region").where("x <> pivot")
+        measured = distances.of(asked)
+        links = spool.cut(links.unionByName(measured.where(linked).select(*ends)), "links")
         done = pivots.select("region", F.col("pivot").alias("x"))
-        left = measured.join(done, ["region", "x"], "left_anti").groupBy("region", "x").agg(F.min(distance).alias("d"))
+        left = measured.join(done, ["region", "x"], "left_anti").groupBy("region", "x").agg(F.min("d").alias("d"))
         members = _labelled(left, links, spool)
 
     reached = components(links, spool)
