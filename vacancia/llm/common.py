@@ -29,12 +29,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def per_process(key, make):
+def per_process(key, make, large: bool = False):
     """``make()``, once for each Python process: tables and caches that outlive a task.
 
-    Such caches are large and hold no cycles, so the collector's full passes over them are put off.
+    ``large`` caches hold no cycles, so the collector's full passes over them are put off.
     """
-    gc.set_threshold(200_000, 50, 1000)
+    if large:
+        gc.set_threshold(200_000, 50, 1000)
     held = sys.__dict__.setdefault("_vacancia_held", {})
     if key not in held:
         held[key] = make()

@@ -193,7 +193,7 @@ class PieceCoder:
 
 
 def coder(path: str) -> PieceCoder:
-    return per_process(("piece coder", path), lambda: PieceCoder(path))
+    return per_process(("piece coder", path), lambda: PieceCoder(path), large=True)
 
 
 def encode_pieces(

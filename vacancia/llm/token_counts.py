@@ -172,7 +172,7 @@ class PrefixCounter:
 
 
 def counter(path: str) -> PrefixCounter:
-    return per_process(("prefix counter", path), lambda: PrefixCounter(path))
+    return per_process(("prefix counter", path), lambda: PrefixCounter(path), large=True)
 
 
 def token_counts(
