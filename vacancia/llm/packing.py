@@ -12,6 +12,7 @@ Rows move as lengths only: a shard holds a bounded number of documents whatever
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 from typing import Iterator
@@ -37,6 +38,10 @@ GENERATIONS = 8
 WELL_FILLED = 0.98
 
 
+_MARKS = (".", ",")
+_BLANK = re.compile(r"\s")
+
+
 class ChunkIds:
     """The ids of a text (packed as 32-bit little-endian), each distinct chunk encoded once."""
 
@@ -44,9 +49,27 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._line_end = self._tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self._marks = dict(zip(_MARKS, self._encode(list(_MARKS))))
         self._known: dict[str, bytes] = {}
         self._room = room
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that each follow a space: one text with a word to a line, cut at the line
+        ends, which are tokens of their own. Words with white space inside are encoded one by one."""
+        plain = [word for word in words if not _BLANK.search(word)]
+        known = {}
+        if plain:
+            ids = np.array(self._tokenizer.encode_batch_fast(["".join([f" {w}\n" for w in plain]) + "."], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self._line_end)
+            if len(ends) == len(plain):
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                data = ids.tobytes()
+                known = {w: data[4 * a : 4 * b] for w, a, b in zip(plain, starts.tolist(), ends.tolist())}
+        rest = [word for word in words if word not in known]
+        known.update(zip(rest, self._encode([" " + word for word in rest])))
+        return [known[word] for word in words]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
@@ -56,8 +79,12 @@ class ChunkIds:
         if len(known) > self._room:
             known.clear()
         cut = [spaced_chunks(text) for text in texts]
-        new = list(set().union(*(rest for _, rest in cut)).difference(known))
-        known.update(zip(new, self._encode([" " + part for part in new])))
+        new = set().union(*(rest for _, rest in cut)).difference(known)
+        # a word of letters and the mark after it are never joined, so most words need no second encoding
+        marked = [word for word in new if word[-1:] in _MARKS and word[:-1].isalpha()]
+        plain = list(new.difference(marked).union([word[:-1] for word in marked if word[:-1] not in known]))
+        known.update(zip(plain, self._encode_words(plain)))
+        known.update([(word, known[word[:-1]] + self._marks[word[-1]]) for word in marked])
         firsts = self._encode([first for first, _ in cut])
         return [first + b"".join([known[part] for part in rest]) for first, (_, rest) in zip(firsts, cut)]
 
