@@ -42,16 +42,17 @@ def _minimisers(words: np.ndarray, gram: int, window: int) -> np.ndarray:
 
 
 def sparse_suffixes(rows: DataFrame, passage: int, gram: int, window: int) -> DataFrame:
-    """(key, row, place): the suffixes that start at minimisers, by a hash of their first words.
+    """(key, follow, row, place): the suffixes that start at minimisers, by hashes of their words.
 
     The first minimiser of a passage lies within ``window`` words of its start, so suffixes that agree
-    in passage - window + 1 words show every passage. Shorter ends of texts have no such suffix.
+    in passage - window + 1 words, the key, show every passage. Shorter ends of texts have no such
+    suffix. ``follow`` orders suffixes of one key by their first ``passage`` words.
     """
     first = passage - window + 1
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners, places = [], [], []
+            keys, follows, owners, places = [], [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = word_hashes(text.encode())[0]
                 if len(words) >= passage:
@@ -59,28 +60,32 @@ def sparse_suffixes(rows: DataFrame, passage: int, gram: int, window: int) -> Da
                     chosen = _minimisers(words, gram, window)
                     chosen = chosen[chosen < len(heads)]
                     keys.append(heads[chosen].astype(np.int64))
+                    longer = sequence_hashes(words, passage)
+                    rest = np.zeros(len(heads), np.int16)
+                    rest[: len(longer)] = (longer >> np.uint64(48)).astype(np.int16)
+                    follows.append(rest[chosen])
                     places.append(chosen)
                     owners.append(np.full(len(chosen), row, np.int64))
             if keys:
-                columns = [np.concatenate(x) for x in (keys, owners, places)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "row", "place"])
+                columns = [pa.array(np.concatenate(x)) for x in (keys, follows, owners, places)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "follow", "row", "place"])
 
-    return rows.select("row", "text").mapInArrow(build, "key long, row long, place long")
+    return rows.select("row", "text").mapInArrow(build, "key long, follow short, row long, place long")
 
 
 def _neighbours(suffixes: DataFrame, spool: TableSpool) -> DataFrame:
     """(row, place, other, there): each suffix with the neighbour that begins alike, the one before it
     in the sorted order or, for the first of a group, the one after it."""
-    order = ["key", "row", "place"]
+    order = ["key", "follow", "row", "place"]
     ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        key, row, place = (frame[c].to_numpy() for c in order)
+        key, _, row, place = (frame[c].to_numpy() for c in order)
         same = key[1:] == key[:-1]
         later, first = np.flatnonzero(same) + 1, np.flatnonzero(same & ~np.r_[False, same[:-1]])
         at, other = np.r_[later, first], np.r_[later - 1, first + 1]
         return pd.DataFrame(
-            {"key": key[at], "row": row[at], "place": place[at], "other": row[other], "there": place[other], "edge": False}
+            {"key": 0, "follow": 0, "row": row[at], "place": place[at], "other": row[other], "there": place[other], "edge": False}
         )
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,13 +101,13 @@ def _neighbours(suffixes: DataFrame, spool: TableSpool) -> DataFrame:
             yield pairs(frame)
         if held is not None:
             for edge in (first, held):
-                yield edge.assign(other=0, there=0, edge=True)[["key", "row", "place", "other", "there", "edge"]]
+                yield edge.assign(other=0, there=0, edge=True)[[*order, "other", "there", "edge"]]
 
-    shape = "key long, row long, place long, other long, there long, edge boolean"
+    shape = "key long, follow short, row long, place long, other long, there long, edge boolean"
     found = spool.cut(ordered.mapInPandas(compare, shape), "neighbours")
     # two rows of each range: where a group goes on in the next range
-    by_key = Window.partitionBy("key").orderBy("row", "place")
-    edges = found.where("edge").select("key", "row", "place").distinct()
+    by_key = Window.partitionBy("key").orderBy("follow", "row", "place")
+    edges = found.where("edge").select(*order).distinct()
     before = F.lag(F.struct("row", "place")).over(by_key)
     after = F.lead(F.struct("row", "place")).over(by_key)
     edges = edges.select("row", "place", F.coalesce(before, after).alias("near")).where("near IS NOT NULL")
@@ -144,7 +149,9 @@ def repeated_passages(
     row or place: doc_id, start, stop (code points), n_words, first_word, other_doc_id, other_word.
 
     Words are runs without white space and are compared as they are. Every text in which such a
-    passage lies has a row for it, the first copy too; passages may overlap. Null, empty and short
+    passage lies has a row for it, the first copy too; passages may overlap. A suffix is compared with
+    its neighbour alone: passages of passage + window - 1 words are found wherever they are, shorter
+    ones unless the neighbour shares the start of the passage with another text before it. Null, empty and short
     texts have none; repeated rows are each other's copies; null ids are reported like others.
     """
     spool = TableSpool(docs.sparkSession, "passages")
