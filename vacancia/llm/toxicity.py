@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import id_and_text
 
 #: The bounds of what is learnt: terms, and examples of each label (the rows with the smallest hashes).
-TERMS = 2000
+TERMS = 1000
 EXAMPLES = 4000
 #: A term must occur in this many training texts.
 LEAST_TEXTS = 5
 #: A term's texts must differ from the general rate of the label by this many standard errors.
 LEAST_GAP = 6.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 512
 FOLDS = 5
 
 _WORD = re.compile(r"\w+")
@@ -48,39 +48,45 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[dict[int, float]], terms: int):
         self.size = len(vectors)
         blocks = max(1, -(-self.size // BLOCK))
-        self._postings: list[tuple[np.ndarray, np.ndarray]] = []
         self._limits = np.zeros((terms, blocks))
         by_term: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
         for i, vector in enumerate(vectors):
             for t, w in vector.items():
                 by_term[t].append((i, w))
                 self._limits[t, i // BLOCK] = max(self._limits[t, i // BLOCK], w)
-        # where each term's postings of a block begin
-        self._starts = np.zeros((terms, blocks + 1), np.int32)
-        for t, held in enumerate(by_term):
-            ids = np.array([i for i, _ in held], np.int32)
-            self._postings.append((ids, np.array([w for _, w in held])))
-            self._starts[t] = np.searchsorted(ids, np.arange(blocks + 1) * BLOCK)
+        self._postings = [(np.array([i for i, _ in held], np.int32), np.array([w for _, w in held])) for held in by_term]
+        self._blocks: list[np.ndarray] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_blocks": None}
+
+    def _laid_out(self) -> list[np.ndarray]:
+        """The postings of each block as a table of terms by examples, made once in each process."""
+        if self._blocks is None:
+            whole = np.zeros((len(self._postings), self._limits.shape[1] * BLOCK))
+            for t, (ids, weights) in enumerate(self._postings):
+                whole[t, ids] = weights
+            self._blocks = [np.ascontiguousarray(x) for x in np.split(whole, self._limits.shape[1], axis=1)]
+        return self._blocks
 
     def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example) with a cosine above zero, ties by the smaller example."""
         terms = list(vector)
         if not terms:
             return []
+        blocks = self._laid_out()
         weights = np.array([vector[t] for t in terms])
         bounds = weights @ self._limits[terms]
         best: list[tuple[float, int]] = []
         for block in np.argsort(-bounds, kind="stable"):
             if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-12:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                a, b = self._starts[t, block], self._starts[t, block + 1]
-                if a < b:
-                    ids, held = self._postings[t]
-                    scores[ids[a:b] - block * BLOCK] += w * held[a:b]
+            scores = weights @ blocks[block][terms]
             first = int(block) * BLOCK
-            new = [(-round(float(scores[i]), 12), first + int(i)) for i in np.flatnonzero(scores > 0) if first + i != without]
+            at = np.flatnonzero(scores > (max(0.0, -best[-1][0] - 1e-9) if len(best) == k else 0.0))
+            if len(at) > 4 * k:  # all that can be among the k best, ties and the one left out included
+                at = at[scores[at] >= np.partition(scores[at], -k - 1)[-k - 1] - 1e-9]
+            new = [(-round(float(scores[i]), 12), first + int(i)) for i in at if first + i != without]
             best = sorted(best + new)[:k]
         return [(-s, i) for s, i in best]
 
