@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -42,6 +43,18 @@ def per_process(key, make, large: bool = False):
     return held[key]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Python workers get at most so many rows at a time, for operators whose rows carry whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def components(edges: DataFrame, spool: TableSpool) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of the edges (a, b).
 

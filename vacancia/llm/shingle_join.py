@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vacancia.session import TableSpool
 
-from .common import components, id_and_text
+from .common import components, id_and_text, small_batches
 from .words import shingles
 
 #: Counters of the frequency sketch, and the slices in which it is added up.
@@ -237,6 +237,12 @@ def shingle_components(
     ids take part and get the smallest id of their component, null if it has none; repeated rows are
     in one component. An empty table gives no rows. Shingles are told apart by 64-bit hashes.
     """
+    with small_batches(docs.sparkSession):
+        return _components(docs, size, percent, id_col, text_col)
+
+
+def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """All steps are written before the last joins, which need no Python."""
     spark = docs.sparkSession
     spool = TableSpool(spark, "shingle-join")
     rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
