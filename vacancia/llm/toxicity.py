@@ -211,7 +211,8 @@ def learn(
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & in_training("doc_id"))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    training = id_and_text(docs, id_col, text_col).join(known, "doc_id")
+    # one plan at every size: labels grow with the documents, so they are not broadcast
+    training = id_and_text(docs, id_col, text_col).join(known.hint("merge"), "doc_id")
     texts, toxic = training.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not texts:
         return ToxicityModel([], [], (1.0, 1.0)).fit([])
@@ -241,7 +242,7 @@ def learn(
 
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples) for y in (0, 1)]
-    rows = id_and_text(docs, id_col, text_col).join(picked[0].unionByName(picked[1]), "doc_id").select("doc_id", "toxic", "text")
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "toxic", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, toxic int, places array<int>, weights array<double>"
     held = sorted(rows.mapInArrow(vectors, shape).limit(4 * examples).collect(), key=lambda r: (r["doc_id"], r["places"], r["weights"]))
