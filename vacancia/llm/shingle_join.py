@@ -7,7 +7,9 @@ a pivot was elected for are its region: all links lie inside a region. Every mem
 its pivot is measured. Members within the threshold are linked through the pivot. What remains are
 members beyond it and, by the triangle inequality, the boundary: members nearer to the pivot by no
 more than the threshold than the nearest of those. They are joined anew: exactly, in one task, if
-they are few, else around further pivots, until no region holds two components that may still link.
+they are few. In a larger region those outside its largest component become pivots of it, a bounded
+number at a time, and meet it block by block; then what is left of the region is joined in the same
+way, until no region holds two components that may still link.
 
 Distances are measured in two steps: how often hashes of a set fall into each of a few classes bounds
 its intersection with any other from above, and only pairs that may link by that are measured exactly.
@@ -23,7 +25,7 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vacancia.session import TableSpool
 
@@ -36,9 +38,8 @@ SLICES = 16
 #: Classes of the sketch that bounds intersections, and bits of the filter of rows whose sets are asked for.
 CLASSES = 256
 FILTER_BITS = 1 << 23
-#: Members of a region that one task compares with one another, and pivots of a larger one at a time.
+#: Members of a region, or of a block of a larger one, that one task compares with one another.
 LOCAL = 256
-PIVOTS = 4
 
 
 def _summed(parts: DataFrame, join, kind, size: int) -> np.ndarray:
@@ -215,15 +216,48 @@ def _labelled(members: DataFrame, links: DataFrame, spool: TableSpool) -> DataFr
     return spool.cut(marked.join(mixed, "region"), "members")
 
 
-def _central(members: DataFrame, spool: TableSpool) -> DataFrame:
-    """(region, pivot): the members nearest to the last pivots, one from each of several parts of a region.
+def _meet_asked(percent: int):
+    """Pairs of an asking member and a member of its block that are in different components and may link."""
 
-    A member that is near to all others is near to any pivot too, so it is found soon; each part
-    names its nearest member, by an aggregate that gathers nothing.
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        asking = frame["asks"].to_numpy()
+        rows, labels = frame["x"].to_numpy(), frame["label"].to_numpy()
+        grid = np.array([np.frombuffer(s, np.uint32) for s in frame["sketch"]], np.int64)
+        sizes = grid.sum(1)
+        others = np.flatnonzero(~asking)
+        found = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(asking):
+            both = np.minimum(grid[i], grid[others]).sum(1)
+            either = sizes[i] + sizes[others] - both
+            at = others[(100 * both >= percent * either) & (labels[others] != labels[i])]
+            found.append(np.stack([np.full(len(at), rows[i]), rows[at]], 1))
+        pairs = np.sort(np.concatenate(found), 1)
+        return pd.DataFrame({"region": 0, "x": pairs[:, 0], "pivot": pairs[:, 1]})
+
+    return meet
+
+
+def _asking(members: DataFrame, spool: TableSpool) -> DataFrame:
+    """(region, x, label, members): members outside the largest component of their region, so many at a time.
+
+    Those of the largest component need not ask: whoever may join it asks them.
     """
-    part = F.pmod(F.xxhash64("x"), F.lit(PIVOTS))
-    best = members.groupBy("region", part.alias("part")).agg(F.min(F.struct("d", "x")).getField("x").alias("pivot"))
-    return spool.cut(best.select("region", "pivot"), "pivots")
+    sizes = members.groupBy("region", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("region").agg(F.max(F.struct("n", "label")).getField("label").alias("main"))
+    others = members.join(main, "region").where("label <> main")
+    # the first of a region are found in each map task before the shuffle
+    others = others.withColumn("place", F.row_number().over(Window.partitionBy("region").orderBy("x")))
+    return spool.cut(others.where(F.col("place") <= LOCAL).select("region", "x", "label", "members"), "asking")
+
+
+def _asked_blocks(members: DataFrame, asking: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(region, x, pivot) of asking members and others of their region; a task holds one block of a region."""
+    blocks = F.ceil(F.col("members") / LOCAL).cast("int")
+    asked = members.join(asking.select("region").distinct(), "region")
+    asked = asked.select("region", F.pmod(F.xxhash64("x"), blocks).cast("int").alias("block"), "x", "label", F.lit(False).alias("asks"))
+    asks = asking.select("region", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "x", "label", F.lit(True).alias("asks"))
+    both = asked.unionByName(asks).join(sketches.withColumnRenamed("row", "x"), "x")
+    return both.groupBy("region", "block").applyInPandas(_meet_asked(percent), "region long, x long, pivot long")
 
 
 def shingle_components(
@@ -273,17 +307,16 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
         few, many = members.where(F.col("members") <= LOCAL), members.where(F.col("members") > LOCAL)
         local = few.select("region", "x", "label").join(sketches.withColumnRenamed("row", "x"), "x")
         met = local.groupBy("region").applyInPandas(_meet(percent), "region long, x long, pivot long").distinct()
+        asking = _asking(many, spool)
+        more = bool(asking.limit(1).count())
+        if more:
+            met = met.unionByName(_asked_blocks(many, asking, sketches, percent)).distinct()
         found = distances.of(met).where(linked).select(*ends)
         links = spool.cut(links.unionByName(found), "links")
-        pivots = _central(many, spool)
-        if not pivots.limit(1).count():
+        if not more:
             break
-        asked = many.select("region", "x").join(pivots, "region").where("x <> pivot")
-        measured = distances.of(asked)
-        links = spool.cut(links.unionByName(measured.where(linked).select(*ends)), "links")
-        done = pivots.select("region", F.col("pivot").alias("x"))
-        left = measured.join(done, ["region", "x"], "left_anti").groupBy("region", "x").agg(F.min("d").alias("d"))
-        members = _labelled(left, links, spool)
+        left = many.join(asking.select("region", "x"), ["region", "x"], "left_anti")
+        members = _labelled(left.select("region", "x", "d"), links, spool)
 
     reached = components(links, spool)
     grouped = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left")
