@@ -332,7 +332,7 @@ def s_level(title: str, description: str) -> str:
     from vacancia import fixed_values as V
 
     arms = [f"WHEN regexp_matches({s_low(title)}, {sql_text(p)}) THEN {sql_text(n)}" for n, p in V.TITLE_LEVELS.items()]
-    years = f"nullif(regexp_extract(lower(left(coalesce({description}, ''), {V.EXPERIENCE_WINDOW})), {sql_text(V.YEARS_OF_EXPERIENCE)}, 1), '')"
+    years = f"nullif(regexp_extract(lower(coalesce({description}, '')), {sql_text(V.YEARS_OF_EXPERIENCE)}, 1), '')"
     arms.append(f"WHEN {years} IS NULL THEN NULL")
     arms += [f"WHEN CAST({years} AS DOUBLE) <= {b} THEN '{n}'" for b, n in V.YEARS_LEVELS]
     return f"CASE {' '.join(arms)} ELSE 'lead' END"

@@ -11,7 +11,7 @@ from vacancia.operators import normalize as NO, reports
 from vacancia.operators.resolve import with_keys
 from vacancia.schema import POSTING_FIELDS, conform_schema
 from vacancia.operators.ordering import with_batches
-from vacancia.functions.prompts import BLOCKS, DESCRIPTION_CHARS, profile_prompt
+from vacancia.functions.prompts import BLOCKS, profile_prompt
 
 from .base import (
     JOBS, POSTING_TYPES, jobs, on_jobs, query, s_blank, s_collapse, s_date, s_first_match, s_job_type,
@@ -517,7 +517,7 @@ SCORE_BLOCK_SQL = f"""'[JOB ' || idx || ']' || chr(10) || 'Title: ' || {_none('t
   || chr(10) || 'Language required: ' || {_none("coalesce(nullif(language_required, ''), language)")}
   || chr(10) || 'Experience: ' || {_none('experience_level')}
   || chr(10) || 'Salary: ' || {FORMAT_SALARY_SQL.format(c=_none('salary_currency'))}
-  || chr(10) || 'Description:' || chr(10) || left(coalesce(description, ''), 3000) || chr(10)"""
+  || chr(10) || 'Description:' || chr(10) || coalesce(description, '') || chr(10)"""
 BATCHED = "batched AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 5 AS batch_id, CAST((row_number() OVER (ORDER BY seq) - 1) % 5 AS INTEGER) AS idx FROM {src})"
 
 
@@ -525,14 +525,14 @@ def _or(c: str, default: str) -> str:
     return f"coalesce(nullif({c}, ''), '{default}')"
 
 
-SKILLS_BLOCK_SQL = f"'--- JOB ' || idx || ' ---' || chr(10) || 'Title: ' || {_or('title', 'Untitled')} || chr(10) || 'Description:' || chr(10) || left(coalesce(description, ''), 3000) || chr(10)"
+SKILLS_BLOCK_SQL = f"'--- JOB ' || idx || ' ---' || chr(10) || 'Title: ' || {_or('title', 'Untitled')} || chr(10) || 'Description:' || chr(10) || coalesce(description, '') || chr(10)"
 SALARY_BLOCK_SQL = (
     f"'--- JOB ' || idx || ' ---' || chr(10) || 'Title: ' || {_or('title', 'Untitled')} || chr(10) || 'Company: ' || {_or('company', 'Unknown')} || chr(10) || "
-    f"'Location: ' || {_or('location', 'Unknown')} || ', ' || coalesce(country, '') || chr(10) || 'Description:' || chr(10) || left(coalesce(description, ''), 1500) || chr(10)"
+    f"'Location: ' || {_or('location', 'Unknown')} || ', ' || coalesce(country, '') || chr(10) || 'Description:' || chr(10) || coalesce(description, '') || chr(10)"
 )
 LANGUAGE_BLOCK_SQL = (
     f"'--- JOB ' || idx || ' ---' || chr(10) || 'Title: ' || {_or('title', 'Untitled')} || chr(10) || 'Company: ' || {_or('company', 'Unknown')} || chr(10) || "
-    f"'Location: ' || {_or('location', 'Unknown')} || chr(10) || 'Description:' || chr(10) || left(coalesce(description, ''), 2500) || chr(10)"
+    f"'Location: ' || {_or('location', 'Unknown')} || chr(10) || 'Description:' || chr(10) || coalesce(description, '') || chr(10)"
 )
 
 
@@ -563,6 +563,3 @@ PROFILE = "Ada Example, product owner, Berlin. English and German."
 def join_profile_cross(spark, sf):
     # one profile per run: a literal in the plan, so nothing is joined
     return with_batches(jobs(spark, sf)).select("seq", profile_prompt(PROFILE, F.col("idx")).alias("prompt"))
-
-
-assert DESCRIPTION_CHARS == {"score": 3000, "skills": 3000, "language": 2500, "salary": 1500}

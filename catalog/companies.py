@@ -123,7 +123,7 @@ _ROUTED = f"routed AS (SELECT seq, job_url AS url, {ROUTE_SQL[0]} AS platform, {
     on_jobs(
         """SELECT platform, slug AS target, min(seq) AS first_seq FROM routed WHERE slug IS NOT NULL GROUP BY 1, 2
         UNION ALL SELECT platform, url, min(seq) FROM routed WHERE slug IS NULL AND platform <> 'generic' GROUP BY 1, 2
-        UNION ALL (SELECT platform, url, seq FROM routed WHERE platform = 'generic' ORDER BY seq LIMIT 20)""",
+        UNION ALL (SELECT platform, url, seq FROM routed WHERE platform = 'generic')""",
         _ROUTED,
     ),
 )
@@ -161,12 +161,13 @@ def sink_registry(spark, sf):
 
 
 def sitemaps(spark, sf):
-    """A sitemap per posting: its URLs, one per line."""
+    """A sitemap per posting: its URLs, one per line or all in one line."""
     body = F.concat(
         F.lit("<urlset>\n<url><loc>https://a.example.com/about</loc></url>\n<url><loc>"), F.col("job_url"), F.lit("</loc></url>\n"),
         F.lit("<loc>"), F.coalesce("company_url", F.lit("")), F.lit("</loc>\n<loc>https://a.example.com/Join-Us</loc>\n</urlset>"),
     )
-    return jobs(spark, sf).select("seq", body.alias("sitemap"))
+    one_line = F.replace(body, F.lit("\n"), F.lit(""))
+    return jobs(spark, sf).select("seq", F.when(F.col("seq") % 2 == 0, body).otherwise(one_line).alias("sitemap"))
 
 
 def _career(x: str) -> str:
@@ -205,7 +206,7 @@ _U, _H, _S = wide_sql("probe_url"), wide_sql("probe_html"), wide_sql("site_url")
     "discover_careers",
     f"""WITH probes AS (SELECT {_PAGE_DOMAIN} AS domain, page_id AS ordinal, {_PROBE_URL} AS probe_url, {_PROBE_HTML} AS probe_html FROM pages),
     sites AS (SELECT {_PAGE_DOMAIN} AS domain, page_id % 4 AS ordinal, CASE WHEN page_id % 5 = 0 THEN 'https://jobs.ashbyhq.com/c' || page_id WHEN page_id % 11 = 0 THEN url || '/jobs' END AS site_url, page_id FROM pages),
-    candidates AS (SELECT domain, 0 AS step, page_id AS ordinal, site_url AS career_url, {_S[0]} AS ats, {_S[1]} AS slug FROM sites WHERE site_url IS NOT NULL AND ordinal < 3
+    candidates AS (SELECT domain, 0 AS step, page_id AS ordinal, site_url AS career_url, {_S[0]} AS ats, {_S[1]} AS slug FROM sites WHERE site_url IS NOT NULL
       UNION ALL SELECT domain, 1, ordinal, probe_url, coalesce({_U[0]}, {_H[0]}), CASE WHEN {_U[0]} IS NOT NULL THEN {_U[1]} ELSE {_H[1]} END
       FROM probes WHERE coalesce({_U[0]}, {_H[0]}) IS NOT NULL OR {career_sql('probe_html')})
     SELECT domain, career_url, ats, slug FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY step, CASE WHEN step = 0 THEN ordinal % 4 ELSE ordinal END, career_url) AS rn FROM candidates) WHERE rn = 1""",

@@ -116,7 +116,7 @@ def skill_items(batched):
 
 
 _SKILLS_SQL = f"""SELECT seq, batch_id, idx, CASE WHEN NOT {_BY_INDEX} OR giver IS NULL OR giver % 10 = 1 THEN ''
-  WHEN giver % 10 = 0 THEN {"|| ';' ||".join(f"'s{n}'" for n in range(1, 26))} ELSE 'skill ' || giver || ';Agile' END AS skills
+  WHEN giver % 10 = 0 THEN {"|| ';' ||".join(f"'s{n}'" for n in range(1, 31))} ELSE 'skill ' || giver || ';Agile' END AS skills
   FROM (SELECT *, {_GIVER} AS giver FROM batched)"""
 
 
@@ -138,7 +138,7 @@ def join_batch_response(spark, sf):
 
 
 @query("fn_skills_parse", on_jobs(
-    f"""SELECT seq, CASE WHEN seq % 10 = 1 THEN '' WHEN seq % 10 = 0 THEN {"|| ';' ||".join(f"'s{n}'" for n in range(1, 26))} ELSE 'skill ' || seq || ';Agile' END AS skills FROM jobs"""
+    f"""SELECT seq, CASE WHEN seq % 10 = 1 THEN '' WHEN seq % 10 = 0 THEN {"|| ';' ||".join(f"'s{n}'" for n in range(1, 31))} ELSE 'skill ' || seq || ';Agile' END AS skills FROM jobs"""
 ))
 def fn_skills_parse(spark, sf):
     # one response per posting, a lone object
@@ -167,11 +167,12 @@ _NEEDING = BATCHED.format(src="jobs WHERE coalesce(salary_min, 0) = 0 AND coales
 
 @query("apply_salary_estimates", on_jobs(
     "SELECT seq, " + ", ".join(f"CASE WHEN {_BY_INDEX} AND giver IS NOT NULL THEN {e.format(g='giver')} END AS {n}" for n, e in _EST.items())
-    + f" FROM (SELECT *, {_GIVER} AS giver FROM batched)", _NEEDING))
+    + f" FROM (SELECT *, {_GIVER} AS giver FROM batched) UNION ALL SELECT seq, NULL, NULL, NULL FROM jobs WHERE coalesce(salary_min, 0) <> 0 OR coalesce(salary_max, 0) <> 0", _NEEDING))
 def apply_salary_estimates(spark, sf):
-    batched = with_batches(FL.needs_salary_estimate(jobs(spark, sf))).select("seq", "batch_id", "idx")
+    postings = jobs(spark, sf)
+    batched = with_batches(FL.needs_salary_estimate(postings)).select("seq", "batch_id", "idx")
     answers = responses(batched, F.to_json(F.struct(_index(), *_salary_json())))
-    return EN.apply_salary_estimates(batched, answers).select("seq", *_EST)
+    return EN.apply_salary_estimates(postings, batched, answers).select("seq", *_EST)
 
 
 @query("fn_salary_estimate_parse", on_jobs("SELECT seq, " + ", ".join(f"{e.format(g='seq')} AS {n.removeprefix('salary_estimated_')}" for n, e in _EST.items()) + " FROM jobs"))
@@ -208,13 +209,12 @@ _AI_SQL = f"""answers AS (SELECT *, {_BY_INDEX} AND giver IS NOT NULL AS has, {_
     CASE WHEN has AND said_l <> 'unknown' AND coalesce(nullif(listing_language, ''), 'unknown') = 'unknown' THEN said_l ELSE listing_language END AS listing_language,
     CASE WHEN has AND said_r NOT IN ('', 'unknown') AND coalesce(nullif(language_required, ''), 'unknown') = 'unknown' THEN said_r ELSE language_required END AS language_required,
     CASE WHEN has AND said_r NOT IN ('', 'unknown') AND coalesce(nullif(language_required, ''), 'unknown') = 'unknown' THEN said_r ELSE language END AS language
-    FROM answers""", BATCHED.format(src="jobs WHERE coalesce(ai_detected_language, '') = ''") + ", " + _AI_SQL))
+    FROM answers UNION ALL SELECT seq, ai_detected_language, listing_language, language_required, language FROM jobs WHERE coalesce(ai_detected_language, '') <> ''""", BATCHED.format(src="jobs WHERE coalesce(ai_detected_language, '') = ''") + ", " + _AI_SQL))
 def backfill_ai_language(spark, sf):
-    batched = with_batches(FL.needs_ai_language(jobs(spark, sf))).select(
-        "seq", "batch_id", "idx", "ai_detected_language", "listing_language", "language_required", "language"
-    )
+    postings = jobs(spark, sf)
+    batched = with_batches(FL.needs_ai_language(postings)).select("seq", "batch_id", "idx")
     answers = responses(batched, F.to_json(F.struct(_index(), *_language_json())))
-    return EN.backfill_ai_language(batched, answers).select("seq", "ai_detected_language", "listing_language", "language_required", "language")
+    return EN.backfill_ai_language(postings, batched, answers).select("seq", "ai_detected_language", "listing_language", "language_required", "language")
 
 
 # --- batches and pages ---------------------------------------------------------------------------------------

@@ -348,7 +348,7 @@ def src_foundit_cards(spark, sf):
     page = F.concat(
         F.lit("<html><body><div class='list'><div class=\"card srpResultCardContainer\"><a class=\"job-tittle x\" href=\"/job/"), number, F.lit("\"> "), escaped(F.col("title")),
         F.lit(" </a><span class=\"company-name\">"), escaped(F.col("company")), F.lit("</span><span class='loc'>"), escaped(F.col("location")),
-        F.lit("</span><p class=\"job-desc\">great <b>job</b></p><i class=\"posted-date\"> 3 days ago</i></div><div class=\"srpResultCardContainer\"><h2><a href='https://other/"), number,
+        F.lit("</span><div class=\"job-desc\"><div>great </div><div><b>job</b></div></div><i class=\"posted-date\"> 3 days ago</i></div><div class=\"srpResultCardContainer\"><h2><a href='https://other/"), number,
         F.lit("'>B "), text_number("k"), F.lit("</a></h2></div><div class=\"srpResultCardContainer\">no title</div></div></body></html>"),
     )
     # texts between tags are trimmed one by one, so "great " and "job" meet without a space
@@ -415,9 +415,11 @@ def enriched_pages(spark, sf):
         F.when(i % 5 == 0, F.lit("<meta content='Site Name' property='og:site_name'/>")).otherwise(""),
         F.coalesce(F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json">'), ld, F.lit("</script>")), F.lit("")),
     )
+    # containers with nested ones, some of them very long
+    long = F.when(i % 14 == 0, 2000).otherwise(30)
     body = F.concat(
         F.when(i % 6 == 0, F.lit('<span class="tag location"> Remote, Bonn </span><time datetime="2024-12-13T10:00">x</time>')).otherwise(""),
-        F.when(i % 7 == 0, F.concat(F.lit('<div class="job-description">'), F.repeat(F.lit("<i>some words</i> "), 30), F.lit("</div>"))).otherwise(""),
+        F.when(i % 7 == 0, F.concat(F.lit('<div class="job-description"><div>'), F.repeat(F.lit("<i>some words</i> "), 20), F.lit("</div><div><DIV>"), F.repeat(F.lit("<i>some words</i> "), long - 20), F.lit("</DIV></div ></div><div>no more</div>"))).otherwise(""),
     )
     return table(spark, sf, "pages").select(
         i.alias("seq"), "url", F.replace(F.replace(F.col("html"), F.lit("</head>"), F.concat(head, F.lit("</head>"))), F.lit("</article>"), F.concat(F.lit("</article>"), body)).alias("html")
@@ -444,7 +446,7 @@ _PAGE_TITLE = f"CASE WHEN page_id % 3 = 0 THEN 'OG & ' || page_id ELSE {s_text_o
          "location": f"CASE WHEN page_id % 4 = 0 THEN 'Bonn' WHEN {_SIX} THEN 'Remote, Bonn' END", "country": "CASE WHEN page_id % 4 = 0 THEN 'DE' END",
          "date_posted": f"CASE WHEN page_id % 4 = 0 THEN '2024-08-09' WHEN page_id % 4 = 2 THEN '2024-10-11' WHEN {_SIX} THEN '2024-12-13' END",
          "is_remote": f"CASE WHEN {_SIX} OR contains(lower(title), 'remote') THEN TRUE END", "job_url": "url",
-         "description": "left(CASE WHEN page_id % 7 = 0 THEN array_to_string(list_transform(range(30), lambda n: 'some words'), chr(10)) WHEN length(article) >= 100 THEN article ELSE body END, 5000)"}
+         "description": "CASE WHEN page_id % 7 = 0 THEN array_to_string(list_transform(range(CASE WHEN page_id % 14 = 0 THEN 2000 ELSE 30 END), lambda n: 'some words'), chr(10)) WHEN length(article) >= 100 THEN article ELSE body END"}
     ).replace("seq", "page_id AS seq", 1)
     + f" FROM (SELECT page_id, url, {_PAGE_TITLE} AS title, {_ARTICLE} AS article, regexp_replace({_BODY}, '\\z', {_EXTRA}) AS body FROM pages)",
 )
@@ -467,7 +469,7 @@ def src_jsonld_jobposting(spark, sf):
     "SELECT " + s_posting(
         {"source": "'ats_discovery'", "ats_platform": "'personio'", "title": s_text_of(s_element("html", "h1")), "company": "'Acme ' || page_id", "job_url": "'https://acme-' || page_id || '.jobs.personio.de/job/1'",
          "description": _ARTICLE, "location": "CASE WHEN page_id % 6 = 0 THEN 'Remote, Bonn' END"}
-    ).replace("seq", "page_id AS seq", 1).replace(f"CAST({_ARTICLE}", f"CAST(CASE WHEN page_id % 7 = 0 THEN array_to_string(list_transform(range(30), lambda n: 'some words'), chr(10)) ELSE {_ARTICLE} END") + " FROM pages",
+    ).replace("seq", "page_id AS seq", 1).replace(f"CAST({_ARTICLE}", f"CAST(CASE WHEN page_id % 7 = 0 THEN array_to_string(list_transform(range(CASE WHEN page_id % 14 = 0 THEN 2000 ELSE 30 END), lambda n: 'some words'), chr(10)) ELSE {_ARTICLE} END") + " FROM pages",
 )
 def src_personio_page(spark, sf):
     url = F.concat(F.lit("https://acme-"), F.col("seq").cast("string"), F.lit(".jobs.personio.de/job/1"))

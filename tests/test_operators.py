@@ -109,9 +109,7 @@ def test_global_index(spark):
     assert [got[i] for i in order] == list(range(1000))
 
 
-def test_lookup_treats_hot_and_missing_keys_apart(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "HOT_ROWS", 10)
-    monkeypatch.setattr(lookup, "HOT_SHARE", 4)
+def test_lookup_with_a_hot_key_and_missing_keys(spark):
     left = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("4", 2), ("none", 3)], "k string, v int")
     for how in ("left", "inner"):

@@ -41,7 +41,6 @@ TITLE_LEVELS = {
 YEARS_OF_EXPERIENCE = r"\b(\d+)\+?\s+years?\s+(of\s+)?experience"
 # upper bound of years -> level; more years than the last bound is "lead"
 YEARS_LEVELS = [(1, "entry"), (3, "junior"), (6, "mid"), (10, "senior")]
-EXPERIENCE_WINDOW = 2000  # leading characters of a description that count for the level
 
 # --- fixed values: dates, tried in order; the shape of a text tells which formats can fit --
 DATE_SHAPES = {
@@ -512,7 +511,6 @@ CAREER_SIGNALS = [
     "open roles", "job listings",
 ]
 MIN_CAREER_SIGNALS = 2
-SITEMAPS_PER_DOMAIN = 3
 
 # --- fixed values: feed categories by search word, first match wins -----------------------------------
 FEED_CATEGORIES = {
@@ -541,8 +539,6 @@ PAGE_SIZE = 25
 RECENT_COMPANIES = 10
 TRACKED_SHOWN = 20
 MODEL_BATCH = 5
-MAX_SKILLS = 25
-PAGE_DESCRIPTION = 5000
 MIN_PAGE_DESCRIPTION = 100
 
 # --- fixed values: application tracker ------------------------------------------------------------------------

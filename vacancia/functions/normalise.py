@@ -96,10 +96,14 @@ def _level_of_years(digits: Column) -> Column:
     return level.otherwise(F.lit("lead"))
 
 
-def experience_level(title: Column, description: Column) -> Column:
-    """Seniority from the title, else from years of experience asked for early in the text."""
-    opening = F.lower(F.substring(F.coalesce(description, F.lit("")), 1, V.EXPERIENCE_WINDOW))
-    digits = F.regexp_extract(opening, UNICODE + V.YEARS_OF_EXPERIENCE, 1)
+def experience_level(title: Column, description: Column, window: int | None = None) -> Column:
+    """Seniority from the title, else from the first years of experience that the text asks for.
+
+    ``window`` leaves only so many leading characters of the text to count.
+    """
+    text = F.coalesce(description, F.lit(""))
+    text = F.lower(text if window is None else F.substring(text, 1, window))
+    digits = F.regexp_extract(text, UNICODE + V.YEARS_OF_EXPERIENCE, 1)
     return F.coalesce(let(lowered(title), _level_of_title), let(digits, _level_of_years))
 
 

@@ -74,10 +74,11 @@ def reasoning_text(answer: Column) -> Column:
     return out
 
 
-def skills(answer: Column, limit: int = V.MAX_SKILLS) -> Column:
-    """Trimmed skills of one answer without empty entries, the first ``limit`` of them."""
+def skills(answer: Column, limit: int | None = None) -> Column:
+    """Trimmed skills of one answer without empty entries; only the first ``limit`` if one is given."""
     listed = F.filter(field(answer, "skills", "array<string>"), lambda s: F.length(s) > 0)
-    return F.slice(F.transform(listed, strip), 1, limit)
+    trimmed = F.transform(listed, strip)
+    return trimmed if limit is None else F.slice(trimmed, 1, limit)
 
 
 def salary_estimate(answer: Column) -> Column:

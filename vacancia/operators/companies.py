@@ -98,10 +98,11 @@ def companies_to_fetch(classified: DataFrame) -> DataFrame:
     )
 
 
-def route_urls(urls: DataFrame) -> DataFrame:
-    """Targets to fetch: companies by slug, other platform pages by URL, a few generic pages.
+def route_urls(urls: DataFrame, generic_limit: int | None = None) -> DataFrame:
+    """Targets to fetch: companies by slug, other platform pages by URL, generic pages.
 
-    Equal slugs on two platforms are two companies.
+    Equal slugs on two platforms are two companies. ``generic_limit`` keeps only so many generic
+    pages, the first ones.
     """
     classified = classify_urls(valid_job_urls(urls))
     by_company = companies_to_fetch(classified).withColumnRenamed("slug", "target")
@@ -110,9 +111,10 @@ def route_urls(urls: DataFrame) -> DataFrame:
         .groupBy("platform", F.col("url").alias("target"))
         .agg(F.min("seq").alias("first_seq"))
     )
-    generic = first_urls(classified.filter(F.col("platform") == "generic")).select(
-        "platform", F.col("url").alias("target"), F.col("seq").alias("first_seq")
-    )
+    generic = classified.filter(F.col("platform") == "generic")
+    if generic_limit is not None:
+        generic = first_urls(generic, generic_limit)
+    generic = generic.select("platform", F.col("url").alias("target"), F.col("seq").alias("first_seq"))
     return by_company.unionByName(single).unionByName(generic)
 
 
@@ -121,18 +123,19 @@ def _place(step: int) -> Column:
     return F.struct(F.lit(step).alias("step"), F.col("ordinal").cast("bigint").alias("ordinal"), F.col("url").alias("url")).alias("_order")
 
 
-def discover_careers(sitemaps: DataFrame, probes: DataFrame) -> DataFrame:
+def discover_careers(sitemaps: DataFrame, probes: DataFrame, sitemaps_per_domain: int | None = None) -> DataFrame:
     """Careers page and platform per domain out of landed sitemap and page contents.
 
     ``sitemaps(domain, ordinal, url)`` holds the first careers URL found in each of a domain's
     sitemaps, ``probes(domain, ordinal, url, html)`` the pages found under the usual paths,
     ordered by path. Sitemaps come first; of the pages the first that names a platform, in its
-    URL or its text, or that reads like a careers page.
+    URL or its text, or that reads like a careers page. ``sitemaps_per_domain`` leaves out the
+    sitemaps beyond the first so many.
     """
+    if sitemaps_per_domain is not None:
+        sitemaps = sitemaps.filter(F.col("ordinal") < sitemaps_per_domain)
     site_ats, site_slug = page_platform(F.col("url"))
-    from_sitemaps = sitemaps.filter(
-        (F.col("ordinal") < V.SITEMAPS_PER_DOMAIN) & F.col("url").isNotNull()
-    ).select("domain", _place(0), F.col("url").alias("career_url"), site_ats.alias("ats"), site_slug.alias("slug"))
+    from_sitemaps = sitemaps.filter(F.col("url").isNotNull()).select("domain", _place(0), F.col("url").alias("career_url"), site_ats.alias("ats"), site_slug.alias("slug"))
 
     url_ats, url_slug = page_platform(F.col("url"))
     html_ats, html_slug = page_platform(F.col("html"))
@@ -151,11 +154,8 @@ def discover_careers(sitemaps: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def sitemap_career_url(sitemap: Column) -> Column:
-    """First URL of a sitemap that speaks of careers, null if none does.
-
-    One URL is read per line, the first.
-    """
-    urls = F.transform(F.split(sitemap, r"\r\n|\n|\r"), lambda line: F.regexp_extract(line, r"<loc>(.*?)</loc>", 1))
+    """First URL of a sitemap that speaks of careers, null if none does."""
+    urls = F.regexp_extract_all(sitemap, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
     hit = F.filter(urls, lambda url: F.lower(url).rlike("|".join(V.CAREER_URL_WORDS)))
     return F.get(hit, F.lit(0))
 

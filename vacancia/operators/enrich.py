@@ -60,18 +60,33 @@ def apply_skills(batched: DataFrame, responses: DataFrame) -> DataFrame:
     ).drop("value")
 
 
-def apply_salary_estimates(batched: DataFrame, responses: DataFrame) -> DataFrame:
-    """Add the estimated salary bounds and currency, null where there is no estimate."""
-    value = R.salary_estimate(F.col("answer"))
-    joined = join_answers(batched, answers_by_index(responses, value))
-    return joined.withColumns(
-        {f"salary_estimated_{name}": F.col(f"value.{name}") for name in ("min", "max", "currency")}
-    ).drop("value")
+def _with_answers(postings: DataFrame, asked: DataFrame, responses: DataFrame, value: Column) -> DataFrame:
+    """All postings, with the answer to those that were asked about as ``value``.
+
+    ``asked`` has (seq, batch_id, idx) of the postings that went into batches.
+    """
+    given = asked.select("seq", "batch_id", "idx").join(answers_by_index(responses, value), ["batch_id", "idx"])
+    return postings.join(given.select("seq", "value"), "seq", "left")
+
+
+def apply_salary_estimates(postings: DataFrame, asked: DataFrame, responses: DataFrame) -> DataFrame:
+    """All postings with the estimated salary bounds and currency.
+
+    A posting without an estimate keeps the one it had, null if it had none.
+    """
+    joined = _with_answers(postings, asked, responses, R.salary_estimate(F.col("answer")))
+
+    def estimated(name: str) -> Column:
+        before = f"salary_estimated_{name}"
+        value = F.when(F.col("value").isNotNull(), F.col(f"value.{name}"))
+        return value.otherwise(F.col(before)) if before in postings.columns else value
+
+    return joined.withColumns({f"salary_estimated_{name}": estimated(name) for name in ("min", "max", "currency")}).drop("value")
 
 
-def backfill_ai_language(batched: DataFrame, responses: DataFrame) -> DataFrame:
-    """Store the model's answer, and fill languages with it where they are unknown."""
-    joined = join_answers(batched, answers_by_index(responses, R.language_answer(F.col("answer"))))
+def backfill_ai_language(postings: DataFrame, asked: DataFrame, responses: DataFrame) -> DataFrame:
+    """All postings, with the model's answer stored and languages filled with it where they are unknown."""
+    joined = _with_answers(postings, asked, responses, R.language_answer(F.col("answer")))
     said_required, said_listing = F.col("value.language_required"), F.col("value.listing_language")
 
     def unknown(c: str) -> Column:

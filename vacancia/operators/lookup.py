@@ -4,34 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: a key is hot if it holds more than this part of all rows, so there are fewer hot keys than this
-HOT_SHARE = 1000
-#: below this many rows no key is worth treating apart
-HOT_ROWS = 1_000_000
-
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join ``left`` to ``right``, which has one row per key; inner or left.
 
-    A key that holds more than a thousandth of the rows would make one task do a large part of
-    the work. There are fewer than a thousand such keys, so their rows of ``right`` are
-    broadcast and the hot rows of ``left`` stay where they are. Rows without a key match
-    nothing and are not shuffled either. ``left`` is read several times and should be cheap
-    to read.
+    Rows without a key match nothing, so they are set apart and not shuffled. A key that holds many
+    rows lies in one shuffle partition of ``left``, which adaptive execution splits; each part meets
+    the same few rows of ``right``. For a left join ``left`` is read twice and should be cheap to read.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"left or inner, not {how}")
-    total = left.count()
-    if total <= HOT_ROWS:
-        return left.join(right, key, how)
-    keyed = left.filter(F.col(key).isNotNull())
-    hot = F.broadcast(
-        keyed.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > total // HOT_SHARE).select(key)
-    )
-    rows_of_hot = F.broadcast(right.join(hot, key, "left_semi"))
-    joined = keyed.join(hot, key, "left_semi").join(rows_of_hot, key, how).unionByName(
-        keyed.join(hot, key, "left_anti").join(right, key, how)
-    )
+    joined = left.filter(F.col(key).isNotNull()).join(right, key, how)
     if how == "inner":
         return joined
     return joined.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)

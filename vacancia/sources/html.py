@@ -1,7 +1,7 @@
 """Pieces of HTML by pattern: attributes, elements and their text.
 
-Pages are searched as text. An element is taken up to its first closing tag, which is exact
-for elements that do not nest in themselves.
+Pages are searched as text. An element ends at the closing tag that balances its opening tag, so
+elements of the same name may lie within it; where tags do not balance it ends at the first one.
 """
 
 from __future__ import annotations
@@ -29,31 +29,49 @@ def text_of(fragment: Column, separator: str = "") -> Column:
     return F.array_join(F.filter(texts, lambda t: F.length(t) > 0), separator)
 
 
+def _after(page: Column, opening: Column) -> Column:
+    """What follows the first place of an opening tag; null if the tag is empty."""
+    return let(
+        opening, lambda o: F.when(F.length(o) > 0, F.substring(page, F.instr(page, o) + F.length(o), F.length(page)))
+    )
+
+
+def _up_to_close(rest: Column, tag: Column) -> Column:
+    """What precedes the closing tag of an element whose opening tag was just left; null if none closes.
+
+    The text is cut at the closing tags of that name. The element ends with the first piece up to
+    which as many elements of the name were opened as closed.
+    """
+    opening = F.concat(F.lit("(?i)<"), tag, F.lit(r"(?=[\s/>])"))
+
+    def step(state: Column, piece: Column) -> Column:
+        still = state["open"] + F.regexp_count(piece, opening)
+        goes_on = F.struct((still - 1).alias("open"), (state["n"] + 1).alias("n"))
+        return F.when(state["open"] < 0, state).otherwise(goes_on)
+
+    def balanced(pieces: Column) -> Column:
+        # the last piece has no closing tag behind it
+        closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("n"))
+        ended = F.aggregate(closed, start, step, lambda s: F.when(s["open"] < 0, s["n"]).otherwise(1))
+        # the function of this name in Python takes constants only
+        whole = F.call_function("array_join", F.slice(closed, F.lit(1), ended), F.concat(F.lit("</"), tag, F.lit(">")))
+        return F.when(F.size(pieces) > 1, whole)
+
+    return let(F.split(rest, F.concat(F.lit("(?i)</"), tag, F.lit(r"\s*>"))), balanced)
+
+
 def element(html: Column, tag: str, may_stay_open: bool = False) -> Column:
     """Inside of the first element with this tag, null if there is none.
 
     An element that is never closed counts only if it may stay open, and then goes on to the
     end, as the body of a page that was cut off.
     """
-    close = f"</{tag}>"
-
-    def up_to_close(rest: Column) -> Column:
-        # plain search for the usual way to write the closing tag, a pattern for the others
-        unusual = rf"(?i)^([\s\S]*?)</{tag}\s*>"
-        inside = F.when(F.contains(rest, F.lit(close)), F.substring_index(rest, close, 1)).when(
-            rest.rlike(unusual), F.regexp_extract(rest, unusual, 1)
-        )
-        return inside.otherwise(rest) if may_stay_open else inside
+    def inside(rest: Column) -> Column:
+        found = _up_to_close(rest, F.lit(tag))
+        return F.coalesce(found, rest) if may_stay_open else found
 
-    def after_open(page: Column) -> Column:
-        opening = F.regexp_extract(page, rf"(?i)<{tag}\b[^>]*>", 0)
-        rest = let(
-            opening,
-            lambda o: F.when(F.length(o) > 0, F.substring(page, F.instr(page, o) + F.length(o), F.length(page))),
-        )
-        return let(rest, up_to_close)
-
-    return let(html, after_open)
+    return let(html, lambda page: let(_after(page, F.regexp_extract(page, rf"(?i)<{tag}\b[^>]*>", 0)), inside))
 
 
 def _has_class(name: str) -> str:
@@ -84,8 +102,12 @@ def select(html: Column, selector: str) -> Column:
     if _is_tag(selector):
         return element(html, selector)
     literal, condition = _condition(selector)
-    pattern = rf"<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*?\s{condition}[^>]*>([\s\S]*?)</\1\s*>"
-    return _gated(html, literal, F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 2)))
+    opening = F.regexp_extract(html, rf"<[a-zA-Z][a-zA-Z0-9]*\b[^>]*?\s{condition}[^>]*>", 0)
+
+    def inside(found: Column) -> Column:
+        return _up_to_close(_after(html, found), F.regexp_extract(found, r"^<([a-zA-Z0-9]+)", 1))
+
+    return _gated(html, literal, let(opening, inside))
 
 
 def opening_tag(html: Column, selector: str) -> Column:

@@ -27,7 +27,7 @@ def _first_of(html: Column, selectors: list[str]) -> Column:
     return F.coalesce(*[H.select(html, s) for s in selectors])
 
 
-def _description(html: Column) -> Column:
+def _description(html: Column, chars: int | None) -> Column:
     """Text of the first container with more than 100 characters, else of the body."""
     containers = F.filter(F.array(*[H.select(html, s) for s in DESCRIPTION_SELECTORS]), lambda c: c.isNotNull())
     body = H.text_of(F.regexp_replace(H.element(html, "body", may_stay_open=True), H.CHROME, ""), "\n")
@@ -39,7 +39,7 @@ def _description(html: Column) -> Column:
         return F.coalesce(long_enough, just_enough, body, last)
 
     chosen = let(F.transform(containers, lambda c: H.text_of(c, "\n")), choose)
-    return blank_to_null(F.substring(chosen, 1, V.PAGE_DESCRIPTION))
+    return blank_to_null(chosen if chars is None else F.substring(chosen, 1, chars))
 
 
 def _date(html: Column) -> Column:
@@ -97,8 +97,11 @@ def map_job_posting_json_ld(pages: DataFrame) -> DataFrame:
     )
 
 
-def map_generic_page(pages: DataFrame) -> DataFrame:
-    """Any page as a posting; a JSON-LD posting in it overrides day and place."""
+def map_generic_page(pages: DataFrame, description_chars: int | None = None) -> DataFrame:
+    """Any page as a posting; a JSON-LD posting in it overrides day and place.
+
+    ``description_chars`` cuts descriptions to so many characters.
+    """
     html = F.col("html")
     # what is used more than once comes first, as columns of its own
     rows = pages.withColumns(
@@ -130,7 +133,7 @@ def map_generic_page(pages: DataFrame) -> DataFrame:
             "date_posted": F.coalesce(F.left(ld("$.datePosted"), F.lit(10)), _date(html)),
             "is_remote": remote_from_text(F.col("_place"), F.col("_title")),
             "job_url": F.col("url"),
-            "description": _description(html),
+            "description": _description(html, description_chars),
         },
     )
 
