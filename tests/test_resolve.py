@@ -1,12 +1,13 @@
-"""Duplicate resolution against the plain sequential version."""
+"""Duplicate resolution against its rule, row by row."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-import sequential
+import resolution_rule as rule
 from vacancia.operators import resolve as RS
+from vacancia.session import TableSpool
 
 SCHEMA = (
     "seq long, source string, ats_platform string, title string, company string, location string, country string, "
@@ -37,31 +38,37 @@ def random_rows(seed, n):
     return rows
 
 
-def as_dicts(rows):
-    return [dict(zip(NAMES, r)) for r in rows]
+KEYS = ["seq", "norm_url", "norm_title", "norm_company", "dup_key"]
+
+
+def led(spark, df, fuzzy):
+    """(keys, leaders) by seq."""
+    keyed = RS.with_keys(df).select(*KEYS)
+    leaders = RS.assign_leaders(keyed, fuzzy, TableSpool(spark, "test"))
+    return {r["seq"]: r.asDict() for r in keyed.collect()}, dict(leaders.collect())
 
 
 @pytest.mark.parametrize("fuzzy", [False, True])
-def test_matches_sequential(spark, fuzzy):
+def test_leaders_and_merged_rows_follow_the_rule(spark, fuzzy):
     rows = random_rows(7, 260)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5, "title")
-    got = {r["seq"]: {n: r[n] for n in sequential.FIELDS} for r in RS.resolve(df, fuzzy).collect()}
-    want = sequential.resolve(as_dicts(rows), fuzzy)
-    assert sorted(got) == sorted(want)
-    for seq in want:
-        assert got[seq] == want[seq], seq
+    keyed, leaders = led(spark, df, fuzzy)
+    assert len(leaders) == len(rows) and rule.wrong_leaders(keyed, leaders, fuzzy) == []
+    groups = {}
+    for row in sorted(rows):
+        groups.setdefault(leaders[row[0]], []).append(dict(zip(NAMES, row)))
+    assert max(map(len, groups.values())) > 2
+    got = {r["seq"]: {n: r[n] for n in NAMES[1:]} for r in RS.resolve(df, fuzzy).collect()}
+    assert sorted(got) == sorted(groups)
+    for seq, group in groups.items():
+        assert got[seq] == rule.merged(group, NAMES[1:]), seq
 
 
 def test_small_fronts_take_more_rounds_to_the_same_end(spark, monkeypatch):
-    rows = random_rows(11, 200)
-    want = sequential.leaders([(r[0], r[3], r[4], r[13]) for r in rows], True)
     monkeypatch.setattr(RS, "FIRST_FRONT", 2)
     monkeypatch.setattr(RS, "LARGEST_FRONT", 3)
-    from vacancia.session import TableSpool
-
-    keyed = RS.with_keys(spark.createDataFrame(rows, SCHEMA)).select("seq", "norm_url", "norm_title", "norm_company", "dup_key")
-    got = dict(RS.assign_leaders(keyed, True, TableSpool(spark, "test")).collect())
-    assert got == want
+    keyed, leaders = led(spark, spark.createDataFrame(random_rows(11, 200), SCHEMA), True)
+    assert rule.wrong_leaders(keyed, leaders, True) == []
 
 
 def test_no_chaining(spark):
@@ -69,8 +76,6 @@ def test_no_chaining(spark):
     rows = [(1, "Product Owner", "Acme", "https://x/1"), (2, "Product Owner", "Acme", "https://x/2"), (3, "Cook", "Diner", "https://x/2")]
     df = spark.createDataFrame(rows, "seq long, title string, company string, job_url string")
     keyed = RS.with_keys(df).select("seq", "norm_url", "norm_title", "norm_company", "dup_key")
-    from vacancia.session import TableSpool
-
     got = dict(RS.assign_leaders(keyed, False, TableSpool(spark, "test")).collect())
     assert got == {1: 1, 2: 1, 3: 3}
 
@@ -108,7 +113,7 @@ def test_similar_names_share_a_token(spark):
     df = spark.createDataFrame(pairs, "a string, b string").select(
         "a", "b", F.arrays_overlap(RS.company_tokens(F.col("a")), RS.company_tokens(F.col("b"))).alias("meet")
     )
-    similar = [r for r in df.collect() if r["b"] and sequential.alike(r["a"], r["b"], 90)]
+    similar = [r for r in df.collect() if r["b"] and rule.alike(r["a"], r["b"], 90)]
     assert len(similar) > 100 and all(r["meet"] for r in similar)
 
 
