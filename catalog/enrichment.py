@@ -301,25 +301,19 @@ def tracker_fold(spark, sf):
     return TR.fold(events(spark, sf))
 
 
-def _only(kinds: str) -> str:
-    return TRACKER_SQL.replace("FROM log WHERE", f"FROM log WHERE kind IN ({kinds}) AND", 1).replace(
-        "kind IN ('notes', 'delete') OR status <> 'bogus'", "(kind IN ('notes', 'delete') OR status <> 'bogus')", 1)
-
-
-@query("tracker_status_update", _only("'save', 'status'") + " SELECT job_url, status, date_applied, updated_at FROM applications")
+@query("tracker_status_update", TRACKER_SQL + " SELECT job_url, status, date_applied, updated_at FROM applications")
 def tracker_status_update(spark, sf):
-    log = events(spark, sf).filter(F.col("kind").isin("save", "status"))
-    return TR.fold(log).select("job_url", "status", "date_applied", "updated_at")
+    return TR.fold(events(spark, sf)).select("job_url", "status", "date_applied", "updated_at")
 
 
-@query("tracker_notes_update", _only("'save', 'notes'") + " SELECT job_url, notes, updated_at FROM applications")
+@query("tracker_notes_update", TRACKER_SQL + " SELECT job_url, notes, updated_at FROM applications")
 def tracker_notes_update(spark, sf):
-    return TR.fold(events(spark, sf).filter(F.col("kind").isin("save", "notes"))).select("job_url", "notes", "updated_at")
+    return TR.fold(events(spark, sf)).select("job_url", "notes", "updated_at")
 
 
-@query("tracker_delete", _only("'save', 'delete'") + " SELECT job_url, title, date_saved FROM applications")
+@query("tracker_delete", TRACKER_SQL + " SELECT job_url, title, date_saved FROM applications")
 def tracker_delete(spark, sf):
-    return TR.fold(events(spark, sf).filter(F.col("kind").isin("save", "delete"))).select("job_url", "title", "date_saved")
+    return TR.fold(events(spark, sf)).select("job_url", "title", "date_saved")
 
 
 @query("tracker_validate", f"WITH {EVENTS_SQL} SELECT seq, status FROM log WHERE kind IN ('save', 'status') AND status = 'bogus'")
