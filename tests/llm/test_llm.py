@@ -14,7 +14,7 @@ from vacancia.llm import shingle_join
 from vacancia.llm.common import tokenizer_path
 from vacancia.llm.exact_dedup import CuckooIndex, apply_changes, exact_dedup
 from vacancia.llm.line_dedup import dedup_lines
-from vacancia.llm.packing import Packer, pack
+from vacancia.llm.packing import Packer, TextIds, pack
 from vacancia.llm.pieces import PieceCoder, decode_pieces, encode_pieces, piece_digests
 from vacancia.llm.secret_scan import secret_digests
 from vacancia.llm.shingle_join import shingle_components
@@ -407,3 +407,18 @@ def test_cuckoo_index_inserts_deletes_and_grows():
             live.discard(digest)
     assert {d for d, _ in index.items()} == live and all(index.maybe(d) for d in live)
     assert index.resizes > 0 and len(index) == len(live)
+
+
+def test_text_ids_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    draw = random.Random(4)
+    signs = "ab Z's9\t\n\r\u0085 　é٣中😀.,\x00\x1c"
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(80))) for _ in range(500)]
+    texts += ["", "x<|endoftext|> y<|endoftext", "a" * 50_000, " " * 200_000 + "x", "\n" * 70_000]
+    for name, ranked in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        library, ids = Tokenizer.from_file(tokenizer_path(name)), TextIds(tokenizer_path(name))
+        assert bool(ids._by_rank) == ranked
+        for text in texts:
+            expected = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids(text), "<u4").tolist() == expected

@@ -11,6 +11,7 @@ Rows move as lengths only: a shard holds a bounded number of documents whatever
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import zlib
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from vacancia.session import TableSpool
 
-from .chunks import spaced_chunks
 from .common import id_and_text, per_process, tokenizer_path
 
 CAPACITY = 1024
@@ -38,55 +38,59 @@ GENERATIONS = 8
 WELL_FILLED = 0.98
 
 
-_MARKS = (".", ",")
-_BLANK = re.compile(r"\s")
-
-
-class ChunkIds:
-    """The ids of a text (packed as 32-bit little-endian), each distinct chunk encoded once."""
+#: How byte-level vocabularies cut texts, and the bytes they write as themselves.
+WORD_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRINTED_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+#: A run of white space too long for a pattern that looks ahead.
+_LONG_BLANK = re.compile(r"\s{65536}")
+
+
+def _ranks(described: dict) -> dict[bytes, int] | None:
+    """The ranks of a byte-level vocabulary, or None where ids do not say which merge comes first."""
+    model, cutter = described["model"], described["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True)
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    if not plain or cutter.get("add_prefix_space") or described["normalizer"] or any(model.get(x) for x in odd):
+        return None
+    if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in described["added_tokens"]):
+        return None
+    added = {x["content"] for x in described["added_tokens"]}
+    vocabulary = {name: i for name, i in model["vocab"].items() if name not in added}
+    pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+    merged = [vocabulary.get(left + right, -1) for left, right in pairs]
+    singles = [i for name, i in vocabulary.items() if len(name) == 1]
+    if len(singles) != 256 or merged != sorted(set(merged)) or merged[0] <= max(singles) or len(merged) + 256 != len(vocabulary):
+        return None
+    others = [b for b in range(256) if b not in PRINTED_BYTES]
+    byte = {chr(b): b for b in PRINTED_BYTES} | {chr(256 + n): b for n, b in enumerate(others)}
+    return {bytes(byte[c] for c in name): i for name, i in vocabulary.items()}
+
+
+class TextIds:
+    """The ids the tokenizers library gives for a text, packed as 32-bit little-endian.
+
+    Vocabularies whose ids follow the order of their merges are encoded by their ranks, which gives
+    the same ids at a third of the time; all others, and texts with huge white space, by the library.
+    """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._line_end = self._tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self._marks = dict(zip(_MARKS, self._encode(list(_MARKS))))
-        self._known: dict[str, bytes] = {}
-        self._room = room
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words that each follow a space: one text with a word to a line, cut at the line
-        ends, which are tokens of their own. Words with white space inside are encoded one by one."""
-        plain = [word for word in words if not _BLANK.search(word)]
-        known = {}
-        if plain:
-            ids = np.array(self._tokenizer.encode_batch_fast(["".join([f" {w}\n" for w in plain]) + "."], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self._line_end)
-            if len(ends) == len(plain):
-                starts = np.concatenate([[0], ends[:-1] + 1])
-                data = ids.tobytes()
-                known = {w: data[4 * a : 4 * b] for w, a, b in zip(plain, starts.tolist(), ends.tolist())}
-        rest = [word for word in words if word not in known]
-        known.update(zip(rest, self._encode([" " + word for word in rest])))
-        return [known[word] for word in words]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        known = self._known
-        if len(known) > self._room:
-            known.clear()
-        cut = [spaced_chunks(text) for text in texts]
-        new = set().union(*(rest for _, rest in cut)).difference(known)
-        # a word of letters and the mark after it are never joined, so most words need no second encoding
-        marked = [word for word in new if word[-1:] in _MARKS and word[:-1].isalpha()]
-        plain = list(new.difference(marked).union([word[:-1] for word in marked if word[:-1] not in known]))
-        known.update(zip(plain, self._encode_words(plain)))
-        known.update([(word, known[word[:-1]] + self._marks[word[-1]]) for word in marked])
-        firsts = self._encode([first for first, _ in cut])
-        return [first + b"".join([known[part] for part in rest]) for first, (_, rest) in zip(firsts, cut)]
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        ranks = _ranks(described)
+        special = {x["content"]: x["id"] for x in described["added_tokens"]}
+        self._by_rank = ranks and tiktoken.Encoding(
+            "by rank", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special
+        )
+
+    def __call__(self, text: str) -> bytes:
+        if self._by_rank and not (len(text) >= 65536 and _LONG_BLANK.search(text)):
+            return self._by_rank.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -96,14 +100,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, i
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_process(("chunk ids", vocabulary), lambda: ChunkIds(vocabulary))
+        encoder = per_process(("text ids", vocabulary), lambda: TextIds(vocabulary))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, min(64, batch.num_rows - at))
                 rows, pieces, starts, lengths, sums = [], [], [], [], []
-                for i, ids in enumerate(encoder.batch(part.column(1).to_pylist())):
-                    ids += end
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    ids = encoder(text) + end
                     total = len(ids) // 4
                     cuts = [0, *range(total % capacity or capacity, total + 1, capacity)]
                     for piece, (start, stop) in enumerate(zip(cuts, cuts[1:])):
