@@ -16,6 +16,7 @@ import random
 import re
 import zlib
 from bisect import bisect_left, insort
+from functools import cached_property
 from typing import Iterator
 
 import numpy as np
@@ -76,9 +77,8 @@ class TextIds:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
+        self._path = path
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         ranks = _ranks(described)
@@ -87,6 +87,13 @@ class TextIds:
             "by rank", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
 
+    @cached_property
+    def _tokenizer(self):
+        """The library's own, read when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
+
     def __call__(self, text: str) -> bytes:
         if self._by_rank and not (len(text) >= 65536 and _LONG_BLANK.search(text)):
             return self._by_rank.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
