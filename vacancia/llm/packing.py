@@ -260,8 +260,10 @@ def evolve_shards(
         F.array().cast("array<int>").alias("genomes"),
         F.lit(None).cast("array<int>").alias("migrant"),
     )
+    # little data but much work: with their number given, these partitions are not merged by size
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for epoch in range(epochs):
-        spread = state.repartition("shard", "island")
+        spread = state.repartition(tasks, "shard", "island")
         state = spool.cut(spread.mapInPandas(_epoch(capacity, population, generations, epoch), shape), "epoch")
         if epoch + 1 < epochs:
             elites = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
