@@ -15,7 +15,7 @@ from vacancia.llm.common import documents  # noqa: E402
 from vacancia.llm.line_dedup import dedup_lines  # noqa: E402
 from vacancia.llm.packing import pack  # noqa: E402
 from vacancia.llm.secret_scan import scan_secrets  # noqa: E402
-from vacancia.llm.shingle_join import shingle_components  # noqa: E402
+from vacancia.llm.shingle_join import row_number, shingle_groups  # noqa: E402
 from vacancia.llm.toxicity import learn, score_toxicity  # noqa: E402
 from vacancia.session import TableSpool  # noqa: E402
 
@@ -43,10 +43,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    groups = shingle_components(docs, NEAR_WORDS, NEAR_PERCENT)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies: the smallest id, null ids last, and the first row of it.
+
+    Rows are told apart by their number, since ids may repeat or be null. Texts without words all stay.
+    """
+    groups = shingle_groups(docs, NEAR_WORDS, NEAR_PERCENT)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = groups.where("n_shingles > 0").groupBy("group").agg(F.min(place).getField("row").alias("row"))
+    kept = first.select("row").unionByName(groups.where("n_shingles = 0").select("row"))
+    return docs.withColumn("row", row_number()).join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def _masked(text: Column, found: Column) -> Column:

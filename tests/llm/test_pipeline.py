@@ -196,3 +196,14 @@ def test_run(spark, folder, docs):
     model = learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     want = secrets_out(copies_out(lines_out(toxic_out(ROWS, model))))
     assert packed(P.run(spark, folder)) == pieces(want)
+
+
+def test_near_copies_of_repeated_and_null_ids(spark, tmp_path):
+    near, other = changed(NEAR, 7), " ".join(word() for _ in range(30))
+    ids = [(5, " ".join(NEAR)), (5, other), (2, near), (7, " ".join(PLAIN)), (7, " ".join(PLAIN)), (None, other), (None, "a lone text here")]
+    ids += [(None, f"{NEAR[0]} alone"), (None, f"{NEAR[0]} alone"), (9, None), (9, ""), (None, " ")]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in ids]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/docs")
+    wordless = [r for r in rows if not shingle_set(r[1])]
+    want = collections.Counter(copies_out([r for r in rows if shingle_set(r[1])]) + wordless)
+    assert rows_of(P.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/docs"), "")) == want

@@ -25,7 +25,7 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vacancia.session import TableSpool
 
@@ -271,15 +271,37 @@ def shingle_components(
     ids take part and get the smallest id of their component, null if it has none; repeated rows are
     in one component. An empty table gives no rows. Shingles are told apart by 64-bit hashes.
     """
+    placed = shingle_groups(docs, size, percent, id_col, text_col)
+    smallest = placed.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("smallest"))
+    return placed.join(smallest, "group", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def shingle_groups(
+    docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of a stored table: doc_id, row, n_shingles, group.
+
+    ``row`` is the number that ``row_number`` gives the row, and ``group`` names its component (see
+    ``shingle_components``); it is null for a text without words.
+    """
     with small_batches(docs.sparkSession):
-        return _components(docs, size, percent, id_col, text_col)
+        return _groups(docs, size, percent, id_col, text_col)
+
+
+def row_number() -> Column:
+    """A number for each row of a stored table, the same whenever the table is read."""
+    return F.monotonically_increasing_id()
 
 
-def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """All steps are written before the last joins, which need no Python."""
+def _groups(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """All steps are written before the result is read, which needs no Python."""
     spark = docs.sparkSession
     spool = TableSpool(spark, "shingle-join")
-    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    rows = id_and_text(docs, id_col, text_col).withColumn("row", row_number())
     frequency = spark.sparkContext.broadcast(_frequencies(rows, size))
     sets = spool.cut(_sets(rows, frequency, size, percent), "sets")
     digest = ["n", "one", "two"]
@@ -322,9 +344,4 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     grouped = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.select(*digest, F.coalesce("component", "rep").alias("group"))
     placed = spool.cut(sets.select("doc_id", "row", *digest).join(grouped, digest, "left"), "placed")
-    smallest = placed.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("smallest"))
-    return placed.join(smallest, "group", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return placed.select("doc_id", "row", F.col("n").alias("n_shingles"), "group")
