@@ -248,6 +248,34 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_knows_all_words_of_examples(spark):
+    """Toxic words of their own in every few texts are terms too, however few texts have them."""
+    rng, rows, labels = random.Random(8), [], []
+    bad = [f"bad{word()}{i}" for i in range(40)]
+    for i in range(1200):
+        toxic = i % 4 == 0
+        words = [word() for _ in range(40)] + (rng.sample(bad, 3) if toxic else [])
+        rows.append((i, " ".join(words), 1, "k", 2))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    trained = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    assert set(model.terms) == {w for i in trained for w in rows[i][1].split()}
+    texts = collections.Counter(w for r in rows for w in set(r[1].split()))
+    training = collections.Counter(w for i in trained for w in set(rows[i][1].split()))
+    toxic = collections.Counter(w for i in trained if labels[i][1] for w in set(rows[i][1].split()))
+    rate = (sum(labels[i][1] for i in trained) + 0.5) / (len(trained) + 1)
+    weights = []
+    for w in model.terms:
+        share = (toxic[w] + 5 * rate) / (training[w] + 5)
+        tells = abs(np.log(share / (1 - share)) - np.log(rate / (1 - rate)))
+        weights.append((np.log(1201 / (1 + texts[w])) + 1) * tells**2)
+    assert model._weights == pytest.approx(weights)
+    got = {r.doc_id: r.predicted for r in score_toxicity(docs, model).collect()}
+    held = [(got[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(p == y for p, y in held) / len(held) > 0.9
+
+
 def test_toxicity_without_labels(docs, empty):
     model = learn(docs, empty.select("doc_id", F.lit(1).alias("toxic")))
     rows = score_toxicity(docs, model).collect()

@@ -1,13 +1,16 @@
 """Toxicity by nearest labelled examples.
 
-Terms that tell the two labels apart are chosen from counts over all labelled training texts. The
-examples, a bounded sample of those texts, are vectors of TF-IDF weights over the terms, held in an
-inverted index whose postings lie in blocks of examples; for each term and block the index knows the
-largest weight. A text's nearest examples by cosine are found exactly: blocks are scored in the order
-of their upper bounds, and none is left out whose bound reaches the k-th best score. The neighbours
-vote with weights that fall with distance, corrected for how the sample was drawn. A logistic curve
-fitted to the examples' own votes (each without itself) makes the vote a probability. The neighbours
-and the terms shared with the nearest one are the evidence.
+The examples, a bounded sample of the labelled training texts, are vectors over all words that occur
+in any of them. A word weighs as much as it is rare among all documents and as it tells the two labels
+apart: by how far the share of label 1 among its training texts is from the general share, in log odds.
+The share is drawn to the general one by a fixed number of texts, so the weight does not depend on how
+large the corpus is, and no word is left out. The vectors are held in an inverted index whose postings
+lie in blocks of examples; for each term and block the index knows the largest weight. A text's nearest
+examples by cosine are found exactly: blocks are scored in the order of their upper bounds, and none is
+left out whose bound reaches the k-th best score. The neighbours vote with weights that fall with
+distance, corrected for how the sample was drawn. A logistic curve fitted to the examples' own votes
+(each without itself) makes the vote a probability. The neighbours and the heaviest terms are the
+evidence.
 """
 
 from __future__ import annotations
@@ -19,20 +22,22 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import id_and_text
 
-#: The bounds of what is learnt: terms, and examples of each label (the rows with the smallest hashes).
-TERMS = 1000
+#: The bound of what is learnt: examples of each label (the rows with the smallest hashes).
 EXAMPLES = 4000
-#: A term must occur in this many training texts.
-LEAST_TEXTS = 5
-#: A term's texts must differ from the general rate of the label by this many standard errors.
-LEAST_GAP = 6.0
+#: So many texts of the general share of label 1 are added to those of each word.
+PRIOR_TEXTS = 5.0
+#: The power of the distance in log odds in a word's weight.
+POWER = 2.0
 NEIGHBOURS = 15
 BLOCK = 512
 FOLDS = 5
+#: Terms that at least one of so many examples has are held as tables, the others as postings.
+DENSE = 8
 
 _WORD = re.compile(r"\w+")
 
@@ -46,43 +51,56 @@ class BlockMaxIndex:
     """Example vectors by term, with the largest weight of each block."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int):
-        self.size = len(vectors)
-        blocks = max(1, -(-self.size // BLOCK))
-        self._limits = np.zeros((terms, blocks))
-        by_term: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for i, vector in enumerate(vectors):
-            for t, w in vector.items():
-                by_term[t].append((i, w))
-                self._limits[t, i // BLOCK] = max(self._limits[t, i // BLOCK], w)
-        self._postings = [(np.array([i for i, _ in held], np.int32), np.array([w for _, w in held])) for held in by_term]
-        self._blocks: list[np.ndarray] | None = None
+        self.size, self._terms = len(vectors), terms
+        self._ids = np.repeat(np.arange(self.size, dtype=np.int32), [len(v) for v in vectors])
+        self._of = np.fromiter((t for v in vectors for t in v), np.int32, len(self._ids))
+        self._weights = np.fromiter((w for v in vectors for w in v.values()), float, len(self._ids))
+        order = np.argsort(self._of, kind="stable")
+        self._ids, self._of, self._weights = self._ids[order], self._of[order], self._weights[order]
+        self._tables: tuple | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_blocks": None}
-
-    def _laid_out(self) -> list[np.ndarray]:
-        """The postings of each block as a table of terms by examples, made once in each process."""
-        if self._blocks is None:
-            whole = np.zeros((len(self._postings), self._limits.shape[1] * BLOCK))
-            for t, (ids, weights) in enumerate(self._postings):
-                whole[t, ids] = weights
-            self._blocks = [np.ascontiguousarray(x) for x in np.split(whole, self._limits.shape[1], axis=1)]
-        return self._blocks
+        return self.__dict__ | {"_tables": None}
+
+    def _laid_out(self) -> tuple:
+        """(limits, first postings, rows of the tables, tables by block), made once in each process."""
+        if self._tables is None:
+            blocks = max(1, -(-self.size // BLOCK))
+            limits = np.zeros((self._terms, blocks))
+            np.maximum.at(limits, (self._of, self._ids // BLOCK), self._weights)
+            counts = np.bincount(self._of, minlength=self._terms)
+            common = np.flatnonzero(counts * DENSE >= max(self.size, 1))
+            row = np.full(self._terms, -1, np.int64)
+            row[common] = np.arange(len(common))
+            whole = np.zeros((len(common), blocks * BLOCK))
+            held = row[self._of] >= 0
+            whole[row[self._of[held]], self._ids[held]] = self._weights[held]
+            tables = [np.ascontiguousarray(x) for x in np.split(whole, blocks, axis=1)]
+            self._tables = (limits, np.concatenate([[0], np.cumsum(counts)]), row, tables)
+        return self._tables
 
     def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example) with a cosine above zero, ties by the smaller example."""
         terms = list(vector)
         if not terms:
             return []
-        blocks = self._laid_out()
-        weights = np.array([vector[t] for t in terms])
-        bounds = weights @ self._limits[terms]
+        limits, starts, row, tables = self._laid_out()
+        terms = np.array(terms)
+        weights = np.array(list(vector.values()))
+        bounds = weights @ limits[terms]
+        common = row[terms] >= 0
+        rows, strong = row[terms[common]], weights[common]
+        # all postings of the other terms, one after another
+        first = starts[terms[~common]]
+        sizes = starts[terms[~common] + 1] - first
+        at = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+        rest = np.bincount(self._ids[at], np.repeat(weights[~common], sizes) * self._weights[at], len(tables) * BLOCK)
         best: list[tuple[float, int]] = []
         for block in np.argsort(-bounds, kind="stable"):
             if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-12:
                 break
-            scores = weights @ blocks[block][terms]
             first = int(block) * BLOCK
+            scores = strong @ tables[block][rows] + rest[first : first + BLOCK]
             at = np.flatnonzero(scores > (max(0.0, -best[-1][0] - 1e-9) if len(best) == k else 0.0))
             if len(at) > 4 * k:  # all that can be among the k best, ties and the one left out included
                 at = at[scores[at] >= np.partition(scores[at], -k - 1)[-k - 1] - 1e-9]
@@ -92,10 +110,10 @@ class BlockMaxIndex:
 
 
 class ToxicityModel:
-    """Terms, examples and the curve; bounded by TERMS and EXAMPLES whatever the corpus is."""
+    """Terms, examples and the curve; bounded by the words of EXAMPLES whatever the corpus is."""
 
-    def __init__(self, terms: list[str], idf: list[float], rates: tuple[float, float]):
-        self.terms, self._idf = terms, idf
+    def __init__(self, terms: list[str], weights: list[float], rates: tuple[float, float]):
+        self.terms, self._weights = terms, weights
         self._place = {t: i for i, t in enumerate(terms)}
         # training rows that an example of each label stands for
         self._rates = rates
@@ -107,10 +125,13 @@ class ToxicityModel:
 
     def vector(self, text: str) -> dict[int, float]:
         place = self._place
-        counts = Counter([place[w] for w in _WORD.findall(text.lower()) if w in place])
-        weights = {t: (1 + math.log(n)) * self._idf[t] for t, n in counts.items()}
+        return self.weighted(Counter([place[w] for w in _WORD.findall(text.lower()) if w in place]))
+
+    def weighted(self, counts: dict[int, int]) -> dict[int, float]:
+        """The vector of a text that has each term so often; it is of length one."""
+        weights = {t: (1 + math.log(n)) * self._weights[t] for t, n in counts.items()}
         norm = math.sqrt(sum(w * w for w in weights.values()))
-        return {t: w / norm for t, w in sorted(weights.items())}
+        return {t: w / norm for t, w in sorted(weights.items())} if norm else {}
 
     def _vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, nearer ones and rarer rows counting for more."""
@@ -118,7 +139,7 @@ class ToxicityModel:
         total = sum(w for w, _ in votes)
         share = sum(w for w, y in votes if y) / total if total else self._plain
         nearness = near[0][0] if near else 0.0
-        # far neighbours say little: then the share of rows without any term counts
+        # far neighbours say little: then the share of rows without any term counts, or the general one
         return nearness * share + (1 - nearness) * self._plain
 
     def fit(self, examples: list[tuple[object, int, dict[int, float]]]) -> "ToxicityModel":
@@ -129,7 +150,8 @@ class ToxicityModel:
         rates = np.array([self._rates[y] for y in self._labels])
         bare = np.array([not v for v in vectors], bool)
         if len(bare):
-            self._plain = float((rates * self._labels * bare).sum() + 0.5) / float((rates * bare).sum() + 1)
+            general = float((rates * self._labels).sum() + 0.5) / float(rates.sum() + 1)
+            self._plain = (float((rates * self._labels * bare).sum()) + general) / float((rates * bare).sum() + 1)
         votes = [self._vote(self._index.nearest(v, NEIGHBOURS, i)) for i, v in enumerate(vectors)]
         self._curve = _logistic(np.array([_logit(v) for v in votes]), self._labels, rates)
         return self
@@ -171,26 +193,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float,
     return float(a), float(max(b, 1e-3))
 
 
-def _term_counts(training: DataFrame) -> DataFrame:
-    """(word, texts, toxic): in how many training texts a word is, counted in each batch first."""
+def _term_counts(rows: DataFrame, places) -> tuple[np.ndarray, np.ndarray]:
+    """In how many texts each term is, and in how many toxic ones; added up in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = places.value
+        counts = np.zeros((2, len(place)), np.int64)
         for batch in batches:
-            texts, toxic = Counter(), Counter()
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(_WORD.findall(text.lower()))
-                texts.update(words)
+                held = [place[w] for w in set(_WORD.findall(text.lower())) if w in place]
+                counts[0, held] += 1
                 if label:
-                    toxic.update(words)
-            words = list(texts)
+                    counts[1, held] += 1
+        at = np.flatnonzero(counts[0])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, counts[0, at], counts[1, at])], ["place", "texts", "toxic"])
+
+    counted = rows.select("text", "toxic").mapInArrow(count, "place long, texts long, toxic long")
+    found = counted.groupBy("place").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).toArrow()
+    whole = np.zeros((2, len(places.value)), np.int64)
+    for i, name in enumerate(("texts", "toxic")):
+        whole[i, found["place"].to_numpy()] = found[name].to_numpy()
+    return whole[0], whole[1]
+
+
+def _word_counts(rows: DataFrame) -> pa.Table:
+    """(doc_id, toxic, digest, words, counts) of example texts, sorted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(_WORD.findall(text.lower())) for text in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string())]
-                + [pa.array([c[w] for w in words], pa.int64()) for c in (texts, toxic)],
-                ["word", "texts", "toxic"],
+                [batch.column(i) for i in range(3)]
+                + [pa.array([list(c) for c in found], pa.list_(pa.string()))]
+                + [pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
+                ["doc_id", "toxic", "digest", "words", "counts"],
             )
 
-    counted = training.select("text", "toxic").mapInArrow(count, "word string, texts long, toxic long")
-    return counted.groupBy("word").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shape = f"doc_id {kind}, toxic int, digest long, words array<string>, counts array<int>"
+    found = rows.select("doc_id", "toxic", F.xxhash64("text").alias("digest"), "text").mapInArrow(count, shape)
+    return found.toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])
 
 
 def learn(
@@ -199,13 +241,12 @@ def learn(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    terms: int = TERMS,
     examples: int = EXAMPLES,
 ) -> ToxicityModel:
     """A model from the labelled rows that are not held out.
 
-    Terms come from counts over all of those rows, by how much knowing the term tells about the label;
-    examples are at most ``examples`` rows of each label. A document labelled twice counts as toxic
+    Examples are at most ``examples`` rows of each label, and terms are all their words. What a term
+    tells about the label comes from all of those rows, how rare it is from all documents. A document labelled twice counts as toxic
     if any label says so; null ids and null labels are left out. Without any label scores are 0.5.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -217,36 +258,24 @@ def learn(
     if not texts:
         return ToxicityModel([], [], (1.0, 1.0)).fit([])
 
-    # how far a term's texts are from the general rate of the label, in standard errors
-    rate = (toxic + 0.5) / (texts + 1)
-    gap = (F.col("toxic") - F.lit(rate) * F.col("texts")) / F.sqrt(F.lit(rate * (1 - rate)) * F.col("texts"))
-    chosen = _term_counts(training).where(F.col("texts") >= LEAST_TEXTS).withColumn("gap", F.abs(gap))
-    chosen = chosen.where(F.col("gap") >= LEAST_GAP).orderBy(F.desc("gap"), "word").limit(terms).select("word", "texts").collect()
-    words = [r["word"] for r in chosen]
-    idf = [math.log((1 + texts) / (1 + r["texts"])) + 1 for r in chosen]
-    rates = tuple(max(1.0, n / examples) for n in (texts - toxic, toxic))
-    model = ToxicityModel(words, idf, rates)
-
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sent.value.vector(text) for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)]
-                + [pa.array([list(v) for v in found], pa.list_(pa.int32()))]
-                + [pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))],
-                ["doc_id", "toxic", "places", "weights"],
-            )
-
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples) for y in (0, 1)]
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "toxic", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, toxic int, places array<int>, weights array<double>"
-    held = sorted(rows.mapInArrow(vectors, shape).limit(4 * examples).collect(), key=lambda r: (r["doc_id"], r["places"], r["weights"]))
-    return model.fit([(r["doc_id"], r["toxic"], dict(zip(r["places"], r["weights"]))) for r in held])
+    every = id_and_text(docs, id_col, text_col)
+    held = _word_counts(every.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").limit(4 * examples))
+    words = sorted(set(pc.unique(held["words"].combine_chunks().flatten()).to_pylist()))
+    place = {w: i for i, w in enumerate(words)}
+
+    places = docs.sparkSession.sparkContext.broadcast(place)
+    known_texts, known_toxic = _term_counts(training, places)
+    all_texts, _ = _term_counts(every.withColumn("toxic", F.lit(0)), places)
+    rate = (toxic + 0.5) / (texts + 1)
+    share = (known_toxic + PRIOR_TEXTS * rate) / (known_texts + PRIOR_TEXTS)
+    tells = np.abs(np.log(share / (1 - share)) - math.log(rate / (1 - rate))) ** POWER
+    rare = np.log((1 + every.count()) / (1 + all_texts)) + 1
+    rates = tuple(max(1.0, n / examples) for n in (texts - toxic, toxic))
+    model = ToxicityModel(words, (rare * tells).tolist(), rates)
+    found = zip(*(held[c].to_pylist() for c in ("doc_id", "toxic", "words", "counts")))
+    return model.fit([(i, y, model.weighted({place[w]: n for w, n in zip(ws, ns)})) for i, y, ws, ns in found])
 
 
 def score_toxicity(
@@ -272,17 +301,9 @@ def score_toxicity(
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *names))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, held = sent.value, {}
+        judge = sent.value
         for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                vector = judge.vector(text)
-                key = tuple(vector.items())
-                if key not in held:
-                    if len(held) > 50_000:
-                        held.clear()
-                    held[key] = judge.score_vector(vector)
-                found.append(held[key])
+            found = [judge.score(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("doc_id", *names)]
                 + [pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())],
