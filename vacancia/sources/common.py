@@ -23,10 +23,18 @@ DISCOVERY = "ats_discovery"
 def explode_items(raw: DataFrame, items: Column) -> DataFrame:
     """One row per item of a payload, with the item as ``item``."""
     return raw.select("*", F.posexplode(items).alias("_pos", "item")).withColumn(
-        "seq", F.col("seq") * ITEMS_PER_PAYLOAD + F.col("_pos")
+        "seq",
+        _within("seq", ROWS_PER_FEED // ITEMS_PER_PAYLOAD) * ITEMS_PER_PAYLOAD + _within("_pos", ITEMS_PER_PAYLOAD),
     )
 
 
+def _within(name: str, room: int) -> Column:
+    """A number that has a room of its own; beyond it rows would share their numbers, so the run stops."""
+    number = F.col(name)
+    says = F.concat(F.lit(f"{name} must be from 0 to {room - 1}, number the payloads anew (global_index): "), number.cast("string"))
+    return F.when(number.isNull() | number.between(0, room - 1), number).otherwise(F.raise_error(says))
+
+
 def to_postings(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     return rows.select("seq", *posting_columns(values))
 
@@ -59,9 +67,14 @@ def join_filled(parts: list[Column], separator: str) -> Column:
 
 
 def union_feeds(feeds: list[DataFrame]) -> DataFrame:
-    """All feeds in one frame; ``seq`` orders them feed by feed as given."""
+    """All feeds in one frame; ``seq`` orders them feed by feed as given.
+
+    A number outside its feed's room stops the run, since rows of two feeds would share it.
+    """
+    if len(feeds) > (1 << 63) // ROWS_PER_FEED:
+        raise ValueError(f"{len(feeds)} feeds, but row numbers have room for {(1 << 63) // ROWS_PER_FEED}")
     placed = [
-        df.withColumn("seq", F.lit(place).cast("bigint") * ROWS_PER_FEED + F.col("seq"))
+        df.withColumn("seq", F.lit(place).cast("bigint") * ROWS_PER_FEED + _within("seq", ROWS_PER_FEED))
         for place, df in enumerate(feeds)
     ]
     out = placed[0]
