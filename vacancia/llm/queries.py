@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .packing import pack
 from .pieces import piece_digests
+from .quality import score_quality
 from .secret_scan import secret_digests
 from .shingle_join import shingle_components
 from .spot_signatures import fingerprints_with_neighbours
@@ -125,3 +126,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return score_toxicity(docs, learn(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
+@query("op11_quality")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))

@@ -153,7 +153,7 @@ class ToxicityModel:
             general = float((rates * self._labels).sum() + 0.5) / float(rates.sum() + 1)
             self._plain = (float((rates * self._labels * bare).sum()) + general) / float((rates * bare).sum() + 1)
         votes = [self._vote(self._index.nearest(v, NEIGHBOURS, i)) for i, v in enumerate(vectors)]
-        self._curve = _logistic(np.array([_logit(v) for v in votes]), self._labels, rates)
+        self._curve = logistic(np.array([_logit(v) for v in votes]), self._labels, rates)
         return self
 
     def score(self, text: str) -> tuple[float, str]:
@@ -174,7 +174,7 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Weighted logistic regression on one number, slightly pulled to the identity."""
     a, b = 0.0, 1.0
     if not len(x) or weights.sum() <= 0:
