@@ -10,6 +10,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .packing import pack
+from .phrases import collocations
 from .pieces import piece_digests
 from .quality import score_quality
 from .secret_scan import secret_digests
@@ -131,3 +132,42 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_quality")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+PHRASE_SQL = r"""
+WITH w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+o AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k)),
+f AS (SELECT lang, k, ws[i:i + k - 1] AS words, count(*) AS f FROM o GROUP BY ALL),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 100),
+inside AS (
+  SELECT DISTINCT s.lang, s.words FROM (
+    SELECT lang, words[i:i + j - 1] AS words, f FROM (
+      SELECT lang, words, f, j, unnest(range(1, k - j + 2)) AS i
+      FROM c, (SELECT unnest(range(2, 5)) AS j) WHERE j < k)) AS s
+  JOIN c ON c.lang = s.lang AND c.words = s.words AND 100 * s.f >= 100 * c.f
+), cut AS (
+  SELECT c.lang, c.words, c.f AS a, l.f AS l, r.f AS r, t.n, x.i AS i,
+         (1000::HUGEINT * c.f * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM c ANTI JOIN inside USING (lang, words)
+  JOIN (SELECT unnest(range(1, 5)) AS i) AS x ON x.i < c.k
+  JOIN f AS l ON l.lang = c.lang AND l.words = c.words[1:x.i]
+  JOIN f AS r ON r.lang = c.lang AND r.words = c.words[x.i + 1:]
+  JOIN t ON t.lang = c.lang
+), weakest AS (
+  SELECT *, array_to_string(words, ' ') AS phrase FROM cut
+  QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, i) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM weakest QUALIFY rank <= 2000
+"""
+
+
+@query("op12_collocations", PHRASE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(documents(spark, folder))
