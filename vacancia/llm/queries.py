@@ -6,6 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import alignments
 from .common import documents
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
@@ -171,3 +172,8 @@ FROM weakest QUALIFY rank <= 2000
 @query("op12_collocations", PHRASE_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(documents(spark, folder))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return alignments(documents(spark, folder))
