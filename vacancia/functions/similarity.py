@@ -1,40 +1,86 @@
-"""Insert/delete similarity of short strings."""
+"""Insert/delete similarity of short strings, as column expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, IntegerType
 
-from .text import words
+from .text import let, words
+
+#: Letters of the one string that a number holds; the sum of two such numbers still is a signed 64-bit one.
+WORD = 62
+_FULL = (1 << WORD) - 1
+
+
+def _letters(c: Column) -> Column:
+    return F.split(c, "")
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def _places(letters: Column) -> Column:
+    """For each letter the places where it stands, as bits of one number for every WORD letters."""
+    parts = F.sequence(F.lit(0), F.floor((F.size(letters) - 1) / WORD).cast("int"))
+
+    def bits(letter: Column, part: Column) -> Column:
+        some = F.slice(letters, part * WORD + 1, F.lit(WORD))
+        marked = F.transform(some, lambda x, i: F.when(x == letter, _bit(i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(marked, F.lit(0).cast("long"), lambda total, x: total + x)
+
+    entries = F.transform(F.array_distinct(letters), lambda x: F.struct(x.alias("key"), F.transform(parts, lambda part: bits(x, part)).alias("value")))
+    return F.map_from_entries(entries)
+
 
+def _after(rows: Column, hits: Column) -> Column:
+    """One letter further: a set bit of ``rows`` is a place not yet matched; sums carry from part to part."""
 
-def _common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word per 64 characters of ``a``."""
-    if a == b:
-        return len(a)
-    if not a or not b:
-        return 0
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    rows = full
-    for ch in b:
-        hit = rows & places.get(ch, 0)
-        rows = ((rows + hit) | (rows - hit)) & full
-    return len(a) - rows.bit_count()
+    def part(state: Column, both: Column) -> Column:
+        held, hit = both["rows"], both["hits"].bitwiseAND(both["rows"])
+        total = held + hit + state["carry"]
+        now = total.bitwiseAND(F.lit(_FULL)).bitwiseOR(held - hit)
+        return F.struct(F.shiftright(total, WORD).alias("carry"), F.concat(state["done"], F.array(now)).alias("done"))
 
+    both = F.zip_with(rows, hits, lambda x, y: F.struct(x.alias("rows"), F.coalesce(y, F.lit(0).cast("long")).alias("hits")))
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("done"))
+    return F.aggregate(both, start, part, lambda state: state["done"])
 
-@pandas_udf(IntegerType())
-def _indel_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(x) + len(y) - 2 * _common_length(x, y) for x, y in zip(a, b)], dtype="int32")
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts; bits of a number are places in ``a``."""
+
+    def folded(places: Column) -> Column:
+        """All letters of ``b`` at one number for ``a``."""
+
+        def step(rows: Column, letter: Column) -> Column:
+            hit = rows.bitwiseAND(F.coalesce(F.get(F.element_at(places, letter), F.lit(0)), F.lit(0).cast("long")))
+            return (rows + hit).bitwiseOR(rows - hit).bitwiseAND(F.lit(_FULL))
+
+        return WORD - F.bit_count(F.aggregate(_letters(b), F.lit(_FULL), step))
+
+    def folded_parts(places: Column) -> Column:
+        """The same with several numbers for ``a``."""
+        count = F.floor((F.length(a) - 1) / WORD).cast("int") + 1
+        none = F.array().cast("array<bigint>")
+        rows = F.aggregate(
+            _letters(b),
+            F.array_repeat(F.lit(_FULL), count),
+            lambda rows, letter: _after(rows, F.coalesce(F.element_at(places, letter), none)),
+        )
+        return F.aggregate(rows, F.lit(0), lambda total, x: total + WORD - F.bit_count(x))
+
+    measured = let(
+        _places(_letters(a)), lambda places: F.when(F.length(a) <= WORD, folded(places)).otherwise(folded_parts(places))
+    )
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(a == b, F.length(a)).otherwise(measured)
 
 
 def indel_distance(a: Column, b: Column) -> Column:
-    """Number of insertions and deletions that turn ``a`` into ``b``."""
-    return _indel_distance(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+    """Number of insertions and deletions that turn ``a`` into ``b``; a missing text is an empty one."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    return F.length(a) + F.length(b) - 2 * common_length(a, b)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -52,33 +98,35 @@ def token_sort_similarity(a: Column, b: Column) -> Column:
     return similarity(sort_tokens(a), sort_tokens(b))
 
 
-def near(a: Column, b: Column, per_cent: int) -> Column:
-    """A test inside the JVM that every similar pair passes.
+def signature(c: Column) -> list[Column]:
+    """Two numbers that tell which letters a text has, and how often.
 
-    ``100 * (1 - d / (la + lb)) >= p`` is ``100 * d <= (100 - p) * (la + lb)``. Plain edit
-    distance never exceeds the insert/delete distance and the difference of lengths never
-    exceeds either.
+    Each letter, numbered among its like, sets one bit. An insertion or deletion changes one letter's
+    number and so at most one bit.
     """
-    total = F.length(a) + F.length(b)
-    allowed = F.floor(total * (100 - per_cent) / 100).cast("int")
-    return (a == b) | ((F.abs(F.length(a) - F.length(b)) <= allowed) & (F.levenshtein(a, b) <= allowed))
+    letters = F.array_sort(F.filter(_letters(c), lambda x: F.length(x) > 0))
+    numbered = F.transform(letters, lambda x, i: F.xxhash64(x, i - F.array_position(letters, x).cast("int")))
 
+    def bits(half: int) -> Column:
+        own = F.filter(numbered, lambda h: F.pmod(F.shiftright(h, 8), F.lit(2)) == half)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda total, h: total.bitwiseOR(_bit(F.pmod(h, F.lit(64)).cast("int"))))
 
-def _similar(a: str, b: str, per_cent: int) -> bool:
-    if a == b:
-        return True
-    total = len(a) + len(b)
-    return 100 * (total - 2 * _common_length(a, b)) <= (100 - per_cent) * total
+    return [bits(0), bits(1)]
 
 
-def both_similar(a: Column, b: Column, per_cent: int, c: Column, d: Column, other_per_cent: int) -> Column:
-    """``a`` is similar to ``b`` and ``c`` to ``d``; all four must have text."""
+def allowed_distance(a: Column, b: Column, per_cent: int) -> Column:
+    """``100 * (1 - d / (la + lb)) >= p`` is ``100 * d <= (100 - p) * (la + lb)``; the largest such d, of lengths."""
+    return F.floor((a + b) * (100 - per_cent) / 100).cast("int")
+
+
+def may_be_similar(a: list[Column], b: list[Column], sizes: tuple[Column, Column], per_cent: int) -> Column:
+    """A test of lengths and signatures that every similar pair passes; a few instructions, no text is read."""
+    allowed = allowed_distance(*sizes, per_cent)
+    differing = reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)])
+    return (F.abs(sizes[0] - sizes[1]) <= allowed) & (differing <= allowed)
 
-    @pandas_udf(BooleanType())
-    def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_similar(w, x, per_cent) and _similar(y, z, other_per_cent) for w, x, y, z in zip(a, b, c, d)],
-            dtype=bool,
-        )
 
-    return test(a, b, c, d)
+def similar(a: Column, b: Column, per_cent: int) -> Column:
+    """Both texts are similar. Plain edit distance never exceeds the insert/delete distance and is tried first."""
+    allowed = allowed_distance(F.length(a), F.length(b), per_cent)
+    return (a == b) | ((F.levenshtein(a, b) <= allowed) & (indel_distance(a, b) <= allowed))

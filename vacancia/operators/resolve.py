@@ -7,8 +7,13 @@ and C together: this is the first maximal independent set in ``seq`` order, not
 connected components.
 
 How it runs. Everything two duplicates can share is a *token*: the URL, the key and, for
-similar keys, pieces of the company name chosen so that no similar pair can miss each other.
-In each round
+similar keys, a *circle* of companies together with a class of title lengths. Companies are
+compared first, each distinct name once: a circle is one name and the names similar to it that
+come after it, so any two rows of similar companies meet in exactly one circle and class. What a
+title looks like is a *signature* of its letters, two numbers; rows that meet are told apart by
+lengths and signatures within the join, and only what passes is read as text.
+
+Rows that have many duplicates go in rounds. In each round
 
 * the first rows of each token (at most ``front`` of them, kept per map task before the
   shuffle) are compared with one another; a row that is among the first of *all* its tokens
@@ -16,9 +21,12 @@ In each round
 * undecided rows that share a token with a new leader are compared with it, and duplicates
   leave.
 
-A token never pairs all its rows: per round each row meets at most ``front`` others per token,
-so a round costs time linear in the rows, also for a token that holds a third of the table. Rounds end when no
-row is undecided; there is no cap on rounds, candidates or group sizes.
+A round writes pairs of a row with at most ``front`` others per token, also for a token that holds a
+third of the table. Once a round decides little, few rows are alike. Then all pairs that are left are
+written once, and leaders follow from the pairs alone: in each step rows without an undecided
+earlier duplicate lead, and their duplicates leave. So neither rounds nor written pairs grow with the
+unlike titles of a company; what does is the number of signatures compared. There is no cap on rounds,
+candidates or group sizes.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
 from ..functions import keys as K
-from ..functions.similarity import both_similar, near, sort_tokens
+from ..functions.similarity import may_be_similar, signature, similar, sort_tokens
 from ..functions.text import blank_to_null
 from ..session import TableSpool
 from .lookup import join_unique
@@ -37,7 +45,9 @@ from .summaries import source_parts
 
 FIRST_FRONT = 256
 LARGEST_FRONT = 512  # Spark keeps the first rows per map task up to 1000 of them
-TOKEN_SPLITS = 8  # tasks that share the rows of one token
+PART_ROWS = 2048  # rows of one token that are met at a time
+#: After a round that decides less than this share of what was undecided, all pairs are written.
+FEW = 0.1
 
 
 def with_keys(df: DataFrame) -> DataFrame:
@@ -122,15 +132,44 @@ def company_tokens(company: Column) -> Column:
 # Titles that are similar differ in length by at most this ratio; a little is added for the
 # rounding of logarithms.
 _LENGTH_RATIO = (200 - V.TITLE_SIMILARITY) / V.TITLE_SIMILARITY + 0.001
+# What a token says of a row: its company gives the circle its name, its title is in the length class, or
+# the token is a URL or key.
+_HOME, _OWN, _EXACT = 1, 2, 4
+
+
+def _length_class(size: Column) -> Column:
+    """Of two similar titles the longer is in the class of the shorter or in the next one."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(_LENGTH_RATIO))).cast("int")
+
+
+def company_circles(names: DataFrame, spool: TableSpool) -> DataFrame:
+    """(norm_company, circles) for distinct names; a circle is the name that it is called by and whether that
+    is the company's own. A name is in the circles of the smaller names that are similar to it, and its own."""
+    signed = names.withColumns({f"s{i}": x for i, x in enumerate(signature(F.col("norm_company")))})
+    tokens = spool.cut(signed.withColumn("token", F.explode(company_tokens(F.col("norm_company")))), "names")
+    a, b = (tokens.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("norm_company", "s0", "s1")]) for side in "ab")
+    first, second = F.col("a_norm_company"), F.col("b_norm_company")
+    sides = [[F.col(f"{side}_s{i}") for i in range(2)] for side in "ab"]
+    near = may_be_similar(*sides, (F.length(first), F.length(second)), V.COMPANY_SIMILARITY)
+    met = a.join(b, "token").filter((first < second) & near).select(first, second).distinct()
+    alike = spool.cut(met, "near-names").filter(similar(first, second, V.COMPANY_SIMILARITY))
+    guests = alike.select(second.alias("norm_company"), first.alias("circle"), F.lit(False).alias("home"))
+    own = names.select("norm_company", F.col("norm_company").alias("circle"), F.lit(True).alias("home"))
+    circles = own.unionByName(guests).groupBy("norm_company").agg(F.collect_list(F.struct("circle", "home")).alias("circles"))
+    return spool.cut(circles, "circles")
+
+
+# --- leaders --------------------------------------------------------------------------------
 
+_SIDE = ["node", "norm_url", "dup_key", "sorted_title", "size", "s0", "s1", "kind"]
 
-def _length_classes(title: Column) -> Column:
-    """The length class of a title and the next one; similar titles share one of them."""
-    own = F.floor(F.log(F.greatest(F.length(title), F.lit(1)).cast("double")) / F.log(F.lit(_LENGTH_RATIO)))
-    return F.array(own.cast("int"), (own + 1).cast("int"))
 
+def _token_rows(nodes: DataFrame, circles: DataFrame | None) -> DataFrame:
+    """One row per token of each node: token, kind, ``tokens``, their number, and what is compared.
 
-def _tokens(fuzzy: bool) -> Column:
+    Rows that meet in a circle are compared if the company of one is at home there and the title of one is
+    in its own length class, which holds once for each pair of similar companies and near lengths.
+    """
     exact = F.filter(
         F.array(
             F.when(F.col("norm_url").isNotNull(), F.xxhash64(F.lit("url"), "norm_url")),
@@ -138,78 +177,72 @@ def _tokens(fuzzy: bool) -> Column:
         ),
         lambda t: t.isNotNull(),
     )
-    if not fuzzy:
-        return exact
-    similar = F.when(
-        F.col("dup_key").isNotNull(),
-        F.flatten(
-            F.transform(
-                company_tokens(F.col("norm_company")),
-                lambda token: F.transform(
-                    _length_classes(F.col("norm_title")),
-                    lambda size: F.xxhash64(F.lit("similar"), token, size),
-                ),
-            )
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    return F.array_distinct(F.concat(exact, similar))
+    held = F.transform(exact, lambda t: F.struct(t.alias("token"), F.lit(_EXACT).alias("kind")))
+    rows = nodes.withColumn("sorted_title", sort_tokens(F.col("norm_title")))
+    rows = rows.withColumn("size", F.coalesce(F.length("sorted_title"), F.lit(0)))
+    none = F.lit(0).cast("long")
+    if circles is None:
+        rows = rows.withColumns({"s0": none, "s1": none, "held": held})
+    else:
+        first, second = signature(F.coalesce("sorted_title", F.lit("")))
+        rows = rows.join(circles, "norm_company", "left").withColumns({"s0": first, "s1": second})
 
+        def in_circle(circle: Column, step: int) -> Column:
+            token = F.xxhash64(F.lit("circle"), circle["circle"], _length_class(F.col("size")) + step)
+            kind = F.when(circle["home"], _HOME).otherwise(0) + (0 if step else _OWN)
+            return F.struct(token.alias("token"), kind.alias("kind"))
 
-# --- leaders --------------------------------------------------------------------------------
-
-_SIDE = ["node", "norm_url", "dup_key", "norm_company", "sorted_title", "tokens"]
+        met = F.flatten(F.transform("circles", lambda c: F.array(in_circle(c, 0), in_circle(c, 1))))
+        keyed = F.col("dup_key").isNotNull() & F.col("circles").isNotNull()
+        rows = rows.withColumn("held", F.when(keyed, F.concat(held, met)).otherwise(held))
+    at = rows.withColumn("tokens", F.size("held")).withColumn("at", F.explode("held"))
+    return at.withColumns({"token": F.col("at.token"), "kind": F.col("at.kind")}).select("token", "tokens", *_SIDE)
 
 
 def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("token", *[F.col(c).alias(f"{prefix}_{c}") for c in _SIDE])
 
 
-def _duplicates(pairs: DataFrame, fuzzy: bool, *keep: str) -> DataFrame:
+def _duplicates(pairs: DataFrame, fuzzy: bool, spool: TableSpool, *keep: str) -> DataFrame:
     """Of pairs a/b that meet under a token, those that are duplicates; ``keep`` is returned.
 
-    A pair that shares several tokens counts under the smallest of them only.
+    Where rows meet only numbers and equality are tested. What passes is written down before texts are
+    compared, so that this is no part of the join.
     """
     same = F.coalesce(F.col("a_norm_url") == F.col("b_norm_url"), F.lit(False)) | F.coalesce(
         F.col("a_dup_key") == F.col("b_dup_key"), F.lit(False)
     )
     if not fuzzy:
         return pairs.filter(same).select(*keep)
-    company, title = ("a_norm_company", "b_norm_company"), ("a_sorted_title", "b_sorted_title")
-    first_meeting = F.col("token") == F.array_min(F.array_intersect("a_tokens", "b_tokens"))
-    close = (
-        near(F.col(company[0]), F.col(company[1]), V.COMPANY_SIMILARITY)
-        & near(F.col(title[0]), F.col(title[1]), V.TITLE_SIMILARITY)
-        & first_meeting
-    )
-    # only what passes the tests inside the JVM is measured in Python
-    possible = pairs.select(*keep, *company, *title, same.alias("_same"), close.alias("_close")).filter(
-        F.col("_same") | F.coalesce(F.col("_close"), F.lit(False))
-    )
-    measured = both_similar(
-        *[F.coalesce(F.col(c), F.lit("")) for c in company], V.COMPANY_SIMILARITY,
-        *[F.coalesce(F.col(c), F.lit("")) for c in title], V.TITLE_SIMILARITY,
+    sides = [[F.col(f"{side}_s{i}") for i in range(2)] for side in "ab"]
+    may = (F.col("a_kind").bitwiseOR(F.col("b_kind")) == (_HOME | _OWN)) & may_be_similar(
+        *sides, (F.col("a_size"), F.col("b_size")), V.TITLE_SIMILARITY
     )
-    return possible.withColumn("_alike", measured).filter(F.col("_same") | F.col("_alike")).select(*keep)
+    first, second = F.col("a_sorted_title"), F.col("b_sorted_title")
+    possible = spool.cut(pairs.filter(same | may).select(*keep, first, second, same.alias("same")), "possible")
+    return possible.filter(F.col("same") | similar(first, second, V.TITLE_SIMILARITY)).select(*keep)
 
 
 def _meetings(few: DataFrame, many: DataFrame) -> DataFrame:
     """Pairs by token of the a-side ``few`` and the b-side ``many``.
 
-    Rows of ``many`` under one token are spread over several tasks, each of which gets a copy
-    of the few.
+    Rows of ``many`` under a token that has many are dealt out to parts, each of which gets a copy of the
+    few; the larger the token, the more parts.
     """
-    spread = F.pmod(F.xxhash64("b_node", "b_dup_key"), F.lit(TOKEN_SPLITS))
-    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SPLITS - 1)).cast("array<bigint>")))
-    return copies.join(many.withColumn("_part", spread), ["token", "_part"]).drop("_part")
+    parts = many.groupBy("token").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_parts")).filter("_parts > 1")
+    count = F.coalesce("_parts", F.lit(1))
+    dealt = many.join(parts, "token", "left").withColumn("_part", F.pmod(F.xxhash64("b_node", "b_dup_key"), count).cast("int"))
+    copies = few.join(parts, "token", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), count - 1)))
+    return copies.drop("_parts").join(dealt.drop("_parts"), ["token", "_part"])
 
 
-def _round(live: DataFrame, front: int, fuzzy: bool) -> DataFrame:
+def _round(live: DataFrame, front: int, fuzzy: bool, spool: TableSpool) -> DataFrame:
     """Nodes that are leaders for sure, given that all their earlier duplicates are decided."""
     rank = F.row_number().over(Window.partitionBy("token").orderBy("node"))
     head = live.withColumn("_rn", rank).filter(F.col("_rn") <= front).drop("_rn")
     complete = (
         head.groupBy("node")
-        .agg(F.count("*").alias("_seen"), F.max(F.size("tokens")).alias("_all"))
+        .agg(F.count("*").alias("_seen"), F.max("tokens").alias("_all"))
         .filter(F.col("_seen") == F.col("_all"))
         .select("node")
     )
@@ -217,34 +250,56 @@ def _round(live: DataFrame, front: int, fuzzy: bool) -> DataFrame:
         return complete
     later = head.join(complete, "node", "left_semi")
     pairs = _side(head, "a").join(_side(later, "b"), "token").filter(F.col("a_node") < F.col("b_node"))
-    waiting = _duplicates(pairs, fuzzy, "b_node").distinct()
+    waiting = _duplicates(pairs, fuzzy, spool, "b_node").distinct()
     return complete.join(waiting, complete["node"] == waiting["b_node"], "left_anti")
 
 
-def find_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFrame:
+def _leaders_by_pairs(live: DataFrame, spool: TableSpool) -> DataFrame:
+    """Nodes of ``live`` that lead, from all their pairs of duplicates."""
+    met = _meetings(_side(live, "a"), _side(live, "b")).filter(F.col("a_node") < F.col("b_node"))
+    pairs = spool.cut(_duplicates(met, True, spool, "a_node", "b_node").distinct(), "pairs")
+    gone: list[DataFrame] = []
+    while not pairs.isEmpty():
+        leads = pairs.select("a_node").distinct().join(pairs.select(F.col("b_node").alias("a_node")), "a_node", "left_anti")
+        new = spool.cut(pairs.join(leads, "a_node", "left_semi").select("b_node").distinct(), "gone")
+        gone.append(new)
+        left = pairs.join(new, "b_node", "left_anti").join(new.withColumnRenamed("b_node", "a_node"), "a_node", "left_anti")
+        pairs = spool.cut(left.select("a_node", "b_node"), "pairs")
+    nodes = live.select("node").distinct()
+    if not gone:
+        return nodes
+    return nodes.join(reduce(DataFrame.unionByName, gone).withColumnRenamed("b_node", "node"), "node", "left_anti")
+
+
+def find_leaders(keyed: DataFrame, circles: DataFrame | None, spool: TableSpool) -> DataFrame:
     """Leaders as token rows: (token, node, keys...). ``node`` is the leader's ``seq``.
 
     Rows that share URL and key have the same first holder and the same duplicates, so only
-    the first of them takes part.
+    the first of them takes part. Without ``circles`` only equal URLs and keys count.
     """
+    fuzzy = circles is not None
     nodes = (
         keyed.groupBy("norm_url", "dup_key", "norm_title", "norm_company")
         .agg(F.min("seq").alias("node"))
         .filter(F.col("norm_url").isNotNull() | F.col("dup_key").isNotNull())
-        .withColumn("sorted_title", sort_tokens(F.col("norm_title")))
-        .withColumn("tokens", _tokens(fuzzy))
     )
-    live = spool.cut(nodes.select(F.explode("tokens").alias("token"), *_SIDE), "undecided")
+    live = spool.cut(_token_rows(nodes, circles), "undecided")
     found: list[DataFrame] = []
     front = FIRST_FRONT if fuzzy else 1
-    while not live.isEmpty():
-        decided = _round(live, front, fuzzy)
+    left = live.count()
+    while left:
+        decided = _round(live, front, fuzzy, spool)
         new = spool.cut(live.join(decided, "node", "left_semi").select(*live.columns), "leaders")
         found.append(new)
         met = _meetings(_side(new, "a"), _side(live, "b")).filter(F.col("a_node") < F.col("b_node"))
-        joined = _duplicates(met, fuzzy, "b_node").select(F.col("b_node").alias("node"))
+        joined = _duplicates(met, fuzzy, spool, "b_node").select(F.col("b_node").alias("node"))
         gone = joined.unionByName(new.select("node")).distinct()
         live = spool.cut(live.join(gone, "node", "left_anti").select(*live.columns), "undecided")
+        before, left = left, live.count()
+        if fuzzy and left and before - left < FEW * before:
+            leads = _leaders_by_pairs(live, spool)
+            found.append(spool.cut(live.join(leads, "node", "left_semi").select(*live.columns), "leaders"))
+            break
         if fuzzy:
             front = min(front * 8, LARGEST_FRONT)
     if not found:
@@ -254,7 +309,11 @@ def find_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFrame:
 
 def assign_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFrame:
     """(seq, leader) of every row. Leaders lead themselves."""
-    leader_tokens = find_leaders(keyed, fuzzy, spool)
+    circles = None
+    if fuzzy:
+        companies = keyed.filter(F.col("dup_key").isNotNull()).select("norm_company").distinct()
+        circles = company_circles(companies, spool)
+    leader_tokens = find_leaders(keyed, circles, spool)
     leaders = leader_tokens.select("node", "norm_url", "dup_key").distinct()
     by_url = leaders.filter(F.col("norm_url").isNotNull()).select(
         "norm_url", F.col("node").alias("url_leader")
@@ -281,17 +340,14 @@ def assign_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFram
         .distinct()
         .withColumn("norm_url", F.lit(None).cast("string"))
         .withColumn("node", F.lit(None).cast("bigint"))
-        .withColumn("sorted_title", sort_tokens(F.col("norm_title")))
-        .withColumn("tokens", _tokens(True))
-        .withColumn("token", F.explode("tokens"))
     )
-    met = _meetings(_side(leader_tokens, "a"), _side(searching, "b"))
-    similar = (
-        _duplicates(met, True, "a_node", "b_dup_key")
+    met = _meetings(_side(leader_tokens, "a"), _side(_token_rows(searching, circles), "b"))
+    similar_leaders = (
+        _duplicates(met, True, spool, "a_node", "b_dup_key")
         .groupBy(F.col("b_dup_key").alias("dup_key"))
         .agg(F.min("a_node").alias("similar_leader"))
     )
-    return join_unique(rows.select("seq", "dup_key", "leader"), similar, "dup_key").select(
+    return join_unique(rows.select("seq", "dup_key", "leader"), similar_leaders, "dup_key").select(
         "seq", F.coalesce("leader", "similar_leader").alias("leader")
     )
 
