@@ -313,7 +313,8 @@ def s_date(x: str) -> str:
         f"CASE WHEN coalesce({t}, '') = '' THEN NULL "
         f"WHEN regexp_full_match({t}, '[0-9]{{10,}}') THEN strftime(DATE '1970-01-01' + CAST(CAST(left({t}, 10) AS BIGINT) // 86400 AS INTEGER), '%Y-%m-%d') "
         rf"WHEN regexp_matches({t}, '^\d{{4}}-\d{{2}}-\d{{2}}') THEN left({t}, 10) "
-        f"WHEN {parsed} IS NOT NULL THEN strftime({parsed}, '%Y-%m-%d') "
+        # years have four digits, which the parser does not ask for
+        f"WHEN regexp_matches({t}, '[0-9]{{4}}$') AND {parsed} IS NOT NULL THEN strftime({parsed}, '%Y-%m-%d') "
         rf"WHEN length({t}) >= 10 AND regexp_matches({t}, '^\d{{4}}') THEN left({t}, 10) ELSE {t} END"
     )
 

@@ -132,16 +132,41 @@ def fn_is_ats(spark, sf):
     return jobs(spark, sf).select("seq", K.is_ats(F.col("source"), F.col("ats_platform")).alias("is_ats"))
 
 
-# Similarity has no SQL counterpart; tests check it against a plain table version.
+def s_indel(a: str, b: str) -> str:
+    """Insertions and deletions from ``a`` to ``b``, of at most 120 letters: a bit for each place of ``a`` not yet
+    matched, folded over the places of each letter of ``b``."""
+    full = f"((1::HUGEINT << length({a})) - 1)"
+    places = f"list_transform(range(1, length({a}) + 1), lambda j: CASE WHEN ({a})[j] = ch THEN 1::HUGEINT << (j - 1)::INTEGER ELSE 0::HUGEINT END)"
+    hits = f"list_transform(string_split({b}, ''), lambda ch: list_sum({places})::HUGEINT)"
+    rows = f"list_reduce(list_prepend({full}, {hits}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})"
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN length({a}) + length({b}) ELSE length({b}) - length({a}) + 2 * bit_count({rows}) END)"
 
 
-@query("fn_ratio")
+def ratio_sql(a: str, b: str) -> str:
+    total = f"(length({a}) + length({b}))"
+    return f"round(CASE WHEN {total} = 0 THEN 100.0::DOUBLE ELSE (1.0::DOUBLE - {s_indel(a, b)} / {total}) * 100 END, 6)"
+
+
+_NAMES_SQL = f"""names AS (SELECT seq, coalesce({s_norm_title('title')}, '') AS t, coalesce({s_norm_company('company')}, '') AS c, coalesce(lower(title), '') AS h FROM jobs)"""
+
+
+def _sorted_sql(x: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')), ' ')"
+
+
+@query("fn_ratio", on_jobs(f"SELECT seq, {ratio_sql('t', 'c')} AS ratio FROM names", _NAMES_SQL))
 def fn_ratio(spark, sf):
     keyed = with_keys(jobs(spark, sf))
     return keyed.select("seq", F.round(SIM.similarity(F.col("norm_title"), F.col("norm_company")), 6).alias("ratio"))
 
 
-@query("fn_token_sort_ratio")
+@query(
+    "fn_token_sort_ratio",
+    on_jobs(
+        f"SELECT seq, {ratio_sql('t', 'h')} AS ratio FROM (SELECT seq, {_sorted_sql('t')} AS t, {_sorted_sql('h')} AS h FROM names)",
+        _NAMES_SQL,
+    ),
+)
 def fn_token_sort_ratio(spark, sf):
     keyed = with_keys(jobs(spark, sf))
     return keyed.select("seq", F.round(SIM.token_sort_similarity(F.col("norm_title"), F.lower("title")), 6).alias("ratio"))

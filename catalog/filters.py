@@ -46,7 +46,7 @@ def flt_date(spark, sf):
 
 
 ASKED_SQL = "coalesce(nullif(language_required, ''), language, 'unknown')"
-_WANTED = {
+WANTED = {
     "English": f"{ASKED_SQL} IN ('English', 'English (German plus)') OR ({ASKED_SQL} = 'unknown' AND length({s_strip("coalesce(description, '')")}) < 50)",
     "English (German plus)": f"{ASKED_SQL} = 'English (German plus)'",
     "German": f"{ASKED_SQL} IN ('German', 'English (German plus)')",
@@ -55,10 +55,10 @@ _WANTED = {
 }
 
 
-@query("flt_language_required", on_jobs(" UNION ALL ".join(f"SELECT '{w}' AS wanted, seq FROM jobs WHERE {c}" for w, c in _WANTED.items())))
+@query("flt_language_required", on_jobs(" UNION ALL ".join(f"SELECT '{w}' AS wanted, seq FROM jobs WHERE {c}" for w, c in WANTED.items())))
 def flt_language_required(spark, sf):
     # one pass: which choices admit a posting
-    choices = [F.when(FL.required_language_condition(w), F.lit(w)) for w in _WANTED]
+    choices = [F.when(FL.required_language_condition(w), F.lit(w)) for w in WANTED]
     admitted = F.filter(F.array(*choices), lambda w: w.isNotNull())
     return jobs(spark, sf).select(F.explode(admitted).alias("wanted"), "seq")
 

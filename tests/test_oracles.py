@@ -1,4 +1,4 @@
-"""Every query with SQL gives the same rows as its SQL; the others run and give rows."""
+"""Every query gives the same rows as its SQL."""
 
 import pytest
 
@@ -18,6 +18,5 @@ def test_same_rows(spark, con, name):
     assert compare.differences(spark, con, name, FOLDER, QUERIES, ORACLES) is None
 
 
-@pytest.mark.parametrize("name", ["fn_ratio", "fn_token_sort_ratio", "pipeline_search"])
-def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)

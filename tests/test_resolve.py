@@ -121,3 +121,50 @@ def test_empty(spark):
     from vacancia.schema import empty_postings
 
     assert RS.resolve(empty_postings(spark)).count() == 0
+
+
+def test_many_unlike_titles_of_one_company_take_one_round(spark, monkeypatch):
+    """Rounds do not grow with a company: what is unlike is settled by its pairs."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
+    titles = sorted({" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 4))) for _ in range(900)})
+    titles += [t + "x" for t in titles[:20]]
+    rows = [(i, t, "Acme" if i % 9 else "Acme Labs", f"https://x.com/{i}") for i, t in enumerate(titles)]
+    calls = []
+    whole = RS._round
+    monkeypatch.setattr(RS, "_round", lambda *a: calls.append(1) or whole(*a))
+    keyed, leaders = led(spark, spark.createDataFrame(rows, "seq long, title string, company string, job_url string"), True)
+    assert len(calls) <= 2
+    near = [s for s in keyed if leaders[s] != s]
+    assert len(near) >= 20
+    assert [s for s in rnd.sample(sorted(keyed), 25) + near[:10] if rule.rightful_leader(s, keyed, {x for x, y in leaders.items() if x == y}, True) != leaders[s]] == []
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_new_rows_join_stored_ones_by_the_rule(spark, fuzzy):
+    rows = random_rows(23, 160)
+    whole = spark.createDataFrame(rows, SCHEMA)
+    stored = RS.resolve(whole.where("seq < 240"), fuzzy).drop("n_merged")
+    new = whole.where("seq >= 240")
+    keyed = {r["seq"]: r.asDict() for r in RS.with_keys(stored.unionByName(new)).select(*KEYS).collect()}
+    spool = TableSpool(spark, "test")
+    parts = [RS.with_keys(df).select(*KEYS) for df in (stored, new)]
+    leaders = dict(RS.assign_new(*parts, fuzzy, spool).collect())
+    known = {s for s in keyed if s < 240}
+    heads = known | {s for s, leader in leaders.items() if s == leader}
+    assert {s for s in leaders} == {s for s in keyed if s >= 240}
+    assert [s for s in leaders if leaders[s] != rule.rightful_leader(s, keyed, heads, fuzzy)] == []
+    assert any(leader in known for leader in leaders.values())
+    groups = {s: [] for s in heads}
+    for r in sorted(stored.unionByName(new).collect()):
+        groups[leaders.get(r["seq"], r["seq"])].append(r.asDict())
+    got = {r["seq"]: {n: r[n] for n in NAMES[1:]} for r in RS.resolve_new(stored, new, fuzzy).collect()}
+    assert sorted(got) == sorted(groups)
+    for seq, group in groups.items():
+        assert got[seq] == rule.merged(group, NAMES[1:]), seq
+
+
+def test_nothing_new(spark):
+    stored = spark.createDataFrame(random_rows(3, 30), SCHEMA)
+    got = RS.resolve_new(stored, stored.where("false")).collect()
+    assert sorted(r["seq"] for r in got) == sorted(r["seq"] for r in stored.collect())

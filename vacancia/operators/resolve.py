@@ -144,14 +144,20 @@ def _length_class(size: Column) -> Column:
 
 def company_circles(names: DataFrame, spool: TableSpool) -> DataFrame:
     """(norm_company, circles) for distinct names; a circle is the name that it is called by and whether that
-    is the company's own. A name is in the circles of the smaller names that are similar to it, and its own."""
+    is the company's own. A name is in the circles of the smaller names that are similar to it, and its own.
+
+    Where ``names`` has a column ``stored``, two stored names are not compared.
+    """
+    if "stored" not in names.columns:
+        names = names.withColumn("stored", F.lit(False))
     signed = names.withColumns({f"s{i}": x for i, x in enumerate(signature(F.col("norm_company")))})
     tokens = spool.cut(signed.withColumn("token", F.explode(company_tokens(F.col("norm_company")))), "names")
-    a, b = (tokens.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("norm_company", "s0", "s1")]) for side in "ab")
+    a, b = (tokens.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("norm_company", "s0", "s1", "stored")]) for side in "ab")
     first, second = F.col("a_norm_company"), F.col("b_norm_company")
     sides = [[F.col(f"{side}_s{i}") for i in range(2)] for side in "ab"]
     near = may_be_similar(*sides, (F.length(first), F.length(second)), V.COMPANY_SIMILARITY)
-    met = a.join(b, "token").filter((first < second) & near).select(first, second).distinct()
+    some_new = ~(F.col("a_stored") & F.col("b_stored"))
+    met = a.join(b, "token").filter((first < second) & some_new & near).select(first, second).distinct()
     alike = spool.cut(met, "near-names").filter(similar(first, second, V.COMPANY_SIMILARITY))
     guests = alike.select(second.alias("norm_company"), first.alias("circle"), F.lit(False).alias("home"))
     own = names.select("norm_company", F.col("norm_company").alias("circle"), F.lit(True).alias("home"))
@@ -271,19 +277,14 @@ def _leaders_by_pairs(live: DataFrame, spool: TableSpool) -> DataFrame:
     return nodes.join(reduce(DataFrame.unionByName, gone).withColumnRenamed("b_node", "node"), "node", "left_anti")
 
 
-def find_leaders(keyed: DataFrame, circles: DataFrame | None, spool: TableSpool) -> DataFrame:
-    """Leaders as token rows: (token, node, keys...). ``node`` is the leader's ``seq``.
+def _nodes(keyed: DataFrame) -> DataFrame:
+    """Rows that share URL and key have the same first holder and the same duplicates; the first stands for all."""
+    rows = keyed.groupBy("norm_url", "dup_key", "norm_title", "norm_company").agg(F.min("seq").alias("node"))
+    return rows.filter(F.col("norm_url").isNotNull() | F.col("dup_key").isNotNull())
 
-    Rows that share URL and key have the same first holder and the same duplicates, so only
-    the first of them takes part. Without ``circles`` only equal URLs and keys count.
-    """
-    fuzzy = circles is not None
-    nodes = (
-        keyed.groupBy("norm_url", "dup_key", "norm_title", "norm_company")
-        .agg(F.min("seq").alias("node"))
-        .filter(F.col("norm_url").isNotNull() | F.col("dup_key").isNotNull())
-    )
-    live = spool.cut(_token_rows(nodes, circles), "undecided")
+
+def find_leaders(live: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFrame:
+    """Leaders among nodes, as token rows like ``live``. ``node`` is the leader's ``seq``."""
     found: list[DataFrame] = []
     front = FIRST_FRONT if fuzzy else 1
     left = live.count()
@@ -302,36 +303,24 @@ def find_leaders(keyed: DataFrame, circles: DataFrame | None, spool: TableSpool)
             break
         if fuzzy:
             front = min(front * 8, LARGEST_FRONT)
-    if not found:
-        return live
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found) if found else live
 
 
-def assign_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFrame:
-    """(seq, leader) of every row. Leaders lead themselves."""
-    circles = None
-    if fuzzy:
-        companies = keyed.filter(F.col("dup_key").isNotNull()).select("norm_company").distinct()
-        circles = company_circles(companies, spool)
-    leader_tokens = find_leaders(keyed, circles, spool)
+def _follow(keyed: DataFrame, leader_tokens: DataFrame, circles: DataFrame | None, spool: TableSpool) -> DataFrame:
+    """(seq, leader) of every row, given all leaders: by URL, else by key, else by likeness, else itself."""
     leaders = leader_tokens.select("node", "norm_url", "dup_key").distinct()
-    by_url = leaders.filter(F.col("norm_url").isNotNull()).select(
-        "norm_url", F.col("node").alias("url_leader")
-    )
-    by_key = leaders.filter(F.col("dup_key").isNotNull()).select(
-        "dup_key", F.col("node").alias("key_leader")
-    )
+    first = lambda key, name: leaders.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("node").alias(name))
     # A leader counts for a row only if it came earlier (or is the row itself).
     earlier = lambda c: F.when(F.col(c) <= F.col("seq"), F.col(c))
     names = ["seq", "dup_key", "norm_title", "norm_company"]
-    rows = join_unique(keyed.select(*names, "norm_url"), by_url, "norm_url")
+    rows = join_unique(keyed.select(*names, "norm_url"), first("norm_url", "url_leader"), "norm_url")
     rows = spool.cut(rows.select(*names, F.col("norm_url").isNull().alias("no_url"), earlier("url_leader").alias("leader")), "by-url")
-    rows = join_unique(rows, by_key, "dup_key")
+    rows = join_unique(rows, first("dup_key", "key_leader"), "dup_key")
     keyless = F.col("no_url") & F.col("dup_key").isNull()
     rows = rows.select(
         *names, F.when(keyless, F.col("seq")).otherwise(F.coalesce("leader", earlier("key_leader"))).alias("leader")
     )
-    if not fuzzy:
+    if circles is None:
         return rows.select("seq", "leader")
     rows = spool.cut(rows, "exact-leaders")
     searching = (
@@ -352,6 +341,37 @@ def assign_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFram
     )
 
 
+def _names(keyed: DataFrame) -> DataFrame:
+    return keyed.filter(F.col("dup_key").isNotNull()).select("norm_company").distinct()
+
+
+def assign_leaders(keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFrame:
+    """(seq, leader) of every row. Leaders lead themselves."""
+    circles = company_circles(_names(keyed), spool) if fuzzy else None
+    live = spool.cut(_token_rows(_nodes(keyed), circles), "undecided")
+    return _follow(keyed, find_leaders(live, fuzzy, spool), circles, spool)
+
+
+def assign_new(stored: DataFrame, keyed: DataFrame, fuzzy: bool, spool: TableSpool) -> DataFrame:
+    """(seq, leader) of the rows of ``keyed`` where all ``stored`` rows, which come before, are leaders.
+
+    Only new rows are searched: new names are compared with all names, and of the stored rows
+    those are read that share a token with a new one. A new row with a stored duplicate cannot
+    lead; the others find leaders among themselves.
+    """
+    circles = None
+    if fuzzy:
+        names = _names(stored).withColumn("stored", F.lit(True)).unionByName(_names(keyed).withColumn("stored", F.lit(False)))
+        circles = company_circles(names.groupBy("norm_company").agg(F.min("stored").alias("stored")), spool)
+    new = spool.cut(_token_rows(_nodes(keyed), circles), "new")
+    known = _token_rows(_nodes(stored), circles).join(new.select("token").distinct(), "token", "left_semi")
+    known = spool.cut(known.select(*new.columns), "known")
+    led = _duplicates(_meetings(_side(known, "a"), _side(new, "b")), fuzzy, spool, "b_node")
+    rest = new.join(led.select(F.col("b_node").alias("node")).distinct(), "node", "left_anti").select(*new.columns)
+    leaders = find_leaders(spool.cut(rest, "undecided"), fuzzy, spool)
+    return _follow(keyed, known.unionByName(leaders), circles, spool)
+
+
 # --- merge ----------------------------------------------------------------------------------
 
 
@@ -504,6 +524,27 @@ def resolve(df: DataFrame, fuzzy: bool = True, stored: bool = False) -> DataFram
     return merge_groups(source, leaders, spool)
 
 
+def resolve_new(stored: DataFrame, new: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Stored postings with new ones merged in; ``n_merged`` says how many of these rows a row stands for.
+
+    Every row of ``stored`` must come before every row of ``new`` in ``seq``, and stays a row of its own. The
+    result is that of resolving all rows together if no two stored ones are duplicates, but only stored
+    rows that take a new one in are merged; the others are passed on.
+    """
+    spool = TableSpool(new.sparkSession, "resolve-new")
+    new = spool.cut(new, "input")
+    keys = ["seq", "norm_url", "norm_title", "norm_company", "dup_key"]
+    keyed = spool.cut(with_keys(new).select(*keys), "keyed")
+    known = spool.cut(with_keys(stored).select(*keys), "known-keys")
+    leaders = spool.cut(assign_new(known, keyed, fuzzy, spool), "assigned")
+    touched = leaders.select(F.col("leader").alias("seq")).distinct()
+    taking = spool.cut(stored.join(touched, "seq", "left_semi").select(*stored.columns), "taking")
+    itself = taking.select("seq", F.col("seq").alias("leader"))
+    merged = merge_groups(taking.unionByName(new.select(*stored.columns)), leaders.unionByName(itself), spool)
+    others = stored.join(touched, "seq", "left_anti").select(*stored.columns)
+    return merged.unionByName(others.withColumn("n_merged", F.lit(1).cast("bigint")).select(*merged.columns))
+
+
 def resolve_exact(df: DataFrame) -> DataFrame:
     """Merge postings with the same URL or the same normalised title and company."""
     return resolve(df, fuzzy=False)

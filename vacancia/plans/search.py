@@ -11,10 +11,12 @@ from ..functions import language as L
 from ..operators import filters as FL
 from ..operators.normalize import normalize_postings, relabel_source
 from ..operators.ordering import newest_first
-from ..operators.resolve import resolve
+from ..operators.companies import learn_companies
+from ..operators.resolve import resolve, resolve_new
 from ..operators.search import all_words
 from ..schema import conform_schema
 from ..session import TableSpool
+from ..sources.common import ROWS_PER_FEED, union_feeds
 
 
 @dataclass(frozen=True)
@@ -61,15 +63,20 @@ def select_postings(classified: DataFrame, options: SearchOptions) -> DataFrame:
     return FL.by_location_scope(df, options.locations)
 
 
-def search(feeds: DataFrame, options: SearchOptions) -> DataFrame:
-    """One row per distinct posting, newest first.
+def resolved_search(feeds: DataFrame, options: SearchOptions) -> DataFrame:
+    """One row per distinct posting that suits the search.
 
     The classified postings are written to a table once. Filters on the languages would
     otherwise be pushed below their detection and repeat it; over the table they are pushed
     into the scan instead.
     """
     classified = TableSpool(feeds.sparkSession, "search").cut(classify_postings(feeds, options), "classified")
-    return newest_first(resolve(select_postings(classified, options), options.fuzzy, stored=True))
+    return resolve(select_postings(classified, options), options.fuzzy, stored=True)
+
+
+def search(feeds: DataFrame, options: SearchOptions) -> DataFrame:
+    """One row per distinct posting, newest first."""
+    return newest_first(resolved_search(feeds, options))
 
 
 def matching_crawled(crawled: DataFrame, terms: list[str], places: list[str]) -> DataFrame:
@@ -78,12 +85,37 @@ def matching_crawled(crawled: DataFrame, terms: list[str], places: list[str]) ->
 
 
 def add_crawled(merged: DataFrame, crawled: DataFrame, after: int, fuzzy: bool = True) -> DataFrame:
-    """Merged postings together with crawled ones, duplicates merged again.
+    """Merged postings with crawled ones merged in; see ``resolve_new``.
 
     ``after`` is a row number that no merged posting exceeds; crawled ones come behind it.
     """
     behind = conform_schema(crawled).withColumn("seq", F.col("seq") + F.lit(after).cast("bigint") + 1)
-    both = conform_schema(merged).unionByName(behind)
-    return resolve(both, fuzzy)
+    return resolve_new(conform_schema(merged), behind, fuzzy)
+
+
+@dataclass(frozen=True)
+class SearchResult:
+    """Postings, newest first, and the companies that the registry lacked."""
+
+    postings: DataFrame
+    companies: DataFrame
 
 
+def run_search(
+    feeds: list[DataFrame],
+    crawled: DataFrame,
+    registry: DataFrame,
+    options: SearchOptions,
+    terms: list[str],
+    places: list[str],
+) -> SearchResult:
+    """A whole run: feeds united, classified, filtered and resolved; crawled postings that match added
+    to what was found, and companies learnt from the postings of the result.
+
+    What the feeds gave is written once: crawled postings are searched in it, and companies learnt.
+    """
+    spool = TableSpool(crawled.sparkSession, "run")
+    found = spool.cut(resolved_search(union_feeds(feeds), options), "found")
+    last = len(feeds) * ROWS_PER_FEED - 1
+    postings = spool.cut(add_crawled(found, matching_crawled(crawled, terms, places), last, options.fuzzy), "postings")
+    return SearchResult(newest_first(postings), learn_companies(postings, registry, options.as_of.strftime("%Y-%m-%d")))
