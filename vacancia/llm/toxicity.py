@@ -17,15 +17,19 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import id_and_text
+from vacancia.session import TableSpool
+
+from .common import id_and_text, per_process
 
 #: The bound of what is learnt: examples of each label (the rows with the smallest hashes).
 EXAMPLES = 4000
@@ -51,12 +55,22 @@ class BlockMaxIndex:
     """Example vectors by term, with the largest weight of each block."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int):
-        self.size, self._terms = len(vectors), terms
-        self._ids = np.repeat(np.arange(self.size, dtype=np.int32), [len(v) for v in vectors])
-        self._of = np.fromiter((t for v in vectors for t in v), np.int32, len(self._ids))
-        self._weights = np.fromiter((w for v in vectors for w in v.values()), float, len(self._ids))
-        order = np.argsort(self._of, kind="stable")
-        self._ids, self._of, self._weights = self._ids[order], self._of[order], self._weights[order]
+        sizes = [len(v) for v in vectors]
+        of = np.fromiter((t for v in vectors for t in v), np.int32, sum(sizes))
+        self._fill(sizes, of, np.fromiter((w for v in vectors for w in v.values()), float, len(of)), terms)
+
+    @classmethod
+    def of_rows(cls, sizes, of: np.ndarray, weights: np.ndarray, terms: int) -> "BlockMaxIndex":
+        """The index of vectors given one after another: their sizes, terms and weights."""
+        made = cls.__new__(cls)
+        made._fill(sizes, of, weights, terms)
+        return made
+
+    def _fill(self, sizes, of: np.ndarray, weights: np.ndarray, terms: int) -> None:
+        self.size, self._terms = len(sizes), terms
+        order = np.argsort(of, kind="stable")
+        self._ids = np.repeat(np.arange(self.size, dtype=np.int32), sizes)[order]
+        self._of, self._weights = of[order].astype(np.int32), weights[order]
         self._tables: tuple | None = None
 
     def __getstate__(self):
@@ -81,12 +95,13 @@ class BlockMaxIndex:
 
     def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example) with a cosine above zero, ties by the smaller example."""
-        terms = list(vector)
-        if not terms:
+        return self.nearest_to(np.array(list(vector), np.int64), np.array(list(vector.values()), float), k, without)
+
+    def nearest_to(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """The same for a vector given by its terms and their weights."""
+        if not len(terms):
             return []
         limits, starts, row, tables = self._laid_out()
-        terms = np.array(terms)
-        weights = np.array(list(vector.values()))
         bounds = weights @ limits[terms]
         common = row[terms] >= 0
         rows, strong = row[terms[common]], weights[common]
@@ -109,29 +124,62 @@ class BlockMaxIndex:
         return [(-s, i) for s, i in best]
 
 
+class Words:
+    """Words by number, held as one array; each process makes its dictionary of them when it needs one."""
+
+    def __init__(self, words: pa.Array):
+        self.words, self._key = words, uuid.uuid4().hex
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    @property
+    def place(self) -> dict[str, int]:
+        held = per_process("toxicity words", dict)
+        if self._key not in held:
+            held.clear()  # those of an earlier model
+            held[self._key] = {w: i for i, w in enumerate(self.words.to_pylist())}
+        return held[self._key]
+
+
 class ToxicityModel:
     """Terms, examples and the curve; bounded by the words of EXAMPLES whatever the corpus is."""
 
-    def __init__(self, terms: list[str], weights: list[float], rates: tuple[float, float]):
-        self.terms, self._weights = terms, weights
-        self._place = {t: i for i, t in enumerate(terms)}
+    def __init__(self, words: Words, weights: np.ndarray, rates: tuple[float, float]):
+        self._words, self._weights = words, weights
         # training rows that an example of each label stands for
         self._rates = rates
-        self._index = BlockMaxIndex([], len(terms))
+        self._index = BlockMaxIndex([], len(words))
         self._labels = np.zeros(0, int)
         self._ids: list = []
         self._plain = 0.5
-        self._curve = (0.0, 1.0)
+        self.curve = (0.0, 1.0)
+        self._sent: Broadcast | None = None
 
-    def vector(self, text: str) -> dict[int, float]:
-        place = self._place
-        return self.weighted(Counter([place[w] for w in _WORD.findall(text.lower()) if w in place]))
-
-    def weighted(self, counts: dict[int, int]) -> dict[int, float]:
-        """The vector of a text that has each term so often; it is of length one."""
-        weights = {t: (1 + math.log(n)) * self._weights[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        return {t: w / norm for t, w in sorted(weights.items())} if norm else {}
+    def __getstate__(self):
+        return self.__dict__ | {"_sent": None}
+
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """The model on all executors, once; the curve goes with whoever scores."""
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(self)
+        return self._sent
+
+    @property
+    def terms(self) -> list[str]:
+        return self._words.words.to_pylist()
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A text's terms, in order, and their weights; of length one."""
+        place = self._words.place
+        counts = Counter([place[w] for w in _WORD.findall(text.lower()) if w in place])
+        terms = np.fromiter(counts, np.int64, len(counts))
+        often = np.fromiter(counts.values(), np.int64, len(counts))
+        order = np.argsort(terms)
+        terms = terms[order]
+        weights = (1 + np.log(often[order])) * self._weights[terms]
+        norm = math.sqrt(float(weights @ weights))
+        return (terms, weights / norm) if norm else (terms[:0], weights[:0])
 
     def _vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, nearer ones and rarer rows counting for more."""
@@ -142,31 +190,34 @@ class ToxicityModel:
         # far neighbours say little: then the share of rows without any term counts, or the general one
         return nearness * share + (1 - nearness) * self._plain
 
-    def fit(self, examples: list[tuple[object, int, dict[int, float]]]) -> "ToxicityModel":
-        self._ids = [i for i, _, _ in examples]
-        self._labels = np.array([y for _, y, _ in examples], int)
-        vectors = [v for _, _, v in examples]
-        self._index = BlockMaxIndex(vectors, len(self.terms))
-        rates = np.array([self._rates[y] for y in self._labels])
-        bare = np.array([not v for v in vectors], bool)
-        if len(bare):
-            general = float((rates * self._labels).sum() + 0.5) / float(rates.sum() + 1)
-            self._plain = (float((rates * self._labels * bare).sum()) + general) / float((rates * bare).sum() + 1)
-        votes = [self._vote(self._index.nearest(v, NEIGHBOURS, i)) for i, v in enumerate(vectors)]
-        self._curve = logistic(np.array([_logit(v) for v in votes]), self._labels, rates)
-        return self
-
-    def score(self, text: str) -> tuple[float, str]:
+    def hold(self, ids: list, labels: np.ndarray, sizes: np.ndarray, of: np.ndarray, often: np.ndarray) -> None:
+        """Take examples in: their ids and labels, and one after another their terms and how often each is."""
+        weights = (1 + np.log(often)) * self._weights[of]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        norms = np.sqrt(np.bincount(owner, weights * weights, len(sizes)))
+        weights /= np.where(norms > 0, norms, 1)[owner]
+        self._ids, self._labels = ids, labels
+        self._index = BlockMaxIndex.of_rows(sizes, of, weights, len(self._words))
+        rates, bare = self.rates_of_examples(), norms == 0
+        general = float((rates * labels).sum() + 0.5) / float(rates.sum() + 1)
+        self._plain = (float((rates * labels * bare).sum()) + general) / float((rates * bare).sum() + 1)
+
+    def rates_of_examples(self) -> np.ndarray:
+        return np.array(self._rates)[self._labels]
+
+    def own_vote(self, example: int, text: str) -> float:
+        """The vote on an example's text by the others."""
+        return self._vote(self._index.nearest_to(*self.vector(text), NEIGHBOURS, example))
+
+    def score(self, text: str, curve: tuple[float, float] | None = None) -> tuple[float, str]:
         """(probability of label 1, evidence: neighbours with cosines, and the terms shared with the nearest)."""
-        return self.score_vector(self.vector(text))
-
-    def score_vector(self, vector: dict[int, float]) -> tuple[float, str]:
-        near = self._index.nearest(vector, NEIGHBOURS)
-        a, b = self._curve
+        terms, weights = self.vector(text)
+        near = self._index.nearest_to(terms, weights, NEIGHBOURS)
+        a, b = curve or self.curve
         score = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * _logit(self._vote(near))))))
         named = ",".join(f"{self._ids[i]}:{s:.3f}:{self._labels[i]}" for s, i in near[:3])
-        strong = sorted(vector, key=lambda t: -vector[t])[:3]
-        return score, f"{named};{' '.join(self.terms[t] for t in strong)}"
+        strong = " ".join([self._words.words[int(terms[i])].as_py() for i in np.argsort(-weights, kind="stable")[:3]])
+        return score, f"{named};{strong}"
 
 
 def _logit(p: float) -> float:
@@ -193,11 +244,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float,
     return float(a), float(max(b, 1e-3))
 
 
-def _term_counts(rows: DataFrame, places) -> tuple[np.ndarray, np.ndarray]:
+def _term_counts(rows: DataFrame, sent: Broadcast) -> tuple[np.ndarray, np.ndarray]:
     """In how many texts each term is, and in how many toxic ones; added up in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = places.value
+        place = sent.value.place
         counts = np.zeros((2, len(place)), np.int64)
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -210,29 +261,42 @@ def _term_counts(rows: DataFrame, places) -> tuple[np.ndarray, np.ndarray]:
 
     counted = rows.select("text", "toxic").mapInArrow(count, "place long, texts long, toxic long")
     found = counted.groupBy("place").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).toArrow()
-    whole = np.zeros((2, len(places.value)), np.int64)
+    whole = np.zeros((2, len(sent.value)), np.int64)
     for i, name in enumerate(("texts", "toxic")):
         whole[i, found["place"].to_numpy()] = found[name].to_numpy()
     return whole[0], whole[1]
 
 
-def _word_counts(rows: DataFrame) -> pa.Table:
-    """(doc_id, toxic, digest, words, counts) of example texts, sorted."""
+def _word_counts(examples: DataFrame) -> pa.Table:
+    """(doc_id, toxic, words, counts) of stored examples, by id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(_WORD.findall(text.lower())) for text in batch.column(3).to_pylist()]
+            found = [Counter(_WORD.findall(text.lower())) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(3)]
+                [batch.column(0), batch.column(1)]
                 + [pa.array([list(c) for c in found], pa.list_(pa.string()))]
                 + [pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "digest", "words", "counts"],
+                ["doc_id", "toxic", "words", "counts"],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, toxic int, digest long, words array<string>, counts array<int>"
-    found = rows.select("doc_id", "toxic", F.xxhash64("text").alias("digest"), "text").mapInArrow(count, shape)
-    return found.toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])
+    kind = examples.schema["doc_id"].dataType.simpleString()
+    shape = f"doc_id {kind}, toxic int, words array<string>, counts array<int>"
+    return examples.select("doc_id", "toxic", "text").mapInArrow(count, shape).toArrow().sort_by("doc_id")
+
+
+def _own_votes(examples: DataFrame, model: ToxicityModel) -> dict:
+    """The vote on each example by the others, worked out where the examples are."""
+    sent, place = model.sent(examples.sparkSession), {i: n for n, i in enumerate(model._ids)}
+    kind = examples.schema["doc_id"].dataType.simpleString()
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = sent.value
+        for batch in batches:
+            found = [judge.own_vote(place[i], text) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "vote"])
+
+    return dict(examples.select("doc_id", "text").mapInArrow(vote, f"doc_id {kind}, vote double").collect())
 
 
 def learn(
@@ -245,10 +309,12 @@ def learn(
 ) -> ToxicityModel:
     """A model from the labelled rows that are not held out.
 
-    Examples are at most ``examples`` rows of each label, and terms are all their words. What a term
-    tells about the label comes from all of those rows, how rare it is from all documents. A document labelled twice counts as toxic
-    if any label says so; null ids and null labels are left out. Without any label scores are 0.5.
+    Examples are at most ``examples`` ids of each label, and terms are all their words. What a term
+    tells about the label comes from all of those rows, how rare it is from all documents. A document
+    labelled twice counts as toxic if any label says so; of rows that share an id, the text with the
+    smallest hash is the example; null ids and null labels are left out. Without any label scores are 0.5.
     """
+    spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & in_training("doc_id"))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -256,26 +322,36 @@ def learn(
     training = id_and_text(docs, id_col, text_col).join(known.hint("merge"), "doc_id")
     texts, toxic = training.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not texts:
-        return ToxicityModel([], [], (1.0, 1.0)).fit([])
+        return ToxicityModel(Words(pa.array([], pa.string())), np.zeros(0), (1.0, 1.0))
 
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples) for y in (0, 1)]
     every = id_and_text(docs, id_col, text_col)
-    held = _word_counts(every.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").limit(4 * examples))
-    words = sorted(set(pc.unique(held["words"].combine_chunks().flatten()).to_pylist()))
-    place = {w: i for i, w in enumerate(words)}
-
-    places = docs.sparkSession.sparkContext.broadcast(place)
-    known_texts, known_toxic = _term_counts(training, places)
-    all_texts, _ = _term_counts(every.withColumn("toxic", F.lit(0)), places)
+    chosen = every.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    chosen = TableSpool(spark, "toxicity").cut(chosen, "examples")
+    held = _word_counts(chosen)
+    coded = pc.dictionary_encode(held["words"].combine_chunks().flatten())
+    by_name = pc.sort_indices(coded.dictionary)
+    words = Words(coded.dictionary.take(by_name))
+    number = np.empty(len(words), np.int32)
+    number[by_name.to_numpy()] = np.arange(len(words), dtype=np.int32)
+
+    sent = spark.sparkContext.broadcast(words)
+    known_texts, known_toxic = _term_counts(training, sent)
+    all_texts, _ = _term_counts(every.withColumn("toxic", F.lit(0)), sent)
     rate = (toxic + 0.5) / (texts + 1)
     share = (known_toxic + PRIOR_TEXTS * rate) / (known_texts + PRIOR_TEXTS)
     tells = np.abs(np.log(share / (1 - share)) - math.log(rate / (1 - rate))) ** POWER
     rare = np.log((1 + every.count()) / (1 + all_texts)) + 1
-    rates = tuple(max(1.0, n / examples) for n in (texts - toxic, toxic))
-    model = ToxicityModel(words, (rare * tells).tolist(), rates)
-    found = zip(*(held[c].to_pylist() for c in ("doc_id", "toxic", "words", "counts")))
-    return model.fit([(i, y, model.weighted({place[w]: n for w, n in zip(ws, ns)})) for i, y, ws, ns in found])
+    model = ToxicityModel(words, rare * tells, tuple(max(1.0, n / examples) for n in (texts - toxic, toxic)))
+    sizes = pc.list_value_length(held["words"]).to_numpy()
+    often = held["counts"].combine_chunks().flatten().to_numpy()
+    model.hold(held["doc_id"].to_pylist(), held["toxic"].to_numpy(), sizes, number[coded.indices.to_numpy()], often)
+    votes = _own_votes(chosen, model)
+    logits = np.array([_logit(votes[i]) for i in model._ids])
+    model.curve = logistic(logits, model._labels, model.rates_of_examples())
+    return model
 
 
 def score_toxicity(
@@ -297,13 +373,13 @@ def score_toxicity(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         *[F.col(c).alias(name) for c, name in zip(keep, names)],
     )
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, curve = model.sent(docs.sparkSession), model.curve
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *names))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         for batch in batches:
-            found = [judge.score(text) for text in batch.column("text").to_pylist()]
+            found = [judge.score(text, curve) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("doc_id", *names)]
                 + [pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())],
