@@ -14,8 +14,8 @@ and aligned once.
 
 from __future__ import annotations
 
-import hashlib
 import json
+from array import array
 from itertools import accumulate
 from typing import Iterator
 
@@ -111,29 +111,30 @@ class Pieces:
         return [ids or [self._space] for ids in self._model.encode(texts, num_threads=1)]
 
 
-def slices(first: list[bytes], second: list[bytes]) -> list[tuple[int, int, int, int]]:
-    """(from, to, from, to) of each group, by the ends both sides have in common."""
-    ends_a = {end: i for i, end in enumerate(accumulate(map(len, first)), 1)}
-    ends_b = {end: i for i, end in enumerate(accumulate(map(len, second)), 1)}
+def slices(first: list[int], second: list[int]) -> list[tuple[int, int, int, int]]:
+    """(from, to, from, to) of each group of tokens of these lengths, by the ends both sides have in common."""
+    ends_a = dict(zip(accumulate(first), range(1, len(first) + 1)))
+    ends_b = dict(zip(accumulate(second), range(1, len(second) + 1)))
     found, a, b = [], 0, 0
     for end in sorted(ends_a.keys() & ends_b.keys()):
-        found.append((a, ends_a[end], b, ends_b[end]))
-        a, b = ends_a[end], ends_b[end]
+        i, j = ends_a[end], ends_b[end]
+        found.append((a, i, b, j))
+        a, b = i, j
     return found
 
 
-def overlaps(first: list[bytes], second: list[bytes]) -> list[tuple[int, int]]:
+def overlaps(first: list[int], second: list[int]) -> list[tuple[int, int]]:
     """Places of tokens whose bytes overlap, for one group: one step past the token that ends first."""
     a = b = 0
-    end_a, end_b = len(first[0]), len(second[0])
+    end_a, end_b = first[0], second[0]
     found = [(0, 0)]
     while end_a != end_b:
         if end_a < end_b:
             a += 1
-            end_a += len(first[a])
+            end_a += first[a]
         else:
             b += 1
-            end_b += len(second[b])
+            end_b += second[b]
         found.append((a, b))
     return found
 
@@ -158,6 +159,8 @@ class Aligner:
     def __init__(self, first: str, second: str):
         self.first, self.second = ByteLevel(first), Pieces(second)
         self.kind = _kind(self.first.size, self.second.size)
+        self._code = "I" if self.kind.itemsize == 4 else "Q"
+        self._shown = list(map(str, range(max(self.first.size, self.second.size))))
         self._held: dict[str, tuple | None] = {}
 
     def _aligned(self, chunk: str, b: list[int]) -> tuple | None:
@@ -168,13 +171,23 @@ class Aligner:
         data = whole.encode()
         if b"".join(first) != data or b"".join(second) != data:
             return None
-        size = self.second.size
+        size, shown = self.second.size, self._shown
         written, links = [], []
+        first, second = list(map(len, first)), list(map(len, second))
         groups = slices(first, second)
         for a0, a1, b0, b1 in groups:
-            written.append(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}")
-            links += [a[a0 + i] * size + b[b0 + j] for i, j in overlaps(first[a0:a1], second[b0:b1])]
-        return len(a), len(b), len(groups), len(links), ";".join(written), np.array(links, self.kind).tobytes()
+            if a1 - a0 == 1:
+                x = a[a0]
+                links += [x * size + y for y in b[b0:b1]]
+                written.append(f"{x}|{','.join([shown[y] for y in b[b0:b1]])}")
+            elif b1 - b0 == 1:
+                y = b[b0]
+                links += [x * size + y for x in a[a0:a1]]
+                written.append(f"{','.join([shown[x] for x in a[a0:a1]])}|{y}")
+            else:
+                links += [a[a0 + i] * size + b[b0 + j] for i, j in overlaps(first[a0:a1], second[b0:b1])]
+                written.append("|".join(",".join([shown[i] for i in ids]) for ids in (a[a0:a1], b[b0:b1])))
+        return len(a), len(b), len(groups), len(links), ";".join(written), array(self._code, links).tobytes()
 
     def align(self, texts: list[str]) -> list[tuple | None]:
         """The same for whole texts; nothing for empty ones and where an encoding's bytes are not the text's."""
