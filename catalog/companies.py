@@ -92,17 +92,22 @@ def join_registry_slugs(spark, sf):
     return CO.slugs_to_query(curated(spark, sf), registry(spark, sf))
 
 
-@query("set_distinct_slugs", f"WITH {CURATED_SQL} SELECT DISTINCT ats, slug FROM curated")
+@query("set_distinct_slugs", on_jobs("SELECT ats, slug FROM curated UNION SELECT ats, slug FROM in_urls WHERE ats IS NOT NULL", f"{_IN_URLS}, {CURATED_SQL}"))
 def set_distinct_slugs(spark, sf):
-    return CO.slugs_to_query(curated(spark, sf), curated(spark, sf))
+    return CO.slugs_to_query(curated(spark, sf), CO.companies_in_urls(urls(spark, sf), DAY))
 
 
-@query("join_workday_override", "SELECT coalesce(c.company_name, r.company_name) AS company_name, coalesce(r.url, c.url) AS url FROM (SELECT s_name AS company_name, 'https://curated.wd5.myworkdayjobs.com/' || s_suppkey AS url FROM supplier WHERE s_nationkey < 15) c FULL JOIN (SELECT s_name AS company_name, 'https://site' || s_suppkey || '.wd1.myworkdayjobs.com/Careers' AS url FROM supplier WHERE s_suppkey % 4 <> 0) r ON r.company_name = c.company_name")
+# Companies that customers stand for; some have the names of suppliers, whose sites were learnt.
+_CURATED_SITES = "SELECT DISTINCT 'Supplier#' || lpad(CAST(c_custkey * 3 % 2000 AS VARCHAR), 9, '0') AS company_name, 'https://curated.wd5.myworkdayjobs.com/' || (c_custkey * 3 % 2000) AS url FROM customer"
+
+
+@query("join_workday_override", f"SELECT coalesce(c.company_name, r.company_name) AS company_name, coalesce(r.url, c.url) AS url FROM ({_CURATED_SITES}) c FULL JOIN (SELECT s_name AS company_name, 'https://site' || s_suppkey || '.wd1.myworkdayjobs.com/Careers' AS url FROM supplier WHERE s_suppkey % 4 <> 0) r ON r.company_name = c.company_name")
 def join_workday_override(spark, sf):
-    sites = table(spark, sf, "supplier").filter("s_nationkey < 15").select(
-        F.col("s_name").alias("company_name"), F.concat(F.lit("https://curated.wd5.myworkdayjobs.com/"), F.col("s_suppkey").cast("string")).alias("url")
+    key = (F.col("c_custkey") * 3 % 2000).cast("string")
+    sites = table(spark, sf, "customer").select(
+        F.concat(F.lit("Supplier#"), F.lpad(key, 9, "0")).alias("company_name"), F.concat(F.lit("https://curated.wd5.myworkdayjobs.com/"), key).alias("url")
     )
-    return CO.workday_sites(sites, registry(spark, sf))
+    return CO.workday_sites(sites.distinct(), registry(spark, sf))
 
 
 @query("join_ats_classify", on_jobs(f"SELECT seq, job_url AS url, {ROUTE_SQL[0]} AS platform, {ROUTE_SQL[1]} AS slug FROM jobs"))
