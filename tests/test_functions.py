@@ -265,3 +265,25 @@ def test_url_fallbacks(spark):
     })
     check(spark, PF.company_from_host, {"https://www.acme-labs.com/x": "Acme Labs", "https://m.acme.com": "M"})
     check(spark, PF.workday_title_from_url, {"https://a.wd1.myworkdayjobs.com/en-US/C/job/Senior-PO/99": "Senior Po"})
+
+
+def test_selectors_are_answered_from_one_scan_of_tags(rows):
+    from vacancia.sources import html as H
+
+    page = (
+        "<main><div class='x job-content'><div>a</div>b</div><P id=\"job\">never closed"
+        "<x <span data-a='1' class=\"location\">Bonn</span><i itemprop='datePosted' content='2024-05-06'></i></main>"
+    )
+    df = rows("html string", (page,), ("",), (None,), ("no tags < here > at all",))
+    selectors = [".job-content", "#job", ".location", "[itemprop='datePosted']", ".content", "main", "article"]
+    found = [r[0] for r in df.select(H.elements(F.col("html"), selectors)).collect()]
+    assert [(e.tag, e.inside) for e in found[0]] == [
+        ("<div class='x job-content'>", "<div>a</div>b"),
+        ('<P id="job">', None),
+        ("<x <span data-a='1' class=\"location\">", None),
+        ("<i itemprop='datePosted' content='2024-05-06'>", ""),
+        ("<main>", page[len("<main>") : -len("</main>")]),
+    ]
+    assert found[1] == [] and not found[2] and found[3] == []
+    first = [r[0] for r in df.select(H.first_inside(F.col("html"), ["#job", ".job-content"])).collect()]
+    assert first == ["<div>a</div>b", None, None, None]

@@ -97,33 +97,55 @@ def _is_tag(selector: str) -> bool:
     return selector.isalnum()
 
 
-def select(html: Column, selector: str) -> Column:
-    """Inside of the first element for a simple selector: tag, .class, #id or [itemprop]."""
+def _opening(html: Column, tags: Column, selector: str) -> Column:
+    """First of the opening tags of a page that a selector names."""
     if _is_tag(selector):
-        return element(html, selector)
-    literal, condition = _condition(selector)
-    opening = F.regexp_extract(html, rf"<[a-zA-Z][a-zA-Z0-9]*\b[^>]*?\s{condition}[^>]*>", 0)
+        literal, pattern = None, rf"(?i)<{selector}\b[^>]*>"
+    else:
+        literal, condition = _condition(selector)
+        pattern = rf"<[a-zA-Z][^>]*\s{condition}[^>]*>"
+    named = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, pattern, 0)), lambda t: F.length(t) > 0)
+    first = F.get(named, F.lit(0))
+    return first if literal is None else _gated(html, literal, first)
 
-    def inside(found: Column) -> Column:
-        return _up_to_close(_after(html, found), F.regexp_extract(found, r"^<([a-zA-Z0-9]+)", 1))
 
-    return _gated(html, literal, let(opening, inside))
+def elements(html: Column, selectors: list[str]) -> Column:
+    """(tag, inside) of the first element for each simple selector (tag, .class, #id or [itemprop])
+    that has one, in the order of the selectors; inside is null where the element is never closed.
 
+    A page is scanned for opening tags once, and all selectors are answered from those.
+    """
+    def inside(opening: Column) -> Column:
+        return _up_to_close(_after(html, opening), F.regexp_extract(opening, r"^<([a-zA-Z0-9]+)", 1))
 
-def opening_tag(html: Column, selector: str) -> Column:
-    """Opening tag of the first element for a selector."""
-    if _is_tag(selector):
-        return blank_to_null(F.regexp_extract(html, rf"(?i)<{selector}\b[^>]*>", 0))
-    literal, condition = _condition(selector)
-    return _gated(html, literal, blank_to_null(F.regexp_extract(html, rf"<[a-zA-Z][^>]*\s{condition}[^>]*>", 0)))
+    def of_tags(tags: Column) -> Column:
+        openings = F.filter(F.array(*[_opening(html, tags, s) for s in selectors]), lambda o: o.isNotNull())
+        return F.transform(openings, lambda o: F.struct(o.alias("tag"), inside(o).alias("inside")))
+
+    # no tag reaches beyond its first '>', so whatever a selector finds lies within one of these
+    return let(F.regexp_extract_all(html, F.lit(r"<[a-zA-Z][^>]*>"), F.lit(0)), of_tags)
+
+
+def insides(html: Column, selectors: list[str]) -> Column:
+    """Insides of the first closed element for each selector that has one."""
+    return F.filter(F.transform(elements(html, selectors), lambda e: e["inside"]), lambda c: c.isNotNull())
+
+
+def first_inside(html: Column, selectors: list[str]) -> Column:
+    """Inside of the first selector's element that is there and closed."""
+    return F.get(insides(html, selectors), F.lit(0))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of an opening tag."""
-    return unescape_entities(blank_to_null(F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*["']([^"']*)["']""", 1)))
+def attribute(tag: Column, *names: str) -> Column:
+    """Value of the first of these attributes that an opening tag fills."""
+    raw = [blank_to_null(F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*["']([^"']*)["']""", 1)) for name in names]
+    return unescape_entities(F.coalesce(*raw))
 
 
-def meta_property(html: Column, name: str) -> Column:
-    """Content of a ``<meta property=...>``, whichever attribute comes first."""
-    tag = F.regexp_extract(html, rf"""(?i)<meta\b[^>]*property\s*=\s*["']{re.escape(name)}["'][^>]*>""", 0)
-    return _gated(html, name, strip(attribute(tag, "content")))
+def meta_properties(html: Column, names: list[str]) -> Column:
+    """Contents of ``<meta property=...>`` by these names, whichever attribute comes first, as an array."""
+    tags = [
+        _gated(html, name, F.regexp_extract(html, rf"""(?i)<meta\b[^>]*property\s*=\s*["']{re.escape(name)}["'][^>]*>""", 0))
+        for name in names
+    ]
+    return F.transform(F.array(*tags), lambda tag: strip(attribute(tag, "content")))

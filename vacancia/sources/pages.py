@@ -23,13 +23,8 @@ LOCATION_SELECTORS = [".job-location", ".location", "[itemprop='jobLocation']",
 DATE_SELECTORS = ["[itemprop='datePosted']", ".date-posted", ".posting-date", "time"]
 
 
-def _first_of(html: Column, selectors: list[str]) -> Column:
-    return F.coalesce(*[H.select(html, s) for s in selectors])
-
-
 def _description(html: Column, chars: int | None) -> Column:
     """Text of the first container with more than 100 characters, else of the body."""
-    containers = F.filter(F.array(*[H.select(html, s) for s in DESCRIPTION_SELECTORS]), lambda c: c.isNotNull())
     body = H.text_of(F.regexp_replace(H.element(html, "body", may_stay_open=True), H.CHROME, ""), "\n")
 
     def choose(texts: Column) -> Column:
@@ -38,7 +33,7 @@ def _description(html: Column, chars: int | None) -> Column:
         just_enough = F.when(F.length(last) == V.MIN_PAGE_DESCRIPTION, last)
         return F.coalesce(long_enough, just_enough, body, last)
 
-    chosen = let(F.transform(containers, lambda c: H.text_of(c, "\n")), choose)
+    chosen = let(F.transform(H.insides(html, DESCRIPTION_SELECTORS), lambda c: H.text_of(c, "\n")), choose)
     return blank_to_null(chosen if chars is None else F.substring(chosen, 1, chars))
 
 
@@ -46,13 +41,10 @@ def _date(html: Column) -> Column:
     """Day of the first date element: its datetime, its content or its text."""
     def of_element(found: Column) -> Column:
         tag = found["tag"]
-        written = first_filled(H.attribute(tag, "datetime"), H.attribute(tag, "content"), H.text_of(found["inside"]))
+        written = first_filled(H.attribute(tag, "datetime", "content"), H.text_of(found["inside"]))
         return let(written, lambda t: F.when(F.length(t) >= 10, F.left(t, F.lit(10))))
 
-    elements = F.array(
-        *[F.struct(H.opening_tag(html, s).alias("tag"), H.select(html, s).alias("inside")) for s in DATE_SELECTORS]
-    )
-    days = F.transform(F.filter(elements, lambda e: e["tag"].isNotNull()), of_element)
+    days = F.transform(H.elements(html, DATE_SELECTORS), of_element)
     return F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0))
 
 
@@ -107,19 +99,21 @@ def map_generic_page(pages: DataFrame, description_chars: int | None = None) ->
     rows = pages.withColumns(
         {
             "_ld": job_posting_json_ld(html),
-            "_place": H.text_of(_first_of(html, LOCATION_SELECTORS)),
-            "_og_title": H.meta_property(html, "og:title"),
-            "_og_site": H.meta_property(html, "og:site_name"),
-            "_heading": F.coalesce(H.text_of(H.element(html, "h1")), H.text_of(H.element(html, "title"))),
+            "_shown": F.transform(
+                F.array(H.first_inside(html, LOCATION_SELECTORS), H.first_inside(html, ["h1", "title"])),
+                lambda found: H.text_of(found),
+            ),
+            "_og": H.meta_properties(html, ["og:title", "og:site_name"]),
             "_host": PF.company_from_host(F.col("url")),
         }
     )
     ld = lambda path: blank_to_null(F.try_variant_get(F.col("_ld"), path, "string"))
-    shown = F.coalesce(blank_to_null(F.col("_og_title")), F.col("_heading"))
+    place = F.get("_shown", F.lit(0))
+    shown = F.coalesce(blank_to_null(F.get("_og", F.lit(0))), F.get("_shown", F.lit(1)))
     rows = rows.withColumns(
         {
             "_title": F.coalesce(blank_to_null(shown), ld("$.title")),
-            "_company": first_filled(F.col("_og_site"), F.col("_host"), ld("$.hiringOrganization.name")),
+            "_company": first_filled(F.get("_og", F.lit(1)), F.col("_host"), ld("$.hiringOrganization.name")),
         }
     )
     return to_postings(
@@ -128,10 +122,10 @@ def map_generic_page(pages: DataFrame, description_chars: int | None = None) ->
             "source": F.lit(DISCOVERY),
             "title": F.col("_title"),
             "company": F.col("_company"),
-            "location": F.coalesce(ld("$.jobLocation.address.addressLocality"), F.col("_place")),
+            "location": F.coalesce(ld("$.jobLocation.address.addressLocality"), place),
             "country": ld("$.jobLocation.address.addressCountry"),
             "date_posted": F.coalesce(F.left(ld("$.datePosted"), F.lit(10)), _date(html)),
-            "is_remote": remote_from_text(F.col("_place"), F.col("_title")),
+            "is_remote": remote_from_text(place, F.col("_title")),
             "job_url": F.col("url"),
             "description": _description(html, description_chars),
         },
@@ -141,7 +135,7 @@ def map_generic_page(pages: DataFrame, description_chars: int | None = None) ->
 def map_personio_page(pages: DataFrame) -> DataFrame:
     """A single posting page of a Personio site."""
     html = F.col("html")
-    heading = F.coalesce(H.element(html, "h1"), H.select(html, ".position-title"), H.element(html, "title"))
+    heading = H.first_inside(html, ["h1", ".position-title", "title"])
     return to_postings(
         pages,
         {
@@ -149,10 +143,10 @@ def map_personio_page(pages: DataFrame) -> DataFrame:
             "ats_platform": F.lit("personio"),
             "title": H.text_of(heading),
             "company": PF.personio_company_from_host(F.col("url")),
-            "location": H.text_of(_first_of(html, [".job-location", ".position-location", ".location"])),
+            "location": H.text_of(H.first_inside(html, [".job-location", ".position-location", ".location"])),
             "job_url": F.col("url"),
             "description": H.text_of(
-                _first_of(html, [".job-description", ".position-description", ".description", "article"]), "\n"
+                H.first_inside(html, [".job-description", ".position-description", ".description", "article"]), "\n"
             ),
         },
     )
@@ -173,7 +167,7 @@ def map_personio_listing(raw: DataFrame) -> DataFrame:
     site = F.concat(F.lit("https://"), F.col("company_slug"), F.lit(".jobs.personio.de"))
     whole = F.col("item.whole")
     href = F.coalesce(H.attribute(F.col("item.tag"), "href"), F.lit(""))
-    title = H.text_of(F.coalesce(_first_of(whole, [".job-title", ".position-title", "h3", "h4"]), whole))
+    title = H.text_of(F.coalesce(H.first_inside(whole, [".job-title", ".position-title", "h3", "h4"]), whole))
     url = F.when((F.length(href) > 0) & ~F.startswith(href, F.lit("http")), F.concat(site, F.lit("/"), F.ltrim(href, F.lit("/")))).otherwise(href)
     rows = rows.withColumns({"_title": title, "_url": url}).filter((F.length("_title") > 0) & (F.length("_url") > 0))
     return to_postings(
@@ -181,7 +175,7 @@ def map_personio_listing(raw: DataFrame) -> DataFrame:
         {
             **platform_values("personio"),
             "title": F.col("_title"),
-            "location": H.text_of(_first_of(whole, [".job-location", ".position-location", ".location"])),
+            "location": H.text_of(H.first_inside(whole, [".job-location", ".position-location", ".location"])),
             "job_url": F.col("_url"),
             "company_url": site,
         },
@@ -227,11 +221,11 @@ def _cards(html: Column, classes: list[str], data_attribute: str, fallback: str)
 
 def _link(card: Column, classes: list[str], headings: list[str], marker: str) -> Column:
     """Struct(tag, whole) of the anchor that holds the title of a card."""
-    inside = [H.select(card, f".{c}") for c in classes] + [H.element(card, h) for h in headings]
+    inside = H.insides(card, [f".{c}" for c in classes] + headings)
     anchor = r"(?i)<a\b[^>]*>[\s\S]*?</a\s*>"
-    candidates = [blank_to_null(F.regexp_extract(part, anchor, 0)) for part in inside]
-    candidates.append(blank_to_null(F.regexp_extract(card, rf"(?i)<a\b[^>]*\s{marker}\b[^>]*>[\s\S]*?</a\s*>", 0)))
-    return F.coalesce(*candidates)
+    anchors = F.filter(F.transform(inside, lambda part: F.regexp_extract(part, anchor, 0)), lambda a: F.length(a) > 0)
+    marked = blank_to_null(F.regexp_extract(card, rf"(?i)<a\b[^>]*\s{marker}\b[^>]*>[\s\S]*?</a\s*>", 0))
+    return F.coalesce(F.get(anchors, F.lit(0)), marked)
 
 
 def _card_rows(raw: DataFrame, cards: Column, link: Column, site: str) -> DataFrame:
@@ -258,20 +252,20 @@ def map_foundit_cards(raw: DataFrame) -> DataFrame:
         _link(card, ["designation"], [], "data-job-title"),
     )
     rows = _card_rows(raw, cards, link, "https://www.foundit.in")
-    location = H.text_of(_first_of(card, [".loc", ".location", ".job-location"]))
+    location = H.text_of(H.first_inside(card, [".loc", ".location", ".job-location"]))
     return to_postings(
         rows,
         {
             "source": F.lit("foundit"),
             "title": F.col("_title"),
-            "company": H.text_of(_first_of(card, [".company-name", ".companyName", ".comp-name"])),
+            "company": H.text_of(H.first_inside(card, [".company-name", ".companyName", ".comp-name"])),
             "location": location,
             "country": F.lit("India"),
-            "date_posted": H.text_of(_first_of(card, [".posted-date", ".date", ".job-date"])),
+            "date_posted": H.text_of(H.first_inside(card, [".posted-date", ".date", ".job-date"])),
             "is_remote": _said_remote(location, F.col("_title")),
             "salary_currency": F.lit("INR"),
             "job_url": F.col("_url"),
-            "description": F.coalesce(H.text_of(_first_of(card, [".job-description", ".desc", ".job-desc"])), F.lit("")),
+            "description": F.coalesce(H.text_of(H.first_inside(card, [".job-description", ".desc", ".job-desc"])), F.lit("")),
         },
     )
 
@@ -281,8 +275,8 @@ def map_instahyre_cards(raw: DataFrame) -> DataFrame:
     card = F.col("item")
     cards = _cards(F.col("html"), ["job-card", "opportunity-card"], "data-opportunity-id", r"job[-_]?card|opportunity")
     rows = _card_rows(raw, cards, _link(card, ["job-title", "opportunity-title"], ["h3"], "data-job-title"), "https://www.instahyre.com")
-    location = H.text_of(_first_of(card, [".location", ".job-location", ".city"]))
-    pay = parse_salary_lpa(H.text_of(_first_of(card, [".salary", ".compensation", ".ctc"])))
+    location = H.text_of(H.first_inside(card, [".location", ".job-location", ".city"]))
+    pay = parse_salary_lpa(H.text_of(H.first_inside(card, [".salary", ".compensation", ".ctc"])))
     rows = rows.withColumn("_pay", pay)
     paid = (F.coalesce(F.col("_pay.min"), F.lit(0.0)) != 0) | (F.coalesce(F.col("_pay.max"), F.lit(0.0)) != 0)
     return to_postings(
@@ -290,7 +284,7 @@ def map_instahyre_cards(raw: DataFrame) -> DataFrame:
         {
             "source": F.lit("instahyre"),
             "title": F.col("_title"),
-            "company": H.text_of(_first_of(card, [".company-name", ".employer-name"])),
+            "company": H.text_of(H.first_inside(card, [".company-name", ".employer-name"])),
             "location": location,
             "country": F.lit("India"),
             "job_type": F.lit("fulltime"),
@@ -300,7 +294,7 @@ def map_instahyre_cards(raw: DataFrame) -> DataFrame:
             "salary_currency": F.when(paid, F.lit("INR")),
             "salary_interval": F.when(paid, F.lit("yearly")),
             "job_url": F.col("_url"),
-            "description": F.coalesce(H.text_of(_first_of(card, [".job-description", ".desc", ".skills"])), F.lit("")),
+            "description": F.coalesce(H.text_of(H.first_inside(card, [".job-description", ".desc", ".skills"])), F.lit("")),
         },
     )
 
