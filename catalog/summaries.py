@@ -175,13 +175,13 @@ def win_page(spark, sf):
 @query("srt_date_desc", on_jobs(f"SELECT seq, date_posted, row_number() OVER (ORDER BY {_DATE_KEY} DESC, seq) - 1 AS row_index FROM clean", NORMAL_JOBS))
 def srt_date_desc(spark, sf):
     df = normalize_postings(jobs(spark, sf)).select("seq", "date_posted")
-    return OR.newest_first(OR.global_index(df, major=OR.date_key())).select("seq", "date_posted", "row_index")
+    return OR.with_positions(OR.newest_first(df)).select("seq", "date_posted", "row_index")
 
 
 @query("srt_score_desc", on_jobs("SELECT seq, ai_score, row_number() OVER (ORDER BY coalesce(ai_score, 0) DESC, seq) - 1 AS row_index FROM jobs"))
 def srt_score_desc(spark, sf):
     df = jobs(spark, sf).select("seq", "ai_score")
-    return OR.best_score_first(OR.global_index(df, major=F.coalesce("ai_score", F.lit(0)))).select("seq", "ai_score", "row_index")
+    return OR.with_positions(OR.best_score_first(df)).select("seq", "ai_score", "row_index")
 
 
 @query("srt_chart_asc", on_jobs(f"SELECT 'source' AS chart, source AS label, n FROM (SELECT source, count(*) AS n FROM parts GROUP BY source) UNION ALL SELECT 'language', language, n FROM ({_BY_LANGUAGE})", _SOURCES))

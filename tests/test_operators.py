@@ -210,3 +210,13 @@ def test_working_folder(master, named, ok):
     else:
         with pytest.raises(RuntimeError):
             working_folder(Session())
+
+
+def test_positions_of_a_sorted_frame_need_one_exchange(spark):
+    df = spark.range(5000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("2024-01-0"), (F.col("id") % 7 + 1).cast("string"))).alias("date_posted"))
+    ordered = OR.newest_first(df.repartition(5))
+    assert ordered._jdf.queryExecution().executedPlan().toString().count("rangepartitioning") == 1
+    got = sorted((r.row_index, r.seq) for r in OR.with_positions(ordered).collect())
+    want = sorted(df.collect(), key=lambda r: (-int((r.date_posted or "0000-00-00").replace("-", "")), r.seq))
+    assert got == list(enumerate(r.seq for r in want))
+    assert OR.with_positions(OR.newest_first(df.limit(0))).count() == 0

@@ -31,23 +31,18 @@ def best_score_first_nulls_last(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("ai_score").desc_nulls_last(), F.col("seq").asc())
 
 
-def global_index(df: DataFrame, major: Column | None = None) -> DataFrame:
-    """Add ``row_index``: 0-based position by ``major`` descending (if given), then ``seq``.
-
-    Positions over a whole table without one task seeing the whole table: rows are split into
-    ranges of the order and numbered within each, and only the sizes of the ranges, one number
-    per partition, are added up. Ranges are balanced whatever the values of ``major``, since
-    ``seq`` is part of the order. The numbered rows are written once, because range bounds are
-    sampled and must not be drawn twice.
+def with_positions(ordered: DataFrame) -> DataFrame:
+    """Add ``row_index``: the 0-based position of each row of a sorted frame.
+
+    Positions over a whole table without one task seeing the whole table: a sorted frame consists of
+    ranges of the order, rows are numbered within those, and only the sizes of the ranges, one number
+    per partition, are added up. The numbered rows are written once, because range bounds are
+    sampled and must not be drawn twice. Nothing is sorted again: the files are the order, and
+    ``row_index`` says it.
     """
-    order = [F.col("seq").asc()]
-    if major is not None:
-        df = df.withColumn("_major", major)
-        order.insert(0, F.col("_major").desc())
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # the number is the partition in the upper bits and the position within it in the lower 33
-    numbered = TableSpool(df.sparkSession, "index").cut(
-        ranged.withColumn("_number", F.monotonically_increasing_id()), "numbered"
+    numbered = TableSpool(ordered.sparkSession, "index").cut(
+        ordered.withColumn("_number", F.monotonically_increasing_id()), "numbered"
     )
     part = F.shiftright("_number", 33).alias("_part")
     sizes = numbered.groupBy(part).agg(F.count("*").alias("_n"))
@@ -57,10 +52,19 @@ def global_index(df: DataFrame, major: Column | None = None) -> DataFrame:
         numbered.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
         .withColumn("row_index", F.col("_offset") + F.col("_number").bitwiseAND((1 << 33) - 1))
-        .drop("_part", "_number", "_offset", "_major")
+        .drop("_part", "_number", "_offset")
     )
 
 
+def global_index(df: DataFrame, major: Column | None = None) -> DataFrame:
+    """Add ``row_index``: 0-based position by ``major`` descending (if given), then ``seq``.
+
+    Ranges are balanced whatever the values of ``major``, since ``seq`` is part of the order.
+    """
+    order = [F.col("seq").asc()] if major is None else [major.desc(), F.col("seq").asc()]
+    return with_positions(df.orderBy(*order))
+
+
 def with_batches(df: DataFrame, size: int = V.MODEL_BATCH) -> DataFrame:
     """Add ``batch_id`` and ``idx``, the position within the batch, by ``seq``."""
     return (
@@ -74,7 +78,7 @@ def with_batches(df: DataFrame, size: int = V.MODEL_BATCH) -> DataFrame:
 def with_pages(df: DataFrame, size: int = V.PAGE_SIZE) -> DataFrame:
     """Add ``page``, counted from 1, in the order of the result list (newest first)."""
     return (
-        global_index(df, major=date_key())
+        with_positions(newest_first(df))
         .withColumn("page", (F.floor(F.col("row_index") / size) + 1).cast("bigint"))
         .drop("row_index")
     )
