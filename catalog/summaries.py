@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vacancia import fixed_values as V
 from vacancia.functions import keys as K
@@ -10,13 +11,16 @@ from vacancia.operators import filters as FL, ordering as OR, reports as RE, sum
 from vacancia.operators.normalize import normalize_postings
 from vacancia.operators.resolve import with_keys
 from vacancia.plans.search import detect_languages
-from vacancia.schema import POSTING_FIELDS, empty_postings
+from vacancia.schema import POSTING_FIELDS, POSTING_SCHEMA, empty_postings
+from vacancia.session import TableSpool
 from vacancia.sources.common import union_feeds
 
 from .base import AS_OF, jobs, on_jobs, query, s_any, s_host, s_norm_company, s_norm_title, s_norm_url, s_strip, table
 from .classify import ATS_SQL, BAND_SQL, LISTING_SQL, NORMAL_JOBS, ROUTE_SQL, SCORE_SQL, required_sql
 from .filters import ASKED_SQL, scope_sql
 
+EXPORT_SCHEMA = StructType(POSTING_SCHEMA.fields[1:])
+
 # --- counts ---------------------------------------------------------------------------------------------
 
 _SOURCES = "parts AS (SELECT trim(unnest(string_split(coalesce(source, 'unknown'), ' + '))) AS source FROM jobs)"
@@ -228,22 +232,36 @@ def set_union_feeds(spark, sf):
 # --- reports --------------------------------------------------------------------------------------------------------
 
 
+SQL_TYPES = {"string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
+
+
+def _sheet_sql(name: str, columns) -> str:
+    return f"SELECT '{name}' AS sheet, " + ", ".join(
+        f"{c if c in columns else 'NULL::' + SQL_TYPES[kind.simpleString()]} AS {c}" for c, kind in POSTING_FIELDS.items()
+    ) + " FROM jobs"
+
+
 @query(
     "sink_report_tables",
     on_jobs(
-        "SELECT 'summary' AS sheet, title, company, job_url, language, NULL::INTEGER AS ai_score, NULL::VARCHAR AS description FROM jobs "
-        "UNION ALL SELECT 'full', title, company, job_url, language, ai_score, description FROM jobs "
-        "UNION ALL SELECT 'scores', title, company, job_url, NULL, ai_score, NULL FROM jobs"
+        " UNION ALL ".join(
+            _sheet_sql(name, columns)
+            for name, columns in (("summary", V.SUMMARY_COLUMNS), ("full", POSTING_FIELDS), ("scores", V.SCORE_COLUMNS))
+        )
     ),
 )
 def sink_report_tables(spark, sf):
+    from vacancia.sinks import write_report
+
     df = jobs(spark, sf)
-    columns = ["title", "company", "job_url", "language", "ai_score", "description"]
-    parts = []
-    for name, sheet in (("summary", RE.summary_table(df)), ("full", RE.full_table(df)), ("scores", RE.score_table(df))):
-        kinds = {"ai_score": "int"}
-        parts.append(sheet.select(F.lit(name).alias("sheet"), *[F.col(c) if c in sheet.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in columns]))
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    folder = _export_folder(spark)
+    write_report(df, folder)
+    sheets = []
+    for name in ("summary", "full", "scores"):
+        sheet = spark.read.parquet(f"{folder}/{name}")
+        columns = [(F.col(c) if c in sheet.columns else F.lit(None).cast(kind)).alias(c) for c, kind in POSTING_FIELDS.items()]
+        sheets.append(sheet.select(F.lit(name).alias("sheet"), *columns))
+    return sheets[0].unionAll(sheets[1]).unionAll(sheets[2])
 
 
 @query(
@@ -266,42 +284,49 @@ def sink_empty_result(spark, sf):
     return both.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(both.columns)))
 
 
-def _written(spark, write, read):
-    from vacancia.session import TableSpool
+def _export_folder(spark) -> str:
+    return TableSpool(spark, "export").path("files")
 
-    spool = TableSpool(spark, "export")
-    path = spool.path("files")
-    write(path)
-    return read(path)
 
+# text that is empty cannot be told from missing text in a CSV file; the check reads both as missing
+_CSV_ROWS = ", ".join(f"nullif({c}, '') AS {c}" if kind.simpleString() == "string" else c for c, kind in POSTING_FIELDS.items())
 
-_EXPORT = on_jobs("SELECT title, company, job_url, date_posted, is_remote, salary_min FROM clean", NORMAL_JOBS)
 
-
-@query("sink_csv", _EXPORT.replace("SELECT title, company,", "SELECT title, nullif(company, '') AS company,"))
+@query("sink_csv", on_jobs(f"SELECT {_CSV_ROWS} FROM clean", NORMAL_JOBS))
 def sink_csv(spark, sf):
-    from vacancia.schema import POSTING_SCHEMA
-    from vacancia.sinks import write_csv
-    from pyspark.sql.types import StructType
-
-    schema = StructType([f for f in POSTING_SCHEMA.fields if f.name in POSTING_FIELDS])
-    df = normalize_postings(jobs(spark, sf))
-    back = _written(
-        spark, lambda path: write_csv(df, path),
-        lambda path: spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True, nullValue=""),
-    )
-    # text that is empty cannot be told from missing text in such a file; the check reads both as missing
-    return back.select("title", "company", "job_url", "date_posted", "is_remote", "salary_min")
+    from vacancia.sinks import read_csv, write_csv
 
+    path = _export_folder(spark)
+    write_csv(normalize_postings(jobs(spark, sf)), path)
+    return read_csv(spark.read.schema(EXPORT_SCHEMA), path)
 
-@query("sink_json", _EXPORT)
+
+@query("sink_json", on_jobs(f"SELECT {', '.join(POSTING_FIELDS)} FROM clean", NORMAL_JOBS))
 def sink_json(spark, sf):
-    from vacancia.schema import POSTING_SCHEMA
     from vacancia.sinks import write_json
 
-    df = normalize_postings(jobs(spark, sf))
-    back = _written(spark, lambda path: write_json(df, path), lambda path: spark.read.schema(POSTING_SCHEMA).json(path))
-    return back.select("title", "company", "job_url", "date_posted", "is_remote", "salary_min")
+    path = _export_folder(spark)
+    write_json(normalize_postings(jobs(spark, sf)), path)
+    return spark.read.schema(EXPORT_SCHEMA).json(path)
+
+
+@query(
+    "sink_manifest",
+    on_jobs(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS name, count(*) AS n_rows, count({c}) AS n_filled, (SELECT count(*) FROM clean) AS n_in_files FROM clean"
+            for c in POSTING_FIELDS
+        ),
+        NORMAL_JOBS,
+    ),
+)
+def sink_manifest(spark, sf):
+    """Columns of a JSON export as its manifest has them, with the rows its files have in all."""
+    from vacancia.sinks import write_json
+
+    manifest = write_json(normalize_postings(jobs(spark, sf)), _export_folder(spark))
+    files = manifest.where("kind = 'file'").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_in_files"))
+    return manifest.where("kind = 'column'").select("name", "n_rows", "n_filled", files.scalar().alias("n_in_files"))
 
 
 KEYS_SQL = f"""keyed AS (SELECT seq, norm_url, t || '|||' || c AS dup_key FROM (SELECT seq, nullif({s_norm_url('job_url')}, '') AS norm_url,
