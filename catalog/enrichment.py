@@ -301,6 +301,17 @@ def tracker_fold(spark, sf):
     return TR.fold(events(spark, sf))
 
 
+@query("tracker_fold_stored", TRACKER_SQL + " SELECT * FROM applications")
+def tracker_fold_stored(spark, sf):
+    """The earlier half of the log folded and stored, the later events joined to that."""
+    from vacancia.session import TableSpool
+
+    log = events(spark, sf)
+    half = log.agg(F.avg("seq")).scalar()
+    stored = TableSpool(spark, "tracker").cut(TR.fold_state(log.where(F.col("seq") <= half)), "state")
+    return TR.applications(TR.fold_state(log.where(F.col("seq") > half), stored))
+
+
 @query("tracker_status_update", TRACKER_SQL + " SELECT job_url, status, date_applied, updated_at FROM applications")
 def tracker_status_update(spark, sf):
     return TR.fold(events(spark, sf)).select("job_url", "status", "date_applied", "updated_at")

@@ -220,3 +220,49 @@ def test_positions_of_a_sorted_frame_need_one_exchange(spark):
     want = sorted(df.collect(), key=lambda r: (-int((r.date_posted or "0000-00-00").replace("-", "")), r.seq))
     assert got == list(enumerate(r.seq for r in want))
     assert OR.with_positions(OR.newest_first(df.limit(0))).count() == 0
+
+
+def test_tracker_parts_give_what_the_whole_log_gives(spark):
+    import random
+
+    rng = random.Random(5)
+    kinds = ["save", "status", "notes", "delete", "status"]
+    texts = ["", None, "a", "b", "c"]
+    log = [
+        (i, rng.choice(["u", "v", "w", "x", "y", "z", None]) if i % 50 else f"only {i}", rng.choice(kinds), rng.choice([*V.TRACKER_STATUSES, "bogus", None]),
+         rng.choice(texts), rng.choice(texts), f"t{i}", rng.choice(texts), rng.choice(texts), rng.choice([None, f"2024-01-01T{i:05d}"]))
+        for i in range(400)
+    ]
+    shape = "seq long, job_url string, kind string, status string, notes string, cover_letter string, title string, company string, location string, ts string"
+    frame = lambda part: spark.createDataFrame(part, shape)
+    # the rule, event by event
+    for cuts in ([0, 400], [0, 130, 131, 300, 400]):
+        state = None
+        for start, stop in zip(cuts, cuts[1:]):
+            # a part that overlaps with what was applied changes nothing
+            state = TR.fold_state(frame(log[max(0, start - 40) : stop]), state)
+            state = spark.createDataFrame(state.collect(), state.schema)
+        got = {r.job_url: r[1:] for r in TR.applications(state).collect()}
+        want = {}
+        for seq, url, kind, status, notes, letter, title, company, location, ts in log:
+            if url is None or kind in ("save", "status") and status not in V.TRACKER_STATUSES:
+                continue
+            if kind == "delete":
+                want.pop(url, None)
+                continue
+            if url not in want:
+                if kind != "save":
+                    continue
+                want[url] = [title, company or "", location or "", ts, None, None, "", "", None, False]
+            row = want[url]
+            if kind in ("save", "status"):
+                row[4] = status
+                if status == "applied" and not row[9]:
+                    row[5], row[9] = ts, True
+            if kind == "notes" or kind == "save" and notes:
+                row[6] = notes or ""
+            if kind == "save" and letter:
+                row[7] = letter
+            row[8] = ts
+        assert got == {url: tuple(row[:9]) for url, row in want.items()} and len(got) > 3
+    assert TR.fold(frame([])).count() == 0

@@ -2,7 +2,8 @@
 
 Events ``(seq, job_url, kind, status, notes, cover_letter, title, company, location, ts)``
 with kind save, status, notes or delete. The fold uses aggregations only: no event list of a
-URL is ever brought together, however many events it has.
+URL is ever brought together, however many events it has. Its state can be stored, and a day's
+events join yesterday's.
 """
 
 from __future__ import annotations
@@ -28,8 +29,117 @@ def rejected_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _last(value: Column, condition: Column) -> Column:
-    return F.max_by(F.when(condition, F.struct(value.alias("v"))), F.when(condition, F.col("seq")))["v"]
+#: What an application shows; the first four come from the save that started it.
+START_FIELDS = ("title", "company", "location", "date_saved")
+FIELDS = (*START_FIELDS, "status", "date_applied", "notes", "cover_letter", "updated_at")
+
+
+def _marks(events: DataFrame) -> DataFrame:
+    """Events without their texts: what decides which event gives a field."""
+    sets_status = F.col("kind").isin("save", "status")
+    is_save = F.col("kind") == "save"
+    return events.select(
+        "job_url",
+        "seq",
+        is_save.alias("saves"),
+        (F.col("kind") == "delete").alias("deletes"),
+        sets_status.alias("sets_status"),
+        (sets_status & (F.col("status") == "applied")).alias("applies"),
+        ((F.col("kind") == "notes") | (is_save & (F.length("notes") > 0))).alias("sets_notes"),
+        (is_save & (F.length("cover_letter") > 0)).alias("sets_letter"),
+    )
+
+
+def fold_state(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """One row per URL that events name: the application as of its ``last_seq``, to be stored and gone on from.
+
+    With ``stored``, the state of all earlier events, only the later ones are given; of those, events
+    up to a URL's stored ``last_seq`` were applied already and change nothing, so a part may be given
+    twice. Rows whose ``started`` is null have no application; they keep ``last_seq`` of what was
+    deleted. URLs without later events stay as stored. Events without URL have no effect.
+
+    Which event gives a field is found by aggregates over row numbers; texts move only for the events that
+    give one, at most six of a URL.
+    """
+    events = valid_events(events).filter(F.col("job_url").isNotNull())
+    marks = _marks(events)
+    if stored is not None:
+        known = stored.select("job_url", F.col("last_seq").alias("_after"), F.col("started").alias("_running"))
+        marks = marks.join(known, "job_url", "left").filter(F.col("_after").isNull() | (F.col("seq") > F.col("_after")))
+    else:
+        marks = marks.withColumn("_running", F.lit(None).cast("long"))
+    heads = marks.groupBy("job_url").agg(
+        F.max("seq").alias("last_seq"), F.max(F.when(F.col("deletes"), F.col("seq"))).alias("deleted")
+    )
+    alive = marks.filter(~F.col("deletes")).join(heads.drop("last_seq"), "job_url", "left").filter(
+        F.col("deleted").isNull() | (F.col("seq") > F.col("deleted"))
+    )
+    # an application that runs goes on unless it was deleted; others start with their first save
+    begins = F.when(F.col("deleted").isNull(), F.max("_running"))
+    started = alive.groupBy("job_url", "deleted").agg(
+        F.coalesce(begins, F.min(F.when(F.col("saves"), F.col("seq")))).alias("started")
+    )
+    effective = alive.drop("deleted").join(started.drop("deleted"), "job_url").filter(
+        F.col("seq") >= F.col("started")
+    )
+    last = lambda name: F.max(F.when(F.col(name), F.col("seq")))
+    givers = effective.groupBy("job_url").agg(
+        F.min("started").alias("started"),
+        last("sets_status").alias("_status"),
+        F.min(F.when(F.col("applies"), F.col("seq"))).alias("applied_seq"),
+        last("sets_notes").alias("_notes"),
+        last("sets_letter").alias("_letter"),
+        F.max("seq").alias("_updated"),
+    )
+    by_giver = {
+        "title": ("started", F.coalesce("title", F.lit(""))),
+        "company": ("started", F.coalesce("company", F.lit(""))),
+        "location": ("started", F.coalesce("location", F.lit(""))),
+        "date_saved": ("started", F.col("ts")),
+        "status": ("_status", F.col("status")),
+        "date_applied": ("applied_seq", F.col("ts")),
+        "notes": ("_notes", F.coalesce("notes", F.lit(""))),
+        "cover_letter": ("_letter", F.col("cover_letter")),
+        "updated_at": ("_updated", F.col("ts")),
+    }
+    numbers = ["started", "_status", "applied_seq", "_notes", "_letter", "_updated"]
+    texts = events.join(givers, "job_url").filter(F.col("seq").isin(*[F.col(n) for n in numbers]))
+    given = texts.groupBy("job_url", *numbers).agg(
+        *[F.max(F.when(F.col("seq") == F.col(giver), value)).alias(name) for name, (giver, value) in by_giver.items()]
+    )
+    new = heads.join(given, "job_url", "left")
+    columns = ["job_url", "last_seq", "started", "applied_seq", *FIELDS]
+    if stored is None:
+        return new.select(*columns)
+
+    both = stored.alias("s").join(new.alias("n"), "job_url", "full_outer")
+    # what is stored counts unless a later deletion wiped it out
+    holds = F.col("s.started").isNotNull() & F.col("n.deleted").isNull()
+    held = lambda name: F.when(holds, F.col(f"s.{name}"))
+
+    def field(name: str) -> Column:
+        mine, giver = F.col(f"n.{name}"), F.col(f"n.{by_giver[name][0]}")
+        if name in START_FIELDS:
+            return F.when(holds, F.col(f"s.{name}")).otherwise(mine)
+        if name == "date_applied":
+            return F.when(holds & F.col("s.applied_seq").isNotNull(), F.col(f"s.{name}")).otherwise(mine)
+        return F.when(giver.isNotNull(), mine).otherwise(held(name))
+
+    return both.select(
+        "job_url",
+        F.coalesce("n.last_seq", "s.last_seq").alias("last_seq"),
+        F.coalesce(held("started"), F.col("n.started")).alias("started"),
+        F.coalesce(held("applied_seq"), F.col("n.applied_seq")).alias("applied_seq"),
+        *[field(name).alias(name) for name in FIELDS],
+    )
+
+
+def applications(state: DataFrame) -> DataFrame:
+    """Current applications, one per URL, of a state."""
+    filled = {"notes": F.coalesce("notes", F.lit("")), "cover_letter": F.coalesce("cover_letter", F.lit(""))}
+    return state.filter(F.col("started").isNotNull()).select(
+        "job_url", *[filled.get(name, F.col(name)).alias(name) for name in FIELDS]
+    )
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -39,40 +149,7 @@ def fold(events: DataFrame) -> DataFrame:
     has no effect. Title, company and location are those of that save. Blank notes and letters
     of a save keep the old ones, a notes event replaces them by whatever it says.
     """
-    events = valid_events(events)
-    deleted = events.filter(F.col("kind") == "delete").groupBy("job_url").agg(F.max("seq").alias("_deleted"))
-    alive = (
-        join_unique(events.filter(F.col("kind") != "delete"), deleted, "job_url")
-        .filter(F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted")))
-        .drop("_deleted")
-    )
-    started = alive.filter(F.col("kind") == "save").groupBy("job_url").agg(F.min("seq").alias("_started"))
-    effective = join_unique(alive, started, "job_url", "inner").filter(F.col("seq") >= F.col("_started"))
-
-    is_save, is_notes = F.col("kind") == "save", F.col("kind") == "notes"
-    first = F.col("seq") == F.col("_started")
-    sets_status = F.col("kind").isin("save", "status")
-    blank = F.lit("")
-
-    def at_start(name: str) -> Column:
-        return F.max(F.when(first, F.coalesce(F.col(name), blank))).alias(name)
-
-    return effective.groupBy("job_url").agg(
-        at_start("title"),
-        at_start("company"),
-        at_start("location"),
-        _last(F.col("status"), sets_status).alias("status"),
-        F.max(F.when(first, F.col("ts"))).alias("date_saved"),
-        F.min_by(
-            F.when(sets_status & (F.col("status") == "applied"), F.col("ts")),
-            F.when(sets_status & (F.col("status") == "applied"), F.col("seq")),
-        ).alias("date_applied"),
-        F.coalesce(
-            _last(F.coalesce(F.col("notes"), blank), is_notes | (is_save & (F.length("notes") > 0))), blank
-        ).alias("notes"),
-        F.coalesce(_last(F.col("cover_letter"), is_save & (F.length("cover_letter") > 0)), blank).alias("cover_letter"),
-        F.max_by("ts", "seq").alias("updated_at"),
-    )
+    return applications(fold_state(events))
 
 
 def with_application(postings: DataFrame, applications: DataFrame) -> DataFrame:
