@@ -287,14 +287,13 @@ def s_norm_title(x: str) -> str:
     from vacancia import fixed_values as V
 
     out = f"lower({s_strip(f'coalesce({x}, chr(32))')})"
-    for marker in V.GENDER_MARKERS:
+    for marker in V.TITLE_MARKERS:
         out = f"regexp_replace({out}, {sql_text(marker)}, '', 'g')"
-    out = f"regexp_replace({out}, {sql_text(V.TRAILING_GENDER_MARKER)}, '', 'g')"
-    for short, (full, ends) in V.TITLE_ABBREVIATIONS.items():
-        if ends:
-            out = rf"regexp_replace({out}, '\b{short}\.?(\s|$)', '{full}\1', 'g')"
-        else:
-            out = rf"regexp_replace({out}, '\b{short}\b', '{full}', 'g')"
+    for short, full in V.TITLE_SPELLINGS.items():
+        # no lookahead here: what follows is put back
+        ahead = r"(?=\s|$)"
+        pattern, back = (short.replace(ahead, r"(\s|$)"), r"\1") if ahead in short else (short, "")
+        out = f"regexp_replace({out}, {sql_text(pattern)}, '{full}{back}', 'g')"
     return s_collapse(out)
 
 

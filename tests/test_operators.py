@@ -181,7 +181,7 @@ def test_partitioning_does_not_matter(spark):
     assert plain(df.repartition(1)) == plain(df.repartition(7, "title"))
 
 
-@pytest.mark.parametrize("master, named, ok", [("local[2]", None, True), ("yarn", "hdfs://x/y/", True), ("yarn", None, False)])
+@pytest.mark.parametrize("master, named, ok", [("local[2]", None, True), ("yarn", "hdfs://x/y/", True), ("yarn", None, False), ("local", None, True), ("local-cluster[2,1,1024]", None, False)])
 def test_working_folder(master, named, ok):
     from vacancia.session import working_folder
 

@@ -56,40 +56,41 @@ HOURS_IN_YEAR = 8760
 MAX_RELEASE_AGE_DAYS = 90
 
 # --- fixed values: title and company keys --------------------------------------------
-GENDER_MARKERS = [
+# what is taken out of titles
+TITLE_MARKERS = [
     r"\s*\(m/[wf]/[dx]\)\s*",
     r"\s*\([wf]/m/[dx]\)\s*",
     r"\s*\(m/f/[dx]\)\s*",
     r"\s*\([fm]/[fm]/[dx]\)\s*",
     r"\s*\(all\s+genders?\)\s*",
     r"\s*\(d/f/m\)\s*",
+    r"\s*-\s*(m/w/d|f/m/d|w/m/d)\s*$",
 ]
-TRAILING_GENDER_MARKER = r"\s*-\s*(m/w/d|f/m/d|w/m/d)\s*$"
-
-# abbreviation -> (expansion, whether an optional dot and then space or end must follow)
-TITLE_ABBREVIATIONS = {
-    "sr": ("senior", True),
-    "jr": ("junior", True),
-    "mgr": ("manager", True),
-    "eng": ("engineer", True),
-    "dev": ("developer", True),
-    "dir": ("director", True),
-    "vp": ("vice president", False),
-    "assoc": ("associate", True),
-    "asst": ("assistant", True),
-    "admin": ("administrator", True),
-    "coord": ("coordinator", True),
-    "spec": ("specialist", True),
-    "exec": ("executive", True),
-    "ops": ("operations", True),
-    "tech": ("technical", True),
-    "swe": ("software engineer", False),
-    "pm": ("product manager", False),
-    "po": ("product owner", False),
-    "ba": ("business analyst", False),
-    "qa": ("quality assurance", False),
-    "ux": ("user experience", False),
-    "ui": ("user interface", False),
+
+# what is spelled out in titles, in this order
+TITLE_SPELLINGS = {
+    r"\bsr\.?(?=\s|$)": "senior",
+    r"\bjr\.?(?=\s|$)": "junior",
+    r"\bmgr\.?(?=\s|$)": "manager",
+    r"\beng\.?(?=\s|$)": "engineer",
+    r"\bdev\.?(?=\s|$)": "developer",
+    r"\bdir\.?(?=\s|$)": "director",
+    r"\bvp\b": "vice president",
+    r"\bassoc\.?(?=\s|$)": "associate",
+    r"\basst\.?(?=\s|$)": "assistant",
+    r"\badmin\.?(?=\s|$)": "administrator",
+    r"\bcoord\.?(?=\s|$)": "coordinator",
+    r"\bspec\.?(?=\s|$)": "specialist",
+    r"\bexec\.?(?=\s|$)": "executive",
+    r"\bops\.?(?=\s|$)": "operations",
+    r"\btech\.?(?=\s|$)": "technical",
+    r"\bswe\b": "software engineer",
+    r"\bpm\b": "product manager",
+    r"\bpo\b": "product owner",
+    r"\bba\b": "business analyst",
+    r"\bqa\b": "quality assurance",
+    r"\bux\b": "user experience",
+    r"\bui\b": "user interface",
 }
 
 LEGAL_SUFFIX = (

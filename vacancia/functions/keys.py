@@ -45,19 +45,20 @@ def normalize_title(c: Column) -> Column:
     Markers take the white space around them along, as the key has always been built.
     """
     title = F.lower(strip(F.coalesce(c, F.lit(""))))
-    title = F.regexp_replace(title, UNICODE + "|".join(V.GENDER_MARKERS), "")
-    title = F.regexp_replace(title, UNICODE + V.TRAILING_GENDER_MARKER, "")
+    # a marker at the end may only show once the others are gone
+    anywhere = [m for m in V.TITLE_MARKERS if not m.endswith("$")]
+    at_end = [m for m in V.TITLE_MARKERS if m.endswith("$")]
+    for markers in (anywhere, at_end):
+        title = F.regexp_replace(title, UNICODE + "|".join(markers), "")
     return collapse_spaces(let(title, _spell_out))
 
 
 def _spell_out(title: Column) -> Column:
     """Replace abbreviations one after the other; most titles have none and skip that."""
     spelled = title
-    for short, (full, ends_word) in V.TITLE_ABBREVIATIONS.items():
-        pattern = rf"\b{short}\.?(?=\s|$)" if ends_word else rf"\b{short}\b"
-        spelled = F.regexp_replace(spelled, UNICODE + pattern, full)
-    any_short = rf"\b(?:{'|'.join(V.TITLE_ABBREVIATIONS)})\b"
-    return F.when(title.rlike(UNICODE + any_short), spelled).otherwise(title)
+    for short, full in V.TITLE_SPELLINGS.items():
+        spelled = F.regexp_replace(spelled, UNICODE + short, full)
+    return F.when(title.rlike(UNICODE + "|".join(V.TITLE_SPELLINGS)), spelled).otherwise(title)
 
 
 def normalize_company(c: Column) -> Column:

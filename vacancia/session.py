@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,7 +49,8 @@ def working_folder(spark: SparkSession) -> str:
     in_force = spark.sparkContext.getCheckpointDir()
     if in_force:
         return in_force.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    # executors of local-cluster[...] are processes of their own, as on any cluster
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = tempfile.mkdtemp(prefix="vacancia-")
     spark.sparkContext.setCheckpointDir(fallback)
