@@ -23,6 +23,7 @@ from vacancia.llm.suffix_dedup import repeated_passages
 from vacancia.llm.token_counts import PrefixCounter, token_counts
 from vacancia.llm.toxicity import BlockMaxIndex, learn, score_toxicity
 from vacancia.llm.trigrams import trigram_query
+from vacancia.session import TableSpool
 
 SCHEMA = "doc_id long, text string, row long, key string, n int"
 RNG = random.Random(5)
@@ -200,19 +201,48 @@ def test_trigram_queries():
 # --- 4 ---
 
 
-def test_passages(docs):
-    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in once()}
-    held = {}
-    for size in (50, 65):  # what may be found, and what must be: see repeated_passages
-        counts = collections.Counter(tuple(w[j : j + size]) for w in words.values() for j in range(len(w) - size + 1))
-        held[size] = {i for i, w in words.items() if any(counts[tuple(w[j : j + size])] > 1 for j in range(len(w) - size + 1))}
-    rows = repeated_passages(docs).collect()
-    assert held[65] <= {r.doc_id for r in rows} <= held[50] and len(held[65]) > 12
-    text = dict(once())
+def uncovered(words, rows, size=50):
+    """Places of repeated word sequences that no row covers."""
+    places = collections.defaultdict(list)
+    for i, w in words.items():
+        for j in range(len(w) - size + 1):
+            places[tuple(w[j : j + size])].append((i, j))
+    spans = collections.defaultdict(list)
+    for r in rows:
+        spans[r.doc_id].append((r.first_word, r.first_word + r.n_words))
+    repeated = [x for at in places.values() if len(at) > 1 for x in at]
+    return repeated, [(i, j) for i, j in repeated if not any(a <= j and j + size <= b for a, b in spans[i])]
+
+
+def check_passages(text, rows):
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in text.items()}
+    repeated, missed = uncovered(words, rows)
+    assert not missed and {r.doc_id for r in rows} == {i for i, _ in repeated}
     for r in rows:
         mine = words[r.doc_id][r.first_word : r.first_word + r.n_words]
-        assert mine == words[r.other_doc_id][r.other_word : r.other_word + r.n_words] and len(mine) >= 50
+        there = words[r.other_doc_id]
+        assert mine == there[r.other_word : r.other_word + r.n_words] and len(mine) >= 50
         assert text[r.doc_id][r.start : r.stop].split() == mine
+    return repeated
+
+
+def test_passages(docs):
+    assert len({i for i, _ in check_passages(dict(once()), repeated_passages(docs).collect())}) > 12
+
+
+def test_short_passages_beside_shared_starts(spark):
+    """Passages of 50 to 64 words in two texts each, whose first 45 words four others share."""
+    rng, texts = random.Random(11), []
+    for _ in range(25):
+        passage = [word() for _ in range(rng.randint(50, 64))]
+        for n in (len(passage), len(passage), 45, 45, 45, 45):
+            around = [[word() for _ in range(rng.randint(0, 60))] for _ in range(2)]
+            texts.append(around[0] + passage[:n] + around[1])
+    texts += [texts[0][:30] + texts[0], texts[1] * 3]
+    text = {i: " ".join(t) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame([(i, t, 1, "k", 2) for i, t in text.items()], SCHEMA).repartition(5)
+    docs = TableSpool(spark, "short-passages").cut(docs, "docs")
+    assert len(check_passages(text, repeated_passages(docs).collect())) > 300
 
 
 # --- 5 ---

@@ -2,10 +2,14 @@
 
 Of each text's suffixes only those stay that start at a minimiser: the word whose next few words have
 the smallest hash among neighbouring ones, so equal passages keep suffixes at equal places. The
-suffixes of all texts are sorted by a hash of their first words over ranges of the whole cluster; of
-neighbours in that order that begin alike, the words are then compared to the left and right as far
-as they agree. Matches of enough words are passages. A hot passage is spread over ranges like any
-other: every suffix is compared with its neighbour only, never with its whole group.
+suffixes of all texts are sorted by a hash of their first words, then by one of their surroundings,
+over ranges of the whole cluster; neighbours that agree in both are compared word by word to the left
+and right as far as they agree. Matches of enough words are passages.
+
+Neighbours that begin alike in different surroundings may share a passage or not, and the suffix that
+does share it may stand further on. For the keys of such neighbours the passages around each minimiser
+are listed by exact hashes, one of each kind of surroundings, and sorted in the same way. A hot
+passage is spread over ranges like any other: a suffix meets its neighbour only, never its group.
 """
 
 from __future__ import annotations
@@ -16,12 +20,14 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vacancia.session import TableSpool
 
 from .common import id_and_text
-from .words import _mixed, sequence_hashes, word_hashes
+from .marks import marks_of, slot_of
+from .words import _mixed, _ranges, sequence_hashes, word_hashes
 
 #: Words of a passage; of the sequence whose hash elects minimisers; sequences they are elected from.
 PASSAGE = 50
@@ -31,62 +37,110 @@ WINDOW = 16
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _minimisers(words: np.ndarray, gram: int, window: int) -> np.ndarray:
-    """Places of the smallest hash of each window, the rightmost among equal ones."""
-    hashes = _mixed(sequence_hashes(words, gram))[::-1]
-    if len(hashes) < window:
-        return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    last = len(hashes) - 1
-    return np.unique(last - (windows.argmin(1) + np.arange(len(windows))))
+def _elected(words: np.ndarray, passage: int, gram: int, window: int) -> np.ndarray:
+    """For each place where a passage may start, the rightmost smallest hash of the window from there."""
+    hashes = _mixed(sequence_hashes(words, gram))
+    starts = len(words) - passage + 1
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, window)[:starts, ::-1]
+    return np.arange(starts) + window - 1 - windows.argmin(1)
+
+
+def _suffixes(words: np.ndarray, passage: int, gram: int, window: int):
+    """(place, key, follow, low, high) of the minimisers of a text of at least ``passage`` words.
+
+    Passages that start at low..high elect the minimiser; ``follow`` hashes all their words and where
+    the minimiser lies in them, so suffixes with equal key and follow share all these passages.
+    """
+    elected = _elected(words, passage, gram, window)
+    low = np.flatnonzero(np.r_[True, elected[1:] != elected[:-1]])
+    high = np.r_[low[1:], len(elected)] - 1
+    place = elected[low]
+    key = sequence_hashes(words, passage - window + 1)[place]
+    around = _ranges(words, low, high + passage, 1)
+    inside = (place - low) * window + high - low
+    return place, key.astype(np.int64), _mixed(around + inside.astype(np.uint64)).astype(np.int64), low, high
 
 
 def sparse_suffixes(rows: DataFrame, passage: int, gram: int, window: int) -> DataFrame:
     """(key, follow, row, place): the suffixes that start at minimisers, by hashes of their words.
 
-    The first minimiser of a passage lies within ``window`` words of its start, so suffixes that agree
-    in passage - window + 1 words, the key, show every passage. Shorter ends of texts have no such
-    suffix. ``follow`` orders suffixes of one key by their first ``passage`` words.
+    The minimiser of a passage lies within ``window`` words of its start, so suffixes that agree in
+    passage - window + 1 words, the key, show every passage. Shorter ends of texts have no such
+    suffix. ``follow`` tells the surroundings of suffixes of one key apart.
     """
-    first = passage - window + 1
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, follows, owners, places = [], [], [], []
+            parts = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = word_hashes(text.encode())[0]
                 if len(words) >= passage:
-                    heads = sequence_hashes(words, first)
-                    chosen = _minimisers(words, gram, window)
-                    chosen = chosen[chosen < len(heads)]
-                    keys.append(heads[chosen].astype(np.int64))
-                    longer = sequence_hashes(words, passage)
-                    rest = np.zeros(len(heads), np.int16)
-                    rest[: len(longer)] = (longer >> np.uint64(48)).astype(np.int16)
-                    follows.append(rest[chosen])
-                    places.append(chosen)
-                    owners.append(np.full(len(chosen), row, np.int64))
-            if keys:
-                columns = [pa.array(np.concatenate(x)) for x in (keys, follows, owners, places)]
+                    place, key, follow, _, _ = _suffixes(words, passage, gram, window)
+                    parts.append((key, follow, np.full(len(place), row, np.int64), place))
+            if parts:
+                columns = [pa.array(np.concatenate(x)) for x in zip(*parts)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "follow", "row", "place"])
 
-    return rows.select("row", "text").mapInArrow(build, "key long, follow short, row long, place long")
+    return rows.select("row", "text").mapInArrow(build, "key long, follow long, row long, place long")
+
 
+def _open_passages(rows: DataFrame, marks: np.ndarray, passage: int, gram: int, window: int) -> DataFrame:
+    """(key, follow, row, place): the passages around minimisers of marked keys, by their exact hash.
 
-def _neighbours(suffixes: DataFrame, spool: TableSpool) -> DataFrame:
-    """(row, place, other, there): each suffix with the neighbour that begins alike, the one before it
-    in the sorted order or, for the first of a group, the one after it."""
+    Of suffixes with equal surroundings one stands for all: they share all these passages and are
+    neighbours already. ``follow`` is 0 for all, so every passage meets its neighbour.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            parts = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = word_hashes(text.encode())[0]
+                if len(words) < passage:
+                    continue
+                _, key, follow, low, high = _suffixes(words, passage, gram, window)
+                chosen = np.flatnonzero(marked[slot_of(key, len(marked))])
+                many = high[chosen] - low[chosen] + 1
+                first = np.repeat(np.cumsum(many) - many, many)
+                start = np.repeat(low[chosen], many) + np.arange(many.sum()) - first
+                exact = _ranges(words, start, start + passage, 1).astype(np.int64)
+                parts.append((exact, np.repeat(follow[chosen], many), np.full(len(start), row, np.int64), start))
+            if parts:
+                frame = pd.DataFrame(dict(zip(("key", "around", "row", "place"), map(np.concatenate, zip(*parts)))))
+                frame = frame.drop_duplicates(["key", "around"])
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    listed = rows.select("row", "text").mapInArrow(build, "key long, around long, row long, place long")
+    one = listed.groupBy("key", "around").agg(F.min("row").alias("row"), F.min_by("place", "row").alias("place"))
+    return one.select("key", F.lit(0).cast("long").alias("follow"), "row", "place")
+
+
+def _neighbours(suffixes: DataFrame, spool: TableSpool) -> tuple[DataFrame, DataFrame]:
+    """(row, place, other, there): each suffix with a neighbour of equal key and follow, and (key): the
+    keys under which follows differ. Two suffixes that are alone under their key are paired at once."""
     order = ["key", "follow", "row", "place"]
     ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+    shape = "key long, follow long, row long, place long, other long, there long, kind int"
+    pair, torn, edge = 0, 1, 2
 
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        key, _, row, place = (frame[c].to_numpy() for c in order)
-        same = key[1:] == key[:-1]
-        later, first = np.flatnonzero(same) + 1, np.flatnonzero(same & ~np.r_[False, same[:-1]])
-        at, other = np.r_[later, first], np.r_[later - 1, first + 1]
-        return pd.DataFrame(
-            {"key": 0, "follow": 0, "row": row[at], "place": place[at], "other": row[other], "there": place[other], "edge": False}
-        )
+    def within(frame: pd.DataFrame) -> pd.DataFrame:
+        key, follow, row, place = (frame[c].to_numpy() for c in order)
+        alike = np.r_[False, key[1:] == key[:-1], False]  # with the one before
+        equal = alike.copy()
+        equal[1:-1] &= follow[1:] == follow[:-1]
+        later = np.flatnonzero(equal[:-1])
+        first = np.flatnonzero(equal[1:] & ~equal[:-1])
+        differ = np.flatnonzero(alike[:-1] & ~equal[:-1])
+        # of a group whose ends lie in this frame, that holds these two and no other
+        inner = differ[(differ > 1) & (differ < len(key) - 1)]
+        two = inner[~alike[inner - 1] & ~alike[inner + 1]]
+        rest = np.unique(key[np.setdiff1d(differ, two)])
+        at, other = np.r_[later, first, two, two - 1], np.r_[later - 1, first + 1, two - 1, two]
+        pairs = {"key": 0, "follow": 0, "row": row[at], "place": place[at], "other": row[other], "there": place[other], "kind": pair}
+        open_keys = {"key": rest, "follow": 0, "row": 0, "place": 0, "other": 0, "there": 0, "kind": torn}
+        return pd.concat([pd.DataFrame(pairs), pd.DataFrame(open_keys)])
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, first = None, None
@@ -98,29 +152,47 @@ def _neighbours(suffixes: DataFrame, spool: TableSpool) -> DataFrame:
             # the last row of a batch is the first of the next, so that no neighbours are torn apart
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             held = frame[-1:]
-            yield pairs(frame)
+            yield within(frame)
         if held is not None:
-            for edge in (first, held):
-                yield edge.assign(other=0, there=0, edge=True)[[*order, "other", "there", "edge"]]
+            for end in (first, held):
+                yield end.assign(other=0, there=0, kind=edge)[[*order, "other", "there", "kind"]]
 
-    shape = "key long, follow short, row long, place long, other long, there long, edge boolean"
     found = spool.cut(ordered.mapInPandas(compare, shape), "neighbours")
     # two rows of each range: where a group goes on in the next range
     by_key = Window.partitionBy("key").orderBy("follow", "row", "place")
-    edges = found.where("edge").select(*order).distinct()
-    before = F.lag(F.struct("row", "place")).over(by_key)
-    after = F.lead(F.struct("row", "place")).over(by_key)
-    edges = edges.select("row", "place", F.coalesce(before, after).alias("near")).where("near IS NOT NULL")
-    inside = found.where("NOT edge").select("row", "place", "other", "there")
-    return inside.unionByName(
+    edges = found.where(F.col("kind") == edge).select(*order).distinct()
+    at = F.struct("row", "place")
+    edges = edges.withColumn("near", F.array(F.lag(at).over(by_key), F.lead(at).over(by_key)))
+    edges = edges.select("key", "row", "place", F.explode("near").alias("near")).where("near IS NOT NULL")
+    pairs = found.where(F.col("kind") == pair).select("row", "place", "other", "there")
+    pairs = pairs.unionByName(
         edges.select("row", "place", F.col("near.row").alias("other"), F.col("near.place").alias("there"))
     )
+    return pairs, found.where(F.col("kind") == torn).select("key").unionByName(edges.select("key"))
+
+
+def _packed(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(row, doc_id, packed): compressed texts of the rows asked for and maybe a few more."""
+    marks = marks_of(asked)
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, packer = np.unpackbits(sent.value).astype(bool), zstandard.ZstdCompressor(3)
+        for batch in batches:
+            batch = batch.filter(pa.array(marked[slot_of(batch.column(0).to_numpy(), len(marked))]))
+            packed = [packer.compress(text.encode()) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["row", "doc_id", "packed"]
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("row", "doc_id", "text").mapInArrow(pack, f"row long, doc_id {kind}, packed binary")
 
 
-def _extended(text: str, other: str, same: bool, seeds, passage: int) -> list[tuple[int, int, int]]:
+def _extended(text: bytes, other: bytes, same: bool, seeds, passage: int) -> list[tuple[int, int, int]]:
     """(start, stop, there) of the longest matches through the seeds (place, there), in words."""
-    a = word_hashes(text.encode())[0]
-    b = a if same else word_hashes(other.encode())[0]
+    a = word_hashes(text)[0]
+    b = a if same else word_hashes(other)[0]
     found = []
     shifts: dict[int, list[int]] = {}
     for seed in seeds:
@@ -148,32 +220,39 @@ def repeated_passages(
     """One row per passage of ``passage`` words or more that a row of a stored table shares with another
     row or place: doc_id, start, stop (code points), n_words, first_word, other_doc_id, other_word.
 
-    Words are runs without white space and are compared as they are. Every text in which such a
-    passage lies has a row for it, the first copy too; passages may overlap. A suffix is compared with
-    its neighbour alone: passages of passage + window - 1 words are found wherever they are, shorter
-    ones unless the neighbour shares the start of the passage with another text before it. Null, empty and short
-    texts have none; repeated rows are each other's copies; null ids are reported like others.
+    Words are runs without white space and are compared as they are. Every repeated passage of
+    ``passage`` words lies in such a row for each text and place that holds it, the first copy too;
+    passages may overlap. ``passage`` must be at least gram + window - 1. Null, empty and short texts
+    have none; repeated rows are each other's copies; null ids are reported like others. Bit maps of a
+    fixed size say which keys and rows are asked for; beyond what they tell apart more is read, with
+    equal results.
     """
     spool = TableSpool(docs.sparkSession, "passages")
     rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    suffixes = spool.cut(sparse_suffixes(rows, passage, gram, window), "suffixes")
-    near = _neighbours(suffixes, spool)
-    seeds = near.groupBy("row", "other").agg(F.collect_list(F.struct("place", "there")).alias("seeds"))
+    near, open_keys = _neighbours(spool.cut(sparse_suffixes(rows, passage, gram, window), "suffixes"), spool)
+    marks = marks_of(open_keys)
+    if marks.any():
+        listed = spool.cut(_open_passages(rows, marks, passage, gram, window), "open")
+        near = near.unionByName(_neighbours(listed, spool)[0])
     # of many seeds in a row on one diagonal all belong to one match; a text has few per word
-    texts = rows.select("row", "doc_id", "text")
+    seeds = spool.cut(near.groupBy("row", "other").agg(F.collect_set(F.struct("place", "there")).alias("seeds")), "seeds")
+    texts = _packed(rows, seeds.select(F.explode(F.array("row", "other")).alias("row")))
     mine = texts.join(seeds, "row")
-    theirs = texts.select(F.col("row").alias("other"), F.col("doc_id").alias("other_doc_id"), F.col("text").alias("other_text"))
+    theirs = texts.select(F.col("row").alias("other"), F.col("doc_id").alias("other_doc_id"), F.col("packed").alias("other_packed"))
     both = mine.join(theirs, "other").select(
-        "doc_id", "text", "other_doc_id", "other_text", (F.col("row") == F.col("other")).alias("same"), "seeds"
+        "doc_id", "packed", "other_doc_id", "other_packed", (F.col("row") == F.col("other")).alias("same"), "seeds"
     )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             at, spans = [], []
-            for i, x in enumerate(batch.select(["text", "other_text", "same", "seeds"]).to_pylist()):
-                found = _extended(x["text"], x["other_text"], x["same"], x["seeds"], passage)
+            columns = [batch.column(name) for name in ("packed", "other_packed", "same", "seeds")]
+            for i, (mine, theirs, same, seeds) in enumerate(zip(*columns)):
+                text = unpack(mine.as_py())
+                found = _extended(text, unpack(theirs.as_py()), same.as_py(), seeds.as_py(), passage)
                 if found:
-                    words = [m.span() for m in _WORDS.finditer(x["text"])]
+                    words = [m.span() for m in _WORDS.finditer(text.decode())]
                     for start, stop, there in found:
                         at.append(i)
                         spans.append((words[start][0], words[stop - 1][1], stop - start, start, there))
