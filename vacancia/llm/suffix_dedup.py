@@ -33,32 +33,58 @@ from .words import _mixed, _ranges, sequence_hashes, word_hashes
 PASSAGE = 50
 GRAM = 8
 WINDOW = 16
+#: Bytes of texts whose words are hashed together; a longer text is hashed alone.
+TOGETHER = 1 << 19
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _elected(words: np.ndarray, passage: int, gram: int, window: int) -> np.ndarray:
     """For each place where a passage may start, the rightmost smallest hash of the window from there."""
-    hashes = _mixed(sequence_hashes(words, gram))
-    starts = len(words) - passage + 1
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, window)[:starts, ::-1]
-    return np.arange(starts) + window - 1 - windows.argmin(1)
+    least = _mixed(sequence_hashes(words, gram))
+    at, size = np.arange(len(least)), 1
+    while size < window:
+        # the smaller of two windows side by side, or overlapping in the last step
+        step = min(size, window - size)
+        right = least[step:] <= least[:-step]
+        least, at = np.minimum(least[:-step], least[step:]), np.where(right, at[step:], at[:-step])
+        size += step
+    return at[: len(words) - passage + 1]
 
 
-def _suffixes(words: np.ndarray, passage: int, gram: int, window: int):
-    """(place, key, follow, low, high) of the minimisers of a text of at least ``passage`` words.
+def _suffixes(words: np.ndarray, owner: np.ndarray, passage: int, gram: int, window: int):
+    """(place, key, follow, low, high) of the minimisers of texts, whose words stand in a row.
 
     Passages that start at low..high elect the minimiser; ``follow`` hashes all their words and where
     the minimiser lies in them, so suffixes with equal key and follow share all these passages.
     """
-    elected = _elected(words, passage, gram, window)
-    low = np.flatnonzero(np.r_[True, elected[1:] != elected[:-1]])
-    high = np.r_[low[1:], len(elected)] - 1
-    place = elected[low]
-    key = sequence_hashes(words, passage - window + 1)[place]
-    around = _ranges(words, low, high + passage, 1)
+    starts = np.flatnonzero(owner[: len(words) - passage + 1] == owner[passage - 1 :])
+    elected = _elected(words, passage, gram, window)[starts]
+    first = np.flatnonzero(np.r_[True, elected[1:] != elected[:-1]][: len(starts)])
+    low, high = starts[first], starts[np.r_[first[1:], len(starts)][: len(first)] - 1]
+    place = elected[first]
+    key = _ranges(words, place, place + passage - window + 1, 1)
     inside = (place - low) * window + high - low
-    return place, key.astype(np.int64), _mixed(around + inside.astype(np.uint64)).astype(np.int64), low, high
+    follow = _mixed(_ranges(words, low, high + passage, 1) + inside.astype(np.uint64))
+    return place, key.astype(np.int64), follow.astype(np.int64), low, high
+
+
+def _words_in_groups(batch: pa.RecordBatch, passage: int) -> Iterator[tuple]:
+    """(rows, words, owner, first) for texts (row, text) of ``TOGETHER`` bytes at a time, or a longer one:
+    all words in a row, the text of each, and where each text's words begin."""
+    rows, texts, size = [], [], 0
+    for row, text in [*zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), (None, "")]:
+        data = text.encode()
+        if texts and (row is None or size + len(data) > TOGETHER):
+            words, starts, _ = word_hashes(b" ".join(texts))
+            begins = np.cumsum([0] + [len(x) + 1 for x in texts[:-1]])
+            if len(words) >= passage:
+                owner = np.searchsorted(begins, starts, "right") - 1
+                yield np.array(rows, np.int64), words, owner, np.searchsorted(starts, begins)
+            rows, texts, size = [], [], 0
+        rows.append(row)
+        texts.append(data)
+        size += len(data)
 
 
 def sparse_suffixes(rows: DataFrame, passage: int, gram: int, window: int) -> DataFrame:
@@ -72,11 +98,9 @@ def sparse_suffixes(rows: DataFrame, passage: int, gram: int, window: int) -> Da
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word_hashes(text.encode())[0]
-                if len(words) >= passage:
-                    place, key, follow, _, _ = _suffixes(words, passage, gram, window)
-                    parts.append((key, follow, np.full(len(place), row, np.int64), place))
+            for held, words, owner, begins in _words_in_groups(batch, passage):
+                place, key, follow, _, _ = _suffixes(words, owner, passage, gram, window)
+                parts.append((key, follow, held[owner[place]], place - begins[owner[place]]))
             if parts:
                 columns = [pa.array(np.concatenate(x)) for x in zip(*parts)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "follow", "row", "place"])
@@ -96,17 +120,15 @@ def _open_passages(rows: DataFrame, marks: np.ndarray, passage: int, gram: int,
         marked = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
             parts = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word_hashes(text.encode())[0]
-                if len(words) < passage:
-                    continue
-                _, key, follow, low, high = _suffixes(words, passage, gram, window)
+            for held, words, owner, begins in _words_in_groups(batch, passage):
+                _, key, follow, low, high = _suffixes(words, owner, passage, gram, window)
                 chosen = np.flatnonzero(marked[slot_of(key, len(marked))])
                 many = high[chosen] - low[chosen] + 1
                 first = np.repeat(np.cumsum(many) - many, many)
                 start = np.repeat(low[chosen], many) + np.arange(many.sum()) - first
                 exact = _ranges(words, start, start + passage, 1).astype(np.int64)
-                parts.append((exact, np.repeat(follow[chosen], many), np.full(len(start), row, np.int64), start))
+                text = owner[start]
+                parts.append((exact, np.repeat(follow[chosen], many), held[text], start - begins[text]))
             if parts:
                 frame = pd.DataFrame(dict(zip(("key", "around", "row", "place"), map(np.concatenate, zip(*parts)))))
                 frame = frame.drop_duplicates(["key", "around"])
