@@ -7,12 +7,16 @@ a pivot was elected for are its region: all links lie inside a region. Every mem
 its pivot is measured. Members within the threshold are linked through the pivot. What remains are
 members beyond it and, by the triangle inequality, the boundary: members nearer to the pivot by no
 more than the threshold than the nearest of those. They are joined anew: exactly, in one task, if
-they are few. In a larger region those outside its largest component become pivots of it, a bounded
-number at a time, and meet it block by block; then what is left of the region is joined in the same
-way, until no region holds two components that may still link.
+they are few. A larger region is cut into Voronoi cells: components send one member each as pivots, a
+member lies in the cell of the nearest pivot and, replicated, in all cells whose pivot is no further
+than that by twice the threshold, so both ends of a link are in the home cell of each. Cells are
+regions of the next level, all levels of one depth in the same jobs. A region whose cells would not
+halve the comparisons (its members are about equally far from one another) is joined block by block.
 
 Distances are measured in two steps: how often hashes of a set fall into each of a few classes bounds
 its intersection with any other from above, and only pairs that may link by that are measured exactly.
+These bounds are a metric too (weighted Jaccard of the counts) and never larger than the distance, so
+cells are cut by them alone.
 
 Regions of hot shingles do not arise, since order goes by how frequent a shingle is in all documents,
 as a sketch of fixed size tells. Documents with equal sets are one member.
@@ -40,6 +44,11 @@ CLASSES = 256
 FILTER_BITS = 1 << 23
 #: Members of a region, or of a block of a larger one, that one task compares with one another.
 LOCAL = 256
+#: Pivots of a region that is cut into cells, members that one task deals to cells, and members of a
+#: region that ask all others in one round where cells do not help.
+PIVOTS = 32
+DEALT = 2048
+ROUND = 4096
 
 
 def _summed(parts: DataFrame, join, kind, size: int) -> np.ndarray:
@@ -237,27 +246,87 @@ def _meet_asked(percent: int):
     return meet
 
 
-def _asking(members: DataFrame, spool: TableSpool) -> DataFrame:
-    """(region, x, label, members): members outside the largest component of their region, so many at a time.
+def _asks(members: DataFrame, spool: TableSpool) -> DataFrame:
+    """Members of regions with ``asks``: whether they lie outside their region's largest component.
 
     Those of the largest component need not ask: whoever may join it asks them.
     """
     sizes = members.groupBy("region", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("region").agg(F.max(F.struct("n", "label")).getField("label").alias("main"))
-    others = members.join(main, "region").where("label <> main")
-    # the first of a region are found in each map task before the shuffle
-    others = others.withColumn("place", F.row_number().over(Window.partitionBy("region").orderBy("x")))
-    return spool.cut(others.where(F.col("place") <= LOCAL).select("region", "x", "label", "members"), "asking")
+    marked = members.join(main, "region").select("region", "x", "label", "members", (F.col("label") != F.col("main")).alias("asks"))
+    return spool.cut(marked, "members")
+
+
+def _deal(reach: float):
+    """Cells of a block of members: the nearest pivot's, and those that a partner's may be."""
+
+    def deal(frame: pd.DataFrame) -> pd.DataFrame:
+        is_pivot = frame["is_pivot"].to_numpy()
+        grid = np.array([np.frombuffer(s, np.uint32) for s in frame["sketch"]], np.int32)
+        pivots, rest = frame[is_pivot].reset_index(drop=True), frame[~is_pivot].reset_index(drop=True)
+        points, sizes = grid[~is_pivot], grid[~is_pivot].sum(1)
+        far = np.empty((len(pivots), len(rest)))
+        for j, pivot in enumerate(grid[is_pivot]):
+            both = np.minimum(points, pivot).sum(1)
+            far[j] = 1 - both / (sizes + pivot.sum() - both)
+        home = far.argmin(0)
+        cell, member = np.nonzero(far <= far.min(0) + 2 * reach)
+        found = rest.iloc[member][["region", "x", "label", "asks"]].reset_index(drop=True)
+        found["cell"] = pivots["x"].to_numpy()[cell]
+        found["home"] = home[member] == cell
+        found["may"] = found["home"] & (far[cell, member] <= reach) & (found["label"].to_numpy() != pivots["label"].to_numpy()[cell])
+        return found
+
+    return deal
+
+
+def _cells(many: DataFrame, sketches: DataFrame, reach: float) -> DataFrame:
+    """(region, x, label, asks, cell, home, may): members in the cells of their regions, named by pivots;
+    ``may``: the member may link with the pivot of its home cell."""
+    pivots = many.groupBy("region", "label", "members").agg(F.min("x").alias("x"))
+    place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("x"), "x"))
+    pivots = pivots.withColumn("place", place).where(F.col("place") <= PIVOTS)
+    blocks = F.ceil(F.col("members") / DEALT).cast("int")
+    dealt = many.select("region", F.pmod(F.xxhash64("x"), blocks).cast("int").alias("block"), "x", "label", "asks", F.lit(False).alias("is_pivot"))
+    sent = pivots.select("region", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "x", "label", F.lit(False).alias("asks"), F.lit(True).alias("is_pivot"))
+    both = dealt.unionByName(sent).join(sketches.withColumnRenamed("row", "x"), "x")
+    shape = "region long, x long, label long, asks boolean, cell long, home boolean, may boolean"
+    return both.groupBy("region", "block").applyInPandas(_deal(reach), shape)
+
+
+def _relabelled(members: DataFrame, links: DataFrame, spool: TableSpool) -> DataFrame:
+    reached = components(links, spool).toDF("x", "component")
+    return members.join(reached, "x", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+
+
+def _split(many: DataFrame, cells: DataFrame, spool: TableSpool) -> tuple[DataFrame, DataFrame]:
+    """Members of the next level's regions, and those of regions whose cells do not halve the comparisons."""
+    asking = F.sum(F.col("asks").cast("long"))
+    mixed = F.min("label") != F.max("label")
+    # a member asks in its home cell only
+    cells = cells.withColumn("asks", F.col("asks") & F.col("home"))
+    sizes = cells.groupBy("region", "cell").agg(F.count("*").alias("members"), asking.alias("asking"), mixed.alias("mixed"))
+    sizes = spool.cut(sizes.where("mixed AND asking > 0"), "sizes")
+    before = many.groupBy("region").agg((F.count("*") * asking).alias("before"))
+    after = sizes.groupBy("region").agg(F.sum(F.col("members") * F.col("asking")).alias("after"))
+    kind = spool.cut(before.join(after, "region").select("region", (F.col("after") * 2 > F.col("before")).alias("dense")), "kind")
+    deeper = cells.join(kind.where("NOT dense"), "region", "left_semi").join(sizes.drop("asking", "mixed"), ["region", "cell"])
+    deeper = deeper.select(F.xxhash64("region", "cell").alias("region"), "x", "label", "members", "asks")
+    dense = many.join(kind.where("dense"), "region", "left_semi")
+    columns = ["region", "x", "label", "members", "asks"]
+    return spool.cut(deeper, "deeper"), spool.cut(dense.select(*columns), "dense")
 
 
 def _asked_blocks(members: DataFrame, asking: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(region, x, pivot) of asking members and others of their region; a task holds one block of a region."""
+    """(region, x, pivot) of asking members and others of their region; a task holds a block of each."""
     blocks = F.ceil(F.col("members") / LOCAL).cast("int")
-    asked = members.join(asking.select("region").distinct(), "region")
-    asked = asked.select("region", F.pmod(F.xxhash64("x"), blocks).cast("int").alias("block"), "x", "label", F.lit(False).alias("asks"))
-    asks = asking.select("region", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "x", "label", F.lit(True).alias("asks"))
+    numbers = F.sequence(F.lit(0), blocks - 1)
+    own = F.pmod(F.xxhash64("x"), blocks).cast("int")
+    groups = asking.select("region", own.alias("group")).distinct()
+    asked = members.select("region", own.alias("block"), "x", "label", F.lit(False).alias("asks")).join(groups, "region")
+    asks = asking.select("region", own.alias("group"), F.explode(numbers).alias("block"), "x", "label", F.lit(True).alias("asks"))
     both = asked.unionByName(asks).join(sketches.withColumnRenamed("row", "x"), "x")
-    return both.groupBy("region", "block").applyInPandas(_meet_asked(percent), "region long, x long, pivot long")
+    return both.groupBy("region", "group", "block").applyInPandas(_meet_asked(percent), "region long, x long, pivot long")
 
 
 def shingle_components(
@@ -325,20 +394,33 @@ def _groups(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     beyond = measured.where(~linked).groupBy("region").agg(F.min("d").alias("nearest"))
     members = measured.join(beyond, "region").where(~linked | (F.col("d") >= F.col("nearest") - reach))
     members = _labelled(members.select("region", "x", "d"), links, spool)
+    members = _asks(members, spool)
+    dense = None
     while True:
         few, many = members.where(F.col("members") <= LOCAL), members.where(F.col("members") > LOCAL)
         local = few.select("region", "x", "label").join(sketches.withColumnRenamed("row", "x"), "x")
         met = local.groupBy("region").applyInPandas(_meet(percent), "region long, x long, pivot long").distinct()
-        asking = _asking(many, spool)
-        more = bool(asking.limit(1).count())
+        more = bool(many.limit(1).count())
         if more:
-            met = met.unionByName(_asked_blocks(many, asking, sketches, percent)).distinct()
-        found = distances.of(met).where(linked).select(*ends)
-        links = spool.cut(links.unionByName(found), "links")
+            cells = spool.cut(_cells(many, sketches, reach), "cells")
+            met = met.unionByName(cells.where("may").select("region", "x", F.col("cell").alias("pivot")))
+        links = spool.cut(links.unionByName(distances.of(met).where(linked).select(*ends)), "links")
         if not more:
             break
-        left = many.join(asking.select("region", "x"), ["region", "x"], "left_anti")
-        members = _labelled(left.select("region", "x", "d"), links, spool)
+        members, flat = _split(many, _relabelled(cells, links, spool), spool)
+        dense = flat if dense is None else dense.unionByName(flat)
+    while dense is not None:
+        dense = spool.cut(_relabelled(dense, links, spool), "dense")
+        place = F.row_number().over(Window.partitionBy("region").orderBy("x"))
+        # the first of a region are found in each map task before the shuffle
+        asking = dense.where("asks").withColumn("place", place).where(F.col("place") <= ROUND).drop("place")
+        asking = spool.cut(asking, "asking")
+        if not asking.limit(1).count():
+            break
+        met = _asked_blocks(dense, asking, sketches, percent).distinct()
+        links = spool.cut(links.unionByName(distances.of(met).where(linked).select(*ends)), "links")
+        asked = asking.select("region", "x", F.lit(True).alias("asked"))
+        dense = dense.join(asked, ["region", "x"], "left").withColumn("asks", F.col("asks") & F.col("asked").isNull()).drop("asked")
 
     reached = components(links, spool)
     grouped = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left")
