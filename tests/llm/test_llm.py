@@ -427,40 +427,6 @@ def test_components(docs, local, monkeypatch):
     assert len(set(map(find, sets))) < len(sets)
 
 
-def test_components_of_large_regions(spark, monkeypatch):
-    """A phrase shared by texts of three families is a region that cells cut by family; the texts of one
-    family, about equally far from one another, are joined block by block."""
-    for name, value in {"LOCAL": 8, "PIVOTS": 6, "DEALT": 25, "ROUND": 10}.items():
-        monkeypatch.setattr(shingle_join, name, value)
-    levels, split = [], shingle_join._split
-    monkeypatch.setattr(shingle_join, "_split", lambda *x: levels.append(split(*x)) or levels[-1])
-    rng, texts = random.Random(5), []
-    for family in range(3):
-        for n in range(110):
-            text = [f"f{family}w{i}" for i in range(100)]
-            for at in rng.sample(range(100), 2 if n < 20 else rng.randint(0, 3)):
-                text[at] = f"own{rng.randrange(10**9)}"
-            texts.append(" ".join(text + (["one", "rare", "phrase", "here"] if n < 20 else [])))
-    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in map(str.split, texts)]
-    head = list(range(len(texts)))
-
-    def find(x):
-        while head[x] != x:
-            x = head[x]
-        return x
-
-    for a in range(len(texts)):
-        for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                head[y] = x
-    table = spark.createDataFrame([(i, x, 1, "k", 2) for i, x in enumerate(texts)], SCHEMA)
-    table = TableSpool(spark, "large-regions").cut(table, "docs")
-    got = {r.doc_id: r.component_id for r in shingle_components(table).collect()}
-    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 20
-    assert any(deeper.count() for deeper, _ in levels) and any(flat.count() for _, flat in levels)
-
-
 # --- 10 ---
 
 
