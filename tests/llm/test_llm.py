@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vacancia.llm import shingle_join
-from vacancia.llm.common import tokenizer_path
+from vacancia.llm import shingle_join, toxicity
+from vacancia.llm.common import may_match, tokenizer_path
 from vacancia.llm.exact_dedup import CuckooIndex, apply_changes, exact_dedup
 from vacancia.llm.line_dedup import dedup_lines
 from vacancia.llm.packing import Packer, TextIds, pack
@@ -260,6 +260,43 @@ def test_block_max_index_is_exact():
         assert [i for _, i in got] == [i for _, i in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want])
 
 
+def test_block_max_index_answers_many_at_once():
+    """Answers don't depend on which vectors are asked for together; each may leave an example out."""
+    rng = random.Random(6)
+    vectors = [{t: rng.random() for t in rng.sample(range(60), rng.randint(0, 9))} for _ in range(1300)]
+    index = BlockMaxIndex(vectors, 60)
+    asked = rng.sample(range(1300), 40)
+    queries = [(np.array(sorted(vectors[e]), np.int64), np.array([vectors[e][t] for t in sorted(vectors[e])])) for e in asked]
+    got = index.nearest_to_all(queries, 5, asked)
+    for e, query, found in zip(asked, queries, got):
+        assert found == index.nearest_to(*query, 5, e) and e not in [i for _, i in found]
+        scores = [(round(sum(w * v.get(t, 0) for t, w in vectors[e].items()), 12), -i) for i, v in enumerate(vectors) if i != e]
+        want = [(s, -i) for s, i in sorted(scores, reverse=True) if s > 0][:5]
+        assert [i for _, i in found] == [i for _, i in want] and [s for s, _ in found] == pytest.approx([s for s, _ in want])
+
+
+def test_rows_that_may_match(spark):
+    """All rows with a match are flagged, and hardly any other."""
+    keys = spark.createDataFrame([(7 * i,) for i in range(300)] + [(None,)], "doc_id long")
+    rows = spark.createDataFrame([(i, "t") for i in range(-2000, 2100)] + [(None, "t")] * 2, "doc_id long, text string")
+    got = may_match(rows, keys, "doc_id").collect()
+    flagged = {r.doc_id for r in got if r.may}
+    assert len(got) == rows.count() and flagged >= {7 * i for i in range(300)} and len(flagged) < 310 and None not in flagged
+    assert not any(r.may for r in may_match(rows, keys.limit(0), "doc_id").collect())
+    other = {r.doc_id for r in may_match(rows, keys.selectExpr("cast(doc_id AS int) AS doc_id"), "doc_id").where("may").collect()}
+    assert other >= {7 * i for i in range(300)}
+
+
+def test_toxicity_shuffles_labelled_texts_only(spark, monkeypatch):
+    joined = []
+    monkeypatch.setattr(toxicity, "_term_counts", lambda rows, sent, count=toxicity._term_counts: joined.append(rows) or count(rows, sent))
+    docs = spark.createDataFrame([(i, f"{word()} {word()}", 1, "k", 2) for i in range(400)], SCHEMA)
+    learn(docs, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int"))
+    trained = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(30))
+    assert [x.count() for x in joined] == [trained, 400]
+    assert "bitmap" in joined[0]._jdf.queryExecution().toString()
+
+
 def test_toxicity_held_out(spark):
     rng, bad = random.Random(4), ["vile", "scum", "trash"]
     rows, labels = [], []

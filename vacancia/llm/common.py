@@ -13,6 +13,9 @@ from vacancia.session import TableSpool
 #: White space as the word rules of the operators see it.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Bits of the map that says which rows a join may match.
+MATCH_BITS = 1 << 23
+
 
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizer files are; any other path can be given to an operator instead."""
@@ -30,6 +33,24 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def may_match(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows with a flag ``may``: false only where no row of ``keys`` has the row's key, or it is null.
+
+    Rows with wide columns need not be shuffled to a join that they can't match. The map of the keys'
+    hashes has a fixed size whatever their number is; where it is full, all rows may match.
+    """
+    if rows.schema[key].dataType != keys.schema[key].dataType:  # equal keys of two types may hash differently
+        return rows.withColumn("may", F.col(key).isNotNull())
+    slot = F.pmod(F.xxhash64(key), F.lit(MATCH_BITS)) + 1
+    maps = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("bucket"), "left")
+    return joined.select(*rows.columns, (F.col(key).isNotNull() & F.coalesce(bit, F.lit(False))).alias("may"))
+
+
 def per_process(key, make, large: bool = False):
     """``make()``, once for each Python process: tables and caches that outlive a task.
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vacancia.session import TableSpool
 
-from .common import id_and_text, per_process
+from .common import id_and_text, may_match, per_process
 
 #: The bound of what is learnt: examples of each label (the rows with the smallest hashes).
 EXAMPLES = 4000
@@ -42,6 +42,8 @@ BLOCK = 512
 FOLDS = 5
 #: Terms that at least one of so many examples has are held as tables, the others as postings.
 DENSE = 8
+#: Texts that are scored together.
+TOGETHER = 32
 
 _WORD = re.compile(r"\w+")
 
@@ -77,7 +79,7 @@ class BlockMaxIndex:
         return self.__dict__ | {"_tables": None}
 
     def _laid_out(self) -> tuple:
-        """(limits, first postings, rows of the tables, tables by block), made once in each process."""
+        """(limits, first postings, rows of the table, the table), made once in each process."""
         if self._tables is None:
             blocks = max(1, -(-self.size // BLOCK))
             limits = np.zeros((self._terms, blocks))
@@ -89,8 +91,7 @@ class BlockMaxIndex:
             whole = np.zeros((len(common), blocks * BLOCK))
             held = row[self._of] >= 0
             whole[row[self._of[held]], self._ids[held]] = self._weights[held]
-            tables = [np.ascontiguousarray(x) for x in np.split(whole, blocks, axis=1)]
-            self._tables = (limits, np.concatenate([[0], np.cumsum(counts)]), row, tables)
+            self._tables = (limits, np.concatenate([[0], np.cumsum(counts)]), row, whole)
         return self._tables
 
     def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
@@ -99,29 +100,55 @@ class BlockMaxIndex:
 
     def nearest_to(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The same for a vector given by its terms and their weights."""
-        if not len(terms):
-            return []
-        limits, starts, row, tables = self._laid_out()
-        bounds = weights @ limits[terms]
-        common = row[terms] >= 0
-        rows, strong = row[terms[common]], weights[common]
-        # all postings of the other terms, one after another
-        first = starts[terms[~common]]
-        sizes = starts[terms[~common] + 1] - first
-        at = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
-        rest = np.bincount(self._ids[at], np.repeat(weights[~common], sizes) * self._weights[at], len(tables) * BLOCK)
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-12:
-                break
-            first = int(block) * BLOCK
-            scores = strong @ tables[block][rows] + rest[first : first + BLOCK]
-            at = np.flatnonzero(scores > (max(0.0, -best[-1][0] - 1e-9) if len(best) == k else 0.0))
+        return self.nearest_to_all([(terms, weights)], k, without)[0]
+
+    def nearest_to_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: int | list[int] = -1) -> list:
+        """The same for each of some vectors; ``without`` may name an example for each.
+
+        The common terms of all vectors meet a block in one product. The block with the highest bound of
+        each vector comes first, then those whose bounds reach the k-th best cosine there.
+        """
+        limits, starts, row, whole = self._laid_out()
+        n, each = len(vectors), np.arange(len(vectors))
+        without = np.broadcast_to(without, n)
+        bounds, strong = np.zeros((n, limits.shape[1])), np.zeros((n, len(whole)))
+        rest, scores = np.empty((n, whole.shape[1])), np.full((n, whole.shape[1]), -1.0)
+        for i, (terms, weights) in enumerate(vectors):
+            bounds[i] = weights @ limits[terms]
+            common = row[terms] >= 0
+            strong[i, row[terms[common]]] = weights[common]
+            # all postings of the other terms, one after another
+            first = starts[terms[~common]]
+            sizes = starts[terms[~common] + 1] - first
+            at = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            rest[i] = np.bincount(self._ids[at], np.repeat(weights[~common], sizes) * self._weights[at], whole.shape[1])
+
+        def measure(chosen: np.ndarray) -> None:
+            for block in np.flatnonzero(chosen.any(0)):
+                at, part = np.flatnonzero(chosen[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+                scores[at, part] = strong[at] @ whole[:, part] + rest[at, part]
+
+        best = bounds.argmax(1)
+        first = np.zeros(bounds.shape, bool)
+        first[each, best] = bounds[each, best] > 0
+        measure(first)
+        # the one left out may be among them
+        floor = np.zeros(n)
+        if k < BLOCK:
+            floor = np.maximum(np.partition(scores.reshape(n, -1, BLOCK)[each, best], -k - 1)[:, -k - 1], 0)
+        measure(~first & (bounds > 0) & (bounds >= floor[:, None] - 1e-12))
+
+        found = []
+        for i in range(n):
+            at = np.flatnonzero((scores[i] > 0) & (scores[i] >= floor[i] - 1e-9))
             if len(at) > 4 * k:  # all that can be among the k best, ties and the one left out included
-                at = at[scores[at] >= np.partition(scores[at], -k - 1)[-k - 1] - 1e-9]
-            new = [(-round(float(scores[i]), 12), first + int(i)) for i in at if first + i != without]
-            best = sorted(best + new)[:k]
-        return [(-s, i) for s, i in best]
+                at = at[scores[i, at] >= np.partition(scores[i, at], -k - 1)[-k - 1] - 1e-9]
+            # summed up anew, in an order that doesn't depend on the other vectors
+            rows = np.flatnonzero(strong[i])
+            cosines = (strong[i, rows, None] * whole[np.ix_(rows, at)]).sum(0) + rest[i, at]
+            near = sorted((-round(s, 12), e) for s, e in zip(cosines.tolist(), at.tolist()) if e != without[i])
+            found.append([(-s, e) for s, e in near[:k]])
+        return found
 
 
 class Words:
@@ -171,11 +198,11 @@ class ToxicityModel:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """A text's terms, in order, and their weights; of length one."""
-        place = self._words.place
-        counts = Counter([place[w] for w in _WORD.findall(text.lower()) if w in place])
-        terms = np.fromiter(counts, np.int64, len(counts))
+        counts, place = Counter(_WORD.findall(text.lower())), self._words.place.get
+        terms = np.fromiter([place(w, -1) for w in counts], np.int64, len(counts))
         often = np.fromiter(counts.values(), np.int64, len(counts))
         order = np.argsort(terms)
+        order = order[np.searchsorted(terms, 0, sorter=order) :]  # without words that are no terms
         terms = terms[order]
         weights = (1 + np.log(often[order])) * self._weights[terms]
         norm = math.sqrt(float(weights @ weights))
@@ -205,19 +232,26 @@ class ToxicityModel:
     def rates_of_examples(self) -> np.ndarray:
         return np.array(self._rates)[self._labels]
 
-    def own_vote(self, example: int, text: str) -> float:
-        """The vote on an example's text by the others."""
-        return self._vote(self._index.nearest_to(*self.vector(text), NEIGHBOURS, example))
+    def own_votes(self, examples: list[int], texts: list[str]) -> list[float]:
+        """The votes on examples' texts, each by the others."""
+        near = self._index.nearest_to_all([self.vector(text) for text in texts], NEIGHBOURS, examples)
+        return [self._vote(x) for x in near]
 
     def score(self, text: str, curve: tuple[float, float] | None = None) -> tuple[float, str]:
         """(probability of label 1, evidence: neighbours with cosines, and the terms shared with the nearest)."""
-        terms, weights = self.vector(text)
-        near = self._index.nearest_to(terms, weights, NEIGHBOURS)
+        return self.scores([text], curve)[0]
+
+    def scores(self, texts: list[str], curve: tuple[float, float] | None = None) -> list[tuple[float, str]]:
+        """The same for each of some texts."""
+        vectors = [self.vector(text) for text in texts]
         a, b = curve or self.curve
-        score = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * _logit(self._vote(near))))))
-        named = ",".join(f"{self._ids[i]}:{s:.3f}:{self._labels[i]}" for s, i in near[:3])
-        strong = " ".join([self._words.words[int(terms[i])].as_py() for i in np.argsort(-weights, kind="stable")[:3]])
-        return score, f"{named};{strong}"
+        found = []
+        for (terms, weights), near in zip(vectors, self._index.nearest_to_all(vectors, NEIGHBOURS)):
+            score = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * _logit(self._vote(near))))))
+            named = ",".join(f"{self._ids[i]}:{s:.3f}:{self._labels[i]}" for s, i in near[:3])
+            strong = " ".join([self._words.words[int(terms[i])].as_py() for i in np.argsort(-weights, kind="stable")[:3]])
+            found.append((score, f"{named};{strong}"))
+        return found
 
 
 def _logit(p: float) -> float:
@@ -249,15 +283,15 @@ def _term_counts(rows: DataFrame, sent: Broadcast) -> tuple[np.ndarray, np.ndarr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = sent.value.place
-        counts = np.zeros((2, len(place)), np.int64)
+        every, toxic = np.zeros((2, len(place)), np.int64)
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held = [place[w] for w in set(_WORD.findall(text.lower())) if w in place]
-                counts[0, held] += 1
+                held = [i for i in map(place.get, set(_WORD.findall(text.lower()))) if i is not None]
+                every[held] += 1
                 if label:
-                    counts[1, held] += 1
-        at = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, counts[0, at], counts[1, at])], ["place", "texts", "toxic"])
+                    toxic[held] += 1
+        at = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, every[at], toxic[at])], ["place", "texts", "toxic"])
 
     counted = rows.select("text", "toxic").mapInArrow(count, "place long, texts long, toxic long")
     found = counted.groupBy("place").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).toArrow()
@@ -293,7 +327,10 @@ def _own_votes(examples: DataFrame, model: ToxicityModel) -> dict:
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         for batch in batches:
-            found = [judge.own_vote(place[i], text) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = []
+            for at in range(0, len(ids), TOGETHER):
+                found += judge.own_votes([place[i] for i in ids[at : at + TOGETHER]], texts[at : at + TOGETHER])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "vote"])
 
     return dict(examples.select("doc_id", "text").mapInArrow(vote, f"doc_id {kind}, vote double").collect())
@@ -318,15 +355,16 @@ def learn(
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & in_training("doc_id"))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    # one plan at every size: labels grow with the documents, so they are not broadcast
-    training = id_and_text(docs, id_col, text_col).join(known.hint("merge"), "doc_id")
+    # one plan at every size: labels grow with the documents, so they are not broadcast, but texts without
+    # a label need not be shuffled
+    every = id_and_text(docs, id_col, text_col)
+    training = may_match(every, known, "doc_id").where("may").drop("may").join(known.hint("merge"), "doc_id")
     texts, toxic = training.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not texts:
         return ToxicityModel(Words(pa.array([], pa.string())), np.zeros(0), (1.0, 1.0))
 
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples) for y in (0, 1)]
-    every = id_and_text(docs, id_col, text_col)
     chosen = every.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
     chosen = chosen.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     chosen = TableSpool(spark, "toxicity").cut(chosen, "examples")
@@ -379,7 +417,8 @@ def score_toxicity(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value
         for batch in batches:
-            found = [judge.score(text, curve) for text in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            found = [x for at in range(0, len(texts), TOGETHER) for x in judge.scores(texts[at : at + TOGETHER], curve)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("doc_id", *names)]
                 + [pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())],
