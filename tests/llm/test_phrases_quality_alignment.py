@@ -339,6 +339,17 @@ def test_chunks_join_to_the_text():
         assert " ".join(alignment.chunks(text)) == text
 
 
+def test_equal_cuts_need_no_search(monkeypatch):
+    """A chunk that both sides cut alike gets its groups without looking for common ends."""
+    aligner = alignment.Aligner(*alignment._paths(None, None))
+    chunk = next(x for x in ("time", "people", "water") if len(aligner.second.encode([x])[0]) == len(aligner.first.encode(f" {x}")) == 1)
+    monkeypatch.setattr(alignment, "slices", lambda *a: pytest.fail("searched"))
+    (a,), (b,) = aligner.first.encode(f" {chunk}"), aligner.second.encode([chunk])[0]
+    n_a, n_b, groups, links, written, packed = aligner.align([chunk])[0]
+    assert (n_a, n_b, groups, links, written) == (1, 1, 1, 1, f"{a}|{b}")
+    assert np.frombuffer(packed, aligner.kind).tolist() == [a * aligner.second.size + b]
+
+
 def test_links_of_a_group_are_all_overlaps():
     for _ in range(200):
         size = RNG.randint(1, 20)

@@ -115,12 +115,9 @@ def slices(first: list[int], second: list[int]) -> list[tuple[int, int, int, int
     """(from, to, from, to) of each group of tokens of these lengths, by the ends both sides have in common."""
     ends_a = dict(zip(accumulate(first), range(1, len(first) + 1)))
     ends_b = dict(zip(accumulate(second), range(1, len(second) + 1)))
-    found, a, b = [], 0, 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        i, j = ends_a[end], ends_b[end]
-        found.append((a, i, b, j))
-        a, b = i, j
-    return found
+    common = [end for end in ends_a if end in ends_b]  # ends only grow
+    a, b = [ends_a[end] for end in common], [ends_b[end] for end in common]
+    return list(zip([0, *a], a, [0, *b], b))
 
 
 def overlaps(first: list[int], second: list[int]) -> list[tuple[int, int]]:
@@ -172,14 +169,22 @@ class Aligner:
         if b"".join(first) != data or b"".join(second) != data:
             return None
         size, shown = self.second.size, self._shown
+        if first == second:  # every group has one token on each side
+            n, links = len(a), [x * size + y for x, y in zip(a, b)]
+            return n, n, n, n, ";".join([f"{shown[x]}|{shown[y]}" for x, y in zip(a, b)]), array(self._code, links).tobytes()
         written, links = [], []
         first, second = list(map(len, first)), list(map(len, second))
         groups = slices(first, second)
         for a0, a1, b0, b1 in groups:
             if a1 - a0 == 1:
                 x = a[a0]
+                if b1 - b0 == 1:
+                    y = b[b0]
+                    links.append(x * size + y)
+                    written.append(f"{shown[x]}|{shown[y]}")
+                    continue
                 links += [x * size + y for y in b[b0:b1]]
-                written.append(f"{x}|{','.join([shown[y] for y in b[b0:b1]])}")
+                written.append(f"{shown[x]}|{','.join([shown[y] for y in b[b0:b1]])}")
             elif b1 - b0 == 1:
                 y = b[b0]
                 links += [x * size + y for x in a[a0:a1]]
