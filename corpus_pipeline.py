@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from vacancia.functions.text import let  # noqa: E402
-from vacancia.llm.common import documents  # noqa: E402
+from vacancia.llm.common import documents, may_match  # noqa: E402
 from vacancia.llm.line_dedup import dedup_lines  # noqa: E402
 from vacancia.llm.packing import pack  # noqa: E402
 from vacancia.llm.secret_scan import scan_secrets  # noqa: E402
@@ -46,12 +46,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group of near copies: the smallest id, null ids last, and the first row of it.
 
     Rows are told apart by their number, since ids may repeat or be null. Texts without words all stay.
+    Only texts that may be among the dropped ones are shuffled.
     """
-    groups = shingle_groups(docs, NEAR_WORDS, NEAR_PERCENT)
+    groups = shingle_groups(docs, NEAR_WORDS, NEAR_PERCENT).where("n_shingles > 0")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    first = groups.where("n_shingles > 0").groupBy("group").agg(F.min(place).getField("row").alias("row"))
-    kept = first.select("row").unionByName(groups.where("n_shingles = 0").select("row"))
-    return docs.withColumn("row", row_number()).join(kept, "row", "left_semi").select(*COLUMNS)
+    first = groups.groupBy("group").agg(F.min(place).getField("row").alias("first"), F.count("*").alias("members"))
+    dropped = groups.join(first.where("members > 1"), "group").where("row <> first").select("row")
+    dropped = TableSpool(spark, "near-copies").cut(dropped, "dropped")
+    numbered = may_match(docs.withColumn("row", row_number()), dropped, "row")
+    left = numbered.where("may").join(dropped, "row", "left_anti")
+    return numbered.where("NOT may").select(*COLUMNS).unionByName(left.select(*COLUMNS))
 
 
 def _masked(text: Column, found: Column) -> Column:

@@ -198,6 +198,23 @@ def test_run(spark, folder, docs):
     assert packed(P.run(spark, folder)) == pieces(want)
 
 
+def test_near_copies_shuffle_dropped_texts_only(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(P, "may_match", lambda *a, match=P.may_match: seen.append(match(*a)) or seen[-1])
+    left = P.drop_near_copies(spark, docs, "").count()
+    assert len(seen) == 1 and seen[0].count() == len(ROWS)
+    assert len(ROWS) - left <= seen[0].where("may").count() < len(ROWS) - left + 3
+
+
+def test_stages_carry_a_text_once(spark, docs):
+    """Shuffled rows of line dedup and secret scans hold one copy of the text, and scans shuffle candidates only."""
+    for stage in (P.drop_repeated_lines, P.mask_secrets):
+        plan = stage(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+        inputs = [line for line in plan.split("\n") if "Project" in line and "AS kept_" in line]
+        assert inputs and not any(re.search(r"text#\d+ AS kept_", line) for line in inputs)
+    assert " may#" in plan or "bits#" in plan
+
+
 def test_near_copies_of_repeated_and_null_ids(spark, tmp_path):
     near, other = changed(NEAR, 7), " ".join(word() for _ in range(30))
     ids = [(5, " ".join(NEAR)), (5, other), (2, near), (7, " ".join(PLAIN)), (7, " ".join(PLAIN)), (None, other), (None, "a lone text here")]

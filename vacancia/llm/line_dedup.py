@@ -118,17 +118,17 @@ def dedup_lines(
     by_row = runs.groupBy("row").agg(
         F.collect_list(F.struct("line", "size", "first_doc", "first_row", "first_line")).alias("runs")
     )
-    carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried)
+    names = ["text" if c == text_col else f"kept_{i}" for i, c in enumerate(keep)]  # a text is carried once
+    carried = [F.col(c).alias(name) for c, name in zip(keep, names) if c != text_col]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
     texts = texts.withColumn("row", F.monotonically_increasing_id())
     whole = texts.join(by_row, "row", "left").drop("row")
-    names = [f"kept_{i}" for i in range(len(keep))]
     fields = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in ("doc_id", *names))
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                _without(text, runs) for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist())
+                _without(text or "", runs) for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist())
             ]
             kept, counts, deleted, written = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(

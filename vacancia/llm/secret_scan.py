@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vacancia.functions.text import let
 from vacancia.session import TableSpool
 
-from .common import id_and_text
+from .common import may_match
 from .trigrams import trigram_query
 
 
@@ -125,20 +125,25 @@ def scan_secrets(
     counts as empty and has none; ids may be null or repeat; an empty table gives no rows.
     """
     spool = TableSpool(docs.sparkSession, "secrets")
-    carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried)
-    texts = texts.withColumn("key", F.xxhash64("text"))
+    names = ["raw" if c == text_col else f"kept_{i}" for i, c in enumerate(keep)]  # a text is carried once
+    carried = [F.col(c).alias(name) for c, name in zip(keep, names) if c != text_col]
+    text = F.coalesce("raw", F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw"), *carried).withColumn("key", F.xxhash64(text))
     trigrams = asked_trigrams(rules)
     if trigrams:
-        index = spool.cut(trigram_index(texts.select("key", "text"), trigrams), "index")
-        texts = texts.join(candidates(index, rules, trigrams), "key", "left")
+        index = spool.cut(trigram_index(texts.select("key", text.alias("text")), trigrams), "index")
+        found = spool.cut(candidates(index, rules, trigrams), "candidates")
+        # texts that are no candidates need not be shuffled
+        texts = may_match(texts, found, "key")
+        texts, others = [texts.where(F.col("may") == may).drop("may") for may in (True, False)]
+        texts = texts.join(found, "key", "left").unionByName(others, allowMissingColumns=True)
+    texts = texts.withColumn("text", text)
     spans = []
     for rank, rule in enumerate(rules):
         found = _spans(rule, rank)
         if trigram_query(rule.pattern):
             found = F.when(F.col(f"may_{rule.kind}"), found).otherwise(F.array().cast("array<struct<start:long,rank:int,stop:long>>"))
         spans.append(found.alias(f"spans_{rank}"))
-    names = [f"kept_{i}" for i in range(len(keep))]
     each = texts.select("doc_id", *names, "text", *spans)
     return each.select(
         F.col("doc_id").alias(id_col),

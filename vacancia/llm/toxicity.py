@@ -386,6 +386,8 @@ def learn(
     sizes = pc.list_value_length(held["words"]).to_numpy()
     often = held["counts"].combine_chunks().flatten().to_numpy()
     model.hold(held["doc_id"].to_pylist(), held["toxic"].to_numpy(), sizes, number[coded.indices.to_numpy()], often)
+    del held, coded, sizes, often
+    pa.default_memory_pool().release_unused()  # the driver goes on with the model alone
     votes = _own_votes(chosen, model)
     logits = np.array([_logit(votes[i]) for i in model._ids])
     model.curve = logistic(logits, model._labels, model.rates_of_examples())
