@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,6 +465,56 @@ def test_components(docs, local, monkeypatch):
     assert len(set(map(find, sets))) < len(sets)
 
 
+def test_sketches_bound_shared_shingles(monkeypatch):
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 1 << 63, 70_000, np.uint64) * np.uint64(2)
+    sets = [np.unique(pool[a : a + n]) for n in (1, 70, 260, 1000, 1100, 60_000) for a in (0, n // 10, n // 2)]
+    # all in one class, so that counters of one byte are too narrow
+    sets += [np.arange(1000, dtype=np.uint64), np.arange(100, 1100, dtype=np.uint64)]
+    sketches = [shingle_join._sketch(x) for x in sets]
+    assert {x[0] for x in sketches} == {1, 4} and len({len(x) for x in sketches}) > 4
+    want, alike = set(), set()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both, either = shingle_join._at_most_shared(sketches[i], sketches[j])
+            n = len(np.intersect1d(a, b))
+            assert n <= both and either <= len(a) + len(b) - n and both + either == len(a) + len(b)
+            if 100 * both >= 80 * either:
+                want.add((j, i))
+            if 100 * n >= 80 * (len(a) + len(b) - n):
+                alike.add((j, i))
+    assert alike <= want and len(alike) > 4
+    monkeypatch.setattr(shingle_join, "GRID", 1 << 16)
+    frame = pd.DataFrame({"x": range(len(sets)), "label": range(len(sets)), "sketch": sketches})
+    met = shingle_join._may_link(frame, 80)
+    assert sorted(zip(met["x"], met["pivot"])) == sorted(want)
+    side = np.arange(len(sets)) % 2 == 0
+    met = shingle_join._may_link(frame.assign(label=frame["x"] // 3), 80, side)
+    assert sorted(zip(met["x"], met["pivot"])) == sorted((a, b) for a, b in want if a // 3 != b // 3 and side[a] != side[b])
+
+
+def test_long_texts_that_share_a_passage_are_not_measured_exactly(spark, tmp_path, monkeypatch):
+    """Of texts of one length only alike ones have their sets read and moved, and no front is written twice."""
+    rng = random.Random(9)
+    hub = [f"h{i}" for i in range(12_000)]
+    long = [[f"d{i}x{rng.random()}" for _ in range(11_940)] + hub[100 * i : 100 * i + 60] for i in range(10)]
+    near = [w if j % 4000 else "other" for j, w in enumerate(long[3])]
+    rows = [(i, " ".join(words)) for i, words in enumerate([hub, *long, near])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/docs")
+    cuts = []
+
+    def cut(spool, df, name, write=shingle_join.TableSpool.cut):
+        cuts.append((name, write(spool, df, name)))
+        return cuts[-1][1]
+
+    monkeypatch.setattr(shingle_join.TableSpool, "cut", cut)
+    got = {r.doc_id: r.component_id for r in shingle_components(spark.read.parquet(f"{tmp_path}/docs"), 5, 80).collect()}
+    assert got == {i: i for i in range(11)} | {11: 4}
+    assert {r.row for name, df in cuts if name == "held" for r in df.collect()}
+    assert sum(df.count() for name, df in cuts if name == "exact") == 1
+    assert sum("front" in df.columns for _, df in cuts) == 1
+
+
 # --- 10 ---
 
 

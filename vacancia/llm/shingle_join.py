@@ -11,8 +11,9 @@ they are few. In a larger region those outside its largest component become pivo
 number at a time, and meet it block by block; then what is left of the region is joined in the same
 way, until no region holds two components that may still link.
 
-Distances are measured in two steps: how often hashes of a set fall into each of a few classes bounds
-its intersection with any other from above, and only pairs that may link by that are measured exactly.
+Distances are measured in two steps: how often hashes of a set fall into each of a number of classes bounds
+its intersection with any other from above, and only pairs that may link by that are measured exactly. The
+number of classes follows the size of the set: in too few, all large sets of about one size look alike.
 
 Regions of hot shingles do not arise, since order goes by how frequent a shingle is in all documents,
 as a sketch of fixed size tells. Documents with equal sets are one member.
@@ -29,15 +30,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vacancia.session import TableSpool
 
-from .common import components, id_and_text, small_batches
+from .common import components, id_and_text, may_match, small_batches
 from .words import shingles
 
 #: Counters of the frequency sketch, and the slices in which it is added up.
 COUNTERS = 1 << 19
 SLICES = 16
-#: Classes of the sketch that bounds intersections, and bits of the filter of rows whose sets are asked for.
-CLASSES = 256
+#: Bits of the least and of the largest number of classes in the sketch that bounds intersections.
+CLASS_BITS = 6, 14
+#: Bits of the filter of rows whose sets are asked for.
 FILTER_BITS = 1 << 23
+#: Counters of sketches that are compared with one at a time.
+GRID = 1 << 22
 #: Members of a region, or of a block of a larger one, that one task compares with one another.
 LOCAL = 256
 
@@ -77,6 +81,26 @@ def _frequencies(rows: DataFrame, size: int) -> np.ndarray:
     return _summed(counted, np.add, np.uint32, COUNTERS)
 
 
+def _sketch(held: np.ndarray) -> bytes:
+    """How many hashes of a set start with each number of some bits: four to a class at most, while the bits last.
+
+    The first byte is the width of a counter, so that small sets take little room and none overflows.
+    """
+    bits = min(max((len(held) - 1).bit_length() - 2, CLASS_BITS[0]), CLASS_BITS[1])
+    counts = np.bincount((held >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    kind = np.dtype(np.uint8 if counts.max() < 256 else np.uint32)
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def _counts(sketch) -> np.ndarray:
+    return np.frombuffer(sketch, f"u{memoryview(sketch)[0]}", offset=1)
+
+
+def _folded(counts: np.ndarray, classes: int) -> np.ndarray:
+    """Counters of a sketch in so many classes, as many as it has or fewer."""
+    return counts.reshape(classes, -1).sum(1, dtype=np.uint32)
+
+
 def _sets(rows: DataFrame, frequency, size: int, percent: int) -> DataFrame:
     """(doc_id, row, n, one, two, front, sketch): each set's size, digest, first shingles and classes."""
 
@@ -94,7 +118,7 @@ def _sets(rows: DataFrame, frequency, size: int, percent: int) -> DataFrame:
                 ones.append(int(held.sum(dtype=np.uint64).astype(np.int64)))
                 twos.append(int(np.bitwise_xor.reduce(held * held * np.uint64(0x9E3779B97F4A7C15) + held).astype(np.int64)) if n else 0)
                 fronts.append(held[order[:first]].astype(np.int64))
-                sketches.append(np.bincount((held >> np.uint64(40)) % np.uint64(CLASSES), minlength=CLASSES).astype(np.uint32).tobytes())
+                sketches.append(_sketch(held))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64())]
                 + [pa.array(twos, pa.int64()), pa.array(fronts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
@@ -136,25 +160,59 @@ def _held(rows: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     return rows.select("row", "text", slot.alias("slot")).mapInArrow(build, "row long, held binary")
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Sizes of intersection and union of two sets of sorted hashes."""
+def _shared(a, b) -> tuple[int, int]:
+    """Sizes of intersection and union of two sets of sorted hashes, given packed."""
+    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     n = len(np.intersect1d(a, b, assume_unique=True))
     return n, len(a) + len(b) - n
 
 
-def _at_most_shared(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+def _at_most_shared(a, b) -> tuple[int, int]:
     """The same from two sketches: at most the one, at least the other."""
+    a, b = _counts(a), _counts(b)
+    classes = min(len(a), len(b))
+    a, b = _folded(a, classes), _folded(b, classes)
     n = int(np.minimum(a, b).sum())
     return n, int(a.sum()) + int(b.sum()) - n
 
 
-def _measured(pairs: DataFrame, held: DataFrame, kind, sizes) -> DataFrame:
+def _may_link(frame: pd.DataFrame, percent: int, sides: np.ndarray | None = None) -> pd.DataFrame:
+    """(region, x, pivot) of members in different components, and on different sides, that may link by their sketches.
+
+    Each two meet once, in the fewer classes of both.
+    """
+    rows, labels, sketches = frame["x"].to_numpy(), frame["label"].to_numpy(), frame["sketch"]
+    found = [np.zeros((0, 2), np.int64)]
+    counts = [_counts(s) for s in sketches]
+    sizes = np.array([c.sum(dtype=np.int64) for c in counts])
+    classes = np.array([len(c) for c in counts])
+    for k in np.unique(classes):
+        finer = np.flatnonzero(classes >= k)
+        step = max(1, GRID // k)
+        for block in (finer[i : i + step] for i in range(0, len(finer), step)):
+            grid = np.array([_folded(counts[i], k) for i in block])
+            for i in np.flatnonzero(classes == k):
+                # of two with as many classes the first asks
+                met = ((classes[block] > k) | (block > i)) & (labels[block] != labels[i])
+                if sides is not None:
+                    met &= sides[block] != sides[i]
+                # what is too large or too small for the threshold needs no look at its classes
+                low, high = np.minimum(sizes[block], sizes[i]), np.maximum(sizes[block], sizes[i])
+                met = np.flatnonzero(met & (100 * low >= percent * high))
+                both = np.minimum(counts[i], grid[met]).sum(1, dtype=np.int64)
+                at = block[met]
+                at = at[100 * both >= percent * (sizes[i] + sizes[at] - both)]
+                found.append(np.stack([np.full(len(at), rows[i]), rows[at]], 1))
+    pairs = np.sort(np.concatenate(found), 1)
+    return pd.DataFrame({"region": 0, "x": pairs[:, 0], "pivot": pairs[:, 1]})
+
+
+def _measured(pairs: DataFrame, held: DataFrame, sizes) -> DataFrame:
     """(region, x, pivot, both, either): sizes of intersection and union of members and pivots."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = zip(batch.column(3), batch.column(4))
-            found = [sizes(np.frombuffer(a.as_buffer(), kind), np.frombuffer(b.as_buffer(), kind)) for a, b in packed]
+            found = [sizes(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column(3), batch.column(4))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(3)] + [pa.array([f[i] for f in found], pa.int64()) for i in range(2)],
                 ["region", "x", "pivot", "both", "either"],
@@ -175,32 +233,28 @@ class _Distances:
 
     def of(self, pairs: DataFrame) -> DataFrame:
         """(region, x, pivot, d, linked) for (region, x, pivot)."""
-        bounds = self._spool.cut(_measured(pairs, self._sketches, np.uint32, _at_most_shared), "bounds")
-        may = bounds.where(self._near)
-        asked = may.select(F.col("x").alias("row")).unionByName(may.select(F.col("pivot").alias("row")))
-        held = self._spool.cut(_held(self._rows, asked, self._size), "held")
-        exact = self._spool.cut(_measured(may, held, np.uint64, _shared), "exact")
-        distance = (1 - F.col("both") / F.col("either")).alias("d")
+        bounds = self._spool.cut(_measured(pairs, self._sketches, _at_most_shared), "bounds")
         near = F.expr(self._near)
-        far = bounds.where(~near).select("region", "x", "pivot", distance, F.lit(False).alias("linked"))
-        return exact.select("region", "x", "pivot", distance, near.alias("linked")).unionByName(far)
+        far = bounds.where(~near).select("region", "x", "pivot", self._distance(), F.lit(False).alias("linked"))
+        return self.exactly(bounds.where(near)).unionByName(far)
+
+    def exactly(self, pairs: DataFrame) -> DataFrame:
+        """The same for pairs of a stored table that may link by their sketches; whole sets move for them only."""
+        asked = pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("pivot").alias("row")))
+        held = self._spool.cut(_held(self._rows, asked, self._size), "held")
+        exact = self._spool.cut(_measured(pairs, held, _shared), "exact")
+        return exact.select("region", "x", "pivot", self._distance(), F.expr(self._near).alias("linked"))
+
+    @staticmethod
+    def _distance() -> Column:
+        return (1 - F.col("both") / F.col("either")).alias("d")
 
 
 def _meet(percent: int):
     """Pairs of a small region's members that are in different components and may link by their sketches."""
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, labels = frame["x"].to_numpy(), frame["label"].to_numpy()
-        grid = np.array([np.frombuffer(s, np.uint32) for s in frame["sketch"]], np.int64)
-        sizes = grid.sum(1)
-        found = []
-        for i in range(len(rows) - 1):
-            both = np.minimum(grid[i], grid[i + 1 :]).sum(1)
-            either = sizes[i] + sizes[i + 1 :] - both
-            at = np.flatnonzero((100 * both >= percent * either) & (labels[i + 1 :] != labels[i])) + i + 1
-            found.append(np.stack([np.full(len(at), rows[i]), rows[at]], 1))
-        pairs = np.sort(np.concatenate(found), 1) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"region": 0, "x": pairs[:, 0], "pivot": pairs[:, 1]})
+        return _may_link(frame, percent)
 
     return meet
 
@@ -220,19 +274,7 @@ def _meet_asked(percent: int):
     """Pairs of an asking member and a member of its block that are in different components and may link."""
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        asking = frame["asks"].to_numpy()
-        rows, labels = frame["x"].to_numpy(), frame["label"].to_numpy()
-        grid = np.array([np.frombuffer(s, np.uint32) for s in frame["sketch"]], np.int64)
-        sizes = grid.sum(1)
-        others = np.flatnonzero(~asking)
-        found = [np.zeros((0, 2), np.int64)]
-        for i in np.flatnonzero(asking):
-            both = np.minimum(grid[i], grid[others]).sum(1)
-            either = sizes[i] + sizes[others] - both
-            at = others[(100 * both >= percent * either) & (labels[others] != labels[i])]
-            found.append(np.stack([np.full(len(at), rows[i]), rows[at]], 1))
-        pairs = np.sort(np.concatenate(found), 1)
-        return pd.DataFrame({"region": 0, "x": pairs[:, 0], "pivot": pairs[:, 1]})
+        return _may_link(frame, percent, frame["asks"].to_numpy())
 
     return meet
 
@@ -305,11 +347,14 @@ def _groups(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     frequency = spark.sparkContext.broadcast(_frequencies(rows, size))
     sets = spool.cut(_sets(rows, frequency, size, percent), "sets")
     digest = ["n", "one", "two"]
-    classes = sets.where("n > 0").groupBy(*digest).agg(F.min("row").alias("rep"))
-    # of equal sets one member goes on, the first row
+    classes = sets.where("n > 0").groupBy(*digest).agg(F.min("row").alias("rep"), F.count("*").alias("members"))
     classes = spool.cut(classes, "classes")
-    fronts = sets.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    fronts = spool.cut(fronts.select("row", "front"), "fronts")
+    # of equal sets one member goes on, the first row; only fronts that may be of others are shuffled to drop them
+    copies = sets.join(classes.where("members > 1").drop("members"), digest).where("row <> rep").select("row")
+    copies = spool.cut(copies, "copies")
+    fronts = may_match(sets.where("n > 0").select("row", "front"), copies, "row")
+    firsts = fronts.where("may").join(copies, "row", "left_anti")
+    fronts = fronts.where("NOT may").select("row", "front").unionByName(firsts.select("row", "front"))
     tokens = fronts.select(F.col("row").alias("x"), F.explode("front").alias("token"))
     elected = tokens.groupBy("token").agg(F.min("x").alias("pivot"), F.count("*").alias("members"))
     elected = elected.where("members > 1").select("token", "pivot")
@@ -333,7 +378,7 @@ def _groups(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
         more = bool(asking.limit(1).count())
         if more:
             met = met.unionByName(_asked_blocks(many, asking, sketches, percent)).distinct()
-        found = distances.of(met).where(linked).select(*ends)
+        found = distances.exactly(spool.cut(met, "met")).where(linked).select(*ends)
         links = spool.cut(links.unionByName(found), "links")
         if not more:
             break
@@ -341,7 +386,7 @@ def _groups(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
         members = _labelled(left.select("region", "x", "d"), links, spool)
 
     reached = components(links, spool)
-    grouped = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left")
+    grouped = classes.drop("members").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.select(*digest, F.coalesce("component", "rep").alias("group"))
     placed = spool.cut(sets.select("doc_id", "row", *digest).join(grouped, digest, "left"), "placed")
     return placed.select("doc_id", "row", F.col("n").alias("n_shingles"), "group")
