@@ -515,6 +515,48 @@ def test_long_texts_that_share_a_passage_are_not_measured_exactly(spark, tmp_pat
     assert sum("front" in df.columns for _, df in cuts) == 1
 
 
+def test_shingles_of_one_text_stay_out_of_the_frequencies(spark):
+    """Else they fill all counters of a large table, and hot shingles look like any other."""
+    shared = " ".join(f"license{i}" for i in range(50))
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) + " " + shared for i in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    counts = shingle_join._frequencies(rows, 4)
+    held = shingle_join.shingles(shared, 4)
+    assert (counts[(held % np.uint64(shingle_join.COUNTERS)).astype(int)] >= 400).all()
+    assert np.count_nonzero(counts) <= len(held)
+
+
+def test_large_regions_take_few_rounds(spark, tmp_path, monkeypatch):
+    """Members that link with few others ask in rounds that grow, not so many at a time however many there are."""
+    monkeypatch.setattr(shingle_join, "LOCAL", 4)
+    rng = random.Random(31)
+    sets = {i: frozenset(rng.sample(range(18), 12)) for i in range(220)}
+    rows = [(i, " ".join(f"w{x}" for x in held)) for i, held in sets.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/docs")
+    head = {i: i for i in sets}
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                head[y] = x
+    cuts = []
+
+    def cut(spool, df, name, write=shingle_join.TableSpool.cut):
+        cuts.append(name)
+        return write(spool, df, name)
+
+    monkeypatch.setattr(shingle_join.TableSpool, "cut", cut)
+    got = shingle_components(spark.read.parquet(f"{tmp_path}/docs"), 1, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
+    assert 1 <= cuts.count("asking") <= 5
+
+
 # --- 10 ---
 
 

@@ -7,26 +7,29 @@ a pivot was elected for are its region: all links lie inside a region. Every mem
 its pivot is measured. Members within the threshold are linked through the pivot. What remains are
 members beyond it and, by the triangle inequality, the boundary: members nearer to the pivot by no
 more than the threshold than the nearest of those. They are joined anew: exactly, in one task, if
-they are few. In a larger region those outside its largest component become pivots of it, a bounded
-number at a time, and meet it block by block; then what is left of the region is joined in the same
-way, until no region holds two components that may still link.
+they are few. In a larger region those outside its largest component become pivots of it, some first
+and in each further round several times as many, and meet it block by block; then what is left of the
+region is joined in the same way, until no region holds two components that may still link.
 
 Distances are measured in two steps: how often hashes of a set fall into each of a number of classes bounds
 its intersection with any other from above, and only pairs that may link by that are measured exactly. The
 number of classes follows the size of the set: in too few, all large sets of about one size look alike.
 
 Regions of hot shingles do not arise, since order goes by how frequent a shingle is in all documents,
-as a sketch of fixed size tells. Documents with equal sets are one member.
+as a sketch of fixed size tells. Most shingles are in one document only; they are left out of the sketch
+(see ``_frequencies``), or in a large table they alone would fill it and all shingles look alike.
+Documents with equal sets are one member.
 """
 
 from __future__ import annotations
 
+from itertools import count
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vacancia.session import TableSpool
 
@@ -36,6 +39,8 @@ from .words import shingles
 #: Counters of the frequency sketch, and the slices in which it is added up.
 COUNTERS = 1 << 19
 SLICES = 16
+#: Shingles that are counted together for the sketch.
+BLOCK = 1 << 21
 #: Bits of the least and of the largest number of classes in the sketch that bounds intersections.
 CLASS_BITS = 6, 14
 #: Bits of the filter of rows whose sets are asked for.
@@ -44,6 +49,10 @@ FILTER_BITS = 1 << 23
 GRID = 1 << 22
 #: Members of a region, or of a block of a larger one, that one task compares with one another.
 LOCAL = 256
+#: Members of small regions that are handed to Python together; most regions hold two or three.
+TOGETHER = 4096
+#: In each round so many times more members of a large region ask than in the one before.
+MORE = 4
 
 
 def _summed(parts: DataFrame, join, kind, size: int) -> np.ndarray:
@@ -67,14 +76,32 @@ def _sliced(whole: np.ndarray) -> pa.RecordBatch:
 
 
 def _frequencies(rows: DataFrame, size: int) -> np.ndarray:
-    """How many sets have a shingle in each counter; the array has one size whatever the input."""
+    """How many sets have a shingle in each counter; the array has one size whatever the input.
+
+    All texts are read and shingles counted block by block, and what only one set of a block holds is
+    not added. A frequent shingle is in most blocks several times and loses little, while rare ones, which are nearly
+    all and more with every document, stay out of the counters. The counts only say in which order shingles
+    are taken, and any order gives the same links.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
+        block, room = [], 0
+
+        def add() -> None:
+            held, times = np.unique(np.concatenate(block), return_counts=True)
+            often = times > 1
+            np.add.at(counts, (held[often] % np.uint64(COUNTERS)).astype(np.int64), times[often].astype(np.uint32))
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                # shingles that meet in one counter count once a text
-                counts[(shingles(text, size) % np.uint64(COUNTERS)).astype(np.int64)] += 1
+                block.append(shingles(text, size))
+                room += len(block[-1])
+                if room >= BLOCK:
+                    add()
+                    block, room = [], 0
+        if block:
+            add()
         yield _sliced(counts)
 
     counted = rows.select("text").mapInArrow(count, "slice int, part binary")
@@ -177,11 +204,17 @@ def _at_most_shared(a, b) -> tuple[int, int]:
 
 
 def _may_link(frame: pd.DataFrame, percent: int, sides: np.ndarray | None = None) -> pd.DataFrame:
-    """(region, x, pivot) of members in different components, and on different sides, that may link by their sketches.
+    """(region, x, pivot) of members in different components, and on different sides, that may link by their sketches."""
+    return _pairs(_linkable(frame["x"].to_numpy(), frame["label"].to_numpy(), frame["sketch"].to_numpy(), percent, sides))
 
-    Each two meet once, in the fewer classes of both.
-    """
-    rows, labels, sketches = frame["x"].to_numpy(), frame["label"].to_numpy(), frame["sketch"]
+
+def _pairs(found: np.ndarray) -> pd.DataFrame:
+    found = np.sort(found, 1)
+    return pd.DataFrame({"region": 0, "x": found[:, 0], "pivot": found[:, 1]})
+
+
+def _linkable(rows: np.ndarray, labels: np.ndarray, sketches: np.ndarray, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of a region's members for ``_may_link``; each two meet once, in the fewer classes of both."""
     found = [np.zeros((0, 2), np.int64)]
     counts = [_counts(s) for s in sketches]
     sizes = np.array([c.sum(dtype=np.int64) for c in counts])
@@ -203,8 +236,7 @@ def _may_link(frame: pd.DataFrame, percent: int, sides: np.ndarray | None = None
                 at = block[met]
                 at = at[100 * both >= percent * (sizes[i] + sizes[at] - both)]
                 found.append(np.stack([np.full(len(at), rows[i]), rows[at]], 1))
-    pairs = np.sort(np.concatenate(found), 1)
-    return pd.DataFrame({"region": 0, "x": pairs[:, 0], "pivot": pairs[:, 1]})
+    return np.concatenate(found)
 
 
 def _measured(pairs: DataFrame, held: DataFrame, sizes) -> DataFrame:
@@ -251,17 +283,36 @@ class _Distances:
 
 
 def _meet(percent: int):
-    """Pairs of a small region's members that are in different components and may link by their sketches."""
+    """Pairs of small regions' members that are in different components and may link by their sketches."""
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        return _may_link(frame, percent)
+        frame = frame.sort_values("region")
+        regions = frame["region"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], regions[1:] != regions[:-1]]))
+        rows, labels, sketches = frame["x"].to_numpy(), frame["label"].to_numpy(), frame["sketch"].to_numpy()
+        found = [_linkable(rows[a:b], labels[a:b], sketches[a:b], percent) for a, b in zip(starts, [*starts[1:], len(frame)])]
+        return _pairs(np.concatenate(found))
 
     return meet
 
 
-def _labelled(members: DataFrame, links: DataFrame, spool: TableSpool) -> DataFrame:
+class _Components:
+    """Components of all links so far, written down; new links go on from them."""
+
+    def __init__(self, spool: TableSpool):
+        self._spool, self.reached = spool, None
+
+    def add(self, links: DataFrame) -> None:
+        """``links`` (a, b) of a stored table."""
+        if self.reached is not None:
+            if links.isEmpty():
+                return
+            links = links.unionByName(self.reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.reached = self._spool.cut(components(links, self._spool), "reached")
+
+
+def _labelled(members: DataFrame, reached: DataFrame, spool: TableSpool) -> DataFrame:
     """Members of regions in which several components are left, with their component as label."""
-    reached = components(links, spool)
     labels = F.coalesce("component", "x").alias("label")
     marked = members.join(reached.withColumnRenamed("node", "x"), "x", "left")
     marked = marked.select("region", "x", "d", labels)
@@ -279,27 +330,34 @@ def _meet_asked(percent: int):
     return meet
 
 
-def _asking(members: DataFrame, spool: TableSpool) -> DataFrame:
-    """(region, x, label, members): members outside the largest component of their region, so many at a time.
+def _asking(members: DataFrame, most: int, salt: int, spool: TableSpool) -> DataFrame:
+    """(region, x, label, members, asking): members outside the largest component of their region, about ``most``
+    at a time, as a hash deals them out, and how many are meant to ask.
 
     Those of the largest component need not ask: whoever may join it asks them.
     """
     sizes = members.groupBy("region", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("region").agg(F.max(F.struct("n", "label")).getField("label").alias("main"))
+    main = sizes.groupBy("region").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
+    main = main.select("region", F.col("main.label").alias("main"), (F.col("all") - F.col("main.n")).alias("others"))
+    turns = F.ceil(F.col("others") / most)
     others = members.join(main, "region").where("label <> main")
-    # the first of a region are found in each map task before the shuffle
-    others = others.withColumn("place", F.row_number().over(Window.partitionBy("region").orderBy("x")))
-    return spool.cut(others.where(F.col("place") <= LOCAL).select("region", "x", "label", "members"), "asking")
+    asking = others.where(F.pmod(F.xxhash64("x", F.lit(salt)), turns) == 0)
+    asked = F.ceil(F.col("others") / turns).alias("asking")
+    return spool.cut(asking.select("region", "x", "label", "members", asked), "asking")
 
 
 def _asked_blocks(members: DataFrame, asking: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(region, x, pivot) of asking members and others of their region; a task holds one block of a region."""
-    blocks = F.ceil(F.col("members") / LOCAL).cast("int")
-    asked = members.join(asking.select("region").distinct(), "region")
-    asked = asked.select("region", F.pmod(F.xxhash64("x"), blocks).cast("int").alias("block"), "x", "label", F.lit(False).alias("asks"))
-    asks = asking.select("region", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "x", "label", F.lit(True).alias("asks"))
+    """(region, x, pivot) of asking members and others of their region; a task holds a block of both."""
+    blocks, groups = (F.ceil(F.col(c) / LOCAL).cast("int") for c in ("members", "asking"))
+    own = lambda count: F.pmod(F.xxhash64("x"), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    asked = members.join(asking.select("region", "asking").distinct(), "region")
+    asked = asked.withColumn("group", every(groups))
+    asked = asked.select("region", own(blocks).alias("block"), "group", "x", "label", F.lit(False).alias("asks"))
+    asks = asking.withColumn("block", every(blocks))
+    asks = asks.select("region", "block", own(groups).alias("group"), "x", "label", F.lit(True).alias("asks"))
     both = asked.unionByName(asks).join(sketches.withColumnRenamed("row", "x"), "x")
-    return both.groupBy("region", "block").applyInPandas(_meet_asked(percent), "region long, x long, pivot long")
+    return both.groupBy("region", "block", "group").applyInPandas(_meet_asked(percent), "region long, x long, pivot long")
 
 
 def shingle_components(
@@ -365,27 +423,31 @@ def _groups(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     ends = (F.col("x").alias("a"), F.col("pivot").alias("b"))
 
     measured = distances.of(pairs.withColumn("region", F.col("pivot")))
-    links = spool.cut(measured.where(linked).select(*ends), "links")
+    joined = _Components(spool)
+    joined.add(spool.cut(measured.where(linked).select(*ends), "links"))
     reach = 1 - percent / 100 + 1e-9
     beyond = measured.where(~linked).groupBy("region").agg(F.min("d").alias("nearest"))
     members = measured.join(beyond, "region").where(~linked | (F.col("d") >= F.col("nearest") - reach))
-    members = _labelled(members.select("region", "x", "d"), links, spool)
-    while True:
+    members = _labelled(members.select("region", "x", "d"), joined.reached, spool)
+    for turn in count():
         few, many = members.where(F.col("members") <= LOCAL), members.where(F.col("members") > LOCAL)
+        more = not many.isEmpty()
         local = few.select("region", "x", "label").join(sketches.withColumnRenamed("row", "x"), "x")
-        met = local.groupBy("region").applyInPandas(_meet(percent), "region long, x long, pivot long").distinct()
-        asking = _asking(many, spool)
-        more = bool(asking.limit(1).count())
+        local = local.withColumn("deal", F.pmod(F.xxhash64("region"), F.lit(few.count() // TOGETHER + 1)))
+        met = local.groupBy("deal").applyInPandas(_meet(percent), "region long, x long, pivot long").distinct()
         if more:
+            asking = _asking(many, LOCAL * MORE**turn, turn, spool)
             met = met.unionByName(_asked_blocks(many, asking, sketches, percent)).distinct()
         found = distances.exactly(spool.cut(met, "met")).where(linked).select(*ends)
-        links = spool.cut(links.unionByName(found), "links")
+        joined.add(spool.cut(found, "links"))
         if not more:
             break
         left = many.join(asking.select("region", "x"), ["region", "x"], "left_anti")
-        members = _labelled(left.select("region", "x", "d"), links, spool)
+        members = _labelled(left.select("region", "x", "d"), joined.reached, spool)
+        if members.isEmpty():
+            break
 
-    reached = components(links, spool)
+    reached = joined.reached
     grouped = classes.drop("members").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.select(*digest, F.coalesce("component", "rep").alias("group"))
     placed = spool.cut(sets.select("doc_id", "row", *digest).join(grouped, digest, "left"), "placed")
