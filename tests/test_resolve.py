@@ -1,5 +1,6 @@
 """Duplicate resolution against its rule, row by row."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -168,3 +169,39 @@ def test_nothing_new(spark):
     stored = spark.createDataFrame(random_rows(3, 30), SCHEMA)
     got = RS.resolve_new(stored, stored.where("false")).collect()
     assert sorted(r["seq"] for r in got) == sorted(r["seq"] for r in stored.collect())
+
+
+def test_a_word_of_many_names_does_not_bring_them_together(spark, monkeypatch):
+    """Names meet under their rarest triples; those of a word that most names have come last."""
+    rnd = random.Random(12)
+    names = {"".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(6, 9))) + " labs" for _ in range(300)}
+    names |= {name[:-1] for name in sorted(names)[:20]} | {"labs labs labs", "labs labs lab", "a", "abcdefgh", "abcdefghi"}
+    cuts = {}
+
+    def cut(spool, df, name, write=TableSpool.cut):
+        cuts[name] = write(spool, df, name)
+        return cuts[name]
+
+    monkeypatch.setattr(TableSpool, "cut", cut)
+    found = RS.company_circles(spark.createDataFrame([(n,) for n in names], "norm_company string"), TableSpool(spark, "test"))
+    got = {(c["circle"], r["norm_company"]) for r in found.collect() for c in r["circles"]}
+    assert got == {(a, b) for a in names for b in names if a == b or (a < b and rule.alike(a, b, 90))}
+    assert len(got) >= len(names) + 20
+    assert cuts["names"].groupBy("token").count().agg(F.max("count")).first()[0] < 60
+
+
+def test_places_are_chosen_before_languages_are_detected(spark, monkeypatch):
+    from vacancia.plans import search
+
+    rows = random_rows(41, 60)
+    cuts = {}
+
+    def cut(spool, df, name, write=TableSpool.cut):
+        cuts[name] = write(spool, df, name)
+        return cuts[name]
+
+    monkeypatch.setattr(TableSpool, "cut", cut)
+    feeds = spark.createDataFrame(rows, SCHEMA).withColumn("location", F.when(F.col("seq") % 2 == 0, "Oslo, Norway").otherwise("Berlin")).withColumn("is_remote", F.lit(False)).withColumn("title", F.lit("Owner")).withColumn("job_url", F.concat(F.lit("https://x.com/"), F.col("seq").cast("string")))
+    options = search.SearchOptions(as_of=dt.datetime(2024, 7, 1), locations=["Germany"])
+    search.resolved_search(feeds, options).collect()
+    assert {r["location"] for r in cuts["classified"].collect()} == {"Berlin"}

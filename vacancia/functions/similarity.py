@@ -107,11 +107,12 @@ def signature(c: Column) -> list[Column]:
     letters = F.array_sort(F.filter(_letters(c), lambda x: F.length(x) > 0))
     numbered = F.transform(letters, lambda x, i: F.xxhash64(x, i - F.array_position(letters, x).cast("int")))
 
-    def bits(half: int) -> Column:
-        own = F.filter(numbered, lambda h: F.pmod(F.shiftright(h, 8), F.lit(2)) == half)
+    def bits(hashes: Column, half: int) -> Column:
+        own = F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 8), F.lit(2)) == half)
         return F.aggregate(own, F.lit(0).cast("long"), lambda total, h: total.bitwiseOR(_bit(F.pmod(h, F.lit(64)).cast("int"))))
 
-    return [bits(0), bits(1)]
+    both = let(numbered, lambda hashes: F.array(bits(hashes, 0), bits(hashes, 1)))
+    return [both[0], both[1]]
 
 
 def allowed_distance(a: Column, b: Column, per_cent: int) -> Column:

@@ -95,34 +95,53 @@ def _name_and_deletions(company: Column) -> Column:
     return F.concat(F.array(company), F.when(unequal, F.array_distinct(shorter)).otherwise(none))
 
 
-def _rarest_triples(company: Column) -> Column:
-    """Letter triples of which any similar name shares at least one.
-
-    A name of length l turns into a similar one of length m by x deletions and y insertions
-    with ``x + y <= q (l + m)`` and ``x - y = l - m``. A deletion destroys at most three triples
-    and an insertion two, so 3x + 2y are lost at most; that is largest with deletions alone and
-    then is ``6 q l / (1 + q)``. If two names lack at most k of each other's triples, the k + 1
-    that come first in any fixed order have one in common. The order here is that of a hash;
-    repeated triples are told apart by their number.
-    """
-    q = 100 - V.COMPANY_SIMILARITY
+def _triples(company: Column) -> Column:
+    """Numbers for the letter triples of a name; repeated triples are told apart."""
     padded = F.concat(F.lit("\u0002"), company, F.lit("\u0003"))
     triples = F.transform(F.sequence(F.lit(1), F.length(company)), lambda i: F.substring(padded, i, F.lit(3)))
-    numbered = F.transform(
+    return F.transform(
         triples,
         lambda triple, i: F.xxhash64(
             triple, F.size(F.filter(F.slice(triples, F.lit(1), i + 1), lambda other: other == triple))
         ),
     )
+
+
+def _first_triples(company: Column, ordered: Column) -> Column:
+    """Letter triples of which any similar name shares at least one, of all in a common order.
+
+    A name of length l turns into a similar one of length m by x deletions and y insertions
+    with ``x + y <= q (l + m)`` and ``x - y = l - m``. A deletion destroys at most three triples
+    and an insertion two, so 3x + 2y are lost at most; that is largest with deletions alone and
+    then is ``6 q l / (1 + q)``. If two names lack at most k of each other's triples, the k + 1
+    that come first in any fixed order have one in common.
+    """
+    q = 100 - V.COMPANY_SIMILARITY
     keep = F.floor(F.length(company) * F.lit(6 * q) / F.lit(100 + q)).cast("int") + 1
-    return F.slice(F.array_sort(numbered), F.lit(1), keep)
+    return F.slice(ordered, F.lit(1), keep)
+
 
+def _rarest_first(names: DataFrame) -> DataFrame:
+    """(norm_company, triples) of names with triples, by how many names have each.
 
-def company_tokens(company: Column) -> Column:
-    """Numbers of which two similar names share at least one, and unlike names rarely do."""
+    A word that many companies have in their names would else bring all of them together.
+    """
+    held = names.filter(F.length("norm_company") >= _LONG_NAME).select("norm_company", F.explode(_triples(F.col("norm_company"))).alias("triple"))
+    often = held.groupBy("triple").agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "triple")))
+    counted = join_unique(held, often, "triple", "inner").groupBy("norm_company").agg(ordered.alias("triples"))
+    return counted.withColumn("triples", F.col("triples.triple"))
+
+
+def company_tokens(company: Column, triples: Column | None = None) -> Column:
+    """Numbers of which two similar names share at least one, and unlike names rarely do.
+
+    ``triples`` are those of the name in an order that all names share, by default that of a hash.
+    """
     none = F.array().cast("array<bigint>")
     short = F.transform(_name_and_deletions(company), lambda text: F.xxhash64(F.lit("name"), text))
-    long = F.transform(_rarest_triples(company), lambda triple: F.xxhash64(F.lit("triple"), triple))
+    ordered = F.array_sort(_triples(company)) if triples is None else triples
+    long = F.transform(_first_triples(company, ordered), lambda triple: F.xxhash64(F.lit("triple"), triple))
     return F.concat(
         F.when(F.length(company) <= _SHORT_NAME, short).otherwise(none),
         F.when(F.length(company) >= _LONG_NAME, long).otherwise(none),
@@ -151,7 +170,9 @@ def company_circles(names: DataFrame, spool: TableSpool) -> DataFrame:
     if "stored" not in names.columns:
         names = names.withColumn("stored", F.lit(False))
     signed = names.withColumns({f"s{i}": x for i, x in enumerate(signature(F.col("norm_company")))})
-    tokens = spool.cut(signed.withColumn("token", F.explode(company_tokens(F.col("norm_company")))), "names")
+    signed = signed.join(_rarest_first(names), "norm_company", "left")
+    held = company_tokens(F.col("norm_company"), F.col("triples"))
+    tokens = spool.cut(signed.withColumn("token", F.explode(held)).drop("triples"), "names")
     a, b = (tokens.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("norm_company", "s0", "s1", "stored")]) for side in "ab")
     first, second = F.col("a_norm_company"), F.col("b_norm_company")
     sides = [[F.col(f"{side}_s{i}") for i in range(2)] for side in "ab"]
@@ -184,14 +205,18 @@ def _token_rows(nodes: DataFrame, circles: DataFrame | None) -> DataFrame:
         lambda t: t.isNotNull(),
     )
     held = F.transform(exact, lambda t: F.struct(t.alias("token"), F.lit(_EXACT).alias("kind")))
-    rows = nodes.withColumn("sorted_title", sort_tokens(F.col("norm_title")))
-    rows = rows.withColumn("size", F.coalesce(F.length("sorted_title"), F.lit(0)))
     none = F.lit(0).cast("long")
     if circles is None:
-        rows = rows.withColumns({"s0": none, "s1": none, "held": held})
+        rows = nodes.withColumn("sorted_title", sort_tokens(F.col("norm_title")))
+        rows = rows.withColumns({"size": F.coalesce(F.length("sorted_title"), F.lit(0)), "s0": none, "s1": none, "held": held})
     else:
-        first, second = signature(F.coalesce("sorted_title", F.lit("")))
-        rows = rows.join(circles, "norm_company", "left").withColumns({"s0": first, "s1": second})
+        # many rows have one title; its letters are looked at once
+        titles = nodes.select("norm_title").distinct().withColumn("sorted_title", sort_tokens(F.col("norm_title")))
+        first, second = signature(F.col("sorted_title"))
+        titles = titles.withColumns({"size": F.length("sorted_title"), "s0": first, "s1": second})
+        rows = nodes.join(titles, "norm_title", "left")
+        rows = rows.withColumns({"size": F.coalesce("size", F.lit(0)), "s0": F.coalesce("s0", none), "s1": F.coalesce("s1", none)})
+        rows = rows.join(circles, "norm_company", "left")
 
         def in_circle(circle: Column, step: int) -> Column:
             token = F.xxhash64(F.lit("circle"), circle["circle"], _length_class(F.col("size")) + step)

@@ -45,22 +45,22 @@ def detect_languages(df: DataFrame) -> DataFrame:
 
 
 def classify_postings(feeds: DataFrame, options: SearchOptions) -> DataFrame:
-    """Normalised postings within the look-back, with their languages.
+    """Normalised postings within the look-back and the places, with their languages.
 
-    The date filter comes first, the languages cost most.
+    The filters that need no language come first, the languages cost most.
     """
-    return detect_languages(FL.by_date(normalize_postings(feeds), options.hours_old, options.as_of))
+    recent = FL.by_date(normalize_postings(feeds), options.hours_old, options.as_of)
+    return detect_languages(FL.by_location_scope(recent, options.locations))
 
 
 def select_postings(classified: DataFrame, options: SearchOptions) -> DataFrame:
-    """Classified postings that suit the languages and places of the search.
+    """Classified postings that suit the languages of the search.
 
     Languages are filtered before duplicates are merged, since merging first would give other
     results.
     """
     df = FL.by_required_language(classified, options.language)
-    df = FL.by_listing_language(df, options.listing_language)
-    return FL.by_location_scope(df, options.locations)
+    return FL.by_listing_language(df, options.listing_language)
 
 
 def resolved_search(feeds: DataFrame, options: SearchOptions) -> DataFrame:
