@@ -1,5 +1,7 @@
 """Column functions on the cases that define them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +289,24 @@ def test_selectors_are_answered_from_one_scan_of_tags(rows):
     assert found[1] == [] and not found[2] and found[3] == []
     first = [r[0] for r in df.select(H.first_inside(F.col("html"), ["#job", ".job-content"])).collect()]
     assert first == ["<div>a</div>b", None, None, None]
+
+
+def test_white_space_of_any_kind(spark):
+    """Trimming and collapsing are what the patterns say, at the ends and within."""
+    rnd = random.Random(8)
+    some = T.WHITE_SPACE + "\u200b\u180e\x1c\ufeffab ä\U0001f600"
+    texts = ["".join(rnd.choices(some, k=rnd.randint(0, 12))) for _ in range(600)] + ["", " ", "\n", "a\n", "\u3000 x \n\n"]
+    c = F.col("c")
+    by_pattern = [F.regexp_replace(c, T.UNICODE + r"^\s+|\s+$", ""), F.trim(F.regexp_replace(c, T.UNICODE + r"\s+", " "))]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").select(T.strip(c).alias("s"), T.collapse_spaces(c).alias("k"), *[x.alias(f"p{i}") for i, x in enumerate(by_pattern)])
+    assert [r for r in df.collect() if (r.s, r.k) != (r.p0, r.p1)] == []
+
+
+def test_white_space_does_not_make_a_text_long(spark):
+    gap = " \n" * 400
+    check(spark, L.listing_language, {
+        gap + "the and of the" + gap + "the" + gap: "unknown",
+        gap + "the and of the and for with the and" + gap: "English",
+        "the and of the and of" + gap + "the and of": "English",
+        "the and of" + gap + "the<br>" + gap: "unknown",
+    })

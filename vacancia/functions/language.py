@@ -55,13 +55,20 @@ def _by_function_words(clean: Column) -> Column:
     return let(let(hits, winner), lambda best: F.when(best["n"] > 0, best["name"]).otherwise(UNKNOWN))
 
 
+def _short(text: Column) -> Column:
+    """Less than MIN_LANGUAGE_TEXT characters with white space collapsed; mostly the start of the text tells."""
+    length = lambda c: F.length(collapse_spaces(c))
+    enough = length(F.left(text, F.lit(8 * V.MIN_LANGUAGE_TEXT))) >= V.MIN_LANGUAGE_TEXT
+    return F.when(enough, F.lit(False)).otherwise(length(text) < V.MIN_LANGUAGE_TEXT)
+
+
 def _by_script_or_words(clean: Column) -> Column:
     any_script = "".join(pattern.strip("[]") for _, pattern in V.SCRIPT_LANGUAGES)
     script = F.when(F.lit(False), F.lit(""))
     for code, pattern in V.SCRIPT_LANGUAGES:
         script = script.when(clean.rlike(pattern), F.lit(V.LANGUAGE_NAMES[code]))
     return (
-        F.when(F.length(clean) < V.MIN_LANGUAGE_TEXT, F.lit(UNKNOWN))
+        F.when(_short(clean), F.lit(UNKNOWN))
         .when(clean.rlike(f"[{any_script}]"), script)
         .otherwise(_by_function_words(clean))
     )
@@ -75,7 +82,7 @@ def listing_language(text: Column) -> Column:
     """
     plain = F.coalesce(text, F.lit(""))
     untagged = F.when(F.contains(plain, F.lit("<")), F.regexp_replace(plain, r"<[^>]+>", " ")).otherwise(plain)
-    return let(collapse_spaces(untagged), _by_script_or_words)
+    return let(untagged, _by_script_or_words)
 
 
 def language_from_title(title: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, functions as F
 UNICODE = "(?U)"
 # Unicode classes, and only \n ends a line for the dot.
 UNICODE_LINES = "(?Ud)"
+#: What ``\\s`` stands for with UNICODE.
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,7 +26,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, UNICODE + r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -48,7 +50,8 @@ def lowered(c: Column) -> Column:
 
 def collapse_spaces(c: Column) -> Column:
     """Runs of white space become one space, ends are trimmed."""
-    return F.trim(F.regexp_replace(c, UNICODE + r"\s+", " "))
+    # single spaces, which nearly all are, stay as they are
+    return F.trim(F.regexp_replace(c, UNICODE + r"\s{2,}|[^\S ]", " "))
 
 
 def title_case(c: Column) -> Column:
@@ -148,7 +151,8 @@ def _decode_all(c: Column) -> Column:
 
     step = F.aggregate(found(c, r"&([A-Za-z][A-Za-z0-9]*);"), c, decode_named)
     step = let(step, lambda t: F.aggregate(found(t, f"&({'|'.join(open_names)})"), t, decode_open))
-    step = F.aggregate(found(c, r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})"), step, decode_number)
+    numbers = found(c, r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})")
+    step = let(step, lambda t: F.when(F.contains(c, F.lit("&#")), F.aggregate(numbers, t, decode_number)).otherwise(t))
     return F.regexp_replace(step, r"&(?:amp;?|AMP;?|#38;?|#[xX]26;?)", "&")
 
 
@@ -166,8 +170,8 @@ def strip_html(c: Column) -> Column:
     text = F.regexp_replace(c, r"<br\s*/?>|<p>|</p>", "\n")
     text = F.replace(text, F.lit("<li>"), F.lit("\n• "))
     text = F.regexp_replace(text, r"<[^>]+>", "")
-    text = unescape_entities(text)
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    fewer = lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+    return strip(let(unescape_entities(text), fewer))
 
 
 def strip_html_if_markup(c: Column) -> Column:
